@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+from .decontaminate import op1_decontamination
+from .licenses import op5_license_scan
 from .packing import op3_best_fit_packing
+from .quality import OP4_SQL, op4_quality_rules
 from .token_counts import op7_token_counts
 from .token_files import op6_token_files
+from .urls import op9_url_filter
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_quality_rules": op4_quality_rules,
+    "op5_license_scan": op5_license_scan,
     "op6_token_files": op6_token_files,
     "op7_token_counts": op7_token_counts,
+    "op9_url_filter": op9_url_filter,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_quality_rules": OP4_SQL}
