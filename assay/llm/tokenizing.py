@@ -21,26 +21,46 @@ CACHE_WORDS = 600_000
 _ENCODERS: dict[str, "WordEncoder"] = {}
 
 
+#: Letters that no step before the merges changes, and marks that it always parts from them.
+_PLAIN = "[a-zà-öø-ÿ]"
+_MARK = "[.,;:!?]"
+
+
+def _joined(ids: list[bytes], per_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of words of which each is `per_word` parts: flat, first place and number for each word."""
+    size = np.fromiter((len(x) >> 2 for x in ids), np.int64, len(ids))
+    ends = np.concatenate(([0], np.cumsum(size)))
+    bounds = ends[np.concatenate(([0], np.cumsum(per_word)))]
+    return np.frombuffer(b"".join(ids), np.uint32), bounds[:-1], np.diff(bounds)
+
+
 class WordEncoder:
     """Encodes Arrow arrays of texts to flat uint32 ids with offsets."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # For words of plain letters normalising and splitting do nothing: only merges are left.
+        self.merges = Tokenizer.from_file(path)
+        self.merges.normalizer = normalizers.Sequence([])
+        self.merges.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def word_ids(self, words: list[str]) -> list[bytes]:
-        """For each word its ids as bytes of uint32."""
+    def part_ids(self, parts: pa.Array) -> list[bytes]:
+        """For each distinct part its ids as bytes of uint32."""
         if len(self.young) > CACHE_WORDS:
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
-        new = [w for w in words if w not in young and w not in old]
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                young[w] = np.array(e.ids, np.uint32).tobytes()
+        plain = np.asarray(pc.match_substring_regex(parts, f"^{_PLAIN}+$"))
+        words = parts.to_pylist()
+        new = [(w, p) for w, p in zip(words, plain) if w not in young and w not in old]
+        for library, chosen in ((self.merges, [w for w, p in new if p]), (self.tokenizer, [w for w, p in new if not p])):
+            for i in range(0, len(chosen), 4096):
+                some = chosen[i : i + 4096]
+                for w, e in zip(some, library.encode_batch_fast(some, add_special_tokens=False)):
+                    young[w] = np.array(e.ids, np.uint32).tobytes()
         out = []
         for w in words:
             ids = young.get(w)
@@ -50,16 +70,23 @@ class WordEncoder:
         return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """ids (uint32, flat) and offsets (int64, one more than texts); a null text has none."""
+        """ids (uint32, flat) and offsets (int64, one more than texts); a null text has none.
+
+        A word's ASCII letters are lower-cased and marks parted from the letters before them, as
+        the tokenizer does, so that fewer distinct parts are left; not in a word that may hold
+        one of the special tokens.
+        """
         split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         per_text = np.diff(np.asarray(split.offsets, np.int64))
         coded = split.flatten().dictionary_encode()
-        codes = np.asarray(coded.indices, np.int64)
-        ids = self.word_ids(coded.dictionary.to_pylist())
-        size = np.fromiter((len(x) >> 2 for x in ids), np.int64, len(ids))
-        at = np.concatenate(([0], np.cumsum(size)))[:-1]
-        store = np.frombuffer(b"".join(ids), np.uint32)
-        count = size[codes] if len(codes) else np.zeros(0, np.int64)
+        codes, words = np.asarray(coded.indices, np.int64), coded.dictionary
+        spaced = pc.replace_substring_regex(pc.ascii_lower(words), f"({_PLAIN})({_MARK})", r"\1 \2")
+        parts = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(words, "<|"), words, spaced))
+        per_word = np.diff(np.asarray(parts.offsets, np.int64))
+        coded = parts.flatten().dictionary_encode()
+        known = self.part_ids(coded.dictionary)
+        store, at, size = _joined([known[i] for i in coded.indices.to_pylist()], per_word)
+        count = size[codes]
         ends = np.concatenate(([0], np.cumsum(count)))
         take = np.repeat(at[codes] - ends[:-1], count) + np.arange(ends[-1])
         return store[take], ends[np.concatenate(([0], np.cumsum(per_text)))]
