@@ -4,20 +4,24 @@ from __future__ import annotations
 
 from .decontaminate import op1_decontamination
 from .licenses import op5_license_scan
+from .ngram_join import op2_ngram_jaccard_join
 from .packing import op3_best_fit_packing
 from .quality import OP4_SQL, op4_quality_rules
+from .suffix_dedup import op10_suffix_dedup
 from .token_counts import op7_token_counts
 from .token_files import op6_token_files
 from .urls import op9_url_filter
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_quality_rules": op4_quality_rules,
     "op5_license_scan": op5_license_scan,
     "op6_token_files": op6_token_files,
     "op7_token_counts": op7_token_counts,
     "op9_url_filter": op9_url_filter,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {"op4_quality_rules": OP4_SQL}
