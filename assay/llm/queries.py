@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import op1_decontamination
+from .lattice_lm import op8_lattice_lm
 from .licenses import op5_license_scan
 from .ngram_join import op2_ngram_jaccard_join
 from .packing import op3_best_fit_packing
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_license_scan": op5_license_scan,
     "op6_token_files": op6_token_files,
     "op7_token_counts": op7_token_counts,
+    "op8_lattice_lm": op8_lattice_lm,
     "op9_url_filter": op9_url_filter,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
