@@ -26,13 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import save, table
+from .common import n_partitions, save, table
 from .tokenizing import crc32, encode_with_end
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 RULES = "length long, from_rank long, to_rank long, first_bin long, per_bin long, first_offset long"
-#: Pieces of a length that one window partition ranks, about.
-RANKED_TOGETHER = 100_000
 #: Rules that are broadcast: 6 numbers each, under 3 MB; beyond it Spark's own choice of join holds.
 BROADCAST_RULES = 50_000
 
@@ -184,7 +182,9 @@ def pack(rows: DataFrame, capacity: int = 4096) -> DataFrame:
     spark = rows.sparkSession
     counts = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `capacity` rows
     rules = placement_rules(counts, capacity)
-    salts = max(1, -(-max(counts.values(), default=0) // RANKED_TOGETHER))
+    # The most common length is dealt out like the rest: no part of it exceeds half a mean partition.
+    together = max(1, sum(counts.values()) // (2 * n_partitions(spark)))
+    salts = max(1, -(-max(counts.values(), default=0) // together))
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
     before = (
         salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n"))
