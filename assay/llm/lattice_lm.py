@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import save, table
 from .hashing import between, running, word_hashes
-from .tokenizing import encoder
+from .tokenizing import WordEncoder, encoder
 
 #: Words whose values are broadcast, at most: 6 MB.
 BROADCAST_WORDS = 1 << 18
@@ -189,9 +189,9 @@ def _piece_counts(words: DataFrame, path: str) -> np.ndarray:
     """The training counts of all pieces; as many numbers as the vocabulary has."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(pieces(path).size)
+        total, library = np.zeros(pieces(path).size), WordEncoder(path, remember=False)
         for batch in batches:
-            ids, at = encoder(path).encode(batch.column("word").cast(pa.string()))
+            ids, at = library.encode(batch.column("word").cast(pa.string()))
             total += pieces(path).count(ids, at, np.asarray(batch.column("c")))
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["id", "n"])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from .decontaminate import op1_decontamination
 from .lattice_lm import op8_lattice_lm
 from .licenses import op5_license_scan
@@ -14,6 +16,7 @@ from .token_files import op6_token_files
 from .urls import op9_url_filter
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_decontamination": op1_decontamination,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_best_fit_packing": op3_best_fit_packing,
@@ -27,3 +30,5 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {"op4_quality_rules": OP4_SQL}
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

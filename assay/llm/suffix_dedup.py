@@ -14,8 +14,8 @@ thirty windows in a row.
 2. Only for anchors that repeat, the bytes of their windows are dealt again by the splitters,
    and the buckets sort the windows by several keys: leading bytes, the hash of the rest, then
    document and place. Of equal windows, all but the first are marked.
-3. An anchor with more than HOT occurrences has its windows compared as rows by hash instead, with
-   partial aggregation, so no bucket holds them all.
+3. An anchor with more than HOT occurrences has its windows compared as rows by hash instead, of
+   each batch of documents only the first of equal ones, so no bucket holds them all.
 
 Whole copies of a text are found first, by digest. Bytes after LEAD are compared by 64-bit hash.
 """
@@ -38,7 +38,7 @@ LENGTH, LEAD = 100, 40
 #: Sampled texts for the splitters, at most about.
 SAMPLE = 20_000
 #: Anchors that a task gathers before it writes them out; those of a bucket, about.
-GATHERED, BUCKET = 1 << 21, 1 << 20
+GATHERED, BUCKET = 1 << 20, 1 << 20
 #: Shares of a bucket, by the anchor's hash, in which windows are sorted.
 SHARES = 8
 #: Occurrences of an anchor from which its windows are compared as rows.
@@ -237,19 +237,44 @@ def _marked(key: tuple, group: pa.Table) -> pa.Table:
 
 
 def _hot_windows(affected: DataFrame) -> DataFrame:
-    """Each window of an anchor with very many occurrences as a row: w (its hash), _d, _h, a."""
+    """Of windows of anchors with very many occurrences, the first of each in a batch as a row: w (its
+    hash), _d, _h, a; and runs (w null, _h, a, b) of those that repeat one of the same batch."""
+
+    def flush(ids: list, keys: list, places: list, hashes: list) -> pa.RecordBatch:
+        n = [len(x) for x in places]
+        d, h = (np.repeat(np.array(x, np.int64), n) for x in (ids, keys))
+        a, w = np.concatenate(places), np.concatenate(hashes)
+        order = np.lexsort((a, h, d, w))
+        new = np.concatenate(([True], w[order][1:] != w[order][:-1]))
+        again = np.ones(len(w), bool)
+        again[order[new]] = False
+        run = np.flatnonzero(again)
+        start = np.flatnonzero(np.concatenate(([True], (a[run][1:] != a[run][:-1] + 1) | (h[run][1:] != h[run][:-1])))) if len(run) else run
+        end = np.append(start[1:], len(run)) - 1
+        first = order[new]
+        columns = {"w": (w[first], None), "_d": (d[first], d[run[start]]), "_h": (h[first], h[run[start]]), "a": (a[first], a[run[start]]), "b": (None, a[run[end]] + LENGTH)}
+        sizes = len(first), len(start)
+        cells = [pa.concat_arrays([pa.nulls(k, pa.int64()) if x is None else pa.array(x, pa.int64()) for x, k in zip(c, sizes)]) for c in columns.values()]
+        return pa.RecordBatch.from_arrays(cells, names=list(columns))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, total = ([], [], [], []), 0
         for batch in batches:
             ids, keys, wanted = (batch.column(c).to_pylist() for c in ("_d", "_h", "hot"))
             for row, data, at, _, first, last in anchors_of(batch.column("text")):
                 take = np.isin(at, wanted[row])
                 if take.any():
                     a = np.concatenate([np.arange(i, j + 1) for i, j in zip(first[take], last[take])])
-                    w = between(running(data), a, a + LENGTH).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(w), pa.array([ids[row]] * len(a), pa.int64()), pa.array([keys[row]] * len(a), pa.int64()), pa.array(a, pa.int64())], names=["w", "_d", "_h", "a"])
+                    for x, y in zip(held, (ids[row], keys[row], a, between(running(data), a, a + LENGTH).view(np.int64))):
+                        x.append(y)
+                    total += len(a)
+                if total >= GATHERED:
+                    yield flush(*held)
+                    held, total = ([], [], [], []), 0
+        if total:
+            yield flush(*held)
 
-    return affected.where(F.size("hot") > 0).select("_d", "_h", "text", "hot").mapInArrow(rows, "w long, _d long, _h long, a long")
+    return affected.where(F.size("hot") > 0).select("_d", "_h", "text", "hot").mapInArrow(rows, "w long, _d long, _h long, a long, b long")
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,8 +297,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             removed.append(n)
             spans.append(k)
             digests.append(hashlib.sha256(kept).hexdigest())
-            left.append(kept)
-        yield pa.RecordBatch.from_arrays([batch.column("_h"), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests, pa.string()), pa.array(left, pa.binary())], names=["_h", "n_removed", "n_spans", "kept_sha256", "kept"])
+            left.append(kept.decode("utf-8", "ignore"))  # of a character that was cut in two nothing stays
+        yield pa.RecordBatch.from_arrays([batch.column("_h"), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests, pa.string()), pa.array(left, pa.string())], names=["_h", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -284,7 +309,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def cut_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(every document, texts that lose some bytes): doc_id, _d, _h, n_bytes, sha256, copy (an equal text
-    stands earlier); and _h, n_removed, n_spans, kept_sha256, kept (bytes) for the first of each text.
+    stands earlier); and _h, n_removed, n_spans, kept_sha256, kept (the text left) for the first of each text.
     """
     spark = docs.sparkSession
     keyed = _keyed(docs)
@@ -312,10 +337,12 @@ def cut_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     affected = save(affected, "affected")
     runs = _windows(affected).groupBy("bucket").applyInArrow(_marked, "_h long, a long, b long")
     rows = save(_hot_windows(affected), "hot-windows")
-    least = rows.groupBy("w").agg(F.min(F.struct("_d", "_h", "a")).alias("_m"))
-    hot_runs = rows.join(least, "w").where(F.struct("_d", "_h", "a") != F.col("_m")).select("_h", "a", (F.col("a") + LENGTH).alias("b"))
-    all_runs = save(runs.unionByName(hot_runs).distinct().groupBy("_h").agg(F.collect_list(F.struct("a", "b")).alias("runs")), "runs")
-    cut = affected.select("_h", "text").join(all_runs, "_h").select("_h", "text", "runs").mapInArrow(_cut, "_h long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    once = rows.where(F.col("w").isNotNull())
+    least = once.groupBy("w").agg(F.min(F.struct("_d", "_h", "a")).alias("_m"))
+    hot_runs = once.join(least, "w").where(F.struct("_d", "_h", "a") != F.col("_m")).select("_h", "a", (F.col("a") + LENGTH).alias("b"))
+    hot_runs = hot_runs.unionByName(rows.where(F.col("w").isNull()).select("_h", "a", "b"))
+    all_runs = save(runs.unionByName(hot_runs).groupBy("_h").agg(F.collect_list(F.struct("a", "b")).alias("runs")), "runs")
+    cut = affected.select("_h", "text").join(all_runs, "_h").select("_h", "text", "runs").mapInArrow(_cut, "_h long, n_removed long, n_spans long, kept_sha256 string, kept string")
     copies = every.join(firsts.select("_h", F.col("_d").alias("_first")), "_h").withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))))
     marked = copies.select(F.when(F.col("_d") != FIRST, F.col("_d")).alias("doc_id"), "_d", "_h", "n_bytes", "sha256", ((F.col("_d") != F.col("_first")) | (F.col("_nth") > 1)).alias("copy"))
     return marked, cut
@@ -339,5 +366,23 @@ def removed_bytes(docs: DataFrame) -> DataFrame:
     )
 
 
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """The rows of `docs` with the bytes that repeat cut from `text`. Copies of a text of LENGTH bytes
+    or more go, all but the first; so do rows with no word left, also if they had none before.
+
+    Other columns are kept as they are. See `removed_bytes` for nulls, ties and repeated rows.
+    """
+    marked, cut = cut_texts(docs)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.withColumn("_h", F.xxhash64(text)).withColumn("_d", F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)))
+    copies = marked.where(F.col("copy") & (F.col("n_bytes") >= LENGTH)).select("_d", "_h")
+    later = copies.join(marked.where(~F.col("copy")).select("_d", "_h"), ["_d", "_h"], "left_anti").distinct()
+    rows = rows.join(later, ["_d", "_h"], "left_anti")
+    if not copies.join(marked.where(~F.col("copy")), ["_d", "_h"], "left_semi").isEmpty():  # equal rows
+        rows = rows.dropDuplicates(["_d", "_h"])
+    rows = rows.join(cut.select("_h", "kept"), "_h", "left").withColumn("text", F.coalesce("kept", "text"))
+    return rows.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)
+
+
 def op10_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     return removed_bytes(table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -22,8 +22,8 @@ def lengths(docs: DataFrame, tokenizer: str, end: bool = True) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            _, at = encoder(tokenizer).encode(batch.column(0))
-            n, c = np.unique(np.diff(at) + end, return_counts=True)
+            sizes = [np.diff(at) for _, at in encoder(tokenizer).slices(batch.column(0))]
+            n, c = np.unique(np.concatenate(sizes or [np.zeros(0, np.int64)]) + end, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), pa.array(c, pa.int64())], names=["n_tokens", "n_docs"])
 
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "n_tokens long, n_docs long")

@@ -10,13 +10,16 @@ what the tokenizer splits at: a word with other spaces inside is passed on whole
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words a worker remembers in each of two generations; a bound of its memory, not of its results.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 250_000
+#: Bytes of text that are encoded together; a longer text is encoded alone.
+SLICE_BYTES = 1 << 22
 
 _ENCODERS: dict[str, "WordEncoder"] = {}
 
@@ -37,7 +40,8 @@ def _joined(ids: list[bytes], per_word: np.ndarray) -> tuple[np.ndarray, np.ndar
 class WordEncoder:
     """Encodes Arrow arrays of texts to flat uint32 ids with offsets."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remember: bool = True):
+        """`remember`: keep the ids of words for later batches; of no use where no word comes twice."""
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -47,11 +51,12 @@ class WordEncoder:
         self.merges.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.most = CACHE_WORDS if remember else 0
 
     def part_ids(self, parts: pa.Array) -> list[bytes]:
         """For each distinct part its ids as bytes of uint32."""
-        if len(self.young) > CACHE_WORDS:
-            self.old, self.young = self.young, {}
+        if len(self.young) > self.most:
+            self.old, self.young = self.young if self.most else {}, {}
         young, old = self.young, self.old
         plain = np.asarray(pc.match_substring_regex(parts, f"^{_PLAIN}+$"))
         words = parts.to_pylist()
@@ -69,6 +74,16 @@ class WordEncoder:
             out.append(ids)
         return out
 
+    def slices(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """`encode` of runs of whole texts of about SLICE_BYTES, in order; bounds memory."""
+        ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0), np.int64))
+        first = 0
+        while first < len(texts):
+            before = ends[first - 1] if first else 0
+            last = max(first + 1, int(np.searchsorted(ends, before + SLICE_BYTES, side="right")))
+            yield self.encode(texts.slice(first, last - first))
+            first = last
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """ids (uint32, flat) and offsets (int64, one more than texts); a null text has none.
 
@@ -99,11 +114,12 @@ def encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
-def encode_with_end(path: str, texts: pa.Array, end_id: int) -> list[np.ndarray]:
+def encode_with_end(path: str, texts: pa.Array, end_id: int) -> Iterator[np.ndarray]:
     """For each text its ids (little-endian uint32) and then `end_id`."""
-    ids, at = encoder(path).encode(texts)
     end = np.array([end_id], "<u4")
-    return [np.concatenate((ids[a:b], end)) for a, b in zip(at[:-1], at[1:])]
+    for ids, at in encoder(path).slices(texts):
+        for a, b in zip(at[:-1], at[1:]):
+            yield np.concatenate((ids[a:b], end))
 
 
 def crc32(ids: np.ndarray) -> int:

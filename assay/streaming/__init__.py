@@ -1 +1 @@
-
+"""Resumable work as file streams."""

@@ -1,3 +1,71 @@
-"""The corpus pipeline: stages that each apply one operator to all their predecessor kept."""
+"""The corpus pipeline: from documents to packed training sequences, in five stages.
 
-STAGES: list = []
+Each stage applies one operator of `assay.llm` to all that the one before kept; its result is
+written as Parquet and read again, so a lost executor costs no earlier stage.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from assay.llm import decontaminate, ngram_join, packing, quality, suffix_dedup
+from assay.llm.common import save, table
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep; those they reject go."""
+    return quality.judge(docs).where("kept").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of linked documents the one with the least doc_id; of repeated rows one.
+
+    Rows with a null doc_id stay where no other row is in their class, equal texts of them once.
+    """
+    classes = ngram_join.link_classes(docs)
+    stay = save(classes.where("component_id is null or doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "stay")
+    kept = docs.join(stay.select(F.col("doc_id").alias("_id")), docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
+    if not stay.where("n > 1").isEmpty():  # doc_ids that several rows have
+        own = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.col("text")))
+        kept = kept.withColumn("_own", own).dropDuplicates(["_own"]).drop("_own")
+    return kept.select(*docs.columns)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that stand earlier; those with no word left go."""
+    left = suffix_dedup.deduplicated(docs)
+    return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    found = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark"))
+    ids = save(found.select(F.col("doc_id").alias("_id")).distinct(), "leaking")
+    return docs.join(ids, docs["doc_id"].eqNullSafe(F.col("_id")), "left_anti").select(*docs.columns)
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents that are left, packed into sequences."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", near_duplicates),
+    ("suffix-array dedup", repeated_passages),
+    ("benchmark decontamination", benchmark_leaks),
+    ("best-fit packing", sequences),
+]
+
+#: Classes of links, suffixes and packing are beyond SQL; the tests hold run() against brute force.
+ORACLE_SQL: str | None = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, applied to `documents`."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = save(stage(spark, docs, sf_dir), f"stage{k}")
+    return docs

@@ -29,6 +29,23 @@ def brute(rows, length=100):
     return out
 
 
+def brute_texts(rows, length=100):
+    """The texts left, in order of documents, of rows with a word left; whole copies go."""
+    first, out, seen = {}, [], set()
+    for k, (d, t) in enumerate(rows):
+        data = (t or "").encode()
+        gone = bytearray(len(data))
+        for s in range(len(data) - length + 1):
+            w = data[s : s + length]
+            if first.setdefault(w, (k, s)) != (k, s):
+                gone[s : s + length] = b"\1" * length
+        kept = bytes(b for b, g in zip(data, gone) if not g).decode("utf-8", "ignore")
+        if kept.strip(" \t\n\v\f\r") and not (len(data) >= length and t in seen):
+            out.append((d, kept))
+        seen.add(t)
+    return out
+
+
 def order(r):
     return (r[0] is not None, r[0] or 0, r[1:])
 
