@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: The characters between words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = r"[\x20\x09-\x0D]+"
+#: The struct of the columns that an operator passes through.
+OTHERS = "__others"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +40,22 @@ def save(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def hold(df: DataFrame, needed: list[str]) -> DataFrame:
+    """The columns `needed`, and all others in one struct, where no name of an operator's own can
+    clash with theirs; `held` gives them back."""
+    others = [c for c in df.columns if c not in needed]
+    return df.select(*map(_quoted, needed), *([F.struct(*(F.col(_quoted(c)) for c in others)).alias(OTHERS)] if others else []))
+
+
+def held(columns: list[str], needed: list[str]) -> list[Column]:
+    """What to select to have `columns` again of a table that went through `hold`."""
+    return [F.col(_quoted(c)) if c in needed else F.col(f"{OTHERS}.{_quoted(c)}").alias(c) for c in columns]
+
+
 def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -86,6 +86,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, enough: int = ENOUGH) -> DataFr
     Rows that share a doc_id, null too, are judged together; so are items. Null and empty texts
     hold nothing. Windows with fewer than LITERALS words that are no placeholder are left out.
     """
+    docs, benchmark = docs.select("doc_id", "text"), benchmark.select("item_id", "text")
     items = save(benchmark.groupBy("item_id").agg(F.max("text").alias("text")), "items")
     tokens = items.select("item_id", canonical(F.col("text")).alias("_t"))
     telling = F.size(F.filter(F.slice("_t", F.col("pos") + 1, F.lit(WINDOW)), lambda w: ~w.rlike(_SLOTS))) >= F.least(F.lit(LITERALS), F.size("_t"))

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import held, hold, table
 
 # Spellings that licence matching treats as equal (variant, canonical).
 SPELLINGS = [
@@ -82,9 +82,11 @@ def scan(docs: DataFrame, known: list[tuple[str, str]] = KNOWN) -> DataFrame:
     kept = [c for c in docs.columns if c not in ("digest", "license_id", "n_notices", "notice_ids")]
     pairs = [(d, i) for d, i in known_digests(spark, known)]
     lookup = spark.createDataFrame(pairs, "_known string, license_id string")  # at most MOST_KNOWN rows
-    df = docs.select(*kept, canonical_lines(F.col("text")).alias("_canonical"))
+    df = hold(docs.select(*kept), ["text"])
+    columns, kept = held(kept, ["text"]), df.columns
+    df = df.select(*kept, canonical_lines(F.col("text")).alias("_canonical"))
     if not pairs:
-        return df.select(*kept, digest(F.col("_canonical")).alias("digest"), F.lit(None).cast("string").alias("license_id"), F.lit(0).cast("long").alias("n_notices"), F.array().cast("array<string>").alias("notice_ids"))
+        return df.select(*columns, digest(F.col("_canonical")).alias("digest"), F.lit(None).cast("string").alias("license_id"), F.lit(0).cast("long").alias("n_notices"), F.array().cast("array<string>").alias("notice_ids"))
     # A line can only be known if it has some word that all known texts have one of: most have none.
     longest = max(len(t) for _, t in known) + 200
     maybe = F.filter(F.split("_canonical", "\n"), lambda x: x.rlike(r"licens|permission|public domain") & (F.length(x) <= longest))
@@ -93,7 +95,7 @@ def scan(docs: DataFrame, known: list[tuple[str, str]] = KNOWN) -> DataFrame:
     notices = F.filter(F.transform("_lines", lambda d: F.element_at(ids, d)), lambda i: i.isNotNull())
     df = df.select(*kept, "digest", notices.alias("_ids"))
     return df.join(F.broadcast(lookup), F.col("digest") == F.col("_known"), "left").select(
-        *kept, "digest", "license_id", F.size("_ids").cast("long").alias("n_notices"), F.array_sort(F.array_distinct("_ids")).alias("notice_ids")
+        *columns, "digest", "license_id", F.size("_ids").cast("long").alias("n_notices"), F.array_sort(F.array_distinct("_ids")).alias("notice_ids")
     )
 
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_partitions, save, table
+from .common import held, hold, n_partitions, save, table
 from .tokenizing import crc32, encode_with_end
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -179,7 +179,9 @@ def pack(rows: DataFrame, capacity: int = 4096) -> DataFrame:
     sequences as dominance and best fit find; offsets are gapless from 0. Rows need doc_id and
     piece for a stable order; other columns are kept. An empty table gives an empty one.
     """
-    spark = rows.sparkSession
+    spark, columns, needed = rows.sparkSession, rows.columns, ["doc_id", "piece", "length"]
+    columns = [c for c in columns if c not in ("sequence_id", "offset")]
+    rows = hold(rows.select(*columns), needed)
     counts = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `capacity` rows
     rules = placement_rules(counts, capacity)
     # The most common length is dealt out like the rest: no part of it exceeds half a mean partition.
@@ -204,7 +206,7 @@ def pack(rows: DataFrame, capacity: int = 4096) -> DataFrame:
         ranked.join(placed, (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("from_rank")) & (F.col("_rank") < F.col("to_rank")))
         .withColumn("sequence_id", F.col("first_bin") + F.floor(nth / F.col("per_bin")))
         .withColumn("offset", F.col("first_offset") + nth % F.col("per_bin") * F.col("length"))
-        .select(*rows.columns, "sequence_id", "offset")
+        .select(*held(columns, needed), "sequence_id", "offset")
     )
 
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import save, table, words
+from .common import held, hold, save, table, words
 
 #: Words of a window whose repetition counts.
 WINDOW = 8
@@ -33,6 +33,11 @@ METRICS = {
 }
 
 
+#: Columns that are added, from a text alone and by the method.
+STATISTICS = ["n_symbols", "n_words", "word_chars", "n_lines", "n_dup_lines", "n_repeat_words"]
+VERDICTS = ["base_failed", *(f"max_{k}" for k in METRICS), "kept"]
+
+
 def with_window_hashes(df: DataFrame, tokens: str, out: str) -> DataFrame:
     """Add `out`: 64-bit hashes of the windows of eight of the array `tokens`, none if it is shorter.
     Windows past the end hold nulls in part and are cut off at last."""
@@ -49,7 +54,7 @@ def statistics(docs: DataFrame) -> DataFrame:
     A null text is an empty one: all are 0. Windows are equal if their 64-bit hashes are. Columns
     of those names are replaced; no others are touched.
     """
-    kept = [c for c in docs.columns if c not in ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")]
+    kept = [c for c in docs.columns if c not in STATISTICS]
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     df = docs.select(*kept, words(F.col("text")).alias("_words"), lines.alias("_lines"), F.size(F.regexp_extract_all(text, F.lit(r"[#*$%&|<>]"), F.lit(0))).cast("long").alias("n_symbols"))
@@ -105,8 +110,15 @@ def judge(docs: DataFrame) -> DataFrame:
     Cutoffs are learnt from rows that are not base_failed; nulls of lang and source are groups of
     their own. Statistics are written to the shared folder, so texts are read once for both uses.
     """
+    kept = [c for c in docs.columns if c not in (*STATISTICS, *VERDICTS)]
+    needed = [c for c in ("text", "lang", "source") if c in kept]
+    return verdicts(statistics(hold(docs.select(*kept), needed))).select(*held(kept, needed), *STATISTICS, *VERDICTS)
+
+
+def verdicts(stats: DataFrame) -> DataFrame:
+    """`judge` for rows that have their statistics, lang and source already; a text isn't needed."""
     names = [f"max_{k}" for k in METRICS]
-    stats = save(statistics(docs.drop("base_failed", "kept", *names)).withColumn("base_failed", base_failed()), "statistics")
+    stats = save(stats.withColumn("base_failed", base_failed()), "statistics")
     sketch = save(sketches(stats.where(~F.col("base_failed"))), "sketch")
     large = F.col("_size") >= MIN_GROUP
     of_group, of_lang, of_all = (cutoffs(sketch, keys) for keys in (["lang", "source"], ["lang"], []))
@@ -129,8 +141,7 @@ def judge(docs: DataFrame) -> DataFrame:
 
 def op4_quality_rules(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    judged = judge(docs)
-    return judged.select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", *(f"max_{k}" for k in METRICS), "kept")
+    return verdicts(statistics(docs).drop("text")).select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", *(f"max_{k}" for k in METRICS), "kept")
 
 
 OP4_SQL = r"""

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import n_partitions, save, table
+from .common import held, hold, n_partitions, save, table
 from .hashing import between, mix, running, slices
 
 #: Bytes of a string whose repetition counts, and of the string that makes an anchor.
@@ -374,14 +374,14 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     """
     marked, cut = cut_texts(docs)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.withColumn("_h", F.xxhash64(text)).withColumn("_d", F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)))
+    rows = hold(docs, ["doc_id", "text"]).withColumn("_h", F.xxhash64(text)).withColumn("_d", F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)))
     copies = marked.where(F.col("copy") & (F.col("n_bytes") >= LENGTH)).select("_d", "_h")
     later = copies.join(marked.where(~F.col("copy")).select("_d", "_h"), ["_d", "_h"], "left_anti").distinct()
     rows = rows.join(later, ["_d", "_h"], "left_anti")
     if not copies.join(marked.where(~F.col("copy")), ["_d", "_h"], "left_semi").isEmpty():  # equal rows
         rows = rows.dropDuplicates(["_d", "_h"])
     rows = rows.join(cut.select("_h", "kept"), "_h", "left").withColumn("text", F.coalesce("kept", "text"))
-    return rows.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)
+    return rows.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*held(docs.columns, ["doc_id", "text"]))
 
 
 def op10_suffix_dedup(spark, sf_dir: str) -> DataFrame:

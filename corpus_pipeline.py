@@ -11,39 +11,43 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assay.llm import decontaminate, ngram_join, packing, quality, suffix_dedup
-from assay.llm.common import save, table
+from assay.llm.common import held, hold, save, table
+
+#: The columns that stages use; others, whatever their names, are passed through.
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep; those they reject go."""
-    return quality.judge(docs).where("kept").select(*docs.columns)
+    return quality.judge(hold(docs, COLUMNS)).where("kept").select(*held(docs.columns, COLUMNS))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of linked documents the one with the least doc_id; of repeated rows one.
 
-    Rows with a null doc_id stay where no other row is in their class, equal texts of them once.
+    A row without doc_id is known by its text, after all that have one (ids are under 2 ** 62).
     """
-    classes = ngram_join.link_classes(docs)
-    stay = save(classes.where("component_id is null or doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "stay")
-    kept = docs.join(stay.select(F.col("doc_id").alias("_id")), docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi")
-    if not stay.where("n > 1").isEmpty():  # doc_ids that several rows have
-        own = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.col("text")))
-        kept = kept.withColumn("_own", own).dropDuplicates(["_own"]).drop("_own")
-    return kept.select(*docs.columns)
+    by_text = F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    docs_in, docs = docs, hold(docs, COLUMNS).withColumn("_own", F.coalesce(F.col("doc_id").cast("long"), by_text))
+    classes = ngram_join.link_classes(docs.select(F.col("_own").alias("doc_id"), "text"))
+    stay = save(classes.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "stay")
+    kept = docs.join(stay.select(F.col("doc_id").alias("_own")), "_own", "left_semi")
+    if not stay.where("n > 1").isEmpty():  # ids that several rows have
+        kept = kept.dropDuplicates(["_own"])
+    return kept.select(*held(docs_in.columns, COLUMNS))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that stand earlier; those with no word left go."""
-    left = suffix_dedup.deduplicated(docs)
-    return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    left = suffix_dedup.deduplicated(hold(docs, COLUMNS))
+    return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*held(docs.columns, COLUMNS))
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
     found = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark"))
     ids = save(found.select(F.col("doc_id").alias("_id")).distinct(), "leaking")
-    return docs.join(ids, docs["doc_id"].eqNullSafe(F.col("_id")), "left_anti").select(*docs.columns)
+    return hold(docs, COLUMNS).join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti").select(*held(docs.columns, COLUMNS))
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import sys
 
 import duckdb
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -39,7 +40,7 @@ def test_stages_with_awkward_rows(spark):
         (1, text, "en", "a", 10, "x"), (1, text, "en", "a", 10, "x"), (2, None, None, None, None, None), (3, "", "en", None, 0, ""), (None, text + " more", None, "a", 1, "y"),
         (None, "other " * 3 + " ".join(f"term{i}," for i in range(40)), "fr", "b", 1, "y"), (4, " ".join(f"name{i} of" for i in range(30)) + text[:200], "en", "a", 5, None),
     ]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, kept string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, kept string").withColumns({c: F.lit(1) for c in ("_id", "_h", "_d", "_w", "_words", "sequence_id", "max_symbols")})
     counts = []
     for docs_in in (docs, docs.limit(0)):
         step = docs_in
