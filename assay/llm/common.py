@@ -33,10 +33,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 def save(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write `df` as Parquet under the shared folder and read it back: lineage ends here, and a
-    lost executor costs no recomputation of what came before."""
+    lost executor costs no recomputation of what came before.
+
+    Spark deletes the shuffle files of what is done only once the driver's garbage is collected,
+    which a small driver heap may put off for long; it is asked for here, so that executors'
+    disks hold one step's shuffle and not all."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/assay-{uuid.uuid4().hex}/{name}"
     df.write.option("compression", compression).parquet(path)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

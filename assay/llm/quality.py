@@ -20,6 +20,8 @@ from .common import held, hold, save, table, words
 WINDOW = 8
 #: Documents that a (lang, source), or a language, needs for cutoffs of its own.
 MIN_GROUP = 50
+#: Groups of (lang, source) whose cutoffs are broadcast, under 10 MB; for more, Spark shuffles.
+BROADCAST_GROUPS = 100_000
 #: A value passes up to the upper quartile and so many interquartile ranges more ...
 FENCE = 3
 #: ... or so many cells more, if that is more: a uniform group does not reject small differences.
@@ -108,7 +110,7 @@ def judge(docs: DataFrame) -> DataFrame:
     cutoffs max_* of its group, and kept: not base_failed and no value over its cutoff.
 
     Cutoffs are learnt from rows that are not base_failed; nulls of lang and source are groups of
-    their own. Statistics are written to the shared folder, so texts are read once for both uses.
+    their own. Texts are looked at twice, for the sketches and for the verdicts, rather than written.
     """
     kept = [c for c in docs.columns if c not in (*STATISTICS, *VERDICTS)]
     needed = [c for c in ("text", "lang", "source") if c in kept]
@@ -116,22 +118,28 @@ def judge(docs: DataFrame) -> DataFrame:
 
 
 def verdicts(stats: DataFrame) -> DataFrame:
-    """`judge` for rows that have their statistics, lang and source already; a text isn't needed."""
+    """`judge` for rows that have their statistics, lang and source already; a text isn't needed.
+
+    Cutoffs meet rows by broadcast up to BROADCAST_GROUPS groups, so a hot source isn't shuffled.
+    """
     names = [f"max_{k}" for k in METRICS]
-    stats = save(stats.withColumn("base_failed", base_failed()), "statistics")
+    stats = stats.withColumn("base_failed", base_failed())
     sketch = save(sketches(stats.where(~F.col("base_failed"))), "sketch")
     large = F.col("_size") >= MIN_GROUP
     of_group, of_lang, of_all = (cutoffs(sketch, keys) for keys in (["lang", "source"], ["lang"], []))
     held = F.struct(*names)
     of_group = of_group.where(large).select(F.col("lang").alias("_gl"), F.col("source").alias("_gs"), held.alias("_group"))
     of_lang = of_lang.where(large).select(F.col("lang").alias("_ll"), held.alias("_lang"))
-    groups = (
+    groups = save(
         stats.select("lang", "source").distinct()
         .join(of_group, F.col("lang").eqNullSafe(F.col("_gl")) & F.col("source").eqNullSafe(F.col("_gs")), "left")
         .join(of_lang, F.col("lang").eqNullSafe(F.col("_ll")), "left")
         .join(F.broadcast(of_all.select(held.alias("_all"))), F.lit(True), "left")  # one row
-        .select(F.col("lang").alias("_lang_of"), F.col("source").alias("_source_of"), F.coalesce("_group", "_lang", "_all").alias("_max"))
+        .select(F.col("lang").alias("_lang_of"), F.col("source").alias("_source_of"), F.coalesce("_group", "_lang", "_all").alias("_max")),
+        "cutoffs",
     )
+    if groups.count() <= BROADCAST_GROUPS:
+        groups = F.broadcast(groups)
     over = F.lit(False)
     for k, e in METRICS.items():
         over = over | F.coalesce(F.expr(e) > F.col("_max")[f"max_{k}"], F.lit(False))
@@ -141,7 +149,7 @@ def verdicts(stats: DataFrame) -> DataFrame:
 
 def op4_quality_rules(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    return verdicts(statistics(docs).drop("text")).select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", *(f"max_{k}" for k in METRICS), "kept")
+    return verdicts(save(statistics(docs).drop("text"), "statistics")).select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", *(f"max_{k}" for k in METRICS), "kept")
 
 
 OP4_SQL = r"""
