@@ -43,6 +43,8 @@ GATHERED, BUCKET = 1 << 20, 1 << 20
 SHARES = 8
 #: Occurrences of an anchor from which its windows are compared as rows.
 HOT = 5_000
+#: Such anchors that are broadcast, so that theirs is no hot key of a shuffle: 16 bytes each, under 2 MB.
+BROADCAST_HOT = 100_000
 #: Windows of a long text that are looked at together.
 TOGETHER = 1 << 22
 #: The order of a null doc_id: before all others.
@@ -321,6 +323,9 @@ def cut_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     cuts = _splitters(long_enough, int(size[0]), buckets)
     found = save(_repeating(long_enough, cuts, buckets).distinct(), "anchors")
     hot = found.groupBy("cut", "lead").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > HOT).select("cut", "lead", F.lit(True).alias("_hot"))
+    hot = save(hot, "hot-anchors")
+    if hot.count() <= BROADCAST_HOT:
+        hot = F.broadcast(hot)
     places = (
         found.join(hot, ["cut", "lead"], "left")
         .groupBy("_h").agg(
