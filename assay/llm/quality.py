@@ -110,11 +110,11 @@ def judge(docs: DataFrame) -> DataFrame:
     cutoffs max_* of its group, and kept: not base_failed and no value over its cutoff.
 
     Cutoffs are learnt from rows that are not base_failed; nulls of lang and source are groups of
-    their own. Texts are looked at twice, for the sketches and for the verdicts, rather than written.
+    their own. Rows with their statistics are written, so texts are looked at once for both uses.
     """
     kept = [c for c in docs.columns if c not in (*STATISTICS, *VERDICTS)]
     needed = [c for c in ("text", "lang", "source") if c in kept]
-    return verdicts(statistics(hold(docs.select(*kept), needed))).select(*held(kept, needed), *STATISTICS, *VERDICTS)
+    return verdicts(save(statistics(hold(docs.select(*kept), needed)), "statistics")).select(*held(kept, needed), *STATISTICS, *VERDICTS)
 
 
 def verdicts(stats: DataFrame) -> DataFrame:
