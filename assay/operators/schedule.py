@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Cycles at most; a schedule that needs more has a budget far beyond its rows.
+#: The last cycle that a schedule can have; one that needs more has a budget far beyond its rows.
 MOST_CYCLES = 10_000
+#: So few rows of a cycle that may still fit are folded by the driver: about 2 MB.
+FOLDED = 10_000
 
 
 def _order(seed: int, namespace: str, cycle: Column | int, id_: str) -> Column:
@@ -14,29 +20,100 @@ def _order(seed: int, namespace: str, cycle: Column | int, id_: str) -> Column:
     return F.sha2(F.concat_ws(":", F.lit(str(seed)), F.lit(namespace), cycle, F.col(id_).cast("string")), 256)
 
 
+def _held(df: DataFrame) -> DataFrame:
+    """`df` written under `spark.checkpoint.dir` and read again; where that is unset, executors keep it."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        return df.localCheckpoint()
+    path = f"{folder}/assay-{uuid.uuid4().hex}/schedule"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _dealt(df: DataFrame, *order: str) -> DataFrame:
+    """`df` in ranges of `order`, held, with the range as `_p`: all rows of one are before those of the next."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return _held(df.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id()))
+
+
+def _key(seed: int, namespace: str, cycle: Column | int) -> Column:
+    return F.concat(_order(seed, namespace, cycle, "record_id"), F.coalesce("record_id", F.lit("")))
+
+
+def _fill(rows: DataFrame, room: int) -> tuple[DataFrame, int]:
+    """One cycle that does not fit as a whole: the rows taken in the order of `_k`, and the room left.
+
+    Each round takes all rows before the first that does not fit, found by the ranges' sums and a
+    running sum within one range. From there on only rows not larger than the room left can be
+    taken, so the next round looks at no others, until few enough are left for a fold.
+    """
+    spark, size = rows.sparkSession, F.col("sequence_tokens")
+    dealt = _dealt(rows, "_k")
+    stops, rooms, folded = [], [], []
+    while True:
+        rest = dealt.where((size <= room) & (F.col("_k") > (stops[-1] if stops else "")))
+        sums = sorted(tuple(r) for r in rest.groupBy("_p").agg(F.sum(size), F.count(F.lit(1))).collect())
+        if sum(n for _, _, n in sums) <= FOLDED:
+            for r in sorted(rest.select("_k", "record_id", "sequence_tokens").collect(), key=lambda r: r["_k"]):
+                if r["sequence_tokens"] <= room:
+                    room -= r["sequence_tokens"]
+                    folded.append(tuple(r))
+            break
+        upto = list(accumulate(t for _, t, _ in sums))
+        rooms.append(room)
+        if upto[-1] <= room:
+            room -= upto[-1]
+            break
+        at = next(i for i, t in enumerate(upto) if t > room)
+        before = upto[at] - sums[at][1]
+        running = F.sum(size).over(Window.partitionBy("_p").orderBy("_k").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        within = rest.where(F.col("_p") == sums[at][0]).withColumn("_upto", running).where(F.col("_upto") > room - before)
+        stop, taken = within.agg(F.min("_k"), F.min_by(F.col("_upto") - size, "_k")).first()
+        stops.append(stop)
+        room -= before + taken
+    after = F.array(*map(F.lit, stops)).cast("array<string>")
+    room_of = F.get(F.array(*map(F.lit, rooms)).cast("array<bigint>"), F.size(F.filter(after, lambda s: s < F.col("_k"))))
+    bulk = dealt.where((size <= room_of) & ~F.array_contains(after, F.col("_k"))).select("_k", "record_id", "sequence_tokens")
+    return bulk.unionByName(spark.createDataFrame(folded, bulk.schema)), room
+
+
 def greedy(df: DataFrame, id_: str, tokens: str, budget: int, seed: int, namespace: str, per_step: int) -> DataFrame:
     """Cycle after cycle in hash order, take each row that still fits the budget, until none does.
 
-    While whole cycles fit nothing is skipped, so all but the last are placed by a window sum at
-    once. In the last one a row is skipped when it does not fit: rows of one size fit or don't by
-    their order alone, so a fold runs over the rows of that cycle (ids and sizes, in one ordered
-    array) — as many as there are training rows, a small table by nature; everything else is
-    distributed. Rows larger than the budget never fit. An empty table gives no items.
+    While all rows that fit the room left fit it together, whole cycles are placed at once; any other
+    cycle is filled in rounds (`_fill`). Cycles past MOST_CYCLES are an error. Rows larger than the
+    budget never fit. Ids are unique. An empty table gives no items.
     """
-    rows = df.select(F.col(id_).cast("string").alias("record_id"), F.col(tokens).cast("long").alias("sequence_tokens"))
-    total, n = rows.where(F.col("sequence_tokens") <= budget).agg(F.sum("sequence_tokens"), F.count(F.lit(1))).first()
-    whole = min(MOST_CYCLES, budget // total) if total and rows.where(F.col("sequence_tokens") > budget).isEmpty() else 0
-    left = budget - whole * (total or 0)
-    placed = rows.withColumn("cycle", F.explode(F.sequence(F.lit(0), F.lit(whole - 1)))) if whole else rows.withColumn("cycle", F.lit(0)).limit(0)
-    last = rows.where(F.col("sequence_tokens") <= left).withColumn("_o", _order(seed, namespace, whole, "record_id"))
-    items = F.array_sort(F.collect_list(F.struct("_o", "record_id", "sequence_tokens")))
-    start = F.struct(F.lit(left).cast("long").alias("room"), F.array().cast("array<struct<record_id:string,sequence_tokens:bigint>>").alias("taken"))
-    step = lambda a, x: F.when(x["sequence_tokens"] <= a["room"], F.struct((a["room"] - x["sequence_tokens"]).alias("room"), F.array_append(a["taken"], F.struct(x["record_id"].alias("record_id"), x["sequence_tokens"].alias("sequence_tokens"))).alias("taken"))).otherwise(a)
-    taken = last.agg(items.alias("_x")).select(F.inline(F.aggregate("_x", start, step, lambda a: a["taken"]))).withColumn("cycle", F.lit(whole))
-    out = placed.unionByName(taken).withColumn("_o", _order(seed, namespace, F.col("cycle"), "record_id"))
-    in_cycle = F.row_number().over(Window.partitionBy("cycle").orderBy("_o", "record_id")) - 1
-    cursor = (F.col("cycle") * F.lit(n) + in_cycle).cast("long")
-    return out.withColumn("cursor", cursor).select(
+    rows = _held(df.select(F.col(id_).cast("string").alias("record_id"), F.col(tokens).cast("long").alias("sequence_tokens")))
+    parts, cycle, left = [rows.limit(0).select(F.lit("").alias("_k"), "record_id", "sequence_tokens", F.lit(0).alias("cycle"))], 0, budget
+    while True:
+        fits = rows.where(F.col("sequence_tokens") <= left)
+        n, total = fits.agg(F.count(F.lit(1)), F.sum("sequence_tokens")).first()
+        if not n:
+            break
+        # Rows without tokens always fit: alone they end only a budget that is used up.
+        whole = left // total if total else 1 if left == 0 else MOST_CYCLES + 1
+        if cycle + max(whole, 1) - 1 > MOST_CYCLES:
+            raise RuntimeError("schedule cycle limit exceeded")
+        if whole:
+            placed = fits.withColumn("cycle", F.explode(F.sequence(F.lit(cycle), F.lit(cycle + whole - 1))))
+            parts.append(placed.select(_key(seed, namespace, F.col("cycle")).alias("_k"), "record_id", "sequence_tokens", "cycle"))
+            left -= whole * total
+        else:
+            taken, left = _fill(fits.withColumn("_k", _key(seed, namespace, cycle)), left)
+            parts.append(taken.withColumn("cycle", F.lit(cycle)))
+        cycle += max(whole, 1)
+        if left <= 0:
+            break
+        if cycle > MOST_CYCLES:
+            raise RuntimeError("schedule cycle limit exceeded")
+    out = _dealt(reduce(DataFrame.unionByName, parts), "cycle", "_k")
+    counts = sorted(tuple(r) for r in out.groupBy("_p").count().collect())
+    starts = out.sparkSession.createDataFrame([(p, e - n) for (p, n), e in zip(counts, accumulate(n for _, n in counts))], "_p int, _start long")
+    in_range = F.row_number().over(Window.partitionBy("_p").orderBy("cycle", "_k")) - 1
+    out = out.withColumn("_i", in_range).join(F.broadcast(starts), "_p").withColumn("cursor", (F.col("_start") + F.col("_i")).cast("long"))
+    return out.select(
         "cursor", "record_id", "sequence_tokens", "cycle", F.floor(F.col("cursor") / per_step).alias("accumulation_group"), (F.floor(F.col("cursor") / per_step) + 1).alias("optimizer_step")
     )
 
