@@ -497,7 +497,7 @@ _BUDGET, _PER_STEP = 400_000, 8
 
 
 def _scheduled(spark, sf_dir):
-    docs = _t(spark, sf_dir, "documents").where("source = 'src1' and n_chars <= 3000").select("doc_id", "n_chars")
+    docs = _t(spark, sf_dir, "documents").select("doc_id", "n_chars")
     return schedule.greedy(docs, "doc_id", "n_chars", _BUDGET, 7, "schedule", _PER_STEP)
 
 

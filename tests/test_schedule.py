@@ -46,3 +46,11 @@ def test_too_many_cycles_are_an_error(spark):
     for sizes, budget in (({"a": 1}, 10_002), ({"a": 0}, 5), ({"a": 3, "b": 0}, 7), ({"a": 2}, 20_003)):
         with pytest.raises(RuntimeError):
             scheduled(spark, sizes, budget)
+
+
+def test_query_schedules_all_documents(spark):
+    from assay.plans.catalogue import QUERIES
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "n_chars").collect()
+    want = loop({str(r["doc_id"]): r["n_chars"] for r in docs}, 400_000)
+    assert sorted(tuple(r) for r in QUERIES["greedy_schedule"](spark, SF).collect()) == want
