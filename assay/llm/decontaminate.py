@@ -28,7 +28,9 @@ _SLOTS = f"[{NAME}{NUMBER}{UNIT}]"
 _NAME = r"(?<=[\p{Ll}\p{N},;] )\p{Lu}\p{Ll}+"
 _NUMBER = rf"\d+(?:[.,:/]\d+)*|(?i:\b(?:{NUMBER_WORDS})\b)"
 _UNIT = rf"(?i)(?<={NUMBER}|{NUMBER} )(?:(?:{UNITS})\b|[%€$°])"
-#: Words that are no placeholder in each window: fewer say too little to match.
+#: Ends of values that are kept behind their placeholder: of a number, and of others.
+_NUMBER_END, _END = "\x05", "\x04"
+#: Words that are no placeholder in each window: one with fewer matches only with its values as they are.
 LITERALS = 5
 #: Consecutive windows' worth of evidence: an item with as many, or all it has, is in a document.
 ENOUGH = 5
@@ -54,10 +56,20 @@ def canonical(text: Column) -> Column:
     return _tokens(_steps(text)[2])
 
 
-def windows(df: DataFrame, key: str, text: str = "text") -> DataFrame:
+def valued(text: Column) -> Column:
+    """The canonical tokens of a text with each placeholder's value, in lower case, behind it."""
+    clean = F.regexp_replace(F.coalesce(text, F.lit("")), f"[{NAME}{NUMBER}{UNIT}{_END}{_NUMBER_END}]", " ")
+    named = F.regexp_replace(clean, _NAME, f"{NAME}$0{_END}")
+    numbered = F.regexp_replace(named, rf"(?<!{NAME})(?:{_NUMBER})", f"{NUMBER}$0{_NUMBER_END}")
+    marked = F.regexp_replace(numbered, _UNIT.replace(NUMBER, _NUMBER_END), f"{UNIT}$0{_END}")
+    ends = f"{_END}{_NUMBER_END}"
+    return F.regexp_extract_all(F.lower(marked), F.lit(rf"{_SLOTS}[^{ends}]*|[\p{{L}}\p{{M}}\p{{N}}]+"), F.lit(0))
+
+
+def windows(df: DataFrame, key: str, text: str = "text", tokens=canonical) -> DataFrame:
     """Hashes of the windows of each row: key, pos (from 0), window. A text of fewer than eight
     tokens, but some, is one window of all it has: it matches only a text of just those tokens."""
-    t = df.select(F.col(key).alias(key), canonical(F.col(text)).alias("_t"))
+    t = df.select(F.col(key).alias(key), tokens(F.col(text)).alias("_t"))
     t = with_window_hashes(t, "_t", "_w")
     short = F.array(F.xxhash64("_t", F.size("_t")))
     return t.select(key, F.posexplode(F.when(F.size("_t") >= WINDOW, F.col("_w")).when(F.size("_t") > 0, short).otherwise(F.array().cast("array<bigint>"))).alias("pos", "window"))
@@ -82,28 +94,45 @@ def leaks(docs: DataFrame, benchmark: DataFrame, enough: int = ENOUGH) -> DataFr
     """Pairs (doc_id, item_id) of a document and a benchmark item that it holds, with n_windows (the
     item's windows found), item_windows, and reparameterised (some slot has another value).
 
-    An item is held if `enough` of its windows, or all it has, are found in consistent alignments.
+    An item is held if `enough` of its windows, all it has, or all that match by their template, are
+    found in consistent alignments.
     Rows that share a doc_id, null too, are judged together; so are items. Null and empty texts
-    hold nothing. Windows with fewer than LITERALS words that are no placeholder are left out.
+    hold nothing. Windows with fewer than LITERALS words that are no placeholder are found where
+    their slots have the same values: the values are looked at only in documents with such a template.
     """
     docs, benchmark = docs.select("doc_id", "text"), benchmark.select("item_id", "text")
     items = save(benchmark.groupBy("item_id").agg(F.max("text").alias("text")), "items")
     tokens = items.select("item_id", canonical(F.col("text")).alias("_t"))
     telling = F.size(F.filter(F.slice("_t", F.col("pos") + 1, F.lit(WINDOW)), lambda w: ~w.rlike(_SLOTS))) >= F.least(F.lit(LITERALS), F.size("_t"))
     asked = save(
-        windows(items, "item_id").alias("w").join(tokens.alias("t"), F.col("w.item_id").eqNullSafe(F.col("t.item_id"))).where(telling)
-        .select(F.col("w.item_id").alias("item_id"), F.col("pos").alias("item_pos"), "window"),
+        windows(items, "item_id").alias("w").join(tokens.alias("t"), F.col("w.item_id").eqNullSafe(F.col("t.item_id")))
+        .select(F.col("w.item_id").alias("item_id"), F.col("pos").alias("item_pos"), "window", telling.alias("telling")),
         "benchmark-windows",
     )
+    few = asked.count() <= BROADCAST_WINDOWS
+    broadcast = F.broadcast if few else lambda df: df
     # One row for each hash, so that a document's window meets one row however often items repeat.
-    by_hash = asked.groupBy("window").agg(F.collect_list(F.struct("item_id", "item_pos")).alias("_items"))
-    if asked.count() <= BROADCAST_WINDOWS:
-        by_hash = F.broadcast(by_hash)
-    hits = save(windows(docs, "doc_id").join(by_hash, "window").select("doc_id", "pos", F.explode("_items").alias("_i")).select("doc_id", "pos", "_i.item_id", "_i.item_pos").distinct(), "hits")
+    # A document with a template that does not tell enough gets one row without item and places.
+    by_hash = asked.groupBy("window").agg(F.collect_list(F.when(F.col("telling"), F.struct("item_id", "item_pos"))).alias("_items"), F.bool_or(~F.col("telling")).alias("_weak"))
+    places = F.transform("_items", lambda i: F.struct(F.col("pos").alias("pos"), i["item_id"].alias("item_id"), i["item_pos"].alias("item_pos")))
+    mark = F.array(F.lit(None).cast(f"struct<pos:int,item_id:{items.schema['item_id'].dataType.simpleString()},item_pos:int>"))
+    met = windows(docs, "doc_id").join(broadcast(by_hash), "window").select("doc_id", F.explode(F.when(F.col("_weak"), F.concat(places, mark)).otherwise(places)).alias("_i"))
+    met = save(met.select("doc_id", "_i.pos", "_i.item_id", "_i.item_pos").distinct(), "met")
+    weak_docs = met.where("item_pos is null").select(F.col("doc_id").alias("_id")).distinct()
+    weak = asked.where(~F.col("telling")).select(F.col("item_id").alias("_item"), F.col("item_pos").alias("_item_pos"))
+    as_they_are = (
+        windows(items, "item_id", tokens=valued).join(weak, F.col("item_id").eqNullSafe(F.col("_item")) & (F.col("pos") == F.col("_item_pos")), "left_semi")
+        .groupBy("window").agg(F.collect_list(F.struct("item_id", F.col("pos").alias("item_pos"))).alias("_items"))
+    )
+    exact = (
+        windows(docs.join(weak_docs, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi"), "doc_id", tokens=valued).join(broadcast(as_they_are), "window")
+        .select("doc_id", "pos", F.explode("_items").alias("_i")).select("doc_id", "pos", "_i.item_id", "_i.item_pos").distinct()
+    )
+    hits = save(met.where("item_pos is not null").unionByName(exact), "hits")
 
     # Slot values, where the matched windows have slots at all.
     with_slots = asked.join(tokens, asked["item_id"].eqNullSafe(tokens["item_id"])).where(F.exists(F.slice("_t", F.col("item_pos") + 1, F.lit(WINDOW)), lambda w: w.rlike(_SLOTS))).select(asked["item_id"].alias("_item"), F.col("item_pos").alias("_item_pos")).distinct()
-    slotted = save(hits.join(F.broadcast(with_slots) if asked.count() <= BROADCAST_WINDOWS else with_slots, hits["item_id"].eqNullSafe(F.col("_item")) & (F.col("item_pos") == F.col("_item_pos"))).select("doc_id", "pos", "item_id", "item_pos"), "slotted")
+    slotted = save(hits.join(broadcast(with_slots), hits["item_id"].eqNullSafe(F.col("_item")) & (F.col("item_pos") == F.col("_item_pos"))).select("doc_id", "pos", "item_id", "item_pos"), "slotted")
     ids = slotted.select(F.col("doc_id").alias("_id")).distinct()
     doc_values = _slots(docs.join(ids, docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi").select("doc_id", "text"), "doc_id").select(F.col("doc_id").alias("_d"), F.col("_t").alias("_dt"), F.col("_v").alias("_dv"))
     item_values = _slots(items, "item_id").select(F.col("item_id").alias("_i"), F.col("_t").alias("_it"), F.col("_v").alias("_iv"))
@@ -123,14 +152,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, enough: int = ENOUGH) -> DataFr
         .select(F.col("doc_id").alias("_d"), F.col("item_id").alias("_i"), F.col("_shift").alias("_s"), "_consistent", "_other")
     )
     same = hits["doc_id"].eqNullSafe(F.col("_d")) & hits["item_id"].eqNullSafe(F.col("_i")) & ((hits["pos"] - hits["item_pos"]) == F.col("_s"))
+    tells = broadcast(asked.where("telling").select(F.col("item_id").alias("_ti"), F.col("item_pos").alias("_tp"), "telling"))
     found = (
         hits.join(checked, same, "left").where(F.coalesce("_consistent", F.lit(True)))
-        .groupBy("doc_id", "item_id").agg(F.count_distinct("item_pos").alias("n_windows"), F.coalesce(F.max("_other"), F.lit(False)).alias("reparameterised"))
+        .join(tells, F.col("item_id").eqNullSafe(F.col("_ti")) & (F.col("item_pos") == F.col("_tp")), "left")
+        .groupBy("doc_id", "item_id").agg(F.count_distinct("item_pos").alias("n_windows"), F.count_distinct(F.when(F.col("telling"), F.col("item_pos"))).alias("_told"), F.coalesce(F.max("_other"), F.lit(False)).alias("reparameterised"))
     )
-    sizes = asked.groupBy("item_id").agg(F.count_distinct("item_pos").alias("item_windows")).select(F.col("item_id").alias("_i"), "item_windows")
+    sizes = asked.groupBy("item_id").agg(F.count_distinct("item_pos").alias("item_windows"), F.count_distinct(F.when(F.col("telling"), F.col("item_pos"))).alias("_tell")).select(F.col("item_id").alias("_i"), "item_windows", "_tell")
     return (
         found.join(sizes, F.col("item_id").eqNullSafe(F.col("_i")))
-        .where(F.col("n_windows") >= F.least(F.lit(enough), F.col("item_windows")))
+        .where((F.col("n_windows") >= F.least(F.lit(enough), F.col("item_windows"))) | ((F.col("_tell") > 0) & (F.col("_told") == F.col("_tell"))))
         .select("doc_id", "item_id", "n_windows", "item_windows", "reparameterised")
     )
 

@@ -64,3 +64,24 @@ def test_empty_tables(spark):
     bench = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
     assert leaks(docs.limit(0), bench).collect() == [] and leaks(docs, bench.limit(0)).collect() == []
     assert [tuple(r)[:2] for r in leaks(docs.union(docs), bench.union(bench)).collect()] == [(1, 1)]
+
+
+SLOTTED = ((1, "Convert 5 km, 12 miles and 3 feet to metres"), (2, "What is 15 + 27 * 3?"), (3, "wir sahen Anna, Bernd und Clara, Dora und Emil, Franz mit Gerda, Heinz"))
+
+
+def test_items_full_of_slots(spark):
+    before, after = "Some words before it stand. ", " And more words after it."
+    texts = [(i, before + t + after) for i, t in SLOTTED if i != 2] + [
+        (4, "what is 15 + 27 * 3"), (5, "What is 15 + 28 * 3?"), (6, before + SLOTTED[0][1].replace("12", "13") + after), (7, before + SLOTTED[2][1].replace("Emil", "Ernst") + after),
+    ]
+    assert found(spark, texts, SLOTTED) == {(1, 1): False, (3, 3): False, (4, 2): False}
+
+
+def test_values_stand_behind_their_placeholders(spark):
+    from pyspark.sql import functions as F
+
+    from assay.llm.decontaminate import canonical, valued
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("text").union(spark.createDataFrame([(t,) for t in (ITEM, OTHER, None, "", "we saw McTwo and Seven at 5 Km, 3.5 kg or 7% of\x04 two\x05 tons", *(t for _, t in SLOTTED))], "text string"))
+    bare = F.transform(valued(F.col("text")), lambda w: F.when(w.rlike("^[\x01\x02\x03]"), F.substring(w, 1, 1)).otherwise(w))
+    assert docs.where(~bare.eqNullSafe(canonical(F.col("text")))).count() == 0
