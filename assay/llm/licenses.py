@@ -9,6 +9,7 @@ are looked up, the text by a hash join with the digests of known licences and no
 from __future__ import annotations
 
 from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +26,7 @@ SPELLINGS = [
     ("utilise", "utilize"), ("whilst", "while"), ("wilful", "willful"),
 ]
 
-# Short licences and notices (id, text).
+# Licences and notices (id, text); long licences are files named by their id.
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 
 The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
@@ -41,6 +42,7 @@ KNOWN = [
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."), ("GPL-3.0", "Licensed under the GNU General Public License, version 3."), ("GPL-3.0-only", "SPDX-License-Identifier: GPL-3.0-only"),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."), ("CC-BY-4.0", "Licensed under CC BY 4.0."), ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."), ("CC0-1.0", "Dedicated to the public domain under CC0 1.0."),
     ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"), ("BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause"),
+    *((f.stem, f.read_text(encoding="utf-8")) for f in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))),
 ]
 
 #: A line that is a copyright notice and no more.
@@ -63,6 +65,18 @@ def digest(canonical: Column) -> Column:
     return F.sha2(F.trim(F.regexp_replace(canonical, r"[\n ]+", " ")), 256)
 
 
+def head(line: Column) -> Column:
+    """Length and first letters of a canonical line: lines of equal digests have the same."""
+    return F.concat(F.length(F.trim(line)).cast("string"), F.lit(":"), F.substring(F.trim(line), 1, 8))
+
+
+def known_heads(spark, known: list[tuple[str, str]] = KNOWN) -> list[str]:
+    """The distinct heads of known texts, their lines joined."""
+    joined = F.trim(F.regexp_replace(canonical_lines(F.col("text")), r"[\n ]+", " "))
+    rows = spark.createDataFrame(known, "license_id string, text string").select(head(joined).alias("h")).distinct()
+    return sorted(r["h"] for r in rows.collect())
+
+
 def known_digests(spark, known: list[tuple[str, str]] = KNOWN) -> list[tuple[str, str]]:
     """(digest, license_id) of known texts, one id for each digest."""
     if len(known) > MOST_KNOWN:
@@ -87,9 +101,9 @@ def scan(docs: DataFrame, known: list[tuple[str, str]] = KNOWN) -> DataFrame:
     df = df.select(*kept, canonical_lines(F.col("text")).alias("_canonical"))
     if not pairs:
         return df.select(*columns, digest(F.col("_canonical")).alias("digest"), F.lit(None).cast("string").alias("license_id"), F.lit(0).cast("long").alias("n_notices"), F.array().cast("array<string>").alias("notice_ids"))
-    # A line can only be known if it has some word that all known texts have one of: most have none.
-    longest = max(len(t) for _, t in known) + 200
-    maybe = F.filter(F.split("_canonical", "\n"), lambda x: x.rlike(r"licens|permission|public domain") & (F.length(x) <= longest))
+    # Only lines with the head of some known text are digested.
+    heads = known_heads(spark, known)
+    maybe = F.filter(F.split("_canonical", "\n"), lambda x: head(x).isin(heads))
     df = df.select(*kept, digest(F.col("_canonical")).alias("digest"), F.transform(maybe, lambda x: digest(x)).alias("_lines"))
     ids = F.create_map(*(F.lit(x) for p in pairs for x in p))
     notices = F.filter(F.transform("_lines", lambda d: F.element_at(ids, d)), lambda i: i.isNotNull())
