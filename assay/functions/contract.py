@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .jsontext import is_object, kind
+from .jsontext import kind
 
 # Fixed values of the contract.
 DECISIONS = ["execute", "request_approval", "ask_clarification", "refuse", "no_action"]
@@ -31,62 +31,70 @@ def keys(v: Column) -> Column:
     return F.map_keys(F.try_variant_get(v, "$", "map<string,variant>"))
 
 
-def _same_keys(v: Column, names: list[str]) -> Column:
-    return F.array_sort(keys(v)) == F.array_sort(F.array(*(F.lit(n) for n in names)))
+def typed(v: Column) -> dict[str, Column]:
+    """An object's fields as plain columns, named `_` and the field: each value as text or boolean
+    (null if missing or of another type), its kind, and of the arguments canonical values and kinds
+    by key. The object is opened once; all that follows works on these."""
+    arguments = F.try_variant_get(v, "$.arguments", "map<string,variant>")
+    return {
+        "keys": keys(v),
+        **{n: field(v, n, "boolean" if n == "approval_required" else "string") for n in FIELDS if n != "arguments"},
+        **{f"{n}_kind": kind(field(v, n)) for n in FIELDS},
+        "arguments": F.transform_values(arguments, lambda _, x: F.to_json(x)),
+        "argument_kinds": F.transform_values(arguments, lambda _, x: kind(x)),
+    }
 
 
 def _yes(c: Column) -> Column:
     return F.coalesce(c, F.lit(False))
 
 
-def _text(v: Column, name: str) -> Column:
-    return _yes((kind(field(v, name)) == "string") & (field(v, name, "string") != ""))
-
-
-def _whole(v: Column, name: str, test) -> Column:
-    return _yes((kind(field(v, name)) == "integer") & test(field(v, name, "bigint")))
-
-
-def arguments_valid(tool: Column, arguments: Column) -> Column:
-    """Whether a tool's arguments are exactly its own, of the right types and values."""
-    one = lambda name, *values: _yes((kind(field(arguments, name)) == "string") & field(arguments, name, "string").isin(*values))
+def arguments_valid(tool: Column, values: Column, kinds: Column) -> Column:
+    """Whether a tool's arguments (maps of canonical JSON values and of kinds) are exactly its own,
+    of the right types and values."""
+    text = lambda name: (F.element_at(kinds, F.lit(name)) == "string") & (F.element_at(values, F.lit(name)) != '""')
+    whole = lambda name: F.when(F.element_at(kinds, F.lit(name)) == "integer", F.element_at(values, F.lit(name)).cast("bigint"))
+    one = lambda name, *allowed: F.element_at(values, F.lit(name)).isin(*(f'"{x}"' for x in allowed))
     tests = {
-        "refund_payment": _text(arguments, "payment_id") & _whole(arguments, "amount_minor", lambda x: x >= 0) & one("currency", "USD"),
-        "escalate_fraud_review": _text(arguments, "customer_id") & _text(arguments, "payment_id"),
-        "cancel_subscription": _text(arguments, "subscription_id") & one("effective_mode", "immediate", "period_end"),
-        "pause_subscription": _text(arguments, "subscription_id") & _whole(arguments, "pause_days", lambda x: x.isin(30, 60, 90)),
-        "offer_retention": _text(arguments, "subscription_id") & one("offer_code", "SAVE10_3MO"),
+        "refund_payment": text("payment_id") & (whole("amount_minor") >= 0) & one("currency", "USD"),
+        "escalate_fraud_review": text("customer_id") & text("payment_id"),
+        "cancel_subscription": text("subscription_id") & one("effective_mode", "immediate", "period_end"),
+        "pause_subscription": text("subscription_id") & whole("pause_days").isin(30, 60, 90),
+        "offer_retention": text("subscription_id") & one("offer_code", "SAVE10_3MO"),
     }
-    return reduce(lambda c, t: c.when(tool == t, _yes(_same_keys(arguments, ARGUMENTS[t])) & tests[t]), TOOLS, F.when(tool.isNull(), F.lit(True))).otherwise(F.lit(False))
+    own = F.array_sort(F.map_keys(values))
+    fits = lambda t: _yes((own == F.lit(sorted(ARGUMENTS[t]))) & tests[t])
+    return reduce(lambda c, t: c.when(tool == t, fits(t)), TOOLS, F.when(tool.isNull(), F.lit(True))).otherwise(F.lit(False))
 
 
-def errors(v: Column) -> Column:
-    """Error codes of an object, in the order of the fields; empty if it is a valid contract.
+def errors(c: dict[str, Column]) -> Column:
+    """Error codes of an object (its `typed` columns), in the order of the fields; empty if it is a
+    valid contract.
 
     Shape errors come alone: fields are compared with each other only where each is well formed.
     """
-    decision, tool, arguments, approval = (field(v, n) for n in FIELDS[:4])
     bad = lambda test, code: F.when(test, F.lit(code))
-    scalar = F.forall(F.map_values(F.try_variant_get(arguments, "$", "map<string,variant>")), lambda x: ~kind(x).isin("object", "array"))
+    there = lambda n: c[f"{n}_kind"].isNotNull()
+    scalar = ~F.exists(F.map_values(c["argument_kinds"]), lambda k: k.isin("object", "array"))
     shape = [
-        *(bad(field(v, n).isNull(), "MISSING_REQUIRED_KEY") for n in FIELDS),
-        bad(decision.isNotNull() & ~_yes((kind(decision) == "string") & field(v, "decision", "string").isin(DECISIONS)), "UNSUPPORTED_DECISION"),
-        bad(tool.isNotNull() & ~_yes((kind(tool) == "null") | ((kind(tool) == "string") & field(v, "tool", "string").isin(TOOLS))), "UNSUPPORTED_TOOL"),
-        bad(arguments.isNotNull() & ~_yes(is_object(arguments) & scalar), "INVALID_ARGUMENT_SHAPE"),
-        bad(approval.isNotNull() & ~_yes(kind(approval) == "boolean"), "INVALID_FIELD_TYPE"),
-        *(bad(field(v, n).isNotNull() & ~_yes(kind(field(v, n)) == "string"), "INVALID_FIELD_TYPE") for n in FIELDS[4:]),
-        bad(F.size(F.array_except(keys(v), F.array(*(F.lit(n) for n in FIELDS)))) > 0, "EXTRA_FIELD"),
+        *(bad(~there(n), "MISSING_REQUIRED_KEY") for n in FIELDS),
+        bad(there("decision") & ~_yes((c["decision_kind"] == "string") & c["decision"].isin(DECISIONS)), "UNSUPPORTED_DECISION"),
+        bad(there("tool") & ~_yes((c["tool_kind"] == "null") | ((c["tool_kind"] == "string") & c["tool"].isin(TOOLS))), "UNSUPPORTED_TOOL"),
+        bad(there("arguments") & ~_yes((c["arguments_kind"] == "object") & scalar), "INVALID_ARGUMENT_SHAPE"),
+        bad(there("approval_required") & (c["approval_required_kind"] != "boolean"), "INVALID_FIELD_TYPE"),
+        *(bad(there(n) & (c[f"{n}_kind"] != "string"), "INVALID_FIELD_TYPE") for n in FIELDS[4:]),
+        bad(F.size(F.array_except(c["keys"], F.lit(FIELDS))) > 0, "EXTRA_FIELD"),
     ]
-    d, t, flag = field(v, "decision", "string"), field(v, "tool", "string"), field(v, "approval_required", "boolean")
+    d, t, flag = c["decision"], c["tool"], c["approval_required"]
     fits = (
         F.when(d == "execute", t.isNotNull() & ~flag).when(d == "request_approval", t.isNotNull() & flag)
-        .otherwise(t.isNull() & ~flag & (F.size(keys(arguments)) == 0))
+        .otherwise(t.isNull() & ~flag & (F.size(c["arguments"]) == 0))
     )
-    whole = fits & arguments_valid(t, arguments) & (field(v, "policy_code", "string") != "") & (field(v, "reason_code", "string") != "")
+    whole = fits & arguments_valid(t, c["arguments"], c["argument_kinds"]) & (c["policy_code"] != "") & (c["reason_code"] != "")
     found = F.filter(F.array(*shape), lambda x: x.isNotNull())
     return F.when(F.size(found) > 0, found).when(_yes(whole), F.array().cast("array<string>")).otherwise(F.array(F.lit("CROSS_FIELD_VIOLATION")))
 
 
 def pairs(arguments: Column) -> Column:
-    """Arguments as a set of key=value texts, values in canonical JSON."""
-    return F.transform(F.map_entries(F.try_variant_get(arguments, "$", "map<string,variant>")), lambda e: F.concat(e["key"], F.lit("="), F.to_json(e["value"])))
+    """Arguments (a map of canonical JSON values) as a set of key=value texts."""
+    return F.transform(F.map_entries(arguments), lambda e: F.concat(e["key"], F.lit("="), e["value"]))

@@ -54,9 +54,9 @@ def same_rows(left: DataFrame, right: DataFrame) -> bool:
 def histogram_diff(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Values whose counts differ between two tables, with both counts: empty if multisets are equal."""
     a = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("left_n"))
-    b = right.groupBy(*keys).agg(F.count(F.lit(1)).alias("right_n"))
-    cond = reduce(lambda x, y: x & y, [a[k].eqNullSafe(b[k]) for k in keys])
-    joined = a.join(b, cond, "full").select(*(F.coalesce(a[k], b[k]).alias(k) for k in keys), F.coalesce("left_n", F.lit(0)).alias("left_n"), F.coalesce("right_n", F.lit(0)).alias("right_n"))
+    b = right.groupBy(*(F.col(k).alias(f"_r{i}") for i, k in enumerate(keys))).agg(F.count(F.lit(1)).alias("right_n"))
+    cond = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_r{i}")) for i, k in enumerate(keys)])
+    joined = a.join(b, cond, "full").select(*(F.coalesce(k, f"_r{i}").alias(k) for i, k in enumerate(keys)), F.coalesce("left_n", F.lit(0)).alias("left_n"), F.coalesce("right_n", F.lit(0)).alias("right_n"))
     return joined.where("left_n <> right_n")
 
 
