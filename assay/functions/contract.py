@@ -23,23 +23,28 @@ ARGUMENTS = {
 ABSTENTIONS = ["ask_clarification", "refuse", "no_action"]
 
 
-def field(v: Column, name: str, kind_: str = "variant") -> Column:
-    return F.try_variant_get(v, f"$.{name}", kind_)
+def opened(v: Column) -> Column:
+    """The members of an object by key; null if it is none."""
+    return F.try_variant_get(v, "$", "map<string,variant>")
 
 
-def keys(v: Column) -> Column:
-    return F.map_keys(F.try_variant_get(v, "$", "map<string,variant>"))
+def _plain(v: Column) -> Column:
+    """A scalar as text: what a string says, other values in canonical JSON, nothing for null."""
+    text = F.to_json(v)
+    said = F.when(text.contains("\\"), F.get_json_object(F.concat(F.lit('{"v":'), text, F.lit("}")), "$.v")).otherwise(F.substring(text, F.lit(2), F.length(text) - 2))
+    return F.when(text.startswith('"'), said).when(text != "null", text)
 
 
-def typed(v: Column) -> dict[str, Column]:
-    """An object's fields as plain columns, named `_` and the field: each value as text or boolean
-    (null if missing or of another type), its kind, and of the arguments canonical values and kinds
-    by key. The object is opened once; all that follows works on these."""
-    arguments = F.try_variant_get(v, "$.arguments", "map<string,variant>")
+def typed(members: Column) -> dict[str, Column]:
+    """An object's fields as plain columns, from its members: each value as text (approval_required
+    as boolean), its kind, and of the arguments canonical values and kinds by key. The object is
+    opened once; all that follows works on these."""
+    member = lambda n: F.element_at(members, F.lit(n))
+    arguments = opened(member("arguments"))
     return {
-        "keys": keys(v),
-        **{n: field(v, n, "boolean" if n == "approval_required" else "string") for n in FIELDS if n != "arguments"},
-        **{f"{n}_kind": kind(field(v, n)) for n in FIELDS},
+        "keys": F.map_keys(members),
+        **{n: F.when(kind(member(n)) == "boolean", F.to_json(member(n)) == "true") if n == "approval_required" else _plain(member(n)) for n in FIELDS if n != "arguments"},
+        **{f"{n}_kind": kind(member(n)) for n in FIELDS},
         "arguments": F.transform_values(arguments, lambda _, x: F.to_json(x)),
         "argument_kinds": F.transform_values(arguments, lambda _, x: kind(x)),
     }

@@ -27,13 +27,15 @@ def strict_value(c: Column) -> Column:
     return F.when(alone & (F.trim(c) != ""), F.try_variant_get(listed, "$[0]", "variant"))
 
 
+#: What VARIANT calls its types, without their parts, and what JSON calls them; all others are numbers.
+_KINDS = {"OBJECT": "object", "ARRAY": "array", "STRING": "string", "BIGINT": "integer", "BOOLEAN": "boolean", "VOID": "null"}
+
+
 def kind(v: Column) -> Column:
     """object, array, string, integer, number, boolean, null; SQL null if the value is missing."""
-    schema = F.schema_of_variant(v)
-    return (
-        F.when(schema.startswith("OBJECT"), "object").when(schema.startswith("ARRAY"), "array").when(schema == "STRING", "string")
-        .when(schema == "BIGINT", "integer").when(schema == "BOOLEAN", "boolean").when(schema == "VOID", "null").when(schema.isNotNull(), "number")
-    )
+    name = F.substring_index(F.substring_index(F.schema_of_variant(v), "<", 1), "(", 1)
+    known = F.element_at(F.create_map(*(F.lit(x) for pair in _KINDS.items() for x in pair)), name)
+    return F.coalesce(known, F.when(v.isNotNull(), "number"))
 
 
 def is_object(v: Column) -> Column:

@@ -27,10 +27,11 @@ def parse(df: DataFrame, raw: str = "raw_output") -> DataFrame:
     """
     df = df.withColumn("_strict", strip(F.coalesce(F.col(raw), F.lit("")))).withColumn("_fenced", fence_body(F.col("_strict")))
     df = df.withColumn("candidate", F.coalesce("_fenced", "_strict")).withColumn("_v", strict_value(F.col("candidate")))
-    df = df.withColumn("parsed", F.when(is_object(F.col("_v")), F.col("_v"))).withColumns({f"parsed_{n}": c for n, c in C.typed(F.col("parsed")).items()})
+    df = df.withColumn("parsed", F.when(is_object(F.col("_v")), F.col("_v"))).withColumn("_open", C.opened(F.col("parsed")))
+    df = df.withColumns({f"parsed_{n}": c for n, c in C.typed(F.col("_open")).items()})
     df = df.withColumn("errors", _errors(F.col("candidate"), F.col("_v"), F.col("parsed")))
     clean = F.size("errors") == 0
-    return df.withColumn("classification", F.when(clean & F.col("_fenced").isNull(), "STRICT_VALID").when(clean, "NORMALIZED_VALID").otherwise("UNPARSEABLE")).drop("_strict", "_fenced", "_v")
+    return df.withColumn("classification", F.when(clean & F.col("_fenced").isNull(), "STRICT_VALID").when(clean, "NORMALIZED_VALID").otherwise("UNPARSEABLE")).drop("_strict", "_fenced", "_v", "_open")
 
 
 def _fields(prefix: str) -> dict[str, Column]:
@@ -58,7 +59,8 @@ def score(df: DataFrame, allowed: str = "allowed_values", tools: str = "authoriz
     decision could not be read. Correctness is false wherever the contract is not valid.
     The expected contract's fields become plain columns too (expected_*).
     """
-    df = df.withColumns({f"expected_{n}": c for n, c in C.typed(F.col("expected")).items()})
+    df = df.withColumn("_open", C.opened(F.col("expected")))
+    df = df.withColumns({f"expected_{n}": c for n, c in C.typed(F.col("_open")).items()}).drop("_open")
     p, e = _fields("parsed"), _fields("expected")
     valid = F.col("classification") != "UNPARSEABLE"
     df = df.withColumn("_ep", C.pairs(e["arguments"])).withColumn("_pp", F.when(valid, C.pairs(p["arguments"])))

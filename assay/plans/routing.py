@@ -88,6 +88,8 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each order and system."""
     orders, customer = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "customer"))
     df = orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice").join(customer.select("c_custkey", "c_acctbal"), F.col("o_custkey") == F.col("c_custkey"))
+    if df.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:  # few large files: what follows is many times the reading
+        df = df.repartition(spark.sparkContext.defaultParallelism)
     for layer in BEFORE_SYSTEMS:
         df = df.selectExpr("*", *(f"{spark_expression(e)} AS {c}" for c, e in layer.items()))
     systems = F.explode(F.array(*(F.struct(F.lit(s).alias("s"), F.lit(k).alias("k")) for s, k in SYSTEMS)))
