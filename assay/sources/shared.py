@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark's own setting by which an action's shuffle files are deleted when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see: `spark.checkpoint.dir`. Where it is unset a temporary folder is
@@ -27,10 +30,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 def save(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write `df` as Parquet under the shared folder and read it back: lineage ends here, and a
-    lost executor costs no recomputation of what came before."""
+    lost executor costs no recomputation of what came before. Shuffle files go with the write."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/assay-{uuid.uuid4().hex}/{name}"
-    df.write.option("compression", compression).parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     saved = spark.read.schema(df.schema).parquet(path)
     saved.shared_path = path
     return saved
