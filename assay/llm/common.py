@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import release, save, shared_dir  # noqa: F401  (the operators take them from here)
+
 #: The characters between words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = r"[\x20\x09-\x0D]+"
 #: The struct of the columns that an operator passes through.
@@ -19,32 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: `spark.checkpoint.dir`. Only where it is unset (tests,
-    one machine) a temporary folder is made and set."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        path = jvm_dir.get() if jvm_dir.isDefined() else f"file://{tempfile.mkdtemp(prefix='assay-')}"
-        spark.conf.set("spark.checkpoint.dir", path)
-        spark.sparkContext.setCheckpointDir(path)
-    return path
-
-
-def save(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """Write `df` as Parquet under the shared folder and read it back: lineage ends here, and a
-    lost executor costs no recomputation of what came before.
-
-    Spark deletes the shuffle files of what is done only once the driver's garbage is collected,
-    which a small driver heap may put off for long; it is asked for here, so that executors'
-    disks hold one step's shuffle and not all."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/assay-{uuid.uuid4().hex}/{name}"
-    df.write.option("compression", compression).parquet(path)
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def _quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 

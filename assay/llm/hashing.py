@@ -1,7 +1,7 @@
 """Hashes of the words of many texts at once, with numpy over their UTF-8 bytes.
 
 Words are `[^\\x20\\x09-\\x0D]+`, A-Z in lower case. A word's hash is a polynomial in its bytes,
-read off running sums over a slice of the batch, and mixed. Slices hold about a megabyte of
+read off running sums over a slice of the batch, and mixed. Slices hold about a quarter megabyte of
 whole texts, which bounds memory beside one long text.
 """
 
@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _TABLE = np.random.Generator(np.random.PCG64(20)).integers(0, 1 << 64, 256, np.uint64)  # one fixed number for each byte

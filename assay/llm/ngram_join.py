@@ -1,22 +1,24 @@
-"""Jaccard join of word 5-gram sets with count vectors in an R-tree's place.
+"""Jaccard join of word 5-gram sets with trees of count vectors.
 
 A set is a point: the tokens (hashed 5-grams) are dealt into groups, and its coordinates are the
 counts of its tokens in each. What two sets share is at most the sum of the lesser coordinates,
 so a pair, or a pair of leaves with bounding boxes, for which that sum is too small is dropped
 unverified; the rest is verified token by token.
 
-A tree over such points alone cannot be searched well when texts are unrelated, since boxes of
-even a few leaves cover most coordinates' ranges. So the index has one small tree for each rare
-token: a set enters the trees of its prefix, the 1/5 of its tokens whose groups are least full in
-the whole corpus. Two sets with a similarity of 0.8 always meet in one. Within a tree
-
-1. sets are first compared with a leader only (the least set of the tree in a batch, or the least
-   of those), and linked sets become components: near copies, however many, cost a star;
-2. where trees still hold several components, each component is compared with a few leaders of its
-   largest tree, for a few rounds: near copies that met by different leaders become one component;
-3. then only trees that even so hold several components are searched in full: leaves by size, their
-   bounding boxes, then their points are compared by summed minima, and only pairs of different
-   components that survive are verified.
+One tree over all points can't be searched well when texts are unrelated: the boxes of even a few
+leaves cover most coordinates' ranges. So the top of the tree is cut by single groups: groups are
+finely dealt and ordered by how full they are in the whole corpus, and a set stands below each of
+the rarest groups that hold its prefix, 1/5 of its tokens. By the bound of summed minima, two sets
+with a similarity of 0.8 always meet below one. Below a group
+
+1. sets are first compared with a leader only (the least set below the group in a batch, or the
+   least of those), and linked sets become components: near copies, however many, cost a star;
+2. groups whose sets are still in several components are searched: the points are cut into leaves
+   by size and by where they lie, bounding boxes, coarse points and full points are compared by
+   summed minima, and of each component only the pair of greatest bound with another one is
+   verified; components that prove linked become one;
+3. what is then still in several components is searched again, and every pair of different
+   components that survives the bounds is verified.
 
 No pair is lost, no list is capped, and nothing grows with the square of a group of near copies.
 Equality of tokens is that of 64-bit hashes, of sets that of 64-bit sums of mixed hashes.
@@ -32,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import n_partitions, save, table
+from .common import n_partitions, release, save, table
 from .components import components
 from .hashing import mix, word_hashes
 
@@ -42,9 +44,9 @@ COORDINATES, COARSE = 256, 32
 #: Groups whose loads order the tokens (a table of 8 MB), and how many of them travel together.
 LOADS, TOGETHER = 1 << 20, 1 << 13
 #: Prefix tokens that a task gathers before it writes them out, and those of a bucket, about.
-GATHERED, BUCKET = 1 << 21, 1 << 20
-#: Rounds at most in which components are compared with leaders of their trees, and leaders of a tree.
-ROUNDS, LEADERS = 3, 8
+GATHERED, BUCKET = 1 << 19, 1 << 19
+#: Rounds at most in which each component is compared with its most promising other one.
+ROUNDS = 2
 #: Sets of a leaf, about.
 LEAF = 256
 #: Documents whose ids are broadcast to fetch their texts: 8 MB. For more, Spark shuffles.
@@ -98,32 +100,35 @@ def _points(column: pa.Array, width: int = COORDINATES) -> np.ndarray:
 
 
 def named_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, set_id (null for an empty set), n_shingles and point; and after the documents of each
+    """doc_id, set_id (null for an empty set), n_shingles, point, and two sums of coordinates by which
+    leaves are cut (of the first half, of every other one); and after the documents of each
     task rows with `part` and `loads`: how many tokens of its sets are in each group of that part."""
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loads = np.zeros(LOADS, np.int64)
 
-        def rows(ids: pa.Array, names: list, sizes: list, points: list, parts: list, last: list) -> pa.RecordBatch:
+        def rows(ids: pa.Array, names: list, sizes: list, points: list, sums: list, parts: list, last: list) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
-                [ids, pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(points, pa.binary()), pa.array(parts, pa.int32()), pa.array(last, pa.binary())],
-                names=["doc_id", "set_id", "n_shingles", "point", "part", "loads"],
+                [ids, pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(points, pa.binary()), pa.array(sums, pa.list_(pa.int32())), pa.array(parts, pa.int32()), pa.array(last, pa.binary())],
+                names=["doc_id", "set_id", "n_shingles", "point", "sums", "part", "loads"],
             )
 
         for batch in batches:
-            names, sizes, points = [], [], []
+            names, sizes, points, sums = [], [], [], []
             for grams in gram_sets(batch.column("text")):
                 np.add.at(loads, loads_of(grams), 1)
                 names.append(set_id(grams) if len(grams) else None)
-                points.append(_cell(point(grams)) if len(grams) else None)
+                p = point(grams)
+                points.append(_cell(p) if len(grams) else None)
+                sums.append([int(p[: COORDINATES // 2].sum()), int(p[::2].sum())])
                 sizes.append(len(grams))
             none = [None] * len(names)
-            yield rows(batch.column("doc_id"), names, sizes, points, none, none)
+            yield rows(batch.column("doc_id"), names, sizes, points, sums, none, none)
         part = np.flatnonzero(loads.reshape(-1, TOGETHER).any(1))
         none = [None] * len(part)
-        yield rows(pa.array(none, pa.int64()), none, none, none, part.tolist(), [x.astype("<u4").tobytes() for x in loads.reshape(-1, TOGETHER)[part]])
+        yield rows(pa.array(none, pa.int64()), none, none, none, none, part.tolist(), [x.astype("<u4").tobytes() for x in loads.reshape(-1, TOGETHER)[part]])
 
-    return docs.mapInArrow(name, "doc_id long, set_id long, n_shingles long, point binary, part int, loads binary")
+    return docs.mapInArrow(name, "doc_id long, set_id long, n_shingles long, point binary, sums array<int>, part int, loads binary")
 
 
 def _summed_loads(named: DataFrame) -> np.ndarray:
@@ -215,6 +220,7 @@ def _may_be_similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def _near(pairs: DataFrame, points: DataFrame) -> DataFrame:
     """Of pairs (a, b) of set names those that may be similar by size and points: a, b, n, m."""
+    points = points.select("set_id", "n", "point")
     joined = pairs.join(points.toDF("a", "n", "p"), "a").join(points.toDF("b", "m", "q"), "b")
     return joined.where(_enough(F.least("n", "m"), F.col("n"), F.col("m"))).select("a", "b", "n", "m", "p", "q").mapInArrow(_may_be_similar, "a long, b long, n long, m long")
 
@@ -234,145 +240,180 @@ def _verified(docs: DataFrame, names: DataFrame, near: DataFrame) -> DataFrame:
     # One document of each set; where several rows share its id, a set may come twice, and so a link.
     found = docs.join(chosen, docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi").select("text").mapInArrow(full, "set_id long, grams array<long>")
     grams = save(found.join(wanted, "set_id", "left_semi"), "grams")
-    return (
-        near.join(grams.toDF("a", "_g"), "a").join(grams.toDF("b", "_h"), "b")
-        .where(_enough(F.size(F.array_intersect("_g", "_h")).cast("long"), F.col("n"), F.col("m"))).select("a", "b").distinct()
-    )
+    size = lambda c: F.size(c).cast("long")
+    linked = near.join(grams.toDF("a", "_g"), "a").join(grams.toDF("b", "_h"), "b").where(_enough(size(F.array_intersect("_g", "_h")), size("_g"), size("_h")))
+    links = save(linked.select("a", "b").distinct(), "links")
+    release(ids, grams)
+    return links
+
+
+def _best(a: np.ndarray, b: np.ndarray, part: np.ndarray, other: np.ndarray, bound: np.ndarray) -> np.ndarray:
+    """Of pairs the one of greatest bound of each component, on either side."""
+    if not len(a):
+        return np.zeros(0, np.int64)
+    at, of = np.tile(np.arange(len(a)), 2), np.concatenate((part, other))
+    order = np.lexsort((bound[at], of))
+    last = np.append(of[order][1:] != of[order][:-1], True)
+    return np.unique(at[order[last]])
+
+
+def _survivors(x: tuple, y: tuple, once: bool) -> tuple[np.ndarray, ...]:
+    """Of the pairs of two leaves (of one, each pair once) those of different components that may be
+    similar: their places on both sides, and the bound of what they share by what they need."""
+    (part, n, p, coarse), (other, m, q, coarse_q) = x[1:], y[1:]
+    if 9 * np.minimum(coarse.max(0), coarse_q.max(0)).sum() < 4 * (int(n.min()) + int(m.min())):
+        return (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))  # the boxes' corners share too little for any pair
+    need = 4 * (n[:, None] + m)
+    ok = (9 * np.minimum(n[:, None], m) >= need) & (part[:, None] != other)
+    i, j = np.nonzero(np.triu(ok, 1) if once else ok)
+    near = np.concatenate([9 * np.minimum(coarse[i[k : k + 4096]], coarse_q[j[k : k + 4096]]).sum(1) >= need[i[k : k + 4096], j[k : k + 4096]] for k in range(0, len(i), 4096)] or [np.zeros(0, bool)])
+    i, j = i[near], j[near]
+    shared = np.concatenate([np.minimum(p[i[k : k + 1024]], q[j[k : k + 1024]]).sum(1) for k in range(0, len(i), 1024)] or [np.zeros(0, np.int64)])
+    bound = 9 * shared / np.maximum(need[i, j], 1)
+    return i[bound >= 1], j[bound >= 1], bound[bound >= 1]
+
+
+def _leaf(column: pa.Array, i: int) -> tuple[np.ndarray, ...]:
+    cells = column[i].values
+    points = _points(cells.field("point"))
+    return (*(np.asarray(cells.field(c)) for c in ("set_id", "component", "n")), points, points.reshape(len(points), COARSE, -1).sum(2))
 
 
-def _side(column: pa.Array, i: int) -> tuple[np.ndarray, ...]:
-    cells = column[i].values
-    return (*(np.asarray(cells.field(c)) for c in ("set_id", "component", "n")), _points(cells.field("point"), COARSE))
+def _searched(every: bool):
+    """A function of leaves, or pairs of leaves: pairs (a, b) of sets that survive, all or only the
+    best of each component, with their components and bound."""
 
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                x = _leaf(batch.column("sets"), k)
+                one = not batch.column("others")[k].is_valid
+                y = x if one else _leaf(batch.column("others"), k)
+                i, j, bound = _survivors(x, y, one)
+                if not every:
+                    keep = _best(i, j, x[1][i], y[1][j], bound)
+                    i, j, bound = i[keep], j[keep], bound[keep]
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (x[0][i], y[0][j], x[1][i], y[1][j], bound)], names=["a", "b", "part", "other", "bound"])
 
-def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of trees of one leaf, the pairs of their sets that differ in component and may be similar."""
-    for batch in batches:
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for i in range(batch.num_rows):
-            ids, part, n, p = _side(batch.column("sets"), i)
-            need = 4 * (n[:, None] + n)
-            ok = (9 * np.minimum(n[:, None], n) >= need) & (part[:, None] != part)
-            x, y = np.nonzero(np.triu(ok, 1))
-            at = 9 * np.minimum(p[x], p[y]).sum(1) >= need[x, y]
-            x, y = ids[x[at]], ids[y[at]]
-            a.append(np.minimum(x, y))
-            b.append(np.maximum(x, y))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
-
-
-def _boxes_meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of pairs of leaves, the pairs of their sets that differ in component and may be similar."""
-    for batch in batches:
-        a, b = [], []
-        for i in range(batch.num_rows):
-            ids, part, n, p = _side(batch.column("sets"), i)
-            others, other_part, m, q = _side(batch.column("others"), i)
-            if 9 * np.minimum(p.max(0), q.max(0)).sum() < 4 * (n.min() + m.min()):
-                continue  # the boxes' corners share too little for any pair
-            for k in range(len(ids)):
-                shared = np.minimum(p[k], q).sum(1)
-                ok = (9 * shared >= 4 * (n[k] + m)) & (9 * np.minimum(n[k], m) >= 4 * (n[k] + m)) & (part[k] != other_part)
-                a.append(np.minimum(ids[k], others[ok]))
-                b.append(np.maximum(ids[k], others[ok]))
-        none = [np.zeros(0, np.int64)]
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a or none)), pa.array(np.concatenate(b or none))], names=["a", "b"])
-
-
-def _coarse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            sums = _points(batch.column("point")).reshape(batch.num_rows, COARSE, -1).sum(2)
-            yield batch.set_column(2, "point", pa.array([_cell(x) for x in sums], pa.binary()))
+    return search
 
 
 def _open_trees(postings: DataFrame, parts: DataFrame) -> DataFrame:
     """Trees whose sets are not all in one component: token, set_id, component, _k (sets of the tree)."""
     held = save(postings.join(parts.withColumnRenamed("node", "set_id"), "set_id", "left").select("token", "set_id", F.coalesce("component", "set_id").alias("component")), "trees")
     several = held.groupBy("token").agg(F.min("component").alias("_a"), F.max("component").alias("_b"), F.count(F.lit(1)).alias("_k")).where("_a <> _b")
-    return save(held.join(several.select("token", "_k"), "token"), "open-trees")
+    trees = save(held.join(several.select("token", "_k"), "token"), "open-trees")
+    release(held)
+    return trees
 
 
-def _leaders(trees: DataFrame, turn: int) -> DataFrame:
-    """Pairs (a, b), about LEADERS for each component: a set of it with leaders of its largest tree.
-    A tree's leaders are drawn by hash, others in each turn."""
-    draw = F.xxhash64("set_id", F.lit(turn))
-    own = trees.groupBy("component").agg(F.max_by(F.struct("token", "set_id"), F.struct(F.col("_k"), draw)).alias("_o")).select("component", "_o.token", F.col("_o.set_id").alias("b"))
-    leaders = trees.where(F.pmod(draw, F.col("_k")) < LEADERS).select("token", F.col("component").alias("_other"), F.col("set_id").alias("a"))
-    return own.join(leaders, "token").where("component <> _other").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def _across(trees: DataFrame, points: DataFrame) -> DataFrame:
-    """Pairs (a, b) of sets that meet in an open tree, differ in component, and may be similar.
+def _across(trees: DataFrame, points: DataFrame, every: bool) -> DataFrame:
+    """Pairs (a, b) of sets that meet in an open tree, differ in component, and may be similar: all of
+    them, or for each component that of the greatest bound.
 
     A passage makes a tree for each of its tokens, most with the same sets: of trees of one leaf
     with equal sets one is searched.
     """
     of_set = trees.select("set_id", "component").distinct()
-    small = save(points.join(of_set, "set_id").select("set_id", "n", "point", "component").mapInArrow(_coarse, "set_id long, n long, point binary, component long"), "coarse-points")
-    sets = F.collect_list(F.struct("set_id", "component", "n", "point")).alias("sets")
+    sets = F.collect_list(F.struct("set_id", "component", "n", "point"))
+    placed = save(points.join(of_set, "set_id").select("set_id", "component", "n", "point", "sums"), "placed")
     one_leaf = trees.where(F.col("_k") <= LEAF).groupBy("token").agg(F.array_sort(F.collect_list("set_id")).alias("members")).select("members").distinct()
-    one_leaf = save(one_leaf.withColumn("tree", F.xxhash64("members", F.size("members"))).select("tree", F.explode("members").alias("set_id")).distinct(), "one-leaf")
-    pairs = one_leaf.join(small, "set_id").groupBy("tree").agg(sets).select("sets").mapInArrow(_within, "a long, b long")
-    return save(pairs, "pairs").unionByName(_across_leaves(trees.where(F.col("_k") > LEAF).select("token", "set_id"), small)).distinct()
-
-
-def _across_leaves(held: DataFrame, small: DataFrame) -> DataFrame:
-    """`_across` for trees of several leaves (token, set_id)."""
+    one_leaf = one_leaf.select(F.xxhash64("members", F.size("members")).alias("tree"), F.explode("members").alias("set_id"))
+    small = one_leaf.join(placed, "set_id").groupBy("tree").agg(sets.alias("sets")).select("sets", F.lit(None).cast("array<struct<set_id:bigint,component:bigint,n:bigint,point:binary>>").alias("others"))
+    leaves = _leaves(trees.where(F.col("_k") > LEAF).select("token", "set_id").join(placed, "set_id"), sets)
+    kind = "a long, b long, part long, other long, bound double"
+    found = save(small.mapInArrow(_searched(every), kind).unionByName(_leaf_pairs(leaves).mapInArrow(_searched(every), kind)), "found")
+    if not every:
+        best = F.max_by(F.struct("a", "b"), F.struct("bound", "a", "b"))
+        both = found.select("a", "b", F.explode(F.array("part", "other")).alias("part"), "bound")
+        found, all_found = save(both.groupBy("part").agg(best.alias("_p")).select("_p.a", "_p.b"), "best"), found
+        release(all_found)
+    release(placed, leaves)
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _leaves(held: DataFrame, sets: Column) -> DataFrame:
+    """Trees of several leaves (token and the sets with their points), cut into leaves by size, then by
+    two sums of coordinates at quantiles of the tree, then, where points tie, by hash."""
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25))).cast("int")
-    placed = save(held.join(small, "set_id").withColumn("band", band), "placed")
-    width = placed.groupBy("token", "band").agg(F.ceil(F.count(F.lit(1)) / LEAF).alias("_w"))
+    held = save(held.withColumn("band", band), "held")
+    cuts = F.array(*(F.lit(k / 8) for k in range(1, 8)))
+    size = held.groupBy("token", "band").agg(F.count(F.lit(1)).alias("_w"), *(F.percentile_approx(F.col("sums")[h], cuts, 200).alias(f"_c{h}") for h in (0, 1)))
+    tiles = F.greatest(F.lit(1), F.least(F.lit(8), F.ceil(F.sqrt(F.col("_w") / LEAF)))).cast("int")
+    # Of the eighths of a tree's points every eighth, second or fourth is a cut, by how many leaves it fills.
+    step = F.when(tiles > 4, 1).when(tiles > 2, 2).when(tiles > 1, 4).otherwise(8)
+    tile = lambda h: F.size(F.filter(F.col(f"_c{h}"), lambda c, i: ((i + 1) % F.col("_step") == 0) & (c < F.col("sums")[h])))
+    cells = save(held.join(size, ["token", "band"]).withColumn("_step", step).select("token", "band", "set_id", "component", "n", "point", (tile(0) * 8 + tile(1)).alias("cell")), "cells")
+    share = cells.groupBy("token", "band", "cell").agg(F.ceil(F.count(F.lit(1)) / LEAF).alias("_w"))
     leaves = save(
-        placed.join(width, ["token", "band"]).withColumn("leaf", F.pmod(F.xxhash64("set_id"), F.col("_w")))
-        .groupBy("token", "band", "leaf").agg(F.collect_list(F.struct("set_id", "component", "n", "point")).alias("sets"), F.min("component").alias("low"), F.max("component").alias("high")),
+        cells.join(share, ["token", "band", "cell"]).withColumn("leaf", F.struct("cell", F.pmod(F.xxhash64("set_id"), F.col("_w")).alias("part")))
+        .groupBy("token", "band", "leaf").agg(sets.alias("sets"), F.min("component").alias("low"), F.max("component").alias("high")),
         "leaves",
     )
+    release(held, cells)
+    return leaves
+
+
+def _leaf_pairs(leaves: DataFrame) -> DataFrame:
+    """Pairs of leaves of one tree whose sizes and components allow a pair: sets, others (null: itself)."""
     others = leaves.select(F.col("token").alias("_token"), F.col("band").alias("_band"), F.col("leaf").alias("_leaf"), F.col("sets").alias("others"), F.col("low").alias("_low"), F.col("high").alias("_high"), F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("_meets"))
     # Similar sets are in one band or in neighbouring ones; of leaves of one band each pair once.
-    once = (F.col("_band") > F.col("band")) | (F.col("leaf") <= F.col("_leaf"))
+    once = (F.col("_band") > F.col("band")) | (F.col("leaf") < F.col("_leaf"))
     differ = (F.col("low") != F.col("_high")) | (F.col("high") != F.col("_low"))
     meet = (F.col("token") == F.col("_token")) & (F.col("band") == F.col("_meets")) & once & differ
-    return leaves.join(others, meet).select("sets", "others").mapInArrow(_boxes_meet, "a long, b long").distinct()
+    own = leaves.where("low <> high").select("sets", F.lit(None).cast(leaves.schema["sets"].dataType).alias("others"))
+    return leaves.join(others, meet).select("sets", "others").unionByName(own)
 
 
 def link_classes(docs: DataFrame) -> DataFrame:
-    """Every row's doc_id with n_shingles (size of its set), component_id (the least doc_id that
-    links reach, its own too) and n_links (other sets linked with its set by comparisons made).
+    """Every row's doc_id with n_shingles (size of its set) and component_id (the least doc_id that
+    links reach, its own too).
 
     Two rows link if their sets' Jaccard similarity is 0.8 or more. A null, empty or blank text has
     an empty set, no links, and its own doc_id as component; so rows with a null doc_id and
     words are reached by others but name no class unless all of it is null. Repeated rows are
-    equal sets, so linked. Other columns are ignored.
+    equal sets, so linked. Very long texts are read whole. Other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     spark = docs.sparkSession
     named = save(named_sets(docs), "sets")
     loads = _summed_loads(named)
     names = named.where(F.col("part").isNull()).select("doc_id", "set_id", "n_shingles")
-    points = named.where(F.col("set_id").isNotNull()).groupBy("set_id").agg(F.first("n_shingles").alias("n"), F.first("point").alias("point"))
     buckets = max(n_partitions(spark), int(loads.sum()) // 5 // BUCKET)
     met = save(_prefix_rows(docs, loads, buckets).groupBy("bucket").applyInArrow(_meetings, "token long, leader long, member long"), "meetings")
     postings = save(met.select("token", F.explode(F.array("leader", "member")).alias("set_id")).distinct(), "postings")
+    points = named.where(F.col("set_id").isNotNull()).groupBy("set_id").agg(F.first("n_shingles").alias("n"), F.first("point").alias("point"), F.first("sums").alias("sums"))
     points = save(points.join(postings.select("set_id").distinct(), "set_id", "left_semi"), "points")
     # Of a set's leaders first the one it shares most trees with; the others count if components differ.
     star = met.groupBy("leader", "member").agg(F.count(F.lit(1)).alias("k")).groupBy("member").agg(F.max_by("leader", F.struct("k", "leader")).alias("a")).select("a", F.col("member").alias("b"))
-    stars = save(_verified(docs, names, save(_near(star, points), "near-stars")), "stars")
-    links, trees = stars, _open_trees(postings, save(components(stars), "components"))
-    for turn in range(ROUNDS):
-        more = save(_verified(docs, names, save(_near(_leaders(trees, turn), points), "near-leaders")), "leaders")
-        if more.isEmpty():
-            break
-        links = links.unionByName(more)
-        trees = _open_trees(trees.select("token", "set_id"), save(components(links), "components"))
-    rest = save(_verified(docs, names, save(_near(_across(trees, points), points), "near-links")), "links")
-    links = links.unionByName(rest)
+    near = save(_near(star, points), "near-stars")
+    release(met)
+    links = _verified(docs, names, near)
     parts = components(links)
-    counted = links.select(F.explode(F.array("a", "b")).alias("set_id")).groupBy("set_id").agg(F.count(F.lit(1)).alias("n_links"))
-    of_set = save(parts.withColumnRenamed("node", "set_id").join(counted, "set_id"), "classes")
+    trees = _open_trees(postings, parts)
+    release(postings, near)
+    for every in [False] * ROUNDS + [True]:
+        near = save(_across(trees, points, every), "near-links")
+        more = _verified(docs, names, near)
+        release(near)
+        if more.isEmpty():
+            if every:
+                break
+            continue
+        links, before = links.unionByName(more), trees
+        parts = components(links)
+        if not every:
+            trees = _open_trees(trees.select("token", "set_id"), parts)
+            release(before)
+    release(trees, points)
+    of_set = save(parts.withColumnRenamed("node", "set_id"), "classes")
     rows = names.join(of_set, "set_id", "left").withColumn("_class", F.coalesce("component", "set_id"))
     least = rows.where(F.col("_class").isNotNull()).groupBy("_class").agg(F.min("doc_id").alias("_least"))
-    return rows.join(least, "_class", "left").select("doc_id", "n_shingles", F.when(F.col("_class").isNull(), F.col("doc_id")).otherwise(F.col("_least")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return rows.join(least, "_class", "left").select("doc_id", "n_shingles", F.when(F.col("_class").isNull(), F.col("doc_id")).otherwise(F.col("_least")).alias("component_id"))
 
 
 def op2_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
+    """Classes of all `documents` linked at a Jaccard similarity of 0.8 of their word 5-grams: see
+    `link_classes` for nulls, empty and very long texts, ties and repeated rows."""
     return link_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
