@@ -24,7 +24,7 @@ def _fitting(need: np.ndarray) -> np.ndarray:
     choice = np.full(need.shape, len(COUNTS), np.int8)
     for s in range(len(COUNTS) - 1, -1, -1):
         run, n = need <= s, 1
-        while n < COUNTS[s]:
+        while n < COUNTS[s] and run.any():
             step = min(n, COUNTS[s] - n)
             shifted = np.ones_like(run)
             shifted[:, :-step] = run[:, step:]
@@ -42,11 +42,9 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.uint64)
     wide = CHUNK + int(COUNTS[0])
     values = np.zeros((chunks, wide), np.uint64)
-    values[:, :CHUNK].reshape(-1)[: len(ids)] = ids if len(ids) == chunks * CHUNK else 0
-    if len(ids) < chunks * CHUNK:
-        flat = np.zeros(chunks * CHUNK, np.uint64)
-        flat[: len(ids)] = ids
-        values[:, :CHUNK] = flat.reshape(chunks, CHUNK)
+    flat = np.zeros(chunks * CHUNK, np.uint64)
+    flat[: len(ids)] = ids
+    values[:, :CHUNK] = flat.reshape(chunks, CHUNK)
     size = np.full(chunks, CHUNK)
     size[-1] = len(ids) - (chunks - 1) * CHUNK
     choice = _fitting(np.searchsorted(_LIMITS, values, side="right").astype(np.int8))

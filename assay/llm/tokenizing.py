@@ -3,19 +3,23 @@
 The tokenizer splits a text at white space before it merges, and no step of it looks across
 white space, so the ids of a text are the ids of its white-space separated words in order.
 Words repeat, so each batch is dictionary-encoded with Arrow and only words a worker has not
-met lately go through the library. The split here is at ASCII white space only, a subset of
+met lately (known by their 64-bit hashes) go through the library. The split here is at ASCII white space only, a subset of
 what the tokenizer splits at: a word with other spaces inside is passed on whole.
 """
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .hashing import between, running
+
 #: Words a worker remembers in each of two generations; a bound of its memory, not of its results.
 CACHE_WORDS = 250_000
 #: Bytes of text that are encoded together; a longer text is encoded alone.
@@ -29,12 +33,30 @@ _PLAIN = "[a-zà-öø-ÿ]"
 _MARK = "[.,;:!?]"
 
 
-def _joined(ids: list[bytes], per_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids of words of which each is `per_word` parts: flat, first place and number for each word."""
-    size = np.fromiter((len(x) >> 2 for x in ids), np.int64, len(ids))
-    ends = np.concatenate(([0], np.cumsum(size)))
-    bounds = ends[np.concatenate(([0], np.cumsum(per_word)))]
-    return np.frombuffer(b"".join(ids), np.uint32), bounds[:-1], np.diff(bounds)
+def _gather(store: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The runs of `store` from each place on, one after the other."""
+    ends = np.cumsum(size)
+    return store[np.repeat(at - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+class _Known:
+    """Ids of words by the words' 64-bit hashes, ascending: flat arrays, no object for each word."""
+
+    def __init__(self):
+        self.hashes, self.at, self.size, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The place of each hash, or -1."""
+        if not len(self.hashes):
+            return np.full(len(hashes), -1, np.int64)
+        place = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[place] == hashes, place, -1)
+
+    def add(self, hashes: np.ndarray, size: np.ndarray, ids: np.ndarray) -> None:
+        at = np.concatenate((self.at, len(self.ids) + np.cumsum(size) - size))
+        hashes, size = np.concatenate((self.hashes, hashes)), np.concatenate((self.size, size))
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.at, self.size, self.ids = hashes[order], at[order], size[order], np.concatenate((self.ids, ids))
 
 
 class WordEncoder:
@@ -42,6 +64,7 @@ class WordEncoder:
 
     def __init__(self, path: str, remember: bool = True):
         """`remember`: keep the ids of words for later batches; of no use where no word comes twice."""
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; the library's own threads would only wait for work
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -49,30 +72,31 @@ class WordEncoder:
         self.merges = Tokenizer.from_file(path)
         self.merges.normalizer = normalizers.Sequence([])
         self.merges.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.young, self.old = _Known(), _Known()
         self.most = CACHE_WORDS if remember else 0
 
-    def part_ids(self, parts: pa.Array) -> list[bytes]:
-        """For each distinct part its ids as bytes of uint32."""
-        if len(self.young) > self.most:
-            self.old, self.young = self.young if self.most else {}, {}
-        young, old = self.young, self.old
-        plain = np.asarray(pc.match_substring_regex(parts, f"^{_PLAIN}+$"))
-        words = parts.to_pylist()
-        new = [(w, p) for w, p in zip(words, plain) if w not in young and w not in old]
-        for library, chosen in ((self.merges, [w for w, p in new if p]), (self.tokenizer, [w for w, p in new if not p])):
-            for i in range(0, len(chosen), 4096):
-                some = chosen[i : i + 4096]
-                for w, e in zip(some, library.encode_batch_fast(some, add_special_tokens=False)):
-                    young[w] = np.array(e.ids, np.uint32).tobytes()
-        out = []
-        for w in words:
-            ids = young.get(w)
-            if ids is None:
-                ids = young[w] = old[w]
-            out.append(ids)
-        return out
+    def part_ids(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of distinct parts: flat, and the place and number of each part's. Parts that are in
+        neither generation go through the library; all are in the young one then."""
+        if len(self.young.hashes) > self.most:
+            self.old, self.young = self.young if self.most else _Known(), _Known()
+        cells = parts.cast(pa.large_binary())
+        at = np.frombuffer(cells.buffers()[1], np.int64)[cells.offset : cells.offset + len(cells) + 1] if len(cells) else np.zeros(1, np.int64)
+        data = np.frombuffer(cells.buffers()[2], np.uint8)[at[0] : at[-1]] if at[-1] > at[0] else np.zeros(0, np.uint8)
+        hashes = between(running(data), at[:-1] - at[0], at[1:] - at[0])
+        lacking = np.flatnonzero(self.young.find(hashes) < 0)
+        before = self.old.find(hashes[lacking])
+        kept = before[before >= 0]
+        self.young.add(hashes[lacking[before >= 0]], self.old.size[kept], _gather(self.old.ids, self.old.at[kept], self.old.size[kept]))
+        new = lacking[before < 0]
+        plain = np.asarray(pc.match_substring_regex(parts.take(pa.array(new)), f"^{_PLAIN}+$"), bool)
+        for library, chosen in ((self.merges, new[plain]), (self.tokenizer, new[~plain])):
+            for i in range(0, len(chosen), 8192):
+                found = [e.ids for e in library.encode_batch_fast(parts.take(pa.array(chosen[i : i + 8192])).to_pylist(), add_special_tokens=False)]
+                size = np.fromiter(map(len, found), np.int64, len(found))
+                self.young.add(hashes[chosen[i : i + 8192]], size, np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum())))
+        place = self.young.find(hashes)
+        return self.young.ids, self.young.at[place], self.young.size[place]
 
     def slices(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """`encode` of runs of whole texts of about SLICE_BYTES, in order; bounds memory."""
@@ -99,12 +123,14 @@ class WordEncoder:
         parts = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(words, "<|"), words, spaced))
         per_word = np.diff(np.asarray(parts.offsets, np.int64))
         coded = parts.flatten().dictionary_encode()
-        known = self.part_ids(coded.dictionary)
-        store, at, size = _joined([known[i] for i in coded.indices.to_pylist()], per_word)
-        count = size[codes]
+        store, at, size = self.part_ids(coded.dictionary)
+        indices = np.asarray(coded.indices, np.int64)
+        part_size = size[indices]
+        store = _gather(store, at[indices], part_size)  # the ids of each distinct word, one after the other
+        bounds = np.concatenate(([0], np.cumsum(part_size)))[np.concatenate(([0], np.cumsum(per_word)))]
+        count = np.diff(bounds)[codes]
         ends = np.concatenate(([0], np.cumsum(count)))
-        take = np.repeat(at[codes] - ends[:-1], count) + np.arange(ends[-1])
-        return store[take], ends[np.concatenate(([0], np.cumsum(per_text)))]
+        return _gather(store, bounds[:-1][codes], count), ends[np.concatenate(([0], np.cumsum(per_text)))]
 
 
 def encoder(path: str) -> WordEncoder:

@@ -58,6 +58,13 @@ def _shared(cache=[]):  # noqa: B006
     return cache[0]
 
 
+def test_simple8b_whole_chunks():
+    """Numbers of ids that fill their chunks exactly."""
+    for size in (simple8b.CHUNK, 2 * simple8b.CHUNK, 5 * simple8b.CHUNK):
+        ids = np.random.default_rng(size).integers(0, 50_000, size)
+        assert (simple8b.decode(*simple8b.encode(ids), size) == ids).all()
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.one_of(st.integers(0, 50_000), st.integers(0, 2**64 - 1), st.just(0)), max_size=3000))
 def test_simple8b_round_trip(ids):
