@@ -2,9 +2,11 @@
 
 A text is a sequence of words and an end. A word is drawn piece by piece from an existing
 subword vocabulary until a piece that ends words comes; its probability is the sum over all ways
-to cut it into pieces, a forward recursion in log space over its bytes. The vocabulary is given;
-the pieces' probabilities are learnt: each training word is cut once by the vocabulary's own
-tokenizer and its pieces are counted with the word's frequency, one added to every piece.
+to cut it into pieces, a forward recursion in log space over its bytes. The vocabulary is given,
+but none at hand has probabilities (BPE files hold merge ranks only), so these are learnt from the
+training words: each is cut once by the vocabulary's own tokenizer and its pieces are counted with
+the word's frequency; then ITERATIONS times every piece gets the expected count over all cuts of
+all words, by forward and backward recursion. One is added to every piece's count.
 
 Beside it stands a base score from add-one word frequencies.
 
@@ -28,12 +30,16 @@ from pyspark.sql import functions as F
 
 from .common import save, table
 from .hashing import between, running, word_hashes
-from .tokenizing import WordEncoder, encoder
+from .tokenizing import WordEncoder
 
 #: Words whose values are broadcast, at most: 6 MB.
 BROADCAST_WORDS = 1 << 18
+#: Distinct words whose lattices a task holds together.
+WORDS = 20_000
 #: Documents with this remainder of their id's CRC-32 are held out.
 FOLDS, HELD_OUT = 7, 2
+#: Rounds of expectation, and bytes of words whose lattices are held together in one.
+ITERATIONS, TOGETHER = 1, 1 << 17
 _END = "</w>"
 
 
@@ -55,8 +61,11 @@ class Pieces:
 
     def __init__(self, path: str):
         byte = _bytes_of()
-        vocabulary = encoder(path).tokenizer.get_vocab(with_added_tokens=False)
-        self.size = encoder(path).tokenizer.get_vocab_size(with_added_tokens=True)
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)  # not kept
+        vocabulary = tokenizer.get_vocab(with_added_tokens=False)
+        self.size = tokenizer.get_vocab_size(with_added_tokens=True)
         surfaces: dict[bytes, list[int]] = {}
         for piece, i in vocabulary.items():
             ends = piece.endswith(_END)
@@ -139,23 +148,81 @@ class Pieces:
             active = int(np.searchsorted(-size, -i, side="right"))  # words of i bytes or more come first
             here = np.full(active, -np.inf)
             ends = size[:active] == i
-            for n in range(1, min(i, self.longest) + 1):
-                begin = start[:active] + (i - n)
-                piece = self.find(between(sums, begin, begin + n))
-                hit = np.flatnonzero(piece >= 0)
-                if len(hit):
-                    step = logs[piece[hit], ends[hit].astype(np.int64)]
-                    here[hit] = np.logaddexp(here[hit], alpha[(i - n) % ring, hit] + step)
+            for n, hit, _, step in self._arriving(sums, start[:active], ends, i, logs):
+                here[hit] = np.logaddexp(here[hit], alpha[(i - n) % ring, hit] + step)
             alpha[i % ring, :active] = here
             out[:active][ends] = here[ends]
         result = np.empty(len(size))
         result[order] = out
         return result
 
+    def _arriving(self, sums: np.ndarray, start: np.ndarray, ends: np.ndarray, i: int, logs: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """The pieces that can end at byte i of words, by their length: which words, which surfaces, and
+        their log-probabilities."""
+        for n in range(1, min(i, self.longest) + 1):
+            begin = start + (i - n)
+            piece = self.find(between(sums, begin, begin + n))
+            hit = np.flatnonzero(piece >= 0)
+            if len(hit):
+                yield n, hit, piece[hit], logs[piece[hit], ends[hit].astype(np.int64)]
+
+    def expected(self, data: np.ndarray, at: np.ndarray, times: np.ndarray, logs: np.ndarray) -> np.ndarray:
+        """The expected count of each piece over all cuts of words that come so often."""
+        counts = np.zeros((len(self.hashes), 2))
+        sums, size = running(data), np.diff(at)
+        order = np.argsort(-size, kind="stable")
+        first = 0
+        while first < len(order):  # longest words first, so that a matrix of all their places stays small
+            some = order[first : first + max(1, TOGETHER // int(max(1, size[order[first]])))]
+            first += len(some)
+            self._expect(sums, at[:-1][some], size[some], times[some].astype(np.float64), logs, counts)
+        out = np.zeros(self.size)
+        for side in (0, 1):
+            has = self.ids[:, side] >= 0
+            np.add.at(out, self.ids[has, side], counts[has, side])
+        return out
+
+    def _expect(self, sums: np.ndarray, start: np.ndarray, size: np.ndarray, times: np.ndarray, logs: np.ndarray, counts: np.ndarray) -> None:
+        """Add to counts what words (longest first) give. Going on to byte i, all its lattice's edges are
+        held; going back, each edge's share is what leads to it times what follows."""
+        longest = int(size[0])
+        alpha = np.full((longest + 1, len(size)), -np.inf)
+        alpha[0] = 0.0
+        edges = []
+        for i in range(1, longest + 1):
+            active = int(np.searchsorted(-size, -i, side="right"))
+            ends = size[:active] == i
+            found = list(self._arriving(sums, start[:active], ends, i, logs))
+            edges.append((found, ends))
+            for n, hit, _, step in found:
+                alpha[i, hit] = np.logaddexp(alpha[i, hit], alpha[i - n, hit] + step)
+        total = alpha[size, np.arange(len(size))]
+        known = np.isfinite(total)
+        beta = np.full((longest + 1, len(size)), -np.inf)
+        beta[size, np.arange(len(size))] = 0.0
+        for i in range(longest, 0, -1):
+            found, ends = edges[i - 1]
+            for n, hit, piece, step in found:
+                after = beta[i, hit] + step
+                beta[i - n, hit] = np.logaddexp(beta[i - n, hit], after)
+                ok = known[hit]
+                share = np.exp(alpha[i - n, hit[ok]] + after[ok] - total[hit[ok]]) * times[hit[ok]]
+                np.add.at(counts, (piece[ok], ends[hit[ok]].astype(np.int64)), share)
+
 
 _PIECES: dict[str, Pieces] = {}
 
 
+_CUTTERS: dict[str, WordEncoder] = {}
+
+
+def cutter(path: str) -> WordEncoder:
+    """One tokenizer for each Python worker and file; no word comes twice, so none is remembered."""
+    if path not in _CUTTERS:
+        _CUTTERS[path] = WordEncoder(path, remember=False)
+    return _CUTTERS[path]
+
+
 def pieces(path: str) -> Pieces:
     if path not in _PIECES:
         _PIECES[path] = Pieces(path)
@@ -185,23 +252,43 @@ def _flat(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(words.buffers()[2], np.uint8)[at[0] : at[-1]] if len(words) and at[-1] > at[0] else np.zeros(0, np.uint8), at - at[0]
 
 
-def _piece_counts(words: DataFrame, path: str) -> np.ndarray:
-    """The training counts of all pieces; as many numbers as the vocabulary has."""
+def _summed(words: DataFrame, path: str, of) -> np.ndarray:
+    """The training counts of all pieces, as many numbers as the vocabulary has: the sum of what `of`
+    gives for each batch of words (`word`, `c`)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, library = np.zeros(pieces(path).size), WordEncoder(path, remember=False)
+        total = np.zeros(pieces(path).size)
         for batch in batches:
-            ids, at = library.encode(batch.column("word").cast(pa.string()))
-            total += pieces(path).count(ids, at, np.asarray(batch.column("c")))
+            for i in range(0, batch.num_rows, WORDS):
+                total += of(batch.slice(i, WORDS))
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["id", "n"])
 
     out = np.zeros(pieces(path).size)
-    for r in words.where("c > 0").mapInArrow(count, "id long, n double").groupBy("id").agg(F.sum("n").alias("n")).collect():
+    for r in words.where("c > 0").select("word", "c").mapInArrow(count, "id long, n double").groupBy("id").agg(F.sum("n").alias("n")).collect():
         out[r["id"]] = r["n"]
     return out
 
 
+def _piece_counts(words: DataFrame, path: str) -> np.ndarray:
+    """How often each piece is drawn in training: first by one cut of each word, then by expectation."""
+
+    def once(batch: pa.RecordBatch) -> np.ndarray:
+        ids, at = cutter(path).encode(batch.column("word").cast(pa.string()))
+        return pieces(path).count(ids, at, np.asarray(batch.column("c")))
+
+    counts = _summed(words, path, once)
+    for _ in range(ITERATIONS):
+        held = words.sparkSession.sparkContext.broadcast(counts)
+
+        def expected(batch: pa.RecordBatch, held=held) -> np.ndarray:
+            data, at = _flat(batch.column("word"))
+            return pieces(path).expected(data, at, np.asarray(batch.column("c")), pieces(path).log_probabilities(held.value))
+
+        counts = _summed(words, path, expected)
+    return counts
+
+
 def _valued(words: DataFrame, path: str, counts: np.ndarray) -> DataFrame:
     """For each word its hash h, n, c, and lp: log10 of its lattice probability."""
     held = words.sparkSession.sparkContext.broadcast(counts)
@@ -209,7 +296,7 @@ def _valued(words: DataFrame, path: str, counts: np.ndarray) -> DataFrame:
     def value(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces(path)
         logs = p.log_probabilities(held.value)
-        for batch in batches:
+        for batch in (b.slice(i, WORDS) for b in batches for i in range(0, b.num_rows, WORDS)):
             data, at = _flat(batch.column("word"))
             h = between(running(data), at[:-1], at[1:]).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(h), batch.column("n"), batch.column("c"), pa.array(p.log_likelihood(data, at, logs) / math.log(10))], names=["h", "n", "c", "lp"])
@@ -238,22 +325,25 @@ def _parts(docs: DataFrame, values: tuple) -> DataFrame:
         base = np.log10(c + 1.0)
         uid = TaskContext.get().partitionId() << 33
         for batch in batches:
-            columns: list[list] = [[] for _ in range(7)]
-            for _, hashes, at in word_hashes(batch.column("text")):
-                hashes = hashes.view(np.int64)
+            for first, hashes, at in word_hashes(batch.column("text")):
+                hashes, n = hashes.view(np.int64), len(at) - 1
                 place = np.minimum(np.searchsorted(h, hashes), max(0, len(h) - 1))
                 found = h[place] == hashes if len(h) else np.zeros(len(hashes), bool)
                 place = place[found]
                 upto = np.concatenate(([0], np.cumsum(found)))[at]
-                sums = [np.concatenate(([0], np.cumsum(x[place])))[upto] for x in (c > 0, base, lp)]
-                for k, (a, b) in enumerate(zip(at[:-1], at[1:])):
-                    rare, times = np.unique(hashes[a:b][~found[a:b]], return_counts=True)
-                    for column, x in zip(columns, (uid, int(b - a), int(sums[0][k + 1] - sums[0][k]), sums[1][k + 1] - sums[1][k], sums[2][k + 1] - sums[2][k], rare, times)):
-                        column.append(x)
-                    uid += 1
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            names = ["uid", "n_words", "known", "base", "lattice", "rare", "times"]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("train"), *(pa.array(x, t) for x, t in zip(columns, kinds))], names=["doc_id", "train", *names])
+                known, base_sum, lattice = (np.diff(np.concatenate(([0], np.cumsum(x[place])))[upto]) for x in (c > 0, base, lp))
+                # The other words of each text, each once with its number.
+                of, rare = np.repeat(np.arange(n), np.diff(at))[~found], hashes[~found]
+                order = np.lexsort((rare, of))
+                of, rare = of[order], rare[order]
+                new = np.flatnonzero(np.concatenate(([True], (of[1:] != of[:-1]) | (rare[1:] != rare[:-1])))) if len(rare) else np.zeros(0, np.int64)
+                times = np.diff(np.append(new, len(rare)))
+                offsets = pa.array(np.searchsorted(of[new], np.arange(n + 1)), pa.int32())
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(x, pa.int64())) for x in (rare[new], times)]
+                rows = batch.slice(first, n)
+                cells = [pa.array(np.arange(uid, uid + n)), pa.array(np.diff(at), pa.int64()), pa.array(known, pa.int64()), pa.array(base_sum), pa.array(lattice)]
+                uid += n
+                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("train"), *cells, *lists], names=["doc_id", "train", "uid", "n_words", "known", "base", "lattice", "rare", "times"])
 
     return docs.select("doc_id", "text", "train").mapInArrow(part, "doc_id long, train boolean, uid long, n_words long, known long, base double, lattice double, rare array<long>, times array<long>")
 
@@ -264,7 +354,7 @@ def score(docs: DataFrame, path: str) -> DataFrame:
 
     A null or empty text is an end alone. Rows are never merged: repeated and null doc_ids stay
     apart. Without training documents base and model rest on the added ones alone; an empty table
-    gives no rows. Other columns are ignored.
+    gives no rows. A very long text is scored whole. Other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), (~held_out()).alias("train"))
     counted = save(_word_counts(docs), "words")
@@ -290,6 +380,8 @@ def score(docs: DataFrame, path: str) -> DataFrame:
 
 
 def op8_lattice_lm(spark, sf_dir: str) -> DataFrame:
+    """Scores of all `documents`, learnt from those not held out: see `score` for nulls, empty and
+    very long texts, ties and repeated rows."""
     import public_tokenizers
 
     return score(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))

@@ -45,9 +45,28 @@ class Brute:
                 else:
                     for b in s:
                         self.go[bytes([b])] += c
+        for _ in range(lattice_lm.ITERATIONS):
+            self.expect()
         self.total = sum(self.go.values()) + sum(self.stop.values()) + len(self.go) + len(self.stop)
         self.held: dict[str, float] = {}
 
+    def expect(self):
+        """Expected counts of all pieces over every cut of every training word."""
+        total = sum(self.go.values()) + sum(self.stop.values()) + len(self.go) + len(self.stop)
+        go, stop = dict.fromkeys(self.go, 0.0), dict.fromkeys(self.stop, 0.0)
+        for w, c in self.count.items():
+            b = w.encode()
+            cuts = [(j, i) for i in range(1, len(b) + 1) for j in range(max(0, i - 40), i) if b[j:i] in (self.stop if i == len(b) else self.go)]
+            p = {(j, i): ((self.stop if i == len(b) else self.go)[b[j:i]] + 1) / total for j, i in cuts}
+            f, g = [1.0] + [0.0] * len(b), [0.0] * len(b) + [1.0]
+            for j, i in cuts:
+                f[i] += f[j] * p[j, i]
+            for j, i in sorted(cuts, reverse=True):
+                g[j] += p[j, i] * g[i]
+            for j, i in cuts:
+                (stop if i == len(b) else go)[b[j:i]] += c * f[j] * p[j, i] * g[i] / f[-1]
+        self.go, self.stop = go, stop
+
     @staticmethod
     def is_train(d):
         return zlib.crc32(("" if d is None else str(d)).encode()) % 7 != 2
