@@ -4,11 +4,28 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Spark's own setting by which an action's shuffle files are deleted when it ends.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Spark's own bound of the rows that go to a Python worker together.
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def _set(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    """Runtime settings for one action; the session's own come back after it."""
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,17 +45,14 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def save(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+def save(df: DataFrame, name: str, compression: str = "snappy", batch: int | None = None) -> DataFrame:
     """Write `df` as Parquet under the shared folder and read it back: lineage ends here, and a
-    lost executor costs no recomputation of what came before. Shuffle files go with the write."""
+    lost executor costs no recomputation of what came before. Shuffle files go with the write.
+    `batch`: rows that its Python steps get together, where rows are wide."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/assay-{uuid.uuid4().hex}/{name}"
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
-    try:
+    with _set(spark, {_CLEANUP: "true"} | ({_BATCH: str(batch)} if batch else {})):
         df.write.option("compression", compression).parquet(path)
-    finally:
-        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     saved = spark.read.schema(df.schema).parquet(path)
     saved.shared_path = path
     return saved
