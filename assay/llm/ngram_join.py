@@ -49,6 +49,9 @@ GATHERED, BUCKET = 1 << 19, 1 << 19
 ROUNDS = 2
 #: Sets of a leaf, about.
 LEAF = 256
+#: Leaves of a tree and size that are paired with others in one task, about, and pairs that go to a
+#: Python worker together: a pair of leaves is about 140 KB.
+SIDE, PAIRS = 16, 64
 #: Documents whose ids are broadcast to fetch their texts: 8 MB. For more, Spark shuffles.
 BROADCAST_IDS = 500_000
 
@@ -285,16 +288,17 @@ def _searched(every: bool):
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            found = [[np.zeros(0, np.int64)] for _ in range(4)] + [[np.zeros(0)]]
             for k in range(batch.num_rows):
-                x = _leaf(batch.column("sets"), k)
                 one = not batch.column("others")[k].is_valid
+                x = _leaf(batch.column("sets"), k)
                 y = x if one else _leaf(batch.column("others"), k)
                 i, j, bound = _survivors(x, y, one)
-                if not every:
-                    keep = _best(i, j, x[1][i], y[1][j], bound)
-                    i, j, bound = i[keep], j[keep], bound[keep]
-                if len(i):
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (x[0][i], y[0][j], x[1][i], y[1][j], bound)], names=["a", "b", "part", "other", "bound"])
+                for column, c in zip(found, (x[0][i], y[0][j], x[1][i], y[1][j], bound)):
+                    column.append(c)
+            a, b, part, other, bound = (np.concatenate(c) for c in found)
+            keep = slice(None) if every else _best(a, b, part, other, bound)
+            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (a, b, part, other, bound)], names=["a", "b", "part", "other", "bound"])
 
     return search
 
@@ -323,7 +327,7 @@ def _across(trees: DataFrame, points: DataFrame, every: bool) -> DataFrame:
     small = one_leaf.join(placed, "set_id").groupBy("tree").agg(sets.alias("sets")).select("sets", F.lit(None).cast("array<struct<set_id:bigint,component:bigint,n:bigint,point:binary>>").alias("others"))
     leaves = _leaves(trees.where(F.col("_k") > LEAF).select("token", "set_id").join(placed, "set_id"), sets)
     kind = "a long, b long, part long, other long, bound double"
-    found = save(small.mapInArrow(_searched(every), kind).unionByName(_leaf_pairs(leaves).mapInArrow(_searched(every), kind)), "found")
+    found = save(small.mapInArrow(_searched(every), kind).unionByName(_leaf_pairs(leaves).mapInArrow(_searched(every), kind)), "found", batch=PAIRS)
     if not every:
         best = F.max_by(F.struct("a", "b"), F.struct("bound", "a", "b"))
         both = found.select("a", "b", F.explode(F.array("part", "other")).alias("part"), "bound")
@@ -356,14 +360,18 @@ def _leaves(held: DataFrame, sets: Column) -> DataFrame:
 
 
 def _leaf_pairs(leaves: DataFrame) -> DataFrame:
-    """Pairs of leaves of one tree whose sizes and components allow a pair: sets, others (null: itself)."""
+    """Pairs of leaves of one tree whose sizes and components allow a pair: sets, others (null: itself).
+    Leaves of a large tree are dealt into shares of SIDE, each of which meets all others."""
+    shares = save(leaves.groupBy("token", "band").agg(F.ceil(F.count(F.lit(1)) / SIDE).cast("int").alias("_shares")), "shares")
+    mine = leaves.join(shares, ["token", "band"]).withColumn("_share", F.pmod(F.xxhash64("leaf"), F.col("_shares")).cast("int"))
     others = leaves.select(F.col("token").alias("_token"), F.col("band").alias("_band"), F.col("leaf").alias("_leaf"), F.col("sets").alias("others"), F.col("low").alias("_low"), F.col("high").alias("_high"), F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("_meets"))
+    others = others.join(shares.toDF("_token", "_meets", "_of"), ["_token", "_meets"]).withColumn("_to", F.explode(F.sequence(F.lit(0), F.col("_of") - 1)))
     # Similar sets are in one band or in neighbouring ones; of leaves of one band each pair once.
     once = (F.col("_band") > F.col("band")) | (F.col("leaf") < F.col("_leaf"))
     differ = (F.col("low") != F.col("_high")) | (F.col("high") != F.col("_low"))
-    meet = (F.col("token") == F.col("_token")) & (F.col("band") == F.col("_meets")) & once & differ
+    meet = (F.col("token") == F.col("_token")) & (F.col("band") == F.col("_meets")) & (F.col("_share") == F.col("_to")) & once & differ
     own = leaves.where("low <> high").select("sets", F.lit(None).cast(leaves.schema["sets"].dataType).alias("others"))
-    return leaves.join(others, meet).select("sets", "others").unionByName(own)
+    return mine.join(others, meet).select("sets", "others").unionByName(own)
 
 
 def link_classes(docs: DataFrame) -> DataFrame:
