@@ -96,12 +96,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, enough: int = ENOUGH) -> DataFr
 
     An item is held if `enough` of its windows, all it has, or all that match by their template, are
     found in consistent alignments.
-    Rows that share a doc_id, null too, are judged together; so are items. Null and empty texts
-    hold nothing. Windows with fewer than LITERALS words that are no placeholder are found where
+    Every row is judged by its own text: where documents or items share an id, or have none, a pair
+    of ids is found if any of their texts are, with the figures of the texts with most windows found.
+    Repeated rows count once. Null and empty texts hold nothing; very long ones are read whole. Windows with fewer than LITERALS words that are no placeholder are found where
     their slots have the same values: the values are looked at only in documents with such a template.
     """
-    docs, benchmark = docs.select("doc_id", "text"), benchmark.select("item_id", "text")
-    items = save(benchmark.groupBy("item_id").agg(F.max("text").alias("text")), "items")
+    own = lambda c: F.struct(F.col(c).alias("id"), F.xxhash64("text").alias("h")).alias(c)
+    docs = docs.select(own("doc_id"), "text")
+    items = save(benchmark.where(F.col("text").isNotNull()).select(own("item_id"), "text").distinct(), "items")
     tokens = items.select("item_id", canonical(F.col("text")).alias("_t"))
     telling = F.size(F.filter(F.slice("_t", F.col("pos") + 1, F.lit(WINDOW)), lambda w: ~w.rlike(_SLOTS))) >= F.least(F.lit(LITERALS), F.size("_t"))
     asked = save(
@@ -162,9 +164,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, enough: int = ENOUGH) -> DataFr
     return (
         found.join(sizes, F.col("item_id").eqNullSafe(F.col("_i")))
         .where((F.col("n_windows") >= F.least(F.lit(enough), F.col("item_windows"))) | ((F.col("_tell") > 0) & (F.col("_told") == F.col("_tell"))))
-        .select("doc_id", "item_id", "n_windows", "item_windows", "reparameterised")
+        .groupBy(F.col("doc_id.id").alias("doc_id"), F.col("item_id.id").alias("item_id"))
+        .agg(F.max(F.struct("n_windows", "item_windows", "reparameterised")).alias("_m")).select("doc_id", "item_id", "_m.*")
     )
 
 
 def op1_decontamination(spark, sf_dir: str) -> DataFrame:
+    """Pairs of all `documents` and benchmark items that they hold: see `leaks` for nulls, empty and very
+    long texts, ties and repeated rows."""
     return leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))

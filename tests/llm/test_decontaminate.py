@@ -66,6 +66,14 @@ def test_empty_tables(spark):
     assert [tuple(r)[:2] for r in leaks(docs.union(docs), bench.union(bench)).collect()] == [(1, 1)]
 
 
+def test_texts_that_share_an_id(spark):
+    """Two items, and two documents, with one id are judged each by its own text."""
+    bench = ((1, ITEM), (1, OTHER), (None, ITEM), (None, OTHER))
+    assert set(found(spark, [(1, ITEM), (2, OTHER)], bench)) == {(1, 1), (2, 1), (1, None), (2, None)}
+    half = OTHER.split()
+    assert found(spark, [(1, " ".join(half[:10])), (1, " ".join(half[10:20]))], ((2, OTHER),)) == {}
+
+
 SLOTTED = ((1, "Convert 5 km, 12 miles and 3 feet to metres"), (2, "What is 15 + 27 * 3?"), (3, "wir sahen Anna, Bernd und Clara, Dora und Emil, Franz mit Gerda, Heinz"))
 
 

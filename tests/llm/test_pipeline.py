@@ -1,7 +1,5 @@
 """The pipeline against the same stages by brute force."""
 
-import sys
-
 import duckdb
 import public_tokenizers
 from pyspark.sql import functions as F
@@ -52,5 +50,19 @@ def test_stages_with_awkward_rows(spark):
     assert [n for _, n in counts] == [5, 3, 3, 3, 3, 0, 0, 0, 0, 0]
 
 
-def test_entry_works_without_the_subpackage():
-    assert "pipeline" in sys.modules["assay.llm.queries"].QUERIES if "assay.llm.queries" in sys.modules else True
+def test_rows_that_share_an_id(spark):
+    """Unrelated texts under one id stay; of near copies one goes; a leak takes its own row only."""
+    one, two = (" ".join(f"{w}{i}" for i in range(40)) for w in ("left", "right"))
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").where("length(text) > 100").first()["text"]
+    rows = [(1, one), (1, two), (1, two + " more"), (5, one), (5, one), (None, None), (None, None), (None, ""), (7, item), (7, "A clean text.")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit("a"), "n_chars": F.length("text")})
+    kept = sorted((r["doc_id"] or 0, r["text"] or "") for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect())
+    assert len(kept) == 5 and {t for d, t in kept if d == 1} in ({one, two}, {one, two + " more"}) and not any(d == 5 for d, _ in kept)
+    left = sorted((r["doc_id"] or 0, r["text"] or "") for r in corpus_pipeline.benchmark_leaks(spark, docs, SF).collect())
+    assert len(left) == len(rows) - 1 and (7, "A clean text.") in left and (7, item) not in left
+
+
+def test_entry_has_the_subpackage():
+    import __spark_entry__
+
+    assert {"pipeline", "op1_decontamination", "op10_suffix_dedup"} <= set(__spark_entry__.queries())
