@@ -18,40 +18,55 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep; those they reject go."""
+    """Documents that the quality rules keep; those they reject go. Each row is judged by itself: repeated
+    rows and rows without doc_id stay apart; null and empty texts have under 20 words and go."""
     return quality.judge(hold(docs, COLUMNS)).where("kept").select(*held(docs.columns, COLUMNS))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of linked documents the one with the least doc_id; of repeated rows one.
+    """Of each class of linked documents one: that with the least doc_id (those without one come
+    last), of those the one whose text has the least hash. Rows equal in doc_id and text (null as empty) are one.
 
-    A row without doc_id is known by its text, after all that have one (ids are under 2 ** 62).
+    Rows that share a doc_id but not their text are documents of their own. Null and empty texts
+    link with nothing and stay. Very long texts are compared whole.
     """
-    by_text = F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
-    docs_in, docs = docs, hold(docs, COLUMNS).withColumn("_own", F.coalesce(F.col("doc_id").cast("long"), by_text))
-    classes = ngram_join.link_classes(docs.select(F.col("_own").alias("doc_id"), "text"))
-    stay = save(classes.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "stay")
-    kept = docs.join(stay.select(F.col("doc_id").alias("_own")), "_own", "left_semi")
-    if not stay.where("n > 1").isEmpty():  # ids that several rows have
-        kept = kept.dropDuplicates(["_own"])
+    docs_in = docs
+    docs = hold(docs, COLUMNS).withColumn("_own", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+    classes = ngram_join.link_classes(docs.select(F.col("_own").alias("doc_id"), "text")).select(F.col("doc_id").alias("_own"), F.col("component_id").alias("_class"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_own")
+    rows = save(docs.select("_own", "doc_id").groupBy("_own").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n")).join(classes.distinct(), "_own"), "rows")
+    first = rows.groupBy("_class").agg(F.min(order)["_own"].alias("_first"))
+    gone = save(rows.join(first, "_class").where("_own <> _first").select("_own"), "gone")
+    few = gone.count() <= ngram_join.BROADCAST_IDS
+    kept = docs.join(F.broadcast(gone) if few else gone, "_own", "left_anti")
+    if not rows.where("n > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id", "_own"])
     return kept.select(*held(docs_in.columns, COLUMNS))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that stand earlier; those with no word left go."""
+    """Documents without the passages that stand earlier; those with no word left go, null and empty
+    texts too. Of equal texts the one of least doc_id is first (a null one before all), of equal rows
+    any one; texts are read whole."""
     left = suffix_dedup.deduplicated(hold(docs, COLUMNS))
     return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*held(docs.columns, COLUMNS))
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    found = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark"))
-    ids = save(found.select(F.col("doc_id").alias("_id")).distinct(), "leaking")
-    return hold(docs, COLUMNS).join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti").select(*held(docs.columns, COLUMNS))
+    """Documents that hold no benchmark item. Each row is judged by its own text, also where rows share
+    a doc_id or have none; null and empty texts hold nothing and stay. Texts are read whole."""
+    own = F.struct(F.col("doc_id").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
+    found = decontaminate.leaks(docs.select(own.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    leaking = save(found.select(F.col("doc_id.id").alias("_id"), F.col("doc_id.h").alias("_h")).distinct(), "leaking")
+    few = leaking.count() <= ngram_join.BROADCAST_IDS
+    rows = hold(docs, COLUMNS)
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_h"))
+    return rows.join(F.broadcast(leaking) if few else leaking, same, "left_anti").select(*held(docs.columns, COLUMNS))
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents that are left, packed into sequences."""
+    """Pieces of all documents that are left, packed into sequences. Repeated rows are packed as often; a
+    null text is an end alone; a text of more tokens than a sequence holds is cut into pieces."""
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
