@@ -1,8 +1,8 @@
 """Quality rules whose cutoffs are learnt for each language and source.
 
 Fixed cutoffs treat every source alike. Here each share is counted on a fixed grid of
-thousandths, for each (lang, source). Such a grid is a quantile sketch: its error is one cell
-whatever the corpus, its size is bounded, and two of them merge by adding counts. A group's
+thousandths or hundredths, for each (lang, source). Such a grid is a quantile sketch: its error is one
+cell whatever the corpus, its size is bounded, and two of them merge by adding counts. A group's
 quartiles give its cutoffs, and a join with them filters. A group of fewer than MIN_GROUP
 documents uses its language's merged sketch, and a small language that of all documents.
 
@@ -25,14 +25,17 @@ BROADCAST_GROUPS = 100_000
 #: A value passes up to the upper quartile and so many interquartile ranges more ...
 FENCE = 3
 #: ... or so many cells more, if that is more: a uniform group does not reject small differences.
-SLACK = {"symbols": 200, "dup_lines": 300, "long_words": 250}
-#: The cells: thousandths of a share (of lines, as if ten more were there, for short texts); of the
-#: mean word length, hundredths. Repeated words have a base rule and no cell.
+SLACK = {"symbols": 20, "dup_lines": 150, "long_words": 160}
+#: What is measured: thousandths of a share (of lines, as if ten more were there, for short texts); of
+#: the mean word length, hundredths. Repeated words have a base rule and no cell.
 METRICS = {
-    "symbols": "least(1000, n_symbols * 1000 div greatest(word_chars, 1))",
+    "symbols": "n_symbols * 1000 div greatest(word_chars, 1)",
     "dup_lines": "n_dup_lines * 1000 div (n_lines + 10)",
-    "long_words": "least(10000, word_chars * 100 div greatest(n_words, 1))",
+    "long_words": "word_chars * 100 div greatest(n_words, 1)",
 }
+#: The sketch's last cell, which counts all greater values too: a bound of its size. Values are held
+#: against cutoffs as they are, so none is taken for a smaller one.
+LAST_CELL = 10_000
 
 
 #: Columns that are added, from a text alone and by the method.
@@ -88,7 +91,7 @@ def base_failed() -> Column:
 
 def sketches(stats: DataFrame) -> DataFrame:
     """The grid sketch of each (lang, source): lang, source, metric, cell, n. Mergeable: add n."""
-    cells = F.explode(F.array(*(F.struct(F.lit(k).alias("metric"), F.expr(e).cast("long").alias("cell")) for k, e in METRICS.items())))
+    cells = F.explode(F.array(*(F.struct(F.lit(k).alias("metric"), F.least(F.lit(LAST_CELL), F.expr(e)).cast("long").alias("cell")) for k, e in METRICS.items())))
     return stats.select("lang", "source", cells.alias("_m")).groupBy("lang", "source", "_m.metric", "_m.cell").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -105,19 +108,22 @@ def cutoffs(sketch: DataFrame, keys: list[str]) -> DataFrame:
     return by_metric.groupBy(*keys).agg(F.max("_all").alias("_size"), *(fence(k).alias(f"max_{k}") for k in METRICS))
 
 
-def judge(docs: DataFrame) -> DataFrame:
+def judge(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     """Every row of `docs` (it needs text, lang, source) with its statistics, base_failed, the
     cutoffs max_* of its group, and kept: not base_failed and no value over its cutoff.
 
     Cutoffs are learnt from rows that are not base_failed; nulls of lang and source are groups of
-    their own. Rows with their statistics are written, so texts are looked at once for both uses.
+    their own. A group of fewer than `min_group` such rows takes its language's cutoffs, a smaller
+    language those of all rows. Null and empty texts fail; repeated rows are judged each by itself and
+    count as often; very long texts are read whole. Rows with their statistics are written, so texts
+    are looked at once for both uses.
     """
     kept = [c for c in docs.columns if c not in (*STATISTICS, *VERDICTS)]
     needed = [c for c in ("text", "lang", "source") if c in kept]
-    return verdicts(save(statistics(hold(docs.select(*kept), needed)), "statistics")).select(*held(kept, needed), *STATISTICS, *VERDICTS)
+    return verdicts(save(statistics(hold(docs.select(*kept), needed)), "statistics"), min_group).select(*held(kept, needed), *STATISTICS, *VERDICTS)
 
 
-def verdicts(stats: DataFrame) -> DataFrame:
+def verdicts(stats: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     """`judge` for rows that have their statistics, lang and source already; a text isn't needed.
 
     Cutoffs meet rows by broadcast up to BROADCAST_GROUPS groups, so a hot source isn't shuffled.
@@ -125,7 +131,7 @@ def verdicts(stats: DataFrame) -> DataFrame:
     names = [f"max_{k}" for k in METRICS]
     stats = stats.withColumn("base_failed", base_failed())
     sketch = save(sketches(stats.where(~F.col("base_failed"))), "sketch")
-    large = F.col("_size") >= MIN_GROUP
+    large = F.col("_size") >= min_group
     of_group, of_lang, of_all = (cutoffs(sketch, keys) for keys in (["lang", "source"], ["lang"], []))
     held = F.struct(*names)
     of_group = of_group.where(large).select(F.col("lang").alias("_gl"), F.col("source").alias("_gs"), held.alias("_group"))
@@ -148,6 +154,8 @@ def verdicts(stats: DataFrame) -> DataFrame:
 
 
 def op4_quality_rules(spark, sf_dir: str) -> DataFrame:
+    """Statistics and verdicts of all `documents`: see `judge` for nulls, empty and very long texts, ties
+    and repeated rows."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     return verdicts(save(statistics(docs).drop("text"), "statistics")).select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", *(f"max_{k}" for k in METRICS), "kept")
 
@@ -177,9 +185,9 @@ WITH d AS (
   FROM w LEFT JOIN cov ON w.r = cov.r
 ), f AS (
   SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
-    least(1000, n_symbols * 1000 // greatest(word_chars, 1)) AS symbols,
+    n_symbols * 1000 // greatest(word_chars, 1) AS symbols,
     n_dup_lines * 1000 // (n_lines + 10) AS dup_lines,
-    least(10000, word_chars * 100 // greatest(n_words, 1)) AS long_words
+    word_chars * 100 // greatest(n_words, 1) AS long_words
   FROM st
 ), ok AS (SELECT * FROM f WHERE NOT base_failed),
 q AS (
@@ -200,7 +208,7 @@ SELECT doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repe
   NOT base_failed AND NOT ({over}) AS kept
 FROM j
 """.format(
-    quartiles=", ".join(f"quantile_disc({k}, 0.25) AS {k}_1, quantile_disc({k}, 0.75) AS {k}_3" for k in METRICS),
+    quartiles=", ".join(f"least({LAST_CELL}, quantile_disc({k}, 0.25)) AS {k}_1, least({LAST_CELL}, quantile_disc({k}, 0.75)) AS {k}_3" for k in METRICS),
     fences=", ".join(f"{k}_3 + greatest({FENCE} * ({k}_3 - {k}_1), {v}) AS max_{k}" for k, v in SLACK.items()),
     chosen=", ".join(f"CAST(CASE WHEN a.n IS NOT NULL THEN a.max_{k} WHEN b.n IS NOT NULL THEN b.max_{k} ELSE c.max_{k} END AS BIGINT) AS max_{k}" for k in METRICS),
     names=", ".join(f"max_{k}" for k in METRICS),
