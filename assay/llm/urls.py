@@ -14,14 +14,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, save, table
+from .common import lower_ascii, release, save, table
 
 #: The rules of the query: (host, path, verdict).
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 #: Share of rank that follows links; the rest returns to the seeds.
 DAMPING = 0.85
-#: Rounds at most, the change of any host's rank that ends them, and rounds between writes.
-ROUNDS, TOLERANCE, WRITE_EVERY = 20, 1e-9, 5
+#: The change of any host's rank, between writes, that ends the rounds; rounds between writes; and
+#: rounds after which ranks that still move are an error: at this damping 57 are enough for any graph.
+TOLERANCE, WRITE_EVERY, MOST_ROUNDS = 1e-4, 5, 100
 #: Distrust of a host of which so many pages are blocked, before links add to it.
 BLOCKED_SHARE = 0.5
 
@@ -48,26 +49,34 @@ def links(pages: DataFrame) -> DataFrame:
 def spread(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """Personalised PageRank: edges (src, dst, n), seeds (host, seed); rows (host, rank) where not 0.
 
-    rank = (1 - DAMPING) * seed + DAMPING * (ranks of linking hosts, shared out over their links).
-    Seeds keep their scale: twice the seed is twice the rank. Both tables are reread each round,
-    and ranks are written every few rounds, so a lost executor redoes a few rounds at most. A
-    hub's many edges have one key on a join's side; the adaptive skew join splits it.
+    rank = (1 - DAMPING) * seed + DAMPING * (ranks of linking hosts, shared out over their links), and
+    what hosts without links would pass on returns to the seeds. As it returns by the seeds' own
+    shares, that only scales all ranks: so they are spread without it and brought to the seeds' sum
+    at the end. Seeds keep their scale: twice the seed is twice the rank.
+
+    Rounds go on until no rank moves by more than TOLERANCE, else RuntimeError. Both tables are reread
+    each round, and ranks are written every few rounds, so a lost executor redoes a few rounds at
+    most. A hub's many edges have one key on a join's side; the adaptive skew join splits it.
     """
     share = save(edges.join(edges.groupBy("src").agg(F.sum("n").alias("_out")), "src").select("src", "dst", (F.col("n") / F.col("_out")).alias("share")), "shares")
     start = save(seeds.where("seed > 0").select("host", ((1 - DAMPING) * F.col("seed")).alias("rank")), "seeds")
-    if share.isEmpty() or start.isEmpty():
+    if start.isEmpty():
         return start
-    rank = start
-    for k in range(1, ROUNDS + 1):
+    rank, written = start, start
+    for k in range(1, MOST_ROUNDS + 1):
         moved = rank.join(share, F.col("host") == F.col("src")).select(F.col("dst").alias("host"), (DAMPING * F.col("rank") * F.col("share")).alias("rank"))
-        following = moved.unionByName(start).groupBy("host").agg(F.sum("rank").alias("rank"))
-        if k % WRITE_EVERY == 0:
-            following = save(following, f"rank{k}")
-            change = following.withColumnRenamed("rank", "_new").join(rank, "host", "full").agg(F.max(F.abs(F.coalesce("_new", F.lit(0.0)) - F.coalesce("rank", F.lit(0.0)))))
-            if (change.first()[0] or 0.0) < TOLERANCE:
-                return following
-        rank = following
-    return rank
+        rank = moved.unionByName(start).groupBy("host").agg(F.sum("rank").alias("rank"))
+        if k % WRITE_EVERY:
+            continue
+        rank = save(rank, f"rank{k}")
+        change = rank.withColumnRenamed("rank", "_new").join(written, "host", "full").agg(F.max(F.abs(F.coalesce("_new", F.lit(0.0)) - F.coalesce("rank", F.lit(0.0)))), F.sum("_new")).first()
+        if k > WRITE_EVERY:
+            release(written)
+        written = rank
+        if change[0] < TOLERANCE:
+            seeded = start.agg(F.sum("rank")).first()[0] / (1 - DAMPING)
+            return rank.select("host", (F.col("rank") * F.lit(seeded / change[1])).alias("rank"))
+    raise RuntimeError(f"ranks still move after {MOST_ROUNDS} rounds")
 
 
 def host_rules(hosts: DataFrame, rules: DataFrame) -> DataFrame:
@@ -88,7 +97,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame = RULE
 
     Rows are never merged: repeated and null page_ids stay apart. A url without host fits no rule
     and has no links; it is allowed. Of rules of equal length that fit one page a blocking one
-    wins. A null html has no links.
+    wins. A null html has no links; a very long one is read whole. Other columns are ignored.
     """
     spark = pages.sparkSession
     if not isinstance(rules, DataFrame):
@@ -114,4 +123,5 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame = RULE
 
 
 def op9_url_filter(spark, sf_dir: str) -> DataFrame:
+    """Verdicts on all `pages`: see `judge` for nulls, empty and very long pages, ties and repeated rows."""
     return judge(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
