@@ -90,7 +90,8 @@ def scan(docs: DataFrame, known: list[tuple[str, str]] = KNOWN) -> DataFrame:
     n_notices (lines that are known, each time) and notice_ids (their distinct ids, sorted).
 
     Null and empty texts have the digest of the empty text, which is never known. Columns of
-    these names are replaced; rows are never merged, so repeated and null doc_ids stay apart.
+    these names are replaced; rows are never merged, so repeated and null doc_ids stay apart. Very
+    long texts are read whole. Where several known texts have one digest, the least id stands for it.
     """
     spark = docs.sparkSession
     kept = [c for c in docs.columns if c not in ("digest", "license_id", "n_notices", "notice_ids")]
@@ -114,4 +115,6 @@ def scan(docs: DataFrame, known: list[tuple[str, str]] = KNOWN) -> DataFrame:
 
 
 def op5_license_scan(spark, sf_dir: str) -> DataFrame:
+    """Digests and known licences of all `documents`: see `scan` for nulls, empty and very long texts, ties
+    and repeated rows."""
     return scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "digest", "license_id", "n_notices", "notice_ids")

@@ -216,6 +216,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id
 
 
 def op3_best_fit_packing(spark, sf_dir: str) -> DataFrame:
+    """Pieces of all `documents` in sequences of 4096 tokens: see `pieces` and `pack_documents` for nulls,
+    empty and very long texts, ties and repeated rows."""
     import public_tokenizers
 
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))

@@ -390,4 +390,6 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
 
 def op10_suffix_dedup(spark, sf_dir: str) -> DataFrame:
+    """Removed bytes of all `documents`: see `removed_bytes` for nulls, empty and very long texts, ties and
+    repeated rows."""
     return removed_bytes(table(spark, sf_dir, "documents").select("doc_id", "text"))

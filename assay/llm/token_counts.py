@@ -68,6 +68,8 @@ def quantile(histogram: DataFrame, q: float) -> DataFrame:
 
 
 def op7_token_counts(spark, sf_dir: str) -> DataFrame:
+    """Exact totals of all `documents` by context limit: nulls are empty texts of the end id alone, repeated
+    rows count as often, ties are one length, very long texts are encoded whole."""
     import public_tokenizers
 
     return length_histogram(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))

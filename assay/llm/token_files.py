@@ -100,6 +100,8 @@ def documents_of(blocks: DataFrame) -> DataFrame:
 
 
 def op6_token_files(spark, sf_dir: str) -> DataFrame:
+    """Token files of all `documents`, read back: see `encode_blocks` for nulls, ties and repeated rows; a very
+    long text is one block by itself."""
     import uuid
 
     import public_tokenizers
