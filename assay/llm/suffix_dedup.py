@@ -12,12 +12,12 @@ thirty windows in a row.
    repetition does not cross a bucket's boundary. Of a suffix that a batch of documents has more
    than once only one goes to its bucket; the others are known already to repeat.
 2. Only for anchors that repeat, the bytes of their windows are dealt again by the splitters,
-   and the buckets sort the windows by several keys: leading bytes, the hash of the rest, then
-   document and place. Of equal windows, all but the first are marked.
+   and the buckets sort them by their bytes with a multikey sort, eight at a time, each step only
+   among windows that are equal so far. Of neighbours with equal bytes, all but the first are marked.
 3. An anchor with more than HOT occurrences has its windows compared as rows by hash instead, of
    each batch of documents only the first of equal ones, so no bucket holds them all.
 
-Whole copies of a text are found first, by digest. Bytes after LEAD are compared by 64-bit hash.
+Whole copies of a text are found first. That texts or windows are equal is told by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -213,6 +213,31 @@ def _windows(affected: DataFrame) -> DataFrame:
     return affected.select("_d", "_h", "text", "pos", "deal").mapInArrow(gather, "bucket int, ids binary, keys binary, starts binary, counts binary, bytes binary")
 
 
+def multikey_sorted(data: np.ndarray, begin: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes (places `begin` of the bytes, numbered by `order`) sorted by their first LENGTH bytes, and
+    which of them differ from the one before. Multikey: all are sorted by one key of eight bytes, then
+    only runs that are equal so far by the next key; a run whose suffixes are all equal, by 64-bit
+    hash, is done. Equal suffixes keep their order."""
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    hashes = between(running(data), begin, begin + LENGTH)
+    open_ = np.arange(len(order))  # places in the order whose runs are not told apart yet
+    for depth in range(0, LENGTH, 8):
+        if not len(open_):
+            break
+        run = np.cumsum(new[open_])  # every run is open from its first place on
+        key = _leading(data, begin[order[open_]] + min(depth, LENGTH - 8))
+        by = np.lexsort((key, run)) if depth else np.argsort(key, kind="stable")
+        order[open_] = order[open_[by]]
+        key = key[by]
+        new[open_[1:]] |= key[1:] != key[:-1]
+        run, h = np.cumsum(new[open_]) - 1, hashes[order[open_]]
+        unlike = np.zeros(run[-1] + 1, bool)
+        unlike[run[1:][(h[1:] != h[:-1]) & ~new[open_[1:]]]] = True
+        open_ = open_[unlike[run]]
+    return order, new
+
+
 def _marked(key: tuple, group: pa.Table) -> pa.Table:
     """Of a bucket's windows, sorted, those equal to an earlier one: runs (_h, a, b) of their bytes."""
     ids, keys, starts, counts = (_column(group, c, "<i8") for c in ("ids", "keys", "starts", "counts"))
@@ -222,10 +247,10 @@ def _marked(key: tuple, group: pa.Table) -> pa.Table:
     of = np.repeat(np.arange(len(counts)), counts)
     step = np.arange(before[-1]) - before[of]
     begin = at[of] + step
-    rest, lead, place = between(running(data), begin + 8, begin + LENGTH), _leading(data, begin), starts[of] + step
-    # Several keys: the leading bytes, the hash of the rest, then the order of documents and places.
-    order = np.lexsort((place, keys[of], ids[of], rest, lead))
-    new = np.concatenate(([True], (lead[order][1:] != lead[order][:-1]) | (rest[order][1:] != rest[order][:-1])))
+    place = starts[of] + step
+    # Windows come in the order of documents and places; the sort keeps it among equal ones.
+    windows = np.lexsort((place, keys[of], ids[of]))
+    order, new = multikey_sorted(data, begin, windows)
     first = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
     marked = np.zeros(len(order), bool)
     marked[order] = (place[order] != place[first]) | (keys[of[order]] != keys[of[first]])
