@@ -6,13 +6,20 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 
-def long_keys(df: DataFrame, corpus: str, id_: str, classes: dict[str, Column], position: str | None = None) -> DataFrame:
-    """corpus, record_id, key_class, key: one row for each key of each record; null keys have none."""
-    cells = F.array(*(F.struct(F.lit(c).alias("key_class"), k.cast("string").alias("key")) for c, k in classes.items()))
-    rows = df.select(F.lit(corpus).alias("corpus"), F.col(id_).cast("string").alias("record_id"), F.inline(cells))
-    return rows.where(F.col("key").isNotNull())
+def long_keys(df: DataFrame, corpus: str, id_: str, classes: dict[str, Column]) -> DataFrame:
+    """corpus, record_id, key_class, key: one row for each key of each record. A class is a column of one
+    key or of an array of keys; null keys have none."""
+    kinds = [f.dataType for f in df.select(*classes.values()).schema]
+
+    def cells(name: str, key: Column, kind) -> Column:
+        keys = key if isinstance(kind, ArrayType) else F.array(key.cast("string"))
+        return F.transform(F.coalesce(keys, F.array().cast("array<string>")), lambda x: F.struct(F.lit(name).alias("key_class"), x.alias("key")))
+
+    every = F.flatten(F.array(*(cells(c, k, t) for (c, k), t in zip(classes.items(), kinds))))
+    return df.select(F.lit(corpus).alias("corpus"), F.col(id_).cast("string").alias("record_id"), F.inline(every)).where(F.col("key").isNotNull())
 
 
 def union(parts: list[DataFrame]) -> DataFrame:

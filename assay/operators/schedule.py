@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import save
+
 #: The last cycle that a schedule can have; one that needs more has a budget far beyond its rows.
 MOST_CYCLES = 10_000
 #: So few rows of a cycle that may still fit are folded by the driver: about 2 MB.
@@ -20,21 +21,14 @@ def _order(seed: int, namespace: str, cycle: Column | int, id_: str) -> Column:
     return F.sha2(F.concat_ws(":", F.lit(str(seed)), F.lit(namespace), cycle, F.col(id_).cast("string")), 256)
 
 
-def _held(df: DataFrame) -> DataFrame:
-    """`df` written under `spark.checkpoint.dir` and read again; where that is unset, executors keep it."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        return df.localCheckpoint()
-    path = f"{folder}/assay-{uuid.uuid4().hex}/schedule"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def _written(df: DataFrame) -> DataFrame:
+    return save(df, "schedule")
 
 
 def _dealt(df: DataFrame, *order: str) -> DataFrame:
     """`df` in ranges of `order`, held, with the range as `_p`: all rows of one are before those of the next."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return _held(df.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id()))
+    return _written(df.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id()))
 
 
 def _key(seed: int, namespace: str, cycle: Column | int) -> Column:
@@ -85,7 +79,7 @@ def greedy(df: DataFrame, id_: str, tokens: str, budget: int, seed: int, namespa
     cycle is filled in rounds (`_fill`). Cycles past MOST_CYCLES are an error. Rows larger than the
     budget never fit. Ids are unique. An empty table gives no items.
     """
-    rows = _held(df.select(F.col(id_).cast("string").alias("record_id"), F.col(tokens).cast("long").alias("sequence_tokens")))
+    rows = _written(df.select(F.col(id_).cast("string").alias("record_id"), F.col(tokens).cast("long").alias("sequence_tokens")))
     parts, cycle, left = [rows.limit(0).select(F.lit("").alias("_k"), "record_id", "sequence_tokens", F.lit(0).alias("cycle"))], 0, budget
     while True:
         fits = rows.where(F.col("sequence_tokens") <= left)

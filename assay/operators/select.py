@@ -100,3 +100,41 @@ def first_free_attempt(slots: DataFrame, attempts: int, key: Column, taken: Data
     free = tried.join(taken.select("key").distinct(), "key", "left_anti")
     own = free.withColumn("_first", F.row_number().over(Window.partitionBy("key").orderBy("attempt", "slot"))).where("_first = 1")
     return own.groupBy("slot").agg(F.min_by(F.struct(*[c for c in own.columns if c not in ("slot", "_first")]), "attempt").alias("_r")).select("slot", "_r.*")
+
+
+def _with_last(df: DataFrame, group: list[str], quota: int, among: Column) -> DataFrame:
+    """`df` (it has `_order`) with `_last`, the greatest order of the first `quota` rows of its group. Spark
+    cuts each group to that many rows before it shuffles, so a hot group is never sorted whole."""
+    first = df.where(among).withColumn("_n", F.row_number().over(Window.partitionBy(*group).orderBy("_order"))).where(F.col("_n") <= quota)
+    last = first.groupBy(*(F.col(g).alias(f"_g{i}") for i, g in enumerate(group))).agg(F.max("_order").alias("_last"))
+    return df.join(last, reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(group)]), "left").drop(*(f"_g{i}" for i in range(len(group))))
+
+
+def pool_selection(df: DataFrame, group: list[str], eligible: Column, order: Column, quota: int) -> DataFrame:
+    """Every row of a declared pool with its status: selected (of the eligible rows of its group among the
+    first `quota` in an order without ties), unselected or ineligible."""
+    df = df.withColumn("_ok", F.coalesce(eligible, F.lit(False))).withColumn("_order", order)
+    ranked = _with_last(df, group, quota, F.col("_ok"))
+    status = F.when(~F.col("_ok"), "ineligible").when(F.col("_order") <= F.col("_last"), "selected").otherwise("unselected")
+    return ranked.withColumn("status", status).drop("_ok", "_order", "_last")
+
+
+def quota_but(df: DataFrame, group: str, order: Column, quota: int, whole: list[str]) -> DataFrame:
+    """The first `quota` rows of each group in an order without ties, and all of the groups in `whole`."""
+    ranked = _with_last(df.withColumn("_order", order), [group], quota, F.lit(True))
+    return ranked.where((F.col("_order") <= F.col("_last")) | F.coalesce(F.col(group).isin(whole), F.lit(False))).drop("_order", "_last")
+
+
+def balanced_variants(df: DataFrame, id_: str, text: str, pattern: str, variants: list[str], each: int) -> DataFrame:
+    """For each value of `id_`: rows of each variant that a pattern finds in a text, and whether there are
+    `each` of every one."""
+    found = F.regexp_extract(F.coalesce(text, F.lit("")), pattern, 1)
+    counted = df.groupBy(id_).agg(*(F.count_if(found == v).alias(f"n_{v}") for v in variants))
+    return counted.withColumn("balanced", reduce(lambda a, b: a & b, [F.col(f"n_{v}") == each for v in variants]))
+
+
+def ordered_unique(df: DataFrame, id_: str) -> DataFrame:
+    """All rows in the order of a key that must be unique: a repeated one is an error at run time."""
+    n = F.count(F.lit(1)).over(Window.partitionBy(id_))
+    checked = F.when(n > 1, F.raise_error(F.concat(F.lit("repeated key: "), F.col(id_).cast("string")))).otherwise(F.col(id_))
+    return df.withColumn(id_, checked.cast(df.schema[id_].dataType)).orderBy(id_)

@@ -374,17 +374,40 @@ def bucket_draws(spark, sf_dir):
 
 # --- Leakage, duplicates, integrity --------------------------------------------------------------
 
-_KEYS = (
-    "k AS (SELECT 'benchmark' AS corpus, CAST(item_id AS VARCHAR) AS record_id, t.* FROM benchmark, LATERAL (VALUES ('content', sha256(text)), ('opening', substr(text, 1, 6))) t(key_class, key) UNION ALL SELECT 'conversations', CAST(conv_id * 1000 + turn AS VARCHAR), t.* FROM conversations, LATERAL (VALUES ('content', sha256(text)), ('opening', substr(text, 1, 6))) t(key_class, key) "
-    "UNION ALL SELECT 'documents', CAST(doc_id AS VARCHAR), t.* FROM documents, LATERAL (VALUES ('content', sha256(text)), ('opening', substr(text, 1, 6))) t(key_class, key))"
-)
+#: Words of a passage that is a key of its own.
+_PASSAGE = 10
+
+
+def _keys_sql() -> str:
+    """Three classes of keys of four corpora: the text's digest, that of its words alone (lower case,
+    without marks and white space), and those of all passages of words."""
+    corpora = {"benchmark": ("CAST(item_id AS VARCHAR)", "text", "benchmark"), "conversations": ("CAST(conv_id * 1000 + turn AS VARCHAR)", "text", "conversations"), "documents": ("CAST(doc_id AS VARCHAR)", "text", "documents"), "pages": ("CAST(page_id AS VARCHAR)", "html", "pages")}
+    texts = " UNION ALL ".join(f"SELECT '{c}' AS corpus, {i} AS record_id, {t} AS text FROM {f}" for c, (i, t, f) in corpora.items())
+    return (
+        f"t AS ({texts}), u AS (SELECT corpus, record_id, text, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS ws FROM t WHERE text IS NOT NULL), "
+        "k AS (SELECT corpus, record_id, 'content' AS key_class, sha256(text) AS key FROM u UNION ALL SELECT corpus, record_id, 'signature', sha256(array_to_string(ws, ' ')) FROM u "
+        f"UNION ALL SELECT DISTINCT corpus, record_id, 'passage', sha256(array_to_string(ws[i:i + {_PASSAGE - 1}], ' ')) FROM (SELECT corpus, record_id, ws, unnest(range(1, len(ws) - {_PASSAGE - 2})) AS i FROM u WHERE len(ws) >= {_PASSAGE}))"
+    )
+
+
+_KEYS = _keys_sql()
+
+
+def _with_words(df):
+    return df.withColumn("_words", F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda w: w != ""))
+
+
+def _key_classes():
+    """The keys of a row that has `text` and `_words`."""
+    spans = F.sequence(F.lit(1), F.size("_words") - (_PASSAGE - 1))
+    passages = F.when(F.size("_words") >= _PASSAGE, F.array_distinct(F.transform(spans, lambda i: F.sha2(F.array_join(F.slice("_words", i, F.lit(_PASSAGE)), " "), 256))))
+    return {"content": F.sha2("text", 256), "signature": F.sha2(F.array_join("_words", " "), 256), "passage": passages}
 
 
 def _corpus_keys(spark, sf_dir):
-    classes = {"content": F.sha2("text", 256), "opening": F.substring("text", 1, 6)}
-    bench, docs = _t(spark, sf_dir, "benchmark"), _t(spark, sf_dir, "documents").select("doc_id", "text")
-    conv = _t(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
-    return leakage.union([leakage.long_keys(bench, "benchmark", "item_id", classes), leakage.long_keys(conv, "conversations", "id", classes), leakage.long_keys(docs, "documents", "doc_id", classes)])
+    corpora = {"benchmark": ("benchmark", F.col("item_id"), "text"), "conversations": ("conversations", F.col("conv_id") * 1000 + F.col("turn"), "text"), "documents": ("documents", F.col("doc_id"), "text"), "pages": ("pages", F.col("page_id"), "html")}
+    rows = {c: _t(spark, sf_dir, t).select(i.alias("id"), F.col(x).cast("string").alias("text")) for c, (t, i, x) in corpora.items()}
+    return leakage.union([leakage.long_keys(_with_words(df), c, "id", _key_classes()) for c, df in rows.items()])
 
 
 @query(f"WITH {_KEYS}, o AS (SELECT key_class, key, min(corpus) AS owner_corpus FROM k GROUP BY ALL HAVING min(corpus) <> max(corpus)), w AS (SELECT key_class, key, owner_corpus, max(record_id) AS owner_id FROM o JOIN k USING (key_class, key) WHERE corpus = owner_corpus GROUP BY ALL) SELECT key_class, key, owner_corpus, owner_id, corpus, record_id FROM w JOIN k USING (key_class, key) WHERE corpus <> owner_corpus")
@@ -405,8 +428,8 @@ def leakage_audit(spark, sf_dir):
 
 @query(f"WITH {_KEYS} SELECT doc_id FROM documents WHERE CAST(doc_id AS VARCHAR) NOT IN (SELECT a.record_id FROM k a WHERE corpus = 'documents' AND EXISTS (SELECT 1 FROM k b WHERE b.corpus <> 'documents' AND a.key_class = b.key_class AND a.key = b.key))")
 def without_collisions(spark, sf_dir):
-    classes = {"content": F.sha2("text", 256), "opening": F.substring("text", 1, 6)}
-    return leakage.without_collisions(_t(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", classes, _corpus_keys(spark, sf_dir).where("corpus <> 'documents'")).select("doc_id")
+    docs = _with_words(_t(spark, sf_dir, "documents").select("doc_id", "text"))
+    return leakage.without_collisions(docs, "doc_id", _key_classes(), _corpus_keys(spark, sf_dir).where("corpus <> 'documents'")).select("doc_id")
 
 
 @query("SELECT sha256(text) AS digest, count(*) AS n, min(doc_id) AS least_id FROM documents GROUP BY ALL HAVING count(*) > 1")
