@@ -524,12 +524,29 @@ def _scheduled(spark, sf_dir):
     return schedule.greedy(docs, "doc_id", "n_chars", _BUDGET, 7, "schedule", _PER_STEP)
 
 
-@query()
+_SCHEDULE_SQL = """
+WITH RECURSIVE d AS (SELECT CAST(doc_id AS VARCHAR) AS id, n_chars AS n FROM documents),
+st(c, pick, room) AS (
+  SELECT 0::BIGINT, p, {budget} - p.n FROM (SELECT min({{'cycle': 0, 'k': sha256('7:schedule:0:' || id) || id, 'id': id, 'n': n}}) AS p FROM d WHERE n <= {budget}) WHERE p IS NOT NULL
+  UNION ALL
+  SELECT c + 1, p, room - p.n FROM (
+    SELECT s.c, s.room, min({{'cycle': s.pick.cycle + g, 'k': sha256('7:schedule:' || (s.pick.cycle + g) || ':' || id) || id, 'id': id, 'n': n}}) AS p
+    FROM st s, d, (VALUES (0), (1)) v(g)
+    WHERE n <= s.room AND ((g = 1 AND s.room > 0) OR (g = 0 AND sha256('7:schedule:' || s.pick.cycle || ':' || id) || id > s.pick.k)) GROUP BY s.c, s.room
+  ) WHERE p IS NOT NULL
+), i AS (SELECT c AS cursor, pick.id AS record_id, pick.n AS sequence_tokens, pick.cycle AS cycle, c // {per} AS accumulation_group, c // {per} + 1 AS optimizer_step FROM st)
+""".format(budget=_BUDGET, per=_PER_STEP)
+
+
+@query(_SCHEDULE_SQL + "SELECT * FROM i")
 def greedy_schedule(spark, sf_dir):
     return _scheduled(spark, sf_dir)
 
 
-@query()
+@query(
+    _SCHEDULE_SQL + f", t AS (SELECT count(*) AS n_items, coalesce(sum(sequence_tokens), 0)::BIGINT AS processed_tokens, coalesce(max(optimizer_step), 0)::BIGINT AS optimizer_steps FROM i) "
+    f"SELECT n_items, processed_tokens, {_BUDGET} - processed_tokens AS residual_tokens, optimizer_steps, ceil(optimizer_steps * 0.05)::BIGINT AS warmup_steps, list_sort(list_distinct([greatest(1, least(optimizer_steps, ceil(optimizer_steps * 0.5)::BIGINT)), greatest(1, optimizer_steps)])) AS checkpoint_steps FROM t"
+)
 def schedule_totals(spark, sf_dir):
     return schedule.totals(_scheduled(spark, sf_dir), _BUDGET)
 
