@@ -31,11 +31,11 @@ def components(edges: DataFrame) -> DataFrame:
     A hub's edges have one key only on the larger side of a join, where the adaptive skew join
     splits them; the least neighbour is found with partial aggregation.
     """
-    edges = save(_small_star(edges.where("a <> b")), "edges")
-    state = None
+    edges, state, before = edges.where("a <> b"), None, []
     while True:
-        before, edges = edges, save(_small_star(_large_star(edges)), "edges")
-        release(before)
+        edges = save(_small_star(_large_star(edges)), "edges")
+        release(*before)
+        before = [edges]
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == state:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -15,7 +15,7 @@ with a similarity of 0.8 always meet below one. Below a group
    least of those), and linked sets become components: near copies, however many, cost a star;
 2. groups whose sets are still in several components are searched: the points are cut into leaves
    by size and by where they lie, bounding boxes, coarse points and full points are compared by
-   summed minima, and of each component only the pair of greatest bound with another one is
+   summed minima, and of each component only the pair of greatest bound with a lesser one is
    verified; components that prove linked become one;
 3. what is then still in several components is searched again, and every pair of different
    components that survives the bounds is verified.
@@ -45,8 +45,9 @@ COORDINATES, COARSE = 256, 32
 LOADS, TOGETHER = 1 << 20, 1 << 13
 #: Prefix tokens that a task gathers before it writes them out, and those of a bucket, about.
 GATHERED, BUCKET = 1 << 19, 1 << 19
-#: Rounds at most in which each component is compared with its most promising other one.
-ROUNDS = 2
+#: Rounds in which each component is compared with its most promising lesser one only, and pairs that
+#: a task gathers before it thins them out.
+ROUNDS, THINNED = 1, 1 << 18
 #: Sets of a leaf, about.
 LEAF = 256
 #: Leaves of a tree and size that are paired with others in one task, about, and pairs that go to a
@@ -250,14 +251,11 @@ def _verified(docs: DataFrame, names: DataFrame, near: DataFrame) -> DataFrame:
     return links
 
 
-def _best(a: np.ndarray, b: np.ndarray, part: np.ndarray, other: np.ndarray, bound: np.ndarray) -> np.ndarray:
-    """Of pairs the one of greatest bound of each component, on either side."""
-    if not len(a):
-        return np.zeros(0, np.int64)
-    at, of = np.tile(np.arange(len(a)), 2), np.concatenate((part, other))
-    order = np.lexsort((bound[at], of))
-    last = np.append(of[order][1:] != of[order][:-1], True)
-    return np.unique(at[order[last]])
+def _best(part: np.ndarray, other: np.ndarray, bound: np.ndarray) -> np.ndarray:
+    """Of pairs the one of greatest bound for each component that is the greater of its pair."""
+    greater = np.maximum(part, other)
+    order = np.lexsort((bound, greater))
+    return order[np.append(greater[order][1:] != greater[order][:-1], True)] if len(order) else order
 
 
 def _survivors(x: tuple, y: tuple, once: bool) -> tuple[np.ndarray, ...]:
@@ -287,18 +285,31 @@ def _searched(every: bool):
     best of each component, with their components and bound."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, total = [], 0
+
+        def columns() -> list[np.ndarray]:
+            a, b, part, other, bound = (np.concatenate(c) for c in zip(*found))
+            keep = slice(None) if every else _best(part, other, bound)
+            return [c[keep] for c in (a, b, part, other, bound)]
+
+        def batch_of(cells: list[np.ndarray]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in cells], names=["a", "b", "part", "other", "bound"])
+
         for batch in batches:
-            found = [[np.zeros(0, np.int64)] for _ in range(4)] + [[np.zeros(0)]]
             for k in range(batch.num_rows):
                 one = not batch.column("others")[k].is_valid
                 x = _leaf(batch.column("sets"), k)
                 y = x if one else _leaf(batch.column("others"), k)
                 i, j, bound = _survivors(x, y, one)
-                for column, c in zip(found, (x[0][i], y[0][j], x[1][i], y[1][j], bound)):
-                    column.append(c)
-            a, b, part, other, bound = (np.concatenate(c) for c in found)
-            keep = slice(None) if every else _best(a, b, part, other, bound)
-            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (a, b, part, other, bound)], names=["a", "b", "part", "other", "bound"])
+                found.append((x[0][i], y[0][j], x[1][i], y[1][j], bound))
+                total += len(i)
+                if total >= THINNED:
+                    cells = columns()
+                    if every:
+                        yield batch_of(cells)
+                    found, total = ([] if every else [tuple(cells)]), 0
+        if found:
+            yield batch_of(columns())
 
     return search
 
@@ -325,16 +336,18 @@ def _across(trees: DataFrame, points: DataFrame, every: bool) -> DataFrame:
     one_leaf = trees.where(F.col("_k") <= LEAF).groupBy("token").agg(F.array_sort(F.collect_list("set_id")).alias("members")).select("members").distinct()
     one_leaf = one_leaf.select(F.xxhash64("members", F.size("members")).alias("tree"), F.explode("members").alias("set_id"))
     small = one_leaf.join(placed, "set_id").groupBy("tree").agg(sets.alias("sets")).select("sets", F.lit(None).cast("array<struct<set_id:bigint,component:bigint,n:bigint,point:binary>>").alias("others"))
-    leaves = _leaves(trees.where(F.col("_k") > LEAF).select("token", "set_id").join(placed, "set_id"), sets)
     kind = "a long, b long, part long, other long, bound double"
-    found = save(small.mapInArrow(_searched(every), kind).unionByName(_leaf_pairs(leaves).mapInArrow(_searched(every), kind)), "found", batch=PAIRS)
+    pairs, large, leaves = small.mapInArrow(_searched(every), kind), trees.where(F.col("_k") > LEAF), []
+    if not large.isEmpty():
+        leaves = [_leaves(large.select("token", "set_id").join(placed, "set_id"), sets)]
+        pairs = pairs.unionByName(_leaf_pairs(leaves[0]).mapInArrow(_searched(every), kind))
+    found = save(pairs, "found", batch=PAIRS)
+    rows = found
     if not every:
-        best = F.max_by(F.struct("a", "b"), F.struct("bound", "a", "b"))
-        both = found.select("a", "b", F.explode(F.array("part", "other")).alias("part"), "bound")
-        found, all_found = save(both.groupBy("part").agg(best.alias("_p")).select("_p.a", "_p.b"), "best"), found
-        release(all_found)
-    release(placed, leaves)
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        rows = found.groupBy(F.greatest("part", "other").alias("part")).agg(F.max_by(F.struct("a", "b"), F.struct("bound", "a", "b")).alias("_p")).select("_p.a", "_p.b")
+    near = save(rows.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-links")
+    release(placed, found, *leaves)
+    return near
 
 
 def _leaves(held: DataFrame, sets: Column) -> DataFrame:
@@ -402,7 +415,7 @@ def link_classes(docs: DataFrame) -> DataFrame:
     trees = _open_trees(postings, parts)
     release(postings, near)
     for every in [False] * ROUNDS + [True]:
-        near = save(_across(trees, points, every), "near-links")
+        near = _across(trees, points, every)
         more = _verified(docs, names, near)
         release(near)
         if more.isEmpty():
