@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import save
+
 
 def keyed_diff(left: DataFrame, right: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """Every key of either side: presence, and for each column whether both sides agree (null-safe)."""
@@ -61,15 +63,19 @@ def histogram_diff(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFr
 
 
 def leaves(df: DataFrame, key: str, json: str) -> DataFrame:
-    """key, path, value: the scalars of a flat or one-level nested JSON object, values canonical.
-
-    Two levels are opened by map explosions; what is deeper stays canonical text of its branch.
-    """
-    top = df.select(key, F.explode_outer(F.try_variant_get(F.try_parse_json(json), "$", "map<string,variant>")).alias("_k", "_v"))
-    inner = F.try_variant_get("_v", "$", "map<string,variant>")
-    flat = top.where(inner.isNull() & F.col("_k").isNotNull()).select(key, F.concat(F.lit("/"), "_k").alias("path"), F.to_json("_v").alias("value"))
-    deep = top.where(inner.isNotNull()).select(key, "_k", F.explode(inner).alias("_k2", "_v2")).select(key, F.concat(F.lit("/"), "_k", F.lit("/"), "_k2").alias("path"), F.to_json("_v2").alias("value"))
-    return flat.unionByName(deep)
+    """key, path, value: what a JSON object holds that is no object itself, by JSON Pointer, values
+    canonical. Objects are opened level by level, however deep; each level is written."""
+    members = F.try_variant_get("_v", "$", "map<string,variant>")
+    level, found = df.select(key, F.lit("").alias("path"), F.try_parse_json(json).alias("_v")), []
+    while True:
+        inside = level.select(key, "path", F.explode(members).alias("_k", "_c"))
+        step = F.replace(F.replace(F.col("_k"), F.lit("~"), F.lit("~0")), F.lit("/"), F.lit("~1"))
+        opened = inside.select(key, F.concat("path", F.lit("/"), step).alias("path"), F.col("_c").alias("_v"))
+        found.append(opened.where(members.isNull()).select(key, "path", F.to_json("_v").alias("value")))
+        level = opened.where(members.isNotNull())
+        if level.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+        level = save(level, "level")
 
 
 def subset_diff(wanted: DataFrame, actual: DataFrame, key: str) -> DataFrame:
@@ -86,6 +92,8 @@ def delta_table(left: DataFrame, right: DataFrame, key: str, value: str) -> Data
 
 
 def retention(rows: DataFrame, source: DataFrame, key: str, values: list[str]) -> DataFrame:
-    """Values as shares of the source row's, null where that is 0. `source` is one row."""
-    base = source.select(*(F.col(v).alias(f"_{v}") for v in values))
-    return rows.join(F.broadcast(base)).select(key, *values, *(F.try_divide(F.col(v), F.col(f"_{v}")).alias(f"{v}_retention") for v in values))
+    """Values as shares of the source row's, null where that is 0. `source` is one row, else ValueError."""
+    base = source.select(*values).limit(2).collect()
+    if len(base) != 1:
+        raise ValueError("the source of a retention is one row")
+    return rows.select(key, *values, *(F.try_divide(F.col(v), F.lit(base[0][v])).alias(f"{v}_retention") for v in values))

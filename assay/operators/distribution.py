@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .compare import histogram_diff
@@ -21,11 +21,19 @@ def bucket(value: Column, bounds: list[tuple[str, int, int]]) -> Column:
     return reduce(lambda c, b: c.when(value.between(b[1], b[2]), b[0]), ordered, F.when(F.lit(False), F.lit(None).cast("string")))
 
 
+#: Buckets that are broadcast: a few dozen bytes each. For more Spark chooses the join.
+BROADCAST_BUCKETS = 10_000
+
+
 def bucket_join(df: DataFrame, field: str, value: str, buckets: DataFrame) -> DataFrame:
-    """`bucket` with the bounds in a table (field, name, minimum, maximum): a range join on a small
-    broadcast table; a value in no bucket keeps null, one in two raises at run time."""
+    """`bucket` with the bounds in a table (field, name, minimum, maximum): a range join; a value in no
+    bucket keeps null. Buckets of one field that overlap raise ValueError before the join."""
     b = buckets.where(F.col("field") == field).select("name", "minimum", "maximum")
-    return df.join(F.broadcast(b), F.col(value).between(F.col("minimum"), F.col("maximum")), "left").withColumn("bucket", F.col("name")).drop("name", "minimum", "maximum")
+    before = F.lag("maximum").over(Window.orderBy("minimum", "maximum"))  # of one field's buckets, not of data
+    if not b.withColumn("_before", before).where(F.col("_before") >= F.col("minimum")).isEmpty():
+        raise ValueError(f"buckets of {field!r} overlap")
+    few = b.count() <= BROADCAST_BUCKETS
+    return df.join(F.broadcast(b) if few else b, F.col(value).between(F.col("minimum"), F.col("maximum")), "left").withColumn("bucket", F.col("name")).drop("name", "minimum", "maximum")
 
 
 def strata(df: DataFrame, dimensions: list[str]) -> DataFrame:

@@ -88,7 +88,8 @@ def ordered_subset(df: DataFrame, id_: str, ids: list[str]) -> DataFrame:
     """The rows of given ids in the order asked for, with `ordinal`; a missing id raises ValueError."""
     wanted = df.sparkSession.createDataFrame([(k, i) for k, i in enumerate(ids)], ["ordinal", "_id"])
     require_complete(wanted.select(F.col("_id").alias(id_)), df, [id_], "requested ids")
-    return df.join(F.broadcast(wanted), F.col(id_) == F.col("_id")).drop("_id").orderBy("ordinal")
+    few = len(ids) <= 100_000  # some MB; the list is in the driver's memory anyway
+    return df.join(F.broadcast(wanted) if few else wanted, F.col(id_) == F.col("_id")).drop("_id").orderBy("ordinal")
 
 
 def exactly_once(df: DataFrame, keys: list[str], what: str) -> DataFrame:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import residuals, select
+from ..operators import compare, distribution, residuals, select
 from ..operators.evaluate import Comparison, Evaluator, evaluate
 from ..operators.score import parse, score
 from ..operators.summarize import count_true
+from ..sources.jsonl import ids_in
 from ..sources.shared import save
 from . import routing
 from .catalogue import _t, query
@@ -212,3 +213,28 @@ def generic_evaluation(spark, sf_dir):
     return rows.groupBy("event_type", "classification").agg(
         F.count(F.lit(1)).alias("n"), *(count_true(F.col(f)).alias(f) for f in flags), F.round(F.sum("field_mean"), 6).alias("field_total"), F.sum("n_blockers").alias("n_blockers"), F.sum(F.size("safety_findings")).cast("bigint").alias("n_findings")
     )
+
+
+@query("WITH b(name, lo, hi) AS (VALUES ('short', 0, 499), ('middle', 500, 1999), ('long', 2500, 1000000)) SELECT name AS bucket, count(*) AS n FROM documents LEFT JOIN b ON n_chars BETWEEN lo AND hi GROUP BY ALL")
+def bucket_ranges(spark, sf_dir):
+    buckets = spark.createDataFrame([("n_chars", "short", 0, 499), ("n_chars", "middle", 500, 1999), ("n_chars", "long", 2500, 1_000_000), ("other", "any", 0, 9)], "field string, name string, minimum long, maximum long")
+    return distribution.bucket_join(_t(spark, sf_dir, "documents"), "n_chars", "n_chars", buckets).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "SELECT event_id, '/a/b/c/k' AS path, CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) AS value, json_extract(props, '$.k')::VARCHAR AS actual FROM events WHERE CAST(floor(value) AS BIGINT)::VARCHAR IS DISTINCT FROM json_extract(props, '$.k')::VARCHAR"
+)
+def nested_diff(spark, sf_dir):
+    """Differences three objects deep, at their own paths."""
+    ev = _t(spark, sf_dir, "events")
+    inside = lambda c: F.concat(F.lit('{"a":{"b":{"c":'), c, F.lit("}},\"same\":[1,{}]}"))
+    wanted = ev.select("event_id", inside(F.concat(F.lit('{"k":'), F.floor("value").cast("string"), F.lit("}"))).alias("j"))
+    actual = ev.select("event_id", inside(F.col("props")).alias("j"))
+    return compare.subset_diff(compare.leaves(wanted, "event_id", "j"), compare.leaves(actual, "event_id", "j"), "event_id")
+
+
+@query("SELECT CAST(event_id AS VARCHAR) AS id FROM events UNION SELECT 'u' || user_id FROM events")
+def nested_ids(spark, sf_dir):
+    """Ids that named fields hold at the top and eight levels down."""
+    deep = F.concat(F.lit('{"record_id":"'), F.col("event_id").cast("string"), F.lit('","x":[{"a":{"b":{"c":{"d":[{"e":{"example_ids":["u'), F.col("user_id").cast("string"), F.lit('"]}}]}}}}]}'))
+    return ids_in(_t(spark, sf_dir, "events").select(deep.alias("j")), "j")

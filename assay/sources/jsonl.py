@@ -3,16 +3,23 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import save
+
 
 def read(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """Typed records of line-delimited JSON; blank lines are skipped, and a line that does not fit
-    fails the query. A field the schema lacks is dropped, as `unknown_fields` would report."""
-    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    """Typed records of line-delimited JSON; blank lines are skipped. A line that does not fit, or that
+    has a field the schema lacks, fails the query."""
+    schema = spark.createDataFrame([], schema).schema
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    extra = F.array_except(F.map_keys(F.try_variant_get(F.try_parse_json("value"), "$", "map<string,variant>")), F.lit([f.name for f in schema.fields]))
+    strict = F.when(F.size(extra) > 0, F.raise_error(F.concat(F.lit("unknown fields: "), F.array_join(extra, ", ")))).otherwise(F.col("value"))
+    return lines.select(F.from_json(strict.cast("string"), schema, {"mode": "FAILFAST"}).alias("_r")).select("_r.*")
 
 
 def read_checked(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
@@ -60,17 +67,15 @@ def variants(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({c: F.try_parse_json(c) for c in columns})
 
 
-def ids_in(df: DataFrame, json: str, names: tuple[str, ...] = ("example_id", "record_id", "example_ids", "record_ids"), depth: int = 6) -> DataFrame:
-    """All ids that fields of some names hold anywhere in JSON, to a depth: one explosion a level."""
-    level = df.select(F.try_parse_json(json).alias("_v"))
-    found = []
-    for _ in range(depth):
+def ids_in(df: DataFrame, json: str, names: tuple[str, ...] = ("example_id", "record_id", "example_ids", "record_ids")) -> DataFrame:
+    """All distinct ids that fields of some names hold anywhere in JSON, however deep: a level of all
+    documents is opened at a time, and written, until none is left."""
+    level, found = save(df.select(F.try_parse_json(json).alias("_v")), "level"), []
+    while True:
         pairs = level.select(F.explode_outer(F.try_variant_get("_v", "$", "map<string,variant>")).alias("_k", "_c"))
         lists = level.select(F.explode(F.try_variant_get("_v", "$", "array<variant>")).alias("_v"))
         named = pairs.where(F.col("_k").isin(*names))
         found.append(named.select(F.explode(F.coalesce(F.try_variant_get("_c", "$", "array<string>"), F.array(F.try_variant_get("_c", "$", "string")))).alias("id")))
-        level = pairs.where(F.col("_c").isNotNull()).select(F.col("_c").alias("_v")).unionByName(lists)
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out.where("id is not null").distinct()
+        level = save(pairs.where(F.col("_c").isNotNull()).select(F.col("_c").alias("_v")).unionByName(lists), "level")
+        if level.isEmpty():
+            return reduce(DataFrame.unionByName, found).where("id is not null").distinct()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -32,12 +33,14 @@ def commit(tables: dict[str, DataFrame], root: str, bundle: str) -> str:
 
 
 def append_stage(spark: SparkSession, path: str, run_id: str, stage: str, status: str, payload: str) -> str:
-    """Append one row whose hash covers its parent's; returns the hash."""
+    """Append one row whose hash covers its parent's; returns the hash. A run's rows have a folder each,
+    named by their sequence: of two writers of one sequence the second fails."""
     last = latest(spark, path, run_id) if exists(spark, path) else None
     sequence, parent = (last["sequence"] + 1, last["sha256"]) if last else (0, None)
     row = spark.createDataFrame([(run_id, sequence, stage, parent, status, payload)], STAGE.rsplit(",", 1)[0])
     row = row.withColumn("sha256", chain_hash())
-    row.write.mode("append").parquet(path)
+    run = hashlib.sha256(run_id.encode()).hexdigest()[:16]
+    row.write.mode("errorifexists").parquet(f"{path}/{run}-{sequence:08d}")
     return row.first()["sha256"]
 
 
@@ -46,7 +49,7 @@ def chain_hash():
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(STAGE).parquet(path)
+    return spark.read.schema(STAGE).option("recursiveFileLookup", "true").parquet(path)
 
 
 def latest(spark: SparkSession, path: str, run_id: str):
