@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import save
+
 from .summarize import count_true
 
 #: The measures of dominance: larger is better, and smaller is better.
@@ -71,19 +73,40 @@ def status_rollup(checks: DataFrame, keys: list[str]) -> DataFrame:
     return checks.groupBy(*keys).agg(F.when(blocking == 1, "FAIL").when(other == 1, "WARN").otherwise("PASS").alias("status"), F.count(F.lit(1)).alias("n_checks"))
 
 
-def pareto_front(df: DataFrame, keys: list[str], id_: str, larger: list[str], smaller: list[str]) -> DataFrame:
-    """Rows that no row of their group dominates: at least as good in every measure, better in one.
+#: Points of a share of a group, about, within which points are compared first.
+SHARE = 2_000
 
-    Of rows with equal measures one pair is as good as another, so only distinct measures meet. A
-    comparison needs an equal group, which deals the work out; measures must not be null.
-    """
-    points = df.select(*keys, *larger, *smaller).distinct()
-    other = points.select(*(F.col(c).alias(f"_{c}") for c in points.columns))
+
+def _undominated(points: DataFrame, others: DataFrame, keys: list[str], larger: list[str], smaller: list[str]) -> DataFrame:
+    """Points that none of `others` of their keys dominates."""
+    other = others.select(*(F.col(c).alias(f"_{c}") for c in [*keys, *larger, *smaller]))
     same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
     no_worse = [F.col(f"_{c}") >= F.col(c) for c in larger] + [F.col(f"_{c}") <= F.col(c) for c in smaller]
     better = reduce(lambda a, b: a | b, [F.col(f"_{c}") > F.col(c) for c in larger] + [F.col(f"_{c}") < F.col(c) for c in smaller])
-    front = points.join(other, reduce(lambda a, b: a & b, [*same, *no_worse, better]), "left_anti")
-    cols = [*keys, *larger, *smaller]
+    return points.join(other, reduce(lambda a, b: a & b, [*same, *no_worse, better]), "left_anti")
+
+
+def pareto_front(df: DataFrame, keys: list[str], id_: str, larger: list[str], smaller: list[str]) -> DataFrame:
+    """Rows that no row of their group dominates: at least as good in every measure, better in one.
+
+    Of rows with equal measures one pair is as good as another, so only distinct points meet; measures
+    must not be null. Points fall first to their group's champions, those best in one measure; then,
+    in shares of about SHARE points, to each other; only what no share rejects is compared across its
+    group, so the quadratic part is of the shares' fronts alone.
+    """
+    measures = [*larger, *smaller]
+    points = df.select(*keys, *measures).distinct()
+    good = [F.col(c).cast("double") for c in larger] + [-F.col(c).cast("double") for c in smaller]
+    champions = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *(F.max_by(F.struct(*measures), F.struct(g, *good)).alias(f"_c{i}") for i, g in enumerate(good)))
+    champions = save(champions, "champions")
+    best = champions.select(*keys, F.explode(F.array(*(f"_c{i}" for i in range(len(good))))).alias("_c")).select(*keys, "_c.*").distinct()
+    left = _undominated(points, best, keys, larger, smaller)
+    sizes = champions.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), "_n")
+    left = left.join(sizes, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]) if keys else F.lit(True))
+    left = save(left.select(*keys, *measures, F.pmod(F.xxhash64(*measures), F.ceil(F.col("_n") / SHARE)).alias("share")), "points")
+    left = save(_undominated(left, left, [*keys, "share"], larger, smaller).drop("share"), "fronts")
+    front = _undominated(left, left, keys, larger, smaller)
+    cols = [*keys, *measures]
     held = front.select(*(F.col(c).alias(f"_{c}") for c in cols))
     return df.join(held, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in cols]), "left_semi")
 
