@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import compare, distribution, residuals, select
+from ..operators import compare, distribution, records, residuals, select
 from ..operators.evaluate import Comparison, Evaluator, evaluate
 from ..operators.score import parse, score
 from ..operators.summarize import count_true
@@ -238,3 +238,56 @@ def nested_ids(spark, sf_dir):
     """Ids that named fields hold at the top and eight levels down."""
     deep = F.concat(F.lit('{"record_id":"'), F.col("event_id").cast("string"), F.lit('","x":[{"a":{"b":{"c":{"d":[{"e":{"example_ids":["u'), F.col("user_id").cast("string"), F.lit('"]}}]}}}}]}'))
     return ids_in(_t(spark, sf_dir, "events").select(deep.alias("j")), "j")
+
+
+_INPUTS = (
+    "SELECT o_orderkey AS i, 'order-' || CAST(o_orderkey AS STRING) AS record_id, o_orderstatus AS grp, '{\"k\":' || CASE WHEN o_orderkey % 47 = 0 THEN '\"x\"' ELSE CAST(o_orderkey AS STRING) END || '}' AS payload, "
+    "'{\"group\":\"' || CASE WHEN o_orderkey % 53 = 0 THEN 'X' ELSE o_orderstatus END || '\"}' AS coverage, CASE WHEN o_orderkey % 59 = 0 THEN '{\"d\":7}' WHEN o_orderkey % 37 = 0 THEN '{\"d\":\"maybe\"}' WHEN o_orderkey % 23 = 0 THEN 'yes' ELSE '{\"d\":\"yes\"}' END AS answer FROM orders"
+)
+_IN_SCHEMA = {"type": "object", "required": ["k"], "properties": {"k": {"type": "integer"}}}
+_OUT_SCHEMA = {"type": "object", "required": ["d"], "properties": {"d": {"type": "string"}}}
+_KNOWN = {"/d": ["yes", "no"]}
+
+
+def _records(spark, sf_dir):
+    _t(spark, sf_dir, "orders").createOrReplaceTempView("_assay_orders")
+    df = spark.sql(_INPUTS.replace("FROM orders", "FROM _assay_orders")).withColumnRenamed("grp", "group")
+    df = df.withColumn("content_sha256", F.when(F.col("i") % 43 == 0, "bad").otherwise(F.sha2("payload", 256)))
+    return df.unionByName(df.where("i % 101 = 0"))
+
+
+@query(
+    f"WITH o AS ({_INPUTS.replace('STRING', 'VARCHAR')}), r AS (SELECT *, CASE WHEN i % 43 = 0 THEN 'bad' ELSE sha256(payload) END AS h, 1 AS copies FROM o UNION ALL SELECT *, CASE WHEN i % 43 = 0 THEN 'bad' ELSE sha256(payload) END, 2 FROM o WHERE i % 101 = 0), "
+    "c AS (SELECT r.*, t.* FROM r, LATERAL (VALUES ('COVERAGE_GROUP_MISMATCH', i % 53 = 0), ('INPUT_SCHEMA_INVALID', i % 47 = 0), ('INPUT_CONTENT_HASH_MISMATCH', i % 43 = 0), ('DUPLICATE_RECORD_ID', copies = 2), "
+    "('ORACLE_JOIN_MISMATCH', i % 61 = 0), ('ORACLE_INPUT_HASH_MISMATCH', i % 61 <> 0 AND i % 29 = 0), ('ORACLE_CONTENT_HASH_MISMATCH', i % 61 <> 0 AND i % 31 = 0), ('ORACLE_SCHEMA_INVALID', i % 61 <> 0 AND (i % 59 = 0 OR (i % 37 <> 0 AND i % 23 = 0))), ('CONTROLLED_VOCABULARY_INVALID', i % 61 <> 0 AND (i % 59 = 0 OR i % 37 = 0))) t(finding, holds)) "
+    "SELECT finding, count(*) AS n FROM c WHERE holds GROUP BY ALL"
+)
+def record_findings(spark, sf_dir):
+    inputs = _records(spark, sf_dir)
+    oracles = inputs.dropDuplicates(["record_id"]).where("i % 61 <> 0").select(
+        "record_id", F.col("answer").alias("expected"), F.when(F.col("i") % 29 == 0, "other").otherwise(F.col("content_sha256")).alias("input_content_sha256"), F.when(F.col("i") % 31 == 0, "bad").otherwise(F.sha2("answer", 256)).alias("content_sha256")
+    )
+    found = records.input_findings(inputs, _IN_SCHEMA, "group").unionByName(records.oracle_findings(inputs, oracles, _OUT_SCHEMA, _KNOWN))
+    return found.groupBy("finding").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    f"WITH o AS ({_INPUTS.replace('STRING', 'VARCHAR')}), r AS (SELECT *, 1 AS copies FROM o UNION ALL SELECT *, 2 FROM o WHERE i % 101 = 0), "
+    "c AS (SELECT r.*, t.* FROM r, LATERAL (VALUES ('COVERAGE_GROUP_MISMATCH', i % 53 = 0), ('TRAINING_INPUT_SCHEMA_INVALID', i % 47 = 0), ('INPUT_CONTENT_HASH_MISMATCH', i % 43 = 0), ('DUPLICATE_LABELED_RECORD_ID', copies = 2), ('ASSISTANT_LABEL_HASH_MISMATCH', i % 31 = 0), "
+    "('TRAINING_LABEL_INVALID_JSON', NOT json_valid(answer)), ('TRAINING_LABEL_SCHEMA_INVALID', i % 59 = 0), ('CONTROLLED_VOCABULARY_INVALID', i % 59 = 0 OR i % 37 = 0)) t(finding, holds)) "
+    "SELECT finding, count(*) AS n FROM c WHERE holds GROUP BY ALL"
+)
+def labeled_findings(spark, sf_dir):
+    labeled = _records(spark, sf_dir).withColumn("assistant_label", F.col("answer")).withColumn("label_sha256", F.when(F.col("i") % 31 == 0, "bad").otherwise(F.sha2("answer", 256)))
+    return records.labeled_findings(labeled, _IN_SCHEMA, _OUT_SCHEMA, "group", _KNOWN).groupBy("finding").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "WITH a AS (SELECT item_id, sha256(text) AS h, sha256(lower(text)) AS g FROM benchmark), d AS (SELECT doc_id, 'anchor' || CASE WHEN doc_id % 7 = 0 THEN '-x' ELSE '' END AS o, CASE WHEN doc_id % 5 = 0 THEN 'test' ELSE 'anchor' END AS s, sha256(text) AS h, sha256(lower(text)) AS g FROM documents) "
+    "SELECT finding, count(*) AS n FROM d, LATERAL (VALUES ('ANCHOR_ORIGIN_INVALID', o <> 'anchor'), ('ANCHOR_SURFACE_INVALID', s <> 'anchor'), ('ANCHOR_EVALUATION_LEAKAGE', h IN (SELECT h FROM a) OR g IN (SELECT g FROM a) OR CAST(doc_id AS VARCHAR) IN (SELECT CAST(item_id AS VARCHAR) FROM a))) t(finding, holds) WHERE holds GROUP BY ALL"
+)
+def anchor_findings(spark, sf_dir):
+    key = lambda df, i: df.select(F.col(i).cast("string").alias("record_id"), F.sha2("text", 256).alias("content_sha256"), F.sha2(F.lower("text"), 256).alias("semantic_signature"))
+    docs = _t(spark, sf_dir, "documents")
+    anchors = key(docs, "doc_id").withColumn("_d", F.col("record_id").cast("long")).withColumns({"label_origin": F.when(F.col("_d") % 7 == 0, "anchor-x").otherwise("anchor"), "surface": F.when(F.col("_d") % 5 == 0, "test").otherwise("anchor")})
+    return records.anchor_findings(anchors, key(_t(spark, sf_dir, "benchmark"), "item_id")).groupBy("finding").agg(F.count(F.lit(1)).alias("n"))
