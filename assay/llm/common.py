@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +21,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of texts that go to a Python worker together.
+TEXTS = 1_000
+
+
+def give_back() -> None:
+    """Give a Python worker's free memory back to the system: between tasks it waits beside other workers
+    and the JVM, whose memory it would narrow."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not the C library that has it
+        pass
+
+
 def _quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 

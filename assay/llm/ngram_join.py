@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import n_partitions, release, save, table
+from .common import TEXTS, give_back, n_partitions, release, save, table
 from .components import components
 from .hashing import mix, word_hashes
 
@@ -131,6 +131,7 @@ def named_sets(docs: DataFrame) -> DataFrame:
         part = np.flatnonzero(loads.reshape(-1, TOGETHER).any(1))
         none = [None] * len(part)
         yield rows(pa.array(none, pa.int64()), none, none, none, none, part.tolist(), [x.astype("<u4").tobytes() for x in loads.reshape(-1, TOGETHER)[part]])
+        give_back()
 
     return docs.mapInArrow(name, "doc_id long, set_id long, n_shingles long, point binary, sums array<int>, part int, loads binary")
 
@@ -188,6 +189,7 @@ def _prefix_rows(docs: DataFrame, loads: np.ndarray, buckets: int) -> DataFrame:
                     tokens, names, seen, total = [], [], set(), 0
         if tokens:
             yield from packed(tokens, names)
+        give_back()
 
     return docs.select("text").mapInArrow(prefixes, "bucket int, tokens binary, members binary, buckets binary, leaders binary")
 
@@ -240,10 +242,11 @@ def _verified(docs: DataFrame, names: DataFrame, near: DataFrame) -> DataFrame:
             for i in range(0, batch.num_rows, 500):
                 sets = list(gram_sets(batch.column("text").slice(i, 500)))
                 yield pa.RecordBatch.from_arrays([pa.array([set_id(g) for g in sets], pa.int64()), pa.array([g.view(np.int64) for g in sets], pa.list_(pa.int64()))], names=["set_id", "grams"])
+        give_back()
 
     # One document of each set; where several rows share its id, a set may come twice, and so a link.
     found = docs.join(chosen, docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi").select("text").mapInArrow(full, "set_id long, grams array<long>")
-    grams = save(found.join(wanted, "set_id", "left_semi"), "grams")
+    grams = save(found.join(wanted, "set_id", "left_semi"), "grams", batch=TEXTS)
     size = lambda c: F.size(c).cast("long")
     linked = near.join(grams.toDF("a", "_g"), "a").join(grams.toDF("b", "_h"), "b").where(_enough(size(F.array_intersect("_g", "_h")), size("_g"), size("_h")))
     links = save(linked.select("a", "b").distinct(), "links")
@@ -310,6 +313,7 @@ def _searched(every: bool):
                     found, total = ([] if every else [tuple(cells)]), 0
         if found:
             yield batch_of(columns())
+        give_back()
 
     return search
 
@@ -398,11 +402,11 @@ def link_classes(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     spark = docs.sparkSession
-    named = save(named_sets(docs), "sets")
+    named = save(named_sets(docs), "sets", batch=TEXTS)
     loads = _summed_loads(named)
     names = named.where(F.col("part").isNull()).select("doc_id", "set_id", "n_shingles")
     buckets = max(n_partitions(spark), int(loads.sum()) // 5 // BUCKET)
-    met = save(_prefix_rows(docs, loads, buckets).groupBy("bucket").applyInArrow(_meetings, "token long, leader long, member long"), "meetings")
+    met = save(_prefix_rows(docs, loads, buckets).groupBy("bucket").applyInArrow(_meetings, "token long, leader long, member long"), "meetings", batch=TEXTS)
     postings = save(met.select("token", F.explode(F.array("leader", "member")).alias("set_id")).distinct(), "postings")
     points = named.where(F.col("set_id").isNotNull()).groupBy("set_id").agg(F.first("n_shingles").alias("n"), F.first("point").alias("point"), F.first("sums").alias("sums"))
     points = save(points.join(postings.select("set_id").distinct(), "set_id", "left_semi"), "points")
