@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import held, hold, n_partitions, save, table
+from .common import TEXTS, give_back, held, hold, n_partitions, save, table
 from .tokenizing import crc32, encode_with_end
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -54,6 +54,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int =
                 [pa.array(d, pa.int64()), pa.array(k, pa.int32()), pa.array(i, pa.int64()), pa.array(n, pa.int64()), pa.array(c, pa.int64())],
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],
             )
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, PIECES)
 
@@ -212,7 +213,7 @@ def pack(rows: DataFrame, capacity: int = 4096) -> DataFrame:
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1) -> DataFrame:
     """Pieces of all documents with their places; see `pieces` and `pack`."""
-    return pack(save(pieces(docs, tokenizer, capacity, end_id), "pieces"), capacity)
+    return pack(save(pieces(docs, tokenizer, capacity, end_id), "pieces", batch=TEXTS), capacity)
 
 
 def op3_best_fit_packing(spark, sf_dir: str) -> DataFrame:

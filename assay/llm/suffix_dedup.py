@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held, hold, n_partitions, save, table
+from .common import TEXTS, give_back, held, hold, n_partitions, save, table
 from .hashing import between, mix, running, slices
 
 #: Bytes of a string whose repetition counts, and of the string that makes an anchor.
@@ -38,7 +38,7 @@ LENGTH, LEAD = 100, 40
 #: Sampled texts for the splitters, at most about.
 SAMPLE = 20_000
 #: Anchors that a task gathers before it writes them out; those of a bucket, about.
-GATHERED, BUCKET = 1 << 20, 1 << 20
+GATHERED, BUCKET = 1 << 18, 1 << 19
 #: Shares of a bucket, by the anchor's hash, in which windows are sorted.
 SHARES = 8
 #: Occurrences of an anchor from which its windows are compared as rows.
@@ -157,6 +157,7 @@ def _repeating(keyed: DataFrame, cuts: np.ndarray, buckets: int) -> DataFrame:
                 keys, parts, seen, total = [], [], set(), 0
         if keys:
             yield from packed(keys, parts)
+        give_back()
 
     def meet(key: tuple, group: pa.Table) -> pa.Table:
         known = np.array(group.column("known").to_pylist())
@@ -198,6 +199,7 @@ def _windows(affected: DataFrame) -> DataFrame:
                 out, total = [], 0
         if out:
             yield flush(out)
+        give_back()
 
     def flush(out: list[tuple]) -> pa.RecordBatch:
         out.sort(key=lambda r: r[0])
@@ -300,6 +302,7 @@ def _hot_windows(affected: DataFrame) -> DataFrame:
                     held, total = ([], [], [], []), 0
         if total:
             yield flush(*held)
+        give_back()
 
     return affected.where(F.size("hot") > 0).select("_d", "_h", "text", "hot").mapInArrow(rows, "w long, _d long, _h long, a long, b long")
 
@@ -326,6 +329,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             digests.append(hashlib.sha256(kept).hexdigest())
             left.append(kept.decode("utf-8", "ignore"))  # of a character that was cut in two nothing stays
         yield pa.RecordBatch.from_arrays([batch.column("_h"), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests, pa.string()), pa.array(left, pa.string())], names=["_h", "n_removed", "n_spans", "kept_sha256", "kept"])
+    give_back()
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -346,7 +350,7 @@ def cut_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     buckets = max(n_partitions(spark), int(size[1]) // 30 // BUCKET)
     long_enough = keyed.where(F.octet_length("text") >= LENGTH)
     cuts = _splitters(long_enough, int(size[0]), buckets)
-    found = save(_repeating(long_enough, cuts, buckets).distinct(), "anchors")
+    found = save(_repeating(long_enough, cuts, buckets).distinct(), "anchors", batch=TEXTS)
     hot = found.groupBy("cut", "lead").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > HOT).select("cut", "lead", F.lit(True).alias("_hot"))
     hot = save(hot, "hot-anchors")
     if hot.count() <= BROADCAST_HOT:
@@ -366,12 +370,12 @@ def cut_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         affected = affected.dropDuplicates(["_d", "_h"])
     affected = save(affected, "affected")
     runs = _windows(affected).groupBy("bucket").applyInArrow(_marked, "_h long, a long, b long")
-    rows = save(_hot_windows(affected), "hot-windows")
+    rows = save(_hot_windows(affected), "hot-windows", batch=TEXTS)
     once = rows.where(F.col("w").isNotNull())
     least = once.groupBy("w").agg(F.min(F.struct("_d", "_h", "a")).alias("_m"))
     hot_runs = once.join(least, "w").where(F.struct("_d", "_h", "a") != F.col("_m")).select("_h", "a", (F.col("a") + LENGTH).alias("b"))
     hot_runs = hot_runs.unionByName(rows.where(F.col("w").isNull()).select("_h", "a", "b"))
-    all_runs = save(runs.unionByName(hot_runs).groupBy("_h").agg(F.collect_list(F.struct("a", "b")).alias("runs")), "runs")
+    all_runs = save(runs.unionByName(hot_runs).groupBy("_h").agg(F.collect_list(F.struct("a", "b")).alias("runs")), "runs", batch=TEXTS)
     cut = affected.select("_h", "text").join(all_runs, "_h").select("_h", "text", "runs").mapInArrow(_cut, "_h long, n_removed long, n_spans long, kept_sha256 string, kept string")
     copies = every.join(firsts.select("_h", F.col("_d").alias("_first")), "_h").withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))))
     marked = copies.select(F.when(F.col("_d") != FIRST, F.col("_d")).alias("doc_id"), "_d", "_h", "n_bytes", "sha256", ((F.col("_d") != F.col("_first")) | (F.col("_nth") > 1)).alias("copy"))

@@ -69,9 +69,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         # For words of plain letters normalising and splitting do nothing: only merges are left.
-        self.merges = Tokenizer.from_file(path)
-        self.merges.normalizer = normalizers.Sequence([])
-        self.merges.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.steps = {False: (self.tokenizer.normalizer, self.tokenizer.pre_tokenizer), True: (normalizers.Sequence([]), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False))}
         self.young, self.old = _Known(), _Known()
         self.most = CACHE_WORDS if remember else 0
 
@@ -90,9 +88,10 @@ class WordEncoder:
         self.young.add(hashes[lacking[before >= 0]], self.old.size[kept], _gather(self.old.ids, self.old.at[kept], self.old.size[kept]))
         new = lacking[before < 0]
         plain = np.asarray(pc.match_substring_regex(parts.take(pa.array(new)), f"^{_PLAIN}+$"), bool)
-        for library, chosen in ((self.merges, new[plain]), (self.tokenizer, new[~plain])):
+        for merges_only, chosen in ((True, new[plain]), (False, new[~plain])):
+            self.tokenizer.normalizer, self.tokenizer.pre_tokenizer = self.steps[merges_only]
             for i in range(0, len(chosen), 8192):
-                found = [e.ids for e in library.encode_batch_fast(parts.take(pa.array(chosen[i : i + 8192])).to_pylist(), add_special_tokens=False)]
+                found = [e.ids for e in self.tokenizer.encode_batch_fast(parts.take(pa.array(chosen[i : i + 8192])).to_pylist(), add_special_tokens=False)]
                 size = np.fromiter(map(len, found), np.int64, len(found))
                 self.young.add(hashes[chosen[i : i + 8192]], size, np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum())))
         place = self.young.find(hashes)
