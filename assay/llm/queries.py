@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
+from .ball_kmeans import op12_ball_kmeans
 from .decontaminate import op1_decontamination
 from .lattice_lm import op8_lattice_lm
 from .licenses import op5_license_scan
@@ -14,6 +15,8 @@ from .suffix_dedup import op10_suffix_dedup
 from .token_counts import op7_token_counts
 from .token_files import op6_token_files
 from .urls import op9_url_filter
+from .whitening import op11_embedding_whitening
+from .window_cuts import op13_window_cuts
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -27,6 +30,9 @@ QUERIES = {
     "op8_lattice_lm": op8_lattice_lm,
     "op9_url_filter": op9_url_filter,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_ball_kmeans": op12_ball_kmeans,
+    "op13_window_cuts": op13_window_cuts,
 }
 
 ORACLE_SQL: dict[str, str] = {"op4_quality_rules": OP4_SQL}
