@@ -47,9 +47,9 @@ class Costs:
     """In tokens of padding: a cut between sentences, one inside a sentence, a sequence more. `step`:
     inside sentences the stream can be cut at its multiples."""
 
-    sentence: int = 4
-    inside: int = 64
-    open: int = 1
+    sentence: int = 2
+    inside: int = 24
+    open: int = 32
     step: int = 64
 
 

