@@ -1,10 +1,12 @@
 """Quality rules whose cutoffs are learnt for each language and source.
 
-Fixed cutoffs treat every source alike. Here each share is counted on a fixed grid of
-thousandths or hundredths, for each (lang, source). Such a grid is a quantile sketch: its error is one
-cell whatever the corpus, its size is bounded, and two of them merge by adding counts. A group's
-quartiles give its cutoffs, and a join with them filters. A group of fewer than MIN_GROUP
-documents uses its language's merged sketch, and a small language that of all documents.
+Fixed cutoffs treat every source alike. Here each measure is counted in cells, for each (lang,
+source). Such counts are a quantile sketch: cells are whole numbers up to a thousand and three
+leading digits beyond, so the error is under a hundredth whatever the range; there are some hundreds
+of cells for each power of ten; and two sketches merge by adding counts. A group's deciles give its
+cutoffs: the ninth, and so many times the distance from the first more. A join with them filters. A
+group of fewer than MIN_GROUP documents uses its language's merged sketch, and a small language that
+of all documents.
 
 Everything is DataFrame functions; a text is looked at only within its row.
 """
@@ -22,24 +24,24 @@ WINDOW = 8
 MIN_GROUP = 50
 #: Groups of (lang, source) whose cutoffs are broadcast, under 10 MB; for more, Spark shuffles.
 BROADCAST_GROUPS = 100_000
-#: A value passes up to the upper quartile and so many interquartile ranges more ...
+#: A value passes up to the ninth decile and so many times its distance from the first ...
 FENCE = 3
-#: ... or so many cells more, if that is more: a uniform group does not reject small differences.
-SLACK = {"symbols": 20, "dup_lines": 150, "long_words": 160}
-#: What is measured: thousandths of a share (of lines, as if ten more were there, for short texts); of
-#: the mean word length, hundredths. Repeated words have a base rule and no cell.
+#: ... and so many cells more: what the sketch leaves open on either side.
+SLACK = 2
+#: What is measured: symbols and words equal to the word before in thousandths (of letters as if two
+#: hundred more were there, and of words as if fifty more were, for short texts); lines equal to an
+#: earlier one, beyond the first two, in thousandths of lines as if ten more were there; the mean word
+#: length in tenths of a letter. Repeated windows have a base rule and no cell.
 METRICS = {
-    "symbols": "n_symbols * 1000 div greatest(word_chars, 1)",
-    "dup_lines": "n_dup_lines * 1000 div (n_lines + 10)",
-    "long_words": "word_chars * 100 div greatest(n_words, 1)",
+    "symbols": "n_symbols * 1000 div (word_chars + 200)",
+    "stutters": "n_stutters * 1000 div (n_words + 50)",
+    "dup_lines": "greatest(n_dup_lines - 2, 0) * 1000 div (n_lines + 10)",
+    "long_words": "word_chars * 10 div greatest(n_words, 1)",
 }
-#: The sketch's last cell, which counts all greater values too: a bound of its size. Values are held
-#: against cutoffs as they are, so none is taken for a smaller one.
-LAST_CELL = 10_000
 
 
 #: Columns that are added, from a text alone and by the method.
-STATISTICS = ["n_symbols", "n_words", "word_chars", "n_lines", "n_dup_lines", "n_repeat_words"]
+STATISTICS = ["n_symbols", "n_words", "word_chars", "n_lines", "n_dup_lines", "n_stutters", "n_repeat_words"]
 VERDICTS = ["base_failed", *(f"max_{k}" for k in METRICS), "kept"]
 
 
@@ -54,7 +56,8 @@ def with_window_hashes(df: DataFrame, tokens: str, out: str) -> DataFrame:
 
 
 def statistics(docs: DataFrame) -> DataFrame:
-    """Add to each row n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words.
+    """Add to each row n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_stutters (words equal to the
+    word before), n_repeat_words.
 
     A null text is an empty one: all are 0. Windows are equal if their 64-bit hashes are. Columns
     of those names are replaced; no others are touched.
@@ -66,6 +69,7 @@ def statistics(docs: DataFrame) -> DataFrame:
     df = df.select(
         *kept, "n_symbols", "_words",
         F.size("_words").cast("long").alias("n_words"), F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
+        F.size(F.filter(F.zip_with("_words", F.slice("_words", F.lit(2), F.greatest(F.size("_words") - 1, F.lit(0))), lambda a, b: a == b), lambda x: x)).cast("long").alias("n_stutters"),
         F.size("_lines").cast("long").alias("n_lines"), (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
     )
     df = with_window_hashes(df, "_words", "_w").drop("_words")
@@ -89,22 +93,29 @@ def base_failed() -> Column:
     return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
 
+def cell(value: Column) -> Column:
+    """The sketch's cell of a whole number: itself up to a thousand, else its three leading digits and zeros."""
+    v = value.cast("long")
+    unit = F.pow(F.lit(10.0), F.greatest(F.length(v.cast("string")) - 3, F.lit(0))).cast("long")
+    return v - v % unit
+
+
 def sketches(stats: DataFrame) -> DataFrame:
-    """The grid sketch of each (lang, source): lang, source, metric, cell, n. Mergeable: add n."""
-    cells = F.explode(F.array(*(F.struct(F.lit(k).alias("metric"), F.least(F.lit(LAST_CELL), F.expr(e)).cast("long").alias("cell")) for k, e in METRICS.items())))
+    """The sketch of each (lang, source): lang, source, metric, cell, n. Mergeable: add n."""
+    cells = F.explode(F.array(*(F.struct(F.lit(k).alias("metric"), cell(F.expr(e)).alias("cell")) for k, e in METRICS.items())))
     return stats.select("lang", "source", cells.alias("_m")).groupBy("lang", "source", "_m.metric", "_m.cell").agg(F.count(F.lit(1)).alias("n"))
 
 
 def cutoffs(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """The highest cell of each metric that passes, for each group of `keys`, and the group's size."""
+    """The highest value of each metric that passes, for each group of `keys`, and the group's size."""
     group = Window.partitionBy(*keys, "metric")
     merged = sketch.groupBy(*keys, "metric", "cell").agg(F.sum("n").alias("n"))
-    quartile = lambda k: F.min(F.when(4 * F.col("_upto") >= k * F.col("_all"), F.col("cell")))
+    decile = lambda k: F.min(F.when(10 * F.col("_upto") >= k * F.col("_all"), F.col("cell")))
     by_metric = (
         merged.withColumn("_upto", F.sum("n").over(group.orderBy("cell"))).withColumn("_all", F.sum("n").over(group))
-        .groupBy(*keys, "metric").agg(quartile(1).alias("_q1"), quartile(3).alias("_q3"), F.max("_all").alias("_all"))
+        .groupBy(*keys, "metric").agg(decile(1).alias("_low"), decile(9).alias("_high"), F.max("_all").alias("_all"))
     )
-    fence = lambda k: F.max(F.when(F.col("metric") == k, F.col("_q3") + F.greatest(FENCE * (F.col("_q3") - F.col("_q1")), F.lit(SLACK[k]))))
+    fence = lambda k: F.max(F.when(F.col("metric") == k, F.col("_high") + FENCE * (F.col("_high") - F.col("_low")) + SLACK))
     return by_metric.groupBy(*keys).agg(F.max("_all").alias("_size"), *(fence(k).alias(f"max_{k}") for k in METRICS))
 
 
@@ -113,9 +124,10 @@ def judge(docs: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     cutoffs max_* of its group, and kept: not base_failed and no value over its cutoff.
 
     Cutoffs are learnt from rows that are not base_failed; nulls of lang and source are groups of
-    their own. A group of fewer than `min_group` such rows takes its language's cutoffs, a smaller
+    their own; values are held against cutoffs as they are, however great. A group of fewer than `min_group` such rows takes its language's cutoffs, a smaller
     language those of all rows. Null and empty texts fail; repeated rows are judged each by itself and
-    count as often; very long texts are read whole. Rows with their statistics are written, so texts
+    count as often; very long texts are read whole. An empty table gives an empty one. Columns named as
+    the added ones are replaced, all others are kept as they are, whatever their names. Rows with their statistics are written, so texts
     are looked at once for both uses.
     """
     kept = [c for c in docs.columns if c not in (*STATISTICS, *VERDICTS)]
@@ -155,9 +167,10 @@ def verdicts(stats: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
 
 def op4_quality_rules(spark, sf_dir: str) -> DataFrame:
     """Statistics and verdicts of all `documents`: see `judge` for nulls, empty and very long texts, ties
-    and repeated rows."""
+    and repeated rows. `kept` depends on MIN_GROUP: a (lang, source) with fewer documents that pass the base
+    rules is held against its language's cutoffs."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    return verdicts(save(statistics(docs).drop("text"), "statistics")).select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", *(f"max_{k}" for k in METRICS), "kept")
+    return verdicts(save(statistics(docs).drop("text"), "statistics")).select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_stutters", "n_repeat_words", "base_failed", *(f"max_{k}" for k in METRICS), "kept")
 
 
 OP4_SQL = r"""
@@ -181,19 +194,18 @@ WITH d AS (
     CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
     CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
     CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+    CAST(len(list_filter(list_zip(ws[2:], ws[1:len(ws) - 1]), lambda x: x[1] = x[2])) AS BIGINT) AS n_stutters,
     coalesce(cov.n, 0) AS n_repeat_words
   FROM w LEFT JOIN cov ON w.r = cov.r
 ), f AS (
   SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
-    n_symbols * 1000 // greatest(word_chars, 1) AS symbols,
-    n_dup_lines * 1000 // (n_lines + 10) AS dup_lines,
-    word_chars * 100 // greatest(n_words, 1) AS long_words
+    {metrics}
   FROM st
 ), ok AS (SELECT * FROM f WHERE NOT base_failed),
 q AS (
-  SELECT 2 AS lv, lang, source, count(*) AS n, {quartiles} FROM ok GROUP BY lang, source
-  UNION ALL SELECT 1, lang, NULL, count(*), {quartiles} FROM ok GROUP BY lang
-  UNION ALL SELECT 0, NULL, NULL, count(*), {quartiles} FROM ok
+  SELECT 2 AS lv, lang, source, count(*) AS n, {deciles} FROM ok GROUP BY lang, source
+  UNION ALL SELECT 1, lang, NULL, count(*), {deciles} FROM ok GROUP BY lang
+  UNION ALL SELECT 0, NULL, NULL, count(*), {deciles} FROM ok
 ), g AS (
   SELECT lv, lang, source, n, {fences} FROM q WHERE n >= 50 OR lv = 0 AND n > 0
 ), j AS (
@@ -203,13 +215,14 @@ q AS (
   LEFT JOIN g b ON b.lv = 1 AND f.lang IS NOT DISTINCT FROM b.lang
   LEFT JOIN g c ON c.lv = 0
 )
-SELECT doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+SELECT doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_stutters, n_repeat_words, base_failed,
   {names},
   NOT base_failed AND NOT ({over}) AS kept
 FROM j
 """.format(
-    quartiles=", ".join(f"least({LAST_CELL}, quantile_disc({k}, 0.25)) AS {k}_1, least({LAST_CELL}, quantile_disc({k}, 0.75)) AS {k}_3" for k in METRICS),
-    fences=", ".join(f"{k}_3 + greatest({FENCE} * ({k}_3 - {k}_1), {v}) AS max_{k}" for k, v in SLACK.items()),
+    metrics=", ".join(f"{e.replace(' div ', ' // ')} AS {k}" for k, e in METRICS.items()),
+    deciles=", ".join(f"quantile_disc({k}, 0.1) AS {k}_1, quantile_disc({k}, 0.9) AS {k}_9" for k in METRICS),
+    fences=", ".join(f"{k}_9 + {FENCE} * ({k}_9 - {k}_1) + {SLACK} AS max_{k}" for k in METRICS),
     chosen=", ".join(f"CAST(CASE WHEN a.n IS NOT NULL THEN a.max_{k} WHEN b.n IS NOT NULL THEN b.max_{k} ELSE c.max_{k} END AS BIGINT) AS max_{k}" for k in METRICS),
     names=", ".join(f"max_{k}" for k in METRICS),
     over=" OR ".join(f"coalesce({k} > max_{k}, false)" for k in METRICS),

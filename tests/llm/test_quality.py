@@ -44,3 +44,28 @@ def test_cutoffs_follow_the_group(spark):
     assert set(range(60)) | set(range(100, 160)) <= kept and 200 not in kept
     few = {r["doc_id"] for r in judge(docs, min_group=1).where("kept").collect()}
     assert 201 in few
+
+
+def test_long_words_are_no_fault_of_a_group(spark):
+    """Texts without spaces between most words: values far beyond a thousand have their own cells, and none is cut off."""
+    texts = [" ".join("x" * (150 + (7 * i + 13 * k) % 100) for k in range(25)) for i in range(80)]
+    docs = spark.createDataFrame([(i, t + str(i), "zh", "a") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    assert judge(docs).where("kept").count() == 80
+
+
+def test_cutoffs_follow_the_spread(spark):
+    """No constant decides: a source of wider spread has a higher cutoff, and equal values only the sketch's slack."""
+    wide = [CLEAN[i].replace(" ", " $ ", i % 7) for i in range(60)]
+    rows = [(i, t, "en", "wide") for i, t in enumerate(wide)] + [(100 + i, t, "en", "narrow") for i, t in enumerate(CLEAN)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    cut = {r["source"]: r["max_symbols"] for r in judge(docs).select("source", "max_symbols").distinct().collect()}
+    values = sorted(1000 * (i % 7) // (plain(wide[i])[1] + 200) for i in range(60))
+    assert cut == {"narrow": 2, "wide": values[53] + 3 * (values[53] - values[5]) + 2}
+
+
+def test_cells(spark):
+    """Three leading digits beyond a thousand: bounded numbers of cells, an error under a hundredth."""
+    from assay.llm.quality import cell
+
+    got = {r["v"]: r["c"] for r in spark.createDataFrame([(v,) for v in (0, 7, 999, 1000, 1009, 12_345, 9_876_543_210)], "v long").select("v", cell(F.col("v")).alias("c")).collect()}
+    assert got == {0: 0, 7: 7, 999: 999, 1000: 1000, 1009: 1000, 12_345: 12_300, 9_876_543_210: 9_870_000_000}
