@@ -34,6 +34,9 @@ _NUMBER_END, _END = "\x05", "\x04"
 LITERALS = 5
 #: Consecutive windows' worth of evidence: an item with as many, or all it has, is in a document.
 ENOUGH = 5
+#: Items of at least so many tokens, and fewer than a window's, are found inside longer documents, with
+#: their values as they are; still shorter ones only as a document of just those tokens.
+SHORTEST = 3
 #: Windows of the benchmark that are broadcast: 24 bytes each, under 16 MB. Beyond it Spark shuffles.
 BROADCAST_WINDOWS = 500_000
 
@@ -68,7 +71,7 @@ def valued(text: Column) -> Column:
 
 def windows(df: DataFrame, key: str, text: str = "text", tokens=canonical) -> DataFrame:
     """Hashes of the windows of each row: key, pos (from 0), window. A text of fewer than eight
-    tokens, but some, is one window of all it has: it matches only a text of just those tokens."""
+    tokens, but some, is one window of all it has, which only a text of just those tokens matches."""
     t = df.select(F.col(key).alias(key), tokens(F.col(text)).alias("_t"))
     t = with_window_hashes(t, "_t", "_w")
     short = F.array(F.xxhash64("_t", F.size("_t")))
@@ -90,6 +93,29 @@ def _slots(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     return t.select(key, "_t", F.map_concat("_m0", "_m1", "_m2").alias("_v"))
 
 
+def _short_items(docs: DataFrame, items: DataFrame, like: DataFrame) -> DataFrame:
+    """Hits (columns of `like`) of items shorter than a window, at any place of a document.
+
+    Where an item's first SHORTEST canonical tokens stand, and only there, the document's tokens with
+    their values are compared, by a hash for each length that some item has. So each word costs one
+    join row whatever the number of lengths, and nothing at all where no item is short.
+    """
+    size = F.size("_t")
+    shorts = items.select("item_id", canonical(F.col("text")).alias("_t"), valued(F.col("text")).alias("_v")).where((size >= SHORTEST) & (size < WINDOW))
+    shorts = save(shorts.select("item_id", size.alias("_n"), F.xxhash64(F.slice("_t", 1, SHORTEST)).alias("_first"), F.xxhash64("_v").alias("_own")), "short-items")
+    found = shorts.agg(F.count(F.lit(1)).alias("n"), F.collect_set("_n").alias("lengths")).first()
+    if not found["n"]:
+        return like.limit(0)
+    broadcast = F.broadcast if found["n"] <= BROADCAST_WINDOWS else lambda df: df
+    starts = F.transform(F.sequence(F.lit(0), size - SHORTEST), lambda i: F.xxhash64(F.slice("_t", i + 1, F.lit(SHORTEST))))
+    places = docs.select("doc_id", canonical(F.col("text")).alias("_t")).where(size >= SHORTEST).select("doc_id", F.posexplode(starts).alias("pos", "_first"))
+    places = places.join(broadcast(shorts.select("_first").distinct()), "_first", "left_semi").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("pos").alias("_at"))
+    within = docs.join(places, F.col("doc_id").eqNullSafe(F.col("_id"))).select("doc_id", valued(F.col("text")).alias("_v"), F.explode("_at").alias("pos"), "_at")
+    within = within.withColumn("_n", F.explode(F.array(*map(F.lit, sorted(found["lengths"]))))).where(F.col("pos") + F.col("_n") <= F.size("_v"))
+    within = within.select("doc_id", "pos", "_n", F.xxhash64(F.slice("_v", F.col("pos") + 1, F.col("_n"))).alias("_own"))
+    return within.join(broadcast(shorts.select("item_id", "_n", "_own")), ["_n", "_own"]).select("doc_id", "pos", "item_id", F.lit(0).alias("item_pos")).distinct()
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, enough: int = ENOUGH) -> DataFrame:
     """Pairs (doc_id, item_id) of a document and a benchmark item that it holds, with n_windows (the
     item's windows found), item_windows, and reparameterised (some slot has another value).
@@ -98,8 +124,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, enough: int = ENOUGH) -> DataFr
     found in consistent alignments.
     Every row is judged by its own text: where documents or items share an id, or have none, a pair
     of ids is found if any of their texts are, with the figures of the texts with most windows found.
-    Repeated rows count once. Null and empty texts hold nothing; very long ones are read whole. Windows with fewer than LITERALS words that are no placeholder are found where
-    their slots have the same values: the values are looked at only in documents with such a template.
+    Repeated rows count once. Null and empty texts hold nothing; very long ones are read whole; an empty
+    table on either side gives no pairs. Other columns are not read.
+
+    Windows with fewer than LITERALS words that are no placeholder are found where their slots have the
+    same values: the values are looked at only in documents with such a template. An item of fewer than
+    eight tokens, but SHORTEST at least, is found anywhere with its values as they are; a document of
+    just its tokens holds it with other values too. A still shorter one is found only in such a document.
     """
     own = lambda c: F.struct(F.col(c).alias("id"), F.xxhash64("text").alias("h")).alias(c)
     docs = docs.select(own("doc_id"), "text")
@@ -130,7 +161,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, enough: int = ENOUGH) -> DataFr
         windows(docs.join(weak_docs, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi"), "doc_id", tokens=valued).join(broadcast(as_they_are), "window")
         .select("doc_id", "pos", F.explode("_items").alias("_i")).select("doc_id", "pos", "_i.item_id", "_i.item_pos").distinct()
     )
-    hits = save(met.where("item_pos is not null").unionByName(exact), "hits")
+    hits = save(met.where("item_pos is not null").unionByName(exact).unionByName(_short_items(docs, items, met)), "hits")
 
     # Slot values, where the matched windows have slots at all.
     with_slots = asked.join(tokens, asked["item_id"].eqNullSafe(tokens["item_id"])).where(F.exists(F.slice("_t", F.col("item_pos") + 1, F.lit(WINDOW)), lambda w: w.rlike(_SLOTS))).select(asked["item_id"].alias("_item"), F.col("item_pos").alias("_item_pos")).distinct()

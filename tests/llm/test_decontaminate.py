@@ -55,7 +55,7 @@ def test_kinds_of_leaks(spark):
         (6, inconsistent), (7, None), (8, ""), (9, before + after), (10, "Too short, here!"), (11, before + "too short here" + after),
         (None, OTHER), (12, " ".join(OTHER.split()[:14])), (13, " ".join(OTHER.split()[:9])), (14, (before * 500) + OTHER), (14, "second text of this id"),
     ])
-    assert got == {(1, 1): False, (2, 1): True, (4, 2): False, (5, 2): False, (10, 4): False, (None, 2): False, (12, 2): False, (14, 2): False} | {k: v for k, v in got.items() if k == (3, 1) or k == (6, 1)}
+    assert got == {(1, 1): False, (2, 1): True, (4, 2): False, (5, 2): False, (10, 4): False, (11, 4): False, (None, 2): False, (12, 2): False, (14, 2): False} | {k: v for k, v in got.items() if k == (3, 1) or k == (6, 1)}
     assert (9, 1) not in got and (6, 1) not in got
 
 
@@ -82,7 +82,26 @@ def test_items_full_of_slots(spark):
     texts = [(i, before + t + after) for i, t in SLOTTED if i != 2] + [
         (4, "what is 15 + 27 * 3"), (5, "What is 15 + 28 * 3?"), (6, before + SLOTTED[0][1].replace("12", "13") + after), (7, before + SLOTTED[2][1].replace("Emil", "Ernst") + after),
     ]
-    assert found(spark, texts, SLOTTED) == {(1, 1): False, (3, 3): False, (4, 2): False}
+    texts += [(8, before + SLOTTED[1][1] + after), (9, before + SLOTTED[1][1].replace("27", "28") + after)]
+    assert found(spark, texts, SLOTTED) == {(1, 1): False, (3, 3): False, (4, 2): False, (8, 2): False}
+
+
+def test_short_items_are_found_inside(spark):
+    """Planted items of three to seven words: every one, in long documents too, and none where a word or value differs."""
+    import random
+
+    rng = random.Random(4)
+    words = [f"{a}{b}" for a in "bcdfglmnprst" for b in ("alo", "emi", "oru", "ine", "uta")]
+    items = {i: " ".join(rng.sample(words, 3 + i % 5)) + "?" for i in range(50)}
+    items |= {50: "What is the capital of France?", 51: "Who wrote Hamlet?", 52: "Is 17 prime?", 53: "ok then"}
+    filler = lambda n: " ".join(rng.choice(words).upper().lower() + "x" for _ in range(n))
+    texts = [(i, f"{filler(40)}. {t} {filler(rng.choice((3, 4000)))}") for i, t in items.items()]
+    texts += [(100, f"{filler(9)}. What is the capital of Spain? {filler(9)}"), (101, f"{filler(9)}. Is 19 prime? {filler(9)}"), (102, "What is the capital of Spain?"), (103, "ok then"), (104, None), (105, "")]
+    texts += [(200 + i, " ".join(t.rstrip("?").split()[:-1]) + " " + filler(30)) for i, t in items.items() if i < 50]
+    got = found(spark, texts + texts[:3], tuple(items.items()))
+    assert {k for k in got if k[0] < 100} == {(i, i) for i in items if i != 53}
+    assert {k: v for k, v in got.items() if 100 <= k[0] < 200} == {(102, 50): True, (103, 53): False}
+    assert not [k for k in got if k[0] >= 200]
 
 
 def test_values_stand_behind_their_placeholders(spark):
