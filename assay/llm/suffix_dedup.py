@@ -279,7 +279,7 @@ def _hot_windows(affected: DataFrame) -> DataFrame:
         again[order[new]] = False
         run = np.flatnonzero(again)
         start = np.flatnonzero(np.concatenate(([True], (a[run][1:] != a[run][:-1] + 1) | (h[run][1:] != h[run][:-1])))) if len(run) else run
-        end = np.append(start[1:], len(run)) - 1
+        end = np.append(start[1:], len(run))[: len(start)] - 1  # none, where no window repeats one of the batch
         first = order[new]
         columns = {"w": (w[first], None), "_d": (d[first], d[run[start]]), "_h": (h[first], h[run[start]]), "a": (a[first], a[run[start]]), "b": (None, a[run[end]] + LENGTH)}
         sizes = len(first), len(start)

@@ -92,3 +92,21 @@ def test_equal_rows_and_ids(spark):
     assert len(got) == 5 and sorted(r[1] - r[2] for r in got if r[0] == 1)[0] == 0
     assert sum(r[1] - r[2] for r in got if r[0] == 1) in (len(long) + 6, len(long) + 5)
     assert removed_bytes(df.limit(0)).collect() == []
+
+
+def test_hot_anchors_without_a_repetition_in_the_batch(spark):
+    """A batch whose hot anchors' windows are all different has first windows and no runs."""
+    import random
+
+    import pyarrow as pa
+
+    from assay.llm.suffix_dedup import _hot_windows, anchors_of
+
+    rng = random.Random(8)
+    text = " ".join(f"w{rng.randrange(10**6)}" for _ in range(200))
+    ((_, _, at, *_),) = list(anchors_of(pa.array([text])))
+    rows = spark.createDataFrame([(1, 2, text, [int(at[0])])], "_d long, _h long, text string, hot array<long>")
+    got = _hot_windows(rows).collect()
+    assert got and all(r["w"] is not None and r["b"] is None for r in got)
+    twice = _hot_windows(rows.unionByName(rows.selectExpr("_d + 1 as _d", "_h + 1 as _h", "text", "hot")).coalesce(1)).collect()
+    assert [r["w"] is None for r in twice].count(True) == 1
