@@ -92,16 +92,6 @@ def grid(spark, **values: list) -> DataFrame:
     return reduce(lambda d, c: d.withColumn(c, F.explode(F.array(*(F.lit(v) for v in values[c])))), values, df)
 
 
-def first_free_attempt(slots: DataFrame, attempts: int, key: Column, taken: DataFrame) -> DataFrame:
-    """For each slot its first attempt (0 to attempts - 1) whose key is not among `taken` keys nor an
-    earlier slot's. Slots whose attempts all collide have no row. `key` uses columns slot and attempt.
-    """
-    tried = slots.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1)))).withColumn("key", key)
-    free = tried.join(taken.select("key").distinct(), "key", "left_anti")
-    own = free.withColumn("_first", F.row_number().over(Window.partitionBy("key").orderBy("attempt", "slot"))).where("_first = 1")
-    return own.groupBy("slot").agg(F.min_by(F.struct(*[c for c in own.columns if c not in ("slot", "_first")]), "attempt").alias("_r")).select("slot", "_r.*")
-
-
 def _with_last(df: DataFrame, group: list[str], quota: int, among: Column) -> DataFrame:
     """`df` (it has `_order`) with `_last`, the greatest order of the first `quota` rows of its group. Spark
     cuts each group to that many rows before it shuffles, so a hot group is never sorted whole."""

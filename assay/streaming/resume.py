@@ -27,14 +27,6 @@ def run(spark: SparkSession, source: str, schema: str, generate: Callable[[DataF
     query.awaitTermination()
 
 
-def fake_generation(df: DataFrame, field: str = "trained_output") -> DataFrame:
-    """The deterministic adapter: a row's output is the canonical JSON of a field of its payload; a row
-    without that field FAILED. Token counts are those of white-space separated words."""
-    out = F.to_json(F.try_variant_get("payload", f"$.{field}", "variant"))
-    words = lambda c: F.size(F.filter(F.split(F.trim(c), r"\s+"), lambda w: w != ""))
-    return df.withColumn("raw_output", F.coalesce(out, F.lit(""))).withColumn("status", F.when(out.isNull(), "FAILED").otherwise("COMPLETED")).withColumn("prompt_tokens", words(F.to_json("payload"))).withColumn("completion_tokens", words(F.col("raw_output")))
-
-
 def terminal_counts(stream: DataFrame, keys: list[str], watermark: str = "10 minutes", width: str = "1 hour") -> DataFrame:
     """Completed and failed outputs of each window, as they come in; needs `finished_at`."""
     w = F.window("finished_at", width)
