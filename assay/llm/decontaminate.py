@@ -39,6 +39,9 @@ ENOUGH = 5
 SHORTEST = 3
 #: Windows of the benchmark that are broadcast: 24 bytes each, under 16 MB. Beyond it Spark shuffles.
 BROADCAST_WINDOWS = 500_000
+#: Documents that are read again whose ids are broadcast: 30 bytes each, under 16 MB, so that texts are not
+#: shuffled to meet them. Beyond it Spark shuffles.
+BROADCAST_DOCS = 500_000
 
 
 def _steps(text: Column) -> tuple[Column, Column, Column]:
@@ -93,6 +96,13 @@ def _slots(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     return t.select(key, "_t", F.map_concat("_m0", "_m1", "_m2").alias("_v"))
 
 
+def _again(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of `docs` whose doc_id is among the distinct ids (_id; other columns are added), and their texts."""
+    ids = save(ids, "read-again")
+    small = F.broadcast(ids) if ids.count() <= BROADCAST_DOCS else ids
+    return docs.join(small, F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
+
+
 def _short_items(docs: DataFrame, items: DataFrame, like: DataFrame) -> DataFrame:
     """Hits (columns of `like`) of items shorter than a window, at any place of a document.
 
@@ -110,7 +120,7 @@ def _short_items(docs: DataFrame, items: DataFrame, like: DataFrame) -> DataFram
     starts = F.transform(F.sequence(F.lit(0), size - SHORTEST), lambda i: F.xxhash64(F.slice("_t", i + 1, F.lit(SHORTEST))))
     places = docs.select("doc_id", canonical(F.col("text")).alias("_t")).where(size >= SHORTEST).select("doc_id", F.posexplode(starts).alias("pos", "_first"))
     places = places.join(broadcast(shorts.select("_first").distinct()), "_first", "left_semi").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("pos").alias("_at"))
-    within = docs.join(places, F.col("doc_id").eqNullSafe(F.col("_id"))).select("doc_id", valued(F.col("text")).alias("_v"), F.explode("_at").alias("pos"), "_at")
+    within = _again(docs, places).select("doc_id", valued(F.col("text")).alias("_v"), F.explode("_at").alias("pos"))
     within = within.withColumn("_n", F.explode(F.array(*map(F.lit, sorted(found["lengths"]))))).where(F.col("pos") + F.col("_n") <= F.size("_v"))
     within = within.select("doc_id", "pos", "_n", F.xxhash64(F.slice("_v", F.col("pos") + 1, F.col("_n"))).alias("_own"))
     return within.join(broadcast(shorts.select("item_id", "_n", "_own")), ["_n", "_own"]).select("doc_id", "pos", "item_id", F.lit(0).alias("item_pos")).distinct()
@@ -158,7 +168,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, enough: int = ENOUGH) -> DataFr
         .groupBy("window").agg(F.collect_list(F.struct("item_id", F.col("pos").alias("item_pos"))).alias("_items"))
     )
     exact = (
-        windows(docs.join(weak_docs, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi"), "doc_id", tokens=valued).join(broadcast(as_they_are), "window")
+        windows(_again(docs, weak_docs), "doc_id", tokens=valued).join(broadcast(as_they_are), "window")
         .select("doc_id", "pos", F.explode("_items").alias("_i")).select("doc_id", "pos", "_i.item_id", "_i.item_pos").distinct()
     )
     hits = save(met.where("item_pos is not null").unionByName(exact).unionByName(_short_items(docs, items, met)), "hits")
@@ -167,7 +177,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, enough: int = ENOUGH) -> DataFr
     with_slots = asked.join(tokens, asked["item_id"].eqNullSafe(tokens["item_id"])).where(F.exists(F.slice("_t", F.col("item_pos") + 1, F.lit(WINDOW)), lambda w: w.rlike(_SLOTS))).select(asked["item_id"].alias("_item"), F.col("item_pos").alias("_item_pos")).distinct()
     slotted = save(hits.join(broadcast(with_slots), hits["item_id"].eqNullSafe(F.col("_item")) & (F.col("item_pos") == F.col("_item_pos"))).select("doc_id", "pos", "item_id", "item_pos"), "slotted")
     ids = slotted.select(F.col("doc_id").alias("_id")).distinct()
-    doc_values = _slots(docs.join(ids, docs["doc_id"].eqNullSafe(F.col("_id")), "left_semi").select("doc_id", "text"), "doc_id").select(F.col("doc_id").alias("_d"), F.col("_t").alias("_dt"), F.col("_v").alias("_dv"))
+    doc_values = _slots(_again(docs, ids).select("doc_id", "text"), "doc_id").select(F.col("doc_id").alias("_d"), F.col("_t").alias("_dt"), F.col("_v").alias("_dv"))
     item_values = _slots(items, "item_id").select(F.col("item_id").alias("_i"), F.col("_t").alias("_it"), F.col("_v").alias("_iv"))
     place = F.explode(F.sequence(F.lit(0), F.lit(WINDOW - 1)))
     pairs = (
