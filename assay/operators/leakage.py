@@ -26,6 +26,59 @@ def union(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+def window_hashes(words: Column, n: int) -> Column:
+    """64-bit hashes of all windows of `n` words of an array, none where there are fewer. Built from hashes of
+    halves, so a window costs a few additions whatever its length, and no text is put together."""
+    size, h = F.size(words), F.transform(words, lambda w: F.xxhash64(w))
+    have, done, rest = {1: h}, 1, n
+    while done * 2 <= n:
+        a = have[done]
+        have[done * 2] = F.zip_with(a, F.slice(a, F.lit(done + 1), F.greatest(size, F.lit(1))), lambda x, y: F.xxhash64(x, y))
+        done *= 2
+    out, at = None, 0
+    for part in sorted(have, reverse=True):
+        if rest >= part:
+            piece = have[part] if not at else F.slice(have[part], F.lit(at + 1), F.greatest(size, F.lit(1)))
+            out = piece if out is None else F.zip_with(out, piece, lambda x, y: F.xxhash64(x, y))
+            at, rest = at + part, rest - part
+    return F.slice(out, F.lit(1), F.greatest(size - (n - 1), F.lit(0)))
+
+
+def hashed_keys(texts: DataFrame, words: Column, passage: int) -> DataFrame:
+    """corpus, record_id, key_class, key (64 bits) of `texts` (corpus, record_id, text): the text itself
+    (content), its words alone (signature), and each distinct passage of so many words.
+
+    Sixteen bytes for a key, so shuffles of all passages of a corpus stay a fraction of it. Two of n
+    different keys are the same with a chance of about n * n / 2^65; where that counts, `digested`
+    holds the texts themselves together.
+    """
+    rows = texts.where("text is not null").select("corpus", F.col("record_id").cast("string").alias("record_id"), "text", words.alias("_words"))
+    passages = F.when(F.size("_words") >= passage, F.array_distinct(window_hashes(F.col("_words"), passage))).otherwise(F.array().cast("array<bigint>"))
+    named = lambda name, keys: F.transform(keys, lambda k: F.struct(F.lit(name).alias("key_class"), k.alias("key")))
+    every = F.concat(named("content", F.array(F.xxhash64("text"))), named("signature", F.array(F.xxhash64(F.array_join("_words", " ")))), named("passage", passages))
+    return rows.select("corpus", "record_id", F.inline(every))
+
+
+def shared(keys: DataFrame) -> DataFrame:
+    """The rows of keys that more than one corpus has."""
+    several = keys.groupBy("key_class", "key").agg(F.min("corpus").alias("_a"), F.max("corpus").alias("_b")).where("_a <> _b").select("key_class", "key")
+    return keys.join(several, ["key_class", "key"], "left_semi")
+
+
+def digested(texts: DataFrame, words: Column, passage: int, keys: DataFrame) -> DataFrame:
+    """corpus, record_id, key_class, key (SHA-256) of the hashed `keys` of some texts: only texts that have one
+    are read again, and only those passages are put together."""
+    wanted = keys.select("corpus", "record_id").distinct()
+    rows = texts.where("text is not null").withColumn("record_id", F.col("record_id").cast("string")).join(wanted, ["corpus", "record_id"]).select("corpus", "record_id", "text", words.alias("_words"))
+    whole = F.array(F.struct(F.lit("content").alias("key_class"), F.xxhash64("text").alias("_h"), F.col("text").alias("_t")), F.struct(F.lit("signature").alias("key_class"), F.xxhash64(F.array_join("_words", " ")).alias("_h"), F.array_join("_words", " ").alias("_t")))
+    parts = rows.select("corpus", "record_id", "_words", F.posexplode(F.when(F.size("_words") >= passage, window_hashes(F.col("_words"), passage)).otherwise(F.array().cast("array<bigint>"))).alias("_i", "_h")).withColumn("key_class", F.lit("passage"))
+    mine = keys.select("corpus", "record_id", "key_class", F.col("key").alias("_h"))
+    on = ["corpus", "record_id", "key_class", "_h"]
+    of_parts = parts.join(mine, on, "left_semi").select("corpus", "record_id", "key_class", F.sha2(F.array_join(F.slice("_words", F.col("_i") + 1, F.lit(passage)), " "), 256).alias("key")).distinct()
+    of_whole = rows.select("corpus", "record_id", F.inline(whole)).join(mine, on, "left_semi").select("corpus", "record_id", "key_class", F.sha2("_t", 256).alias("key"))
+    return of_whole.unionByName(of_parts)
+
+
 def collisions(keys: DataFrame) -> DataFrame:
     """Keys that several corpora have: each record of a later corpus (by name) with the owner's.
 
@@ -46,10 +99,10 @@ def collision_counts(keys: DataFrame) -> DataFrame:
     return pairs.groupBy("key_class", "left_corpus", "right_corpus").agg(F.count(F.lit(1)).alias("n_keys"))
 
 
-def without_collisions(candidates: DataFrame, id_: str, classes: dict[str, Column], excluded: DataFrame) -> DataFrame:
-    """Candidates none of whose keys is excluded (key_class, key): one anti-join for all classes."""
-    keys = long_keys(candidates, "candidates", id_, classes)
-    hit = keys.join(excluded.select("key_class", "key").distinct(), ["key_class", "key"], "left_semi").select(F.col("record_id").alias("_hit")).distinct()
+def without_collisions(candidates: DataFrame, id_: str, own: DataFrame, excluded: DataFrame) -> DataFrame:
+    """Candidates none of whose keys is excluded: `own` has their keys (record_id, key_class, key), `excluded`
+    others (key_class, key). One semi-join for all classes, and an anti-join by id."""
+    hit = own.join(excluded.select("key_class", "key").distinct(), ["key_class", "key"], "left_semi").select(F.col("record_id").alias("_hit")).distinct()
     return candidates.join(hit, F.col(id_).cast("string") == F.col("_hit"), "left_anti")
 
 

@@ -13,6 +13,7 @@ from ..functions.jsontext import canonical_text
 from ..functions.schema import valid
 from ..operators import claims, compare, distribution, gates, leakage, schedule, select, summarize
 from ..operators.score import METRICS
+from ..sources.shared import save
 from .scored import DUCKDB, FIELD_FLAGS, SAFETY_FLAGS, scored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -400,26 +401,25 @@ def _keys_sql() -> str:
 _KEYS = _keys_sql()
 
 
-def _with_words(df):
-    return df.withColumn("_words", F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda w: w != ""))
+def _words():
+    return F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda w: w != "")
 
 
-def _key_classes():
-    """The keys of a row that has `text` and `_words`."""
-    spans = F.sequence(F.lit(1), F.size("_words") - (_PASSAGE - 1))
-    passages = F.when(F.size("_words") >= _PASSAGE, F.array_distinct(F.transform(spans, lambda i: F.sha2(F.array_join(F.slice("_words", i, F.lit(_PASSAGE)), " "), 256))))
-    return {"content": F.sha2("text", 256), "signature": F.sha2(F.array_join("_words", " "), 256), "passage": passages}
+def _corpora(spark, sf_dir):
+    corpora = {"benchmark": ("benchmark", F.col("item_id"), "text"), "conversations": ("conversations", F.col("conv_id") * 1000 + F.col("turn"), "text"), "documents": ("documents", F.col("doc_id"), "text"), "pages": ("pages", F.col("page_id"), "html")}
+    return leakage.union([_t(spark, sf_dir, t).select(F.lit(c).alias("corpus"), i.cast("string").alias("record_id"), F.col(x).cast("string").alias("text")) for c, (t, i, x) in corpora.items()])
 
 
 def _corpus_keys(spark, sf_dir):
-    corpora = {"benchmark": ("benchmark", F.col("item_id"), "text"), "conversations": ("conversations", F.col("conv_id") * 1000 + F.col("turn"), "text"), "documents": ("documents", F.col("doc_id"), "text"), "pages": ("pages", F.col("page_id"), "html")}
-    rows = {c: _t(spark, sf_dir, t).select(i.alias("id"), F.col(x).cast("string").alias("text")) for c, (t, i, x) in corpora.items()}
-    return leakage.union([leakage.long_keys(_with_words(df), c, "id", _key_classes()) for c, df in rows.items()])
+    """The hashed keys of four corpora, written once."""
+    return save(leakage.hashed_keys(_corpora(spark, sf_dir), _words(), _PASSAGE), "keys")
 
 
 @query(f"WITH {_KEYS}, o AS (SELECT key_class, key, min(corpus) AS owner_corpus FROM k GROUP BY ALL HAVING min(corpus) <> max(corpus)), w AS (SELECT key_class, key, owner_corpus, max(record_id) AS owner_id FROM o JOIN k USING (key_class, key) WHERE corpus = owner_corpus GROUP BY ALL) SELECT key_class, key, owner_corpus, owner_id, corpus, record_id FROM w JOIN k USING (key_class, key) WHERE corpus <> owner_corpus")
 def corpus_collisions(spark, sf_dir):
-    return leakage.collisions(_corpus_keys(spark, sf_dir)).select("key_class", "key", "owner_corpus", "owner_id", "corpus", "record_id")
+    keys = save(leakage.shared(_corpus_keys(spark, sf_dir)), "shared-keys")
+    digests = save(leakage.digested(_corpora(spark, sf_dir), _words(), _PASSAGE, keys), "digests")
+    return leakage.collisions(digests).select("key_class", "key", "owner_corpus", "owner_id", "corpus", "record_id")
 
 
 @query(f"WITH {_KEYS}, d AS (SELECT DISTINCT key_class, key, corpus FROM k) SELECT a.key_class, a.corpus AS left_corpus, b.corpus AS right_corpus, count(*) AS n_keys FROM d a JOIN d b ON a.key_class = b.key_class AND a.key = b.key AND a.corpus < b.corpus GROUP BY ALL")
@@ -435,8 +435,8 @@ def leakage_audit(spark, sf_dir):
 
 @query(f"WITH {_KEYS} SELECT doc_id FROM documents WHERE CAST(doc_id AS VARCHAR) NOT IN (SELECT a.record_id FROM k a WHERE corpus = 'documents' AND EXISTS (SELECT 1 FROM k b WHERE b.corpus <> 'documents' AND a.key_class = b.key_class AND a.key = b.key))")
 def without_collisions(spark, sf_dir):
-    docs = _with_words(_t(spark, sf_dir, "documents").select("doc_id", "text"))
-    return leakage.without_collisions(docs, "doc_id", _key_classes(), _corpus_keys(spark, sf_dir).where("corpus <> 'documents'")).select("doc_id")
+    keys = _corpus_keys(spark, sf_dir)
+    return leakage.without_collisions(_t(spark, sf_dir, "documents").select("doc_id"), "doc_id", keys.where("corpus = 'documents'"), keys.where("corpus <> 'documents'"))
 
 
 @query("SELECT sha256(text) AS digest, count(*) AS n, min(doc_id) AS least_id FROM documents GROUP BY ALL HAVING count(*) > 1")
