@@ -97,3 +97,10 @@ def retention(rows: DataFrame, source: DataFrame, key: str, values: list[str]) -
     if len(base) != 1:
         raise ValueError("the source of a retention is one row")
     return rows.select(key, *values, *(F.try_divide(F.col(v), F.lit(base[0][v])).alias(f"{v}_retention") for v in values))
+
+
+def multiset_diff(left: DataFrame, right: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows that one table has more often than the other: columns, side, n (how much more). Counted with
+    partial aggregation, so rows that repeat very often cost no sort; nulls are equal."""
+    counted = left.select(*columns, F.lit(1).alias("_n")).unionByName(right.select(*columns, F.lit(-1).alias("_n"))).groupBy(*columns).agg(F.sum("_n").alias("_n")).where("_n <> 0")
+    return counted.select(*columns, F.when(F.col("_n") > 0, "left").otherwise("right").alias("side"), F.abs("_n").alias("n"))

@@ -158,3 +158,39 @@ def top_disagreements(df: DataFrame, group: str, system: str, value: str, left:
 def ranked_profiles(df: DataFrame, keys: list[str], order: list[Column], id_: str) -> DataFrame:
     """Rank of each row in its group by several measures, the id breaking ties."""
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order, F.col(id_))))
+
+
+def source_gate(metrics: DataFrame, system: str, base: str, adapted: str, checks: dict[str, Column]) -> DataFrame:
+    """One row: the adapted system held against the base one. `metrics` has a row for each system; `checks`
+    use base and adapted, structs of their rows. PASSED, FAILED with the failed checks in order, or
+    INCOMPLETE where either has no row, or several."""
+    own = metrics.where(F.col(system).isin(base, adapted))
+    pick = lambda s, n: [F.count_if(F.col(system) == s).alias(f"_n_{n}"), F.any_value(F.when(F.col(system) == s, F.struct(*[c for c in metrics.columns if c != system])), True).alias(n)]
+    row = own.agg(*pick(base, "base"), *pick(adapted, "adapted"))
+    bad = F.filter(F.array(*(F.when(~F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in checks.items())), lambda x: x.isNotNull())
+    there = (F.col("_n_base") == 1) & (F.col("_n_adapted") == 1)
+    return row.select(F.when(~there, "INCOMPLETE").when(F.size(bad) == 0, "PASSED").otherwise("FAILED").alias("status"), F.when(there, bad).otherwise(F.array().cast("array<string>")).alias("failed_checks"))
+
+
+def wide_metrics(long: DataFrame, keys: list[str], metric: str, value: str, metrics: list[str]) -> DataFrame:
+    """A row for each key with a column for each metric; of a repeated one the greatest, null if it is missing."""
+    return long.groupBy(*keys).agg(*(F.max(F.when(F.col(metric) == m, F.col(value))).alias(m) for m in metrics))
+
+
+def inferred_surface(df: DataFrame, keys: list[str], split: str, surfaces: list[tuple[str, list[str]]]) -> DataFrame:
+    """The surface that the set of a run's splits tells: the first whose splits are all of the run's and no
+    others; null, and consistent false, where none is. A null split makes a run inconsistent."""
+    each = df.groupBy(*keys).agg(F.array_sort(F.collect_set(split)).alias("_s"), F.count_if(F.col(split).isNull()).alias("_none"))
+    surface = reduce(lambda c, s: c.when(F.col("_s") == F.lit(sorted(s[1])), s[0]), surfaces, F.when(F.lit(False), F.lit("")))
+    return each.withColumn("surface", F.when(F.col("_none") == 0, surface)).select(*keys, F.array_join("_s", ",").alias("splits"), "surface", F.col("surface").isNotNull().alias("consistent"))
+
+
+def first_blocking(checks: dict[str, Column]) -> Column:
+    """The name of the first predicate that does not hold, or null; an unknown one does not hold."""
+    return F.coalesce(*(F.when(~F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in checks.items()))
+
+
+def completion(df: DataFrame, keys: list[str], done: Column, failed: Column) -> DataFrame:
+    """COMPLETE where all rows are done, FAILED where any failed, else OPEN, with the counts of both."""
+    each = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), count_true(done).alias("n_done"), count_true(failed).alias("n_failed"))
+    return each.withColumn("status", F.when(F.col("n_failed") > 0, "FAILED").when(F.col("n_done") == F.col("n"), "COMPLETE").otherwise("OPEN"))

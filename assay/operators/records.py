@@ -94,3 +94,45 @@ def anchor_findings(anchors: DataFrame, evaluation: DataFrame) -> DataFrame:
     leaking = mine.join(known, ["kind", "key"], "left_semi").select(F.col("_id").alias("record_id"), F.lit("ANCHOR_EVALUATION_LEAKAGE").alias("finding")).distinct()
     tests = {"ANCHOR_ORIGIN_INVALID": ~F.col("label_origin").eqNullSafe(F.lit("anchor")), "ANCHOR_SURFACE_INVALID": ~F.col("surface").eqNullSafe(F.lit("anchor"))}
     return _found(anchors, tests).unionByName(leaking)
+
+
+def input_records(df: DataFrame, record_id: Column, surface: Column, group: Column, payload: Column, coverage: dict[str, Column], signature: Column) -> DataFrame:
+    """Input records: record_id, surface, group, payload and coverage (canonical JSON text), semantic_signature,
+    content_sha256 (of the payload). A payload that is no JSON has nulls there, and fails validation."""
+    rows = df.select(record_id.cast("string").alias("record_id"), surface.alias("surface"), group.cast("string").alias("group"), F.to_json(F.try_parse_json(payload)).alias("payload"), F.to_json(F.struct(*(coverage[k].alias(k) for k in sorted(coverage)))).alias("coverage"), signature.alias("semantic_signature"))
+    return rows.withColumn("content_sha256", F.sha2("payload", 256))
+
+
+def oracle_records(inputs: DataFrame, expected: DataFrame) -> DataFrame:
+    """Oracles of input records: record_id, expected (canonical), input_content_sha256, content_sha256.
+    `expected`: record_id, expected (JSON text); a record of one side only has none."""
+    own = expected.select(F.col("record_id").alias("_id"), F.to_json(F.try_parse_json("expected")).alias("expected"))
+    return inputs.join(own, F.col("record_id") == F.col("_id")).select("record_id", "expected", F.col("content_sha256").alias("input_content_sha256"), F.sha2("expected", 256).alias("content_sha256"))
+
+
+def labeled_records(inputs: DataFrame, oracles: DataFrame, origin: str) -> DataFrame:
+    """Input records with their oracles' answers as canonical labels: assistant_label, label_sha256, label_origin.
+    An oracle of another content than the input's raises at run time."""
+    own = oracles.select(F.col("record_id").alias("_id"), F.col("expected").alias("assistant_label"), F.col("input_content_sha256").alias("_of"))
+    joined = inputs.join(own, F.col("record_id") == F.col("_id"))
+    checked = F.when(F.col("_of").eqNullSafe(F.col("content_sha256")), F.col("record_id")).otherwise(F.raise_error(F.concat(F.lit("oracle of another input: "), F.col("record_id"))).cast("string"))
+    return joined.withColumn("record_id", checked).drop("_id", "_of").withColumns({"label_sha256": F.sha2("assistant_label", 256), "label_origin": F.lit(origin)})
+
+
+def identity_hash(fields: dict[str, Column]) -> Column:
+    """SHA-256 of some fields of a row as canonical JSON, nulls kept: the identity of a plan."""
+    return F.sha2(F.to_json(F.struct(*(fields[k].alias(k) for k in sorted(fields))), {"ignoreNullFields": "false"}), 256)
+
+
+def normalized_id(text: Column, pattern: str, replacement: str) -> Column:
+    """An id of one naming scheme in another; one that does not fit stays as it is."""
+    return F.regexp_replace(text, f"^(?:{pattern})$", replacement)
+
+
+def mutated(df: DataFrame, id_: str, text: str, kinds: dict[str, tuple[Column, Column]], namespace: str) -> DataFrame:
+    """For each kind of mutation the compatible row of least keyed hash with its text corrupted: kind, id,
+    mutated. `kinds`: name to (compatible, new text); null conditions don't hold. Kinds without a row
+    have none."""
+    rows = df.select(F.col(id_), F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.coalesce(ok, F.lit(False)).alias("ok"), to.alias("mutated")) for k, (ok, to) in kinds.items()))).alias("_m")).where("_m.ok")
+    order = F.struct(F.sha2(F.concat_ws(":", F.lit(namespace), "_m.kind", F.col(id_).cast("string")), 256), F.col(id_))
+    return rows.groupBy("_m.kind").agg(F.min_by(F.struct(F.col(id_), F.col("_m.mutated").alias("mutated")), order).alias("_r")).select("kind", "_r.*")
