@@ -14,7 +14,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held, hold, table
+from .common import held, hold, save, table
 
 # Spellings that licence matching treats as equal (variant, canonical).
 SPELLINGS = [
@@ -47,7 +47,8 @@ KNOWN = [
 
 #: A line that is a copyright notice and no more.
 COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(?:copyright\b|\(c\)|©|all rights reserved)[^\n]*$"
-#: Digests that are looked up in place, in each line, and broadcast for texts: 64 letters each.
+#: Digests that are looked up in place, in each line, and broadcast for texts: 64 letters each. More, or those of
+#: a table, meet texts and lines in joins.
 MOST_KNOWN = 10_000
 
 
@@ -79,27 +80,42 @@ def known_heads(spark, known: list[tuple[str, str]] = KNOWN) -> list[str]:
 
 def known_digests(spark, known: list[tuple[str, str]] = KNOWN) -> list[tuple[str, str]]:
     """(digest, license_id) of known texts, one id for each digest."""
-    if len(known) > MOST_KNOWN:
-        raise ValueError(f"more than {MOST_KNOWN} known licences")
     rows = spark.createDataFrame(known, "license_id string, text string").select(digest(canonical_lines(F.col("text"))).alias("digest"), "license_id")
     return sorted((r["digest"], r["license_id"]) for r in rows.groupBy("digest").agg(F.min("license_id").alias("license_id")).collect())
 
 
-def scan(docs: DataFrame, known: list[tuple[str, str]] = KNOWN) -> DataFrame:
+def _scan_by_joins(df: DataFrame, columns: list[Column], known: DataFrame) -> DataFrame:
+    """`scan` for any number of known texts (license_id, text): rows are numbered and written, their lines'
+    digests are joined with the known ones, and what is found is counted for each row."""
+    lookup = save(known.select(digest(canonical_lines(F.col("text"))).alias("_known"), "license_id").groupBy("_known").agg(F.min("license_id").alias("license_id")), "known")
+    empty = F.sha2(F.lit(""), 256)
+    lookup = lookup.where(F.col("_known") != empty)
+    rows = save(df.withColumn("_uid", F.monotonically_increasing_id()).withColumn("digest", digest(F.col("_canonical"))).withColumn("_lines", F.transform(F.split("_canonical", "\n"), lambda x: digest(x))).drop("_canonical"), "numbered")
+    lines = rows.select("_uid", F.explode("_lines").alias("_line")).where(F.col("_line") != empty)
+    found = lines.join(lookup, F.col("_line") == F.col("_known")).groupBy("_uid").agg(F.count(F.lit(1)).alias("n_notices"), F.array_sort(F.collect_set("license_id")).alias("notice_ids"))
+    joined = rows.join(found, "_uid", "left").join(lookup, F.col("digest") == F.col("_known"), "left")
+    return joined.select(*columns, "digest", "license_id", F.coalesce("n_notices", F.lit(0).cast("long")).alias("n_notices"), F.coalesce("notice_ids", F.array().cast("array<string>")).alias("notice_ids"))
+
+
+def scan(docs: DataFrame, known: list[tuple[str, str]] | DataFrame = KNOWN, most: int = MOST_KNOWN) -> DataFrame:
     """Add to each row: digest of the canonical whole text, license_id (null if it is not known),
     n_notices (lines that are known, each time) and notice_ids (their distinct ids, sorted).
 
     Null and empty texts have the digest of the empty text, which is never known. Columns of
     these names are replaced; rows are never merged, so repeated and null doc_ids stay apart. Very
-    long texts are read whole. Where several known texts have one digest, the least id stands for it.
+    long texts are read whole. Where several known texts have one digest, the least id stands for it. An empty
+    table gives an empty one; other columns, whatever their names, are kept. `known` is a list, or a
+    table (license_id, text) of any size; a list of more than `most` texts is treated as one.
     """
     spark = docs.sparkSession
     kept = [c for c in docs.columns if c not in ("digest", "license_id", "n_notices", "notice_ids")]
-    pairs = [(d, i) for d, i in known_digests(spark, known)]
-    lookup = spark.createDataFrame(pairs, "_known string, license_id string")  # at most MOST_KNOWN rows
     df = hold(docs.select(*kept), ["text"])
     columns, kept = held(kept, ["text"]), df.columns
     df = df.select(*kept, canonical_lines(F.col("text")).alias("_canonical"))
+    if isinstance(known, DataFrame) or len(known) > most:
+        return _scan_by_joins(df, columns, known if isinstance(known, DataFrame) else spark.createDataFrame(known, "license_id string, text string"))
+    pairs = [(d, i) for d, i in known_digests(spark, known)]
+    lookup = spark.createDataFrame(pairs, "_known string, license_id string")  # at most MOST_KNOWN rows
     if not pairs:
         return df.select(*columns, digest(F.col("_canonical")).alias("digest"), F.lit(None).cast("string").alias("license_id"), F.lit(0).cast("long").alias("n_notices"), F.array().cast("array<string>").alias("notice_ids"))
     # Only lines with the head of some known text are digested.

@@ -62,3 +62,19 @@ def test_odd_rows(spark):
     check(spark, df, known)
     assert licenses.scan(df.limit(0), known).collect() == []
     assert {(r["license_id"], r["n_notices"]) for r in licenses.scan(df, []).collect()} == {(None, 0)}
+
+
+def test_known_texts_beyond_the_bound_and_as_a_table(spark):
+    """Joins find what the broadcast map finds: whole texts, repeated notices, nulls, clashing columns, no rows."""
+    from pyspark.sql import functions as F
+
+    known = [("Own", "Free for all to copy."), ("Other", "Released under the MIT License."), ("Later", "free for ALL, to copy"), ("Blank", " \n"), ("Two", "First line.\nSecond line.")]
+    texts = ["a line\n * Free for all, to copy!\nreleased under the MIT licence\nfree for all to copy", "free for all to copy", "first line\n\n second line", None, "", "copyright 2020 A\nfree for all to copy", "x " * 50_000 + "\nReleased under the MIT License."]
+    docs = spark.createDataFrame([(i % 3, t) for i, t in enumerate(texts * 2)], "doc_id long, text string").withColumn("license_id", F.lit("mine")).withColumn("_uid", F.lit(1)).withColumn("_known", F.lit("k"))
+    of = lambda df: sorted((str(r["doc_id"]), str(r["text"])[:40], r["digest"], str(r["license_id"]), r["n_notices"], tuple(r["notice_ids"])) for r in df.collect())
+    want = of(licenses.scan(docs, known[:3] + known[4:]))
+    assert [r[3] for r in want].count("Later") == 4 and sum(r[4] for r in want) == 12
+    table = spark.createDataFrame(known, "license_id string, text string")
+    assert of(licenses.scan(docs, known, most=2)) == want == of(licenses.scan(docs, table))
+    assert licenses.scan(docs.limit(0), table).collect() == [] and licenses.scan(docs, table.limit(0)).where("license_id is not null or n_notices > 0").collect() == []
+    assert "_uid" in licenses.scan(docs, table).columns
