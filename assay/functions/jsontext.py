@@ -59,3 +59,10 @@ def canonical_text(c: Column) -> Column:
 def escaped_key(name: str) -> str:
     """A key as a step of a VARIANT path."""
     return "['" + name.replace("\\", "\\\\").replace("'", "\\'") + "']"
+
+
+def iso_text(moment: Column) -> Column:
+    """A timestamp as ISO text in UTC, microseconds only where there are some; null stays null."""
+    whole = F.date_format(F.to_utc_timestamp(moment, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss")
+    micros = F.pmod(F.unix_micros(moment), F.lit(1_000_000))
+    return F.concat(whole, F.when(micros == 0, "").otherwise(F.concat(F.lit("."), F.lpad(micros.cast("string"), 6, "0"))), F.lit("+00:00"))

@@ -8,6 +8,7 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from ..functions import openjson, plugins
+from ..functions.jsontext import iso_text
 from ..operators import digest_tree, machine, matching, quotas, replay, star, zipped
 from ..operators.summarize import count_true
 from ..sources.shared import save, shared_dir
@@ -243,3 +244,48 @@ def star_findings(spark, sf_dir):
 )
 def rollups(spark, sf_dir):
     return star.rollups(_t(spark, sf_dir, "orders"), ["o_orderstatus", "o_orderpriority"], {"n": F.lit(1).cast("long"), "total": F.floor("o_totalprice")})
+
+
+@query(
+    "WITH j AS (SELECT lang, toxic, n_chars, e.label AS cluster, url IS NULL AS without_url FROM documents d JOIN labels l ON d.doc_id = l.doc_id JOIN embeddings e ON e.vec_id = d.doc_id JOIN pages p ON p.page_id = d.doc_id WHERE quality = 1) "
+    "SELECT lang, count(*) AS n, count(*) FILTER (toxic = 1) AS n_toxic, count(*) FILTER (n_chars > 1000) AS n_long, count(*) FILTER (cluster < 4) AS n_first_clusters, count(*) FILTER (without_url) AS n_without_url FROM j GROUP BY ALL"
+)
+def cohort_counts(spark, sf_dir):
+    """Four sides by one key in one aggregation; of those that all match once, a cohort and its counts."""
+    sides = {
+        "candidate": star.Side(_t(spark, sf_dir, "documents"), "doc_id", ("lang", "n_chars")), "oracle": star.Side(_t(spark, sf_dir, "labels"), "doc_id", ("quality", "toxic")),
+        "prediction": star.Side(_t(spark, sf_dir, "embeddings"), "vec_id", ("label",)), "filter": star.Side(_t(spark, sf_dir, "pages"), "page_id", ("url",)),
+    }
+    rows = star.complete(star.matched(sides), list(sides)).where("oracle.quality = 1")
+    return rows.groupBy("candidate.lang").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("oracle.toxic") == 1).alias("n_toxic"), F.count_if(F.col("candidate.n_chars") > 1000).alias("n_long"), F.count_if(F.col("prediction.label") < 4).alias("n_first_clusters"), F.count_if(F.col("filter.url").isNull()).alias("n_without_url"),
+    )
+
+
+@query(
+    "$scored, m AS (SELECT system_id, surface, count(*) AS n, avg(semantic_decision) AS semantic, count(*) FILTER (false_action) AS false_actions FROM s GROUP BY ALL) SELECT a.system_id AS system_id, a.n AS confirmatory_n, round(a.semantic, 6) AS confirmatory_semantic, b.n AS adversarial_n, round(b.semantic, 6) AS adversarial_semantic, b.false_actions AS adversarial_false_actions, round(b.semantic - a.semantic, 6) AS change FROM m a JOIN m b ON a.system_id = b.system_id AND a.surface = 'confirmatory' AND b.surface = 'adversarial'"
+)
+def system_profiles(spark, sf_dir):
+    """Each system's figures on two surfaces side by side."""
+    m = scored(spark, sf_dir).groupBy("system_id", "surface").agg(F.count(F.lit(1)).alias("n"), F.avg("semantic_decision").alias("semantic"), F.count_if("false_action").alias("false_actions"))
+    sides = {s: star.Side(m.where(F.col("surface") == s), "system_id", ("n", "semantic", "false_actions")) for s in ("confirmatory", "adversarial")}
+    rows = star.complete(star.matched(sides, "system_id"), list(sides))
+    return rows.select("system_id", F.col("confirmatory.n").alias("confirmatory_n"), F.round("confirmatory.semantic", 6).alias("confirmatory_semantic"), F.col("adversarial.n").alias("adversarial_n"), F.round("adversarial.semantic", 6).alias("adversarial_semantic"), F.col("adversarial.false_actions").alias("adversarial_false_actions"), F.round(F.col("adversarial.semantic") - F.col("confirmatory.semantic"), 6).alias("change"))
+
+
+@query(
+    "WITH k AS (SELECT source || ':' || sha256(text) AS key, count(*) AS r, count(quality) AS a FROM documents LEFT JOIN labels USING (doc_id) GROUP BY ALL) SELECT code, count(*) AS n FROM k, LATERAL (VALUES ('DUPLICATE_RUN', r > 1), ('MISSING_ANALYSIS', a = 0), ('DUPLICATE_ANALYSIS', a > 1)) t(code, holds) WHERE holds GROUP BY ALL"
+)
+def run_index(spark, sf_dir):
+    """Runs matched to an analysis by source and content hash: what is repeated or not analysed."""
+    docs = _t(spark, sf_dir, "documents").select("doc_id", F.concat_ws(":", "source", F.sha2("text", 256)).alias("key"))
+    analysed = docs.join(_t(spark, sf_dir, "labels").select("doc_id"), "doc_id")
+    sides = {"run": star.Side(docs, "key", ("doc_id",)), "analysis": star.Side(analysed, "key", ("doc_id",))}
+    return star.findings(star.matched(sides), list(sides), {}).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT event_id, '{\"at\":\"' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us(ts) % 1000000 = 0 THEN '' ELSE '.' || lpad(CAST(epoch_us(ts) % 1000000 AS VARCHAR), 6, '0') END || '+00:00\",\"user\":' || user_id || '}' AS json FROM events")
+def iso_records(spark, sf_dir):
+    """Rows as canonical JSON with their times as ISO text."""
+    rows = _t(spark, sf_dir, "events").select("event_id", F.struct(iso_text(F.col("ts").cast("timestamp")).alias("at"), F.col("user_id").alias("user")).alias("r"))
+    return rows.select("event_id", F.to_json("r").alias("json"))
