@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TEXTS, give_back, held, hold, n_partitions, save, table
+from .common import TEXTS, give_back, held, hold, n_partitions, release, save, table
 from .hashing import between, mix, running, slices
 
 #: Bytes of a string whose repetition counts, and of the string that makes an anchor.
@@ -45,6 +45,9 @@ SHARES = 8
 HOT = 5_000
 #: Such anchors that are broadcast, so that theirs is no hot key of a shuffle: 16 bytes each, under 2 MB.
 BROADCAST_HOT = 100_000
+#: Ids of texts (8 bytes), and runs (16 bytes), that are broadcast so that texts are not shuffled to meet them: under
+#: 16 MB. Beyond it Spark shuffles.
+BROADCAST_IDS = 1_000_000
 #: Windows of a long text that are looked at together.
 TOGETHER = 1 << 22
 #: The order of a null doc_id: before all others.
@@ -338,8 +341,13 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)).alias("_d"), F.xxhash64(text).alias("_h"), text.alias("text"))
 
 
-def cut_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(every document, texts that lose some bytes): doc_id, _d, _h, n_bytes, sha256, copy (an equal text
+def _met(df: DataFrame, n: int) -> DataFrame:
+    """A table of `n` ids or runs, broadcast up to the bound."""
+    return F.broadcast(df) if n <= BROADCAST_IDS else df
+
+
+def cut_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(every document, texts that lose some bytes, the _h of those): doc_id, _d, _h, n_bytes, sha256, copy (an equal text
     stands earlier); and _h, n_removed, n_spans, kept_sha256, kept (the text left) for the first of each text.
     """
     spark = docs.sparkSession
@@ -376,10 +384,12 @@ def cut_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     hot_runs = once.join(least, "w").where(F.struct("_d", "_h", "a") != F.col("_m")).select("_h", "a", (F.col("a") + LENGTH).alias("b"))
     hot_runs = hot_runs.unionByName(rows.where(F.col("w").isNull()).select("_h", "a", "b"))
     all_runs = save(runs.unionByName(hot_runs).groupBy("_h").agg(F.collect_list(F.struct("a", "b")).alias("runs")), "runs", batch=TEXTS)
-    cut = affected.select("_h", "text").join(all_runs, "_h").select("_h", "text", "runs").mapInArrow(_cut, "_h long, n_removed long, n_spans long, kept_sha256 string, kept string")
+    size = all_runs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("runs")), F.lit(0))).first()
+    release(found, rows)
+    cut = affected.select("_h", "text").join(_met(all_runs, size[1]), "_h").select("_h", "text", "runs").mapInArrow(_cut, "_h long, n_removed long, n_spans long, kept_sha256 string, kept string")
     copies = every.join(firsts.select("_h", F.col("_d").alias("_first")), "_h").withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))))
     marked = copies.select(F.when(F.col("_d") != FIRST, F.col("_d")).alias("doc_id"), "_d", "_h", "n_bytes", "sha256", ((F.col("_d") != F.col("_first")) | (F.col("_nth") > 1)).alias("copy"))
-    return marked, cut
+    return marked, cut, _met(all_runs.select("_h"), size[0])
 
 
 def removed_bytes(docs: DataFrame) -> DataFrame:
@@ -390,7 +400,7 @@ def removed_bytes(docs: DataFrame) -> DataFrame:
     stands before all others; texts that share a doc_id are ordered by their hash, and of equal
     rows one is first. Other columns are ignored. An empty table gives no rows.
     """
-    marked, cut = cut_texts(docs)
+    marked, cut, _ = cut_texts(docs)
     whole = F.col("copy") & (F.col("n_bytes") >= LENGTH)
     return marked.join(cut.drop("kept"), "_h", "left").select(
         "doc_id", "n_bytes",
@@ -406,15 +416,18 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
     Other columns are kept as they are. See `removed_bytes` for nulls, ties and repeated rows.
     """
-    marked, cut = cut_texts(docs)
+    marked, cut, losing = cut_texts(docs)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = hold(docs, ["doc_id", "text"]).withColumn("_h", F.xxhash64(text)).withColumn("_d", F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)))
     copies = marked.where(F.col("copy") & (F.col("n_bytes") >= LENGTH)).select("_d", "_h")
-    later = copies.join(marked.where(~F.col("copy")).select("_d", "_h"), ["_d", "_h"], "left_anti").distinct()
-    rows = rows.join(later, ["_d", "_h"], "left_anti")
+    later = save(copies.join(marked.where(~F.col("copy")).select("_d", "_h"), ["_d", "_h"], "left_anti").distinct(), "later-copies")
+    rows = rows.join(_met(later, later.count()), ["_d", "_h"], "left_anti")
     if not copies.join(marked.where(~F.col("copy")), ["_d", "_h"], "left_semi").isEmpty():  # equal rows
         rows = rows.dropDuplicates(["_d", "_h"])
-    rows = rows.join(cut.select("_h", "kept"), "_h", "left").withColumn("text", F.coalesce("kept", "text"))
+    # Whole texts stay where they are; of the others only what is left of them meets their rows.
+    whole = rows.join(losing, "_h", "left_anti")
+    shorter = rows.drop("text").join(cut.select("_h", F.col("kept").alias("text")), "_h")
+    rows = whole.unionByName(shorter)
     return rows.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*held(docs.columns, ["doc_id", "text"]))
 
 
