@@ -1,7 +1,9 @@
 """The corpus pipeline: from documents to packed training sequences, in five stages.
 
 Each stage applies one operator of `assay.llm` to all that the one before kept; its result is
-written as Parquet and read again, so a lost executor costs no earlier stage.
+written as Parquet and read again, so a lost executor costs no earlier stage. Stages need the columns
+of documents; other columns, whatever their names, are passed through by all but the last, and an
+empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -47,9 +49,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that stand earlier; those with no word left go, null and empty
     texts too. Of equal texts the one of least doc_id is first (a null one before all), of equal rows
-    any one; texts are read whole."""
-    left = suffix_dedup.deduplicated(hold(docs, COLUMNS))
-    return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*held(docs.columns, COLUMNS))
+    any one; texts are read whole. `n_chars`, where there is one, is counted again."""
+    needed = [c for c in COLUMNS if c in docs.columns]
+    left = suffix_dedup.deduplicated(hold(docs, needed))
+    if "n_chars" in needed:
+        left = left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return left.select(*held(docs.columns, needed))
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
