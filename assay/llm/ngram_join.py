@@ -398,7 +398,8 @@ def link_classes(docs: DataFrame) -> DataFrame:
     Two rows link if their sets' Jaccard similarity is 0.8 or more. A null, empty or blank text has
     an empty set, no links, and its own doc_id as component; so rows with a null doc_id and
     words are reached by others but name no class unless all of it is null. Repeated rows are
-    equal sets, so linked. Very long texts are read whole. Other columns are ignored.
+    equal sets, so linked. Very long texts are read whole. An empty table gives none. Other columns,
+    whatever their names, are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     spark = docs.sparkSession

@@ -32,7 +32,8 @@ def lengths(docs: DataFrame, tokenizer: str, end: bool = True) -> DataFrame:
 def length_histogram(docs: DataFrame, tokenizer: str, end: bool = True) -> DataFrame:
     """One row for each length that occurs: n_tokens, n_docs, docs_from (documents at least so
     long), tokens_from (their ids), docs_total, tokens_total, and truncated_total: the ids that
-    are left if every document is cut to n_tokens. An empty table gives no rows.
+    are left if every document is cut to n_tokens. A null text is an empty one; repeated rows count as often; very
+    long texts are read whole. An empty table gives no rows. Other columns, whatever their names, are ignored.
 
     Suffix sums have two levels, blocks of lengths and lengths in a block, so no task sorts all.
     """

@@ -27,7 +27,8 @@ DECODED = "part int, block int, doc_id long, in_block long, n_tokens long, ids_c
 
 def encode_blocks(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:
     """Blocks of all documents in ascending doc_id order (nulls first). A null text is empty and
-    has only the end id; repeated doc_ids stand side by side."""
+    has only the end id; repeated doc_ids stand side by side. A very long text is a block of its own. An
+    empty table gives no blocks. Other columns, whatever their names, are ignored."""
 
     def block(part: int, k: int, doc_ids: list, rows: list[np.ndarray]) -> pa.RecordBatch:
         ids = np.concatenate(rows)

@@ -97,7 +97,8 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame = RULE
 
     Rows are never merged: repeated and null page_ids stay apart. A url without host fits no rule
     and has no links; it is allowed. Of rules of equal length that fit one page a blocking one
-    wins. A null html has no links; a very long one is read whole. Other columns are ignored.
+    wins. A host whose trust equals its distrust is allowed. A null html has no links; a very long one is
+    read whole. An empty table gives none. Other columns are ignored.
     """
     spark = pages.sparkSession
     if not isinstance(rules, DataFrame):
