@@ -8,6 +8,7 @@ from ..operators import compare, distribution, records, residuals, select
 from ..operators.evaluate import Comparison, Evaluator, evaluate
 from ..operators.score import parse, score
 from ..operators.summarize import count_true
+from ..operators.zipped import with_ordinals
 from ..sources.jsonl import ids_in
 from ..sources.shared import save
 from . import routing
@@ -128,9 +129,11 @@ def balanced_variants(spark, sf_dir):
     return select.balanced_variants(pages, "host", "url", "/(en|de|fr|es)/", ["en", "de"], 1)
 
 
-@query("SELECT c_custkey, c_name FROM customer ORDER BY c_custkey")
+@query("SELECT c_custkey, c_name, row_number() OVER (ORDER BY c_custkey) - 1 AS place FROM customer ORDER BY c_custkey")
 def ordered_customers(spark, sf_dir):
-    return select.ordered_unique(_t(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_custkey")
+    """All customers by a key that must be unique, with the place of each."""
+    rows = select.ordered_unique(_t(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_custkey")
+    return with_ordinals(rows, ["c_custkey"], "place").orderBy("c_custkey").select("c_custkey", "c_name", "place")
 
 
 @query("SELECT count(*) AS n_rows, count(*) - count(DISTINCT doc_id) AS repeated_id, count(*) - count(DISTINCT sha256(text)) AS repeated_content, count(*) - count(DISTINCT lang || ':' || source || ':' || n_chars) AS repeated_signature FROM documents")

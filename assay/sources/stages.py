@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,17 +19,26 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 def commit(tables: dict[str, DataFrame], root: str, bundle: str) -> str:
     """Write several tables as one bundle, all or none: into a staging folder beside it, then one
-    rename. A bundle that exists is an error, never replaced."""
+    rename, which fails if the bundle exists: of two writers one gets FileExistsError, and nothing is
+    ever replaced."""
     spark = next(iter(tables.values())).sparkSession
     target, staging = f"{root}/{bundle}", f"{root}/.staging-{uuid.uuid4().hex}"
-    if exists(spark, target):
+    if exists(spark, target):  # saves the writing; the rename below decides
         raise FileExistsError(target)
     for name, df in tables.items():
         df.write.parquet(f"{staging}/{name}")
-    jvm = spark.sparkContext._jvm
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    only_new = gateway.new_array(rename, 1)
+    only_new[0] = rename.NONE
     source, to = jvm.org.apache.hadoop.fs.Path(staging), jvm.org.apache.hadoop.fs.Path(target)
-    if not source.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).rename(source, to):
-        raise OSError(f"cannot commit {target}")
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(source.toUri(), spark.sparkContext._jsc.hadoopConfiguration()) if source.toUri().getScheme() else jvm.org.apache.hadoop.fs.FileContext.getFileContext(spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        files.rename(source, to, only_new)
+    except Py4JJavaError as e:
+        if exists(spark, target):
+            raise FileExistsError(target) from e
+        raise OSError(f"cannot commit {target}") from e
     return target
 
 

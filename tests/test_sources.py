@@ -46,3 +46,21 @@ def test_repeated_keys_and_forbidden_surfaces_are_errors(spark):
         access.read(spark, "fit", "test", "/data/test")
     with pytest.raises(PermissionError):
         access.read(spark, "fit", "train", "/data/sealed")
+
+
+def test_commits_never_replace(spark, tmp_path):
+    """A bundle is there whole or not at all; a second one of its name is an error, also where the first test is passed."""
+    root = f"file://{tmp_path}"
+    df = spark.range(3)
+    path = stages.commit({"a": df, "b": df}, root, "one")
+    assert spark.read.parquet(f"{path}/a").count() == 3 and spark.read.parquet(f"{path}/b").count() == 3
+    with pytest.raises(FileExistsError):
+        stages.commit({"a": df}, root, "one")
+    seen = iter([False, True])
+    real, stages.exists = stages.exists, lambda *_: next(seen)
+    try:
+        with pytest.raises(FileExistsError):
+            stages.commit({"a": df.limit(1)}, root, "one")
+    finally:
+        stages.exists = real
+    assert spark.read.parquet(f"{path}/a").count() == 3
