@@ -192,3 +192,25 @@ def op12_ball_kmeans(spark, sf_dir: str) -> DataFrame:
     vectors, ties, repeated rows and empty tables. An inertia that no long holds is null."""
     found = cluster(table(spark, sf_dir, "embeddings"))
     return found.withColumns({c: F.col(c).try_cast("long") for c in ("cluster_inertia", "inertia")})
+
+
+def _oracle(k: int = 16, rounds: int = 3, dimension: int = 64, scale: int = 64) -> str:
+    """The same clusters in DuckDB: every vector held against every centroid in each round."""
+    near = "SELECT v.r, any_value(vec_id) AS vec_id, any_value(v.x) AS x, arg_min(k, d * 1000 + k) AS k, min(d) AS d FROM (SELECT v.*, c.k, list_sum(list_transform(list_zip(v.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM v, c{n} c) v GROUP BY v.r"
+    steps = [
+        f"v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda c: CAST(floor(CAST(c AS DOUBLE) * {scale}) AS BIGINT)) AS x FROM embeddings WHERE len(embedding) = {dimension} AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0)",
+        f"c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id) NULLS LAST, x) - 1 AS k, x FROM v QUALIFY row_number() OVER (ORDER BY sha256('1:' || vec_id) NULLS LAST, x) <= {k})",
+    ]
+    for n in range(rounds + 1):
+        steps.append(f"a{n} AS ({near.format(n=n)})")
+        if n < rounds:
+            steps.append(f"m{n} AS (SELECT k, list(m ORDER BY i) AS x FROM (SELECT k, i, CAST(floor(sum(e) / count(*)) AS BIGINT) AS m FROM (SELECT k, unnest(x) AS e, unnest(range({dimension})) AS i FROM a{n}) GROUP BY k, i) GROUP BY k)")
+            steps.append(f"c{n + 1} AS (SELECT c.k, coalesce(m.x, c.x) AS x FROM c{n} c LEFT JOIN m{n} m ON c.k = m.k)")
+    last = rounds
+    return (
+        f"WITH {', '.join(steps)} SELECT vec_id, a.k::INT AS cluster, d AS distance, sum(d) OVER (PARTITION BY a.k)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia, sha256(array_to_string(c.x, ',')) AS centroid_sha256, count(*) OVER (PARTITION BY a.k) AS cluster_size "
+        f"FROM a{last} a JOIN c{last} c ON a.k = c.k"
+    )
+
+
+OP12_SQL = _oracle()

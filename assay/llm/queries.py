@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from .ball_kmeans import op12_ball_kmeans
+from .ball_kmeans import OP12_SQL, op12_ball_kmeans
 from .decontaminate import op1_decontamination
 from .lattice_lm import op8_lattice_lm
 from .licenses import op5_license_scan
@@ -35,6 +35,6 @@ QUERIES = {
     "op13_window_cuts": op13_window_cuts,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_quality_rules": OP4_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_quality_rules": OP4_SQL, "op12_ball_kmeans": OP12_SQL}
 if corpus_pipeline.ORACLE_SQL:
     ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
