@@ -53,3 +53,11 @@ def table_digest(df: DataFrame, key: str, columns: list[str] | None = None) -> D
     row = F.sha2(F.concat_ws("\u001f", *(F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in [key, *[c for c in columns if c != key]])), 256)
     parts = [F.sum(F.conv(F.substring("_row", 15 * i + 1, 15), 16, 10).cast("decimal(38,0)")) for i in range(4)]
     return df.select(row.alias("_row")).agg(F.count(F.lit(1)).alias("n_rows"), *(F.coalesce(p, F.lit(0)).cast("string").alias(f"_p{i}") for i, p in enumerate(parts))).select("n_rows", F.sha2(F.concat_ws(":", "_p0", "_p1", "_p2", "_p3"), 256).alias("digest"))
+
+
+def group_digests(df: DataFrame, keys: list[str], identities: dict[str, list[Column]]) -> DataFrame:
+    """For each group of rows: n_rows, and for each identity a digest of the group's values that no order of rows
+    changes: row digests are added up in four parts, as in `table_digest`."""
+    rows = df.select(*keys, *(F.sha2(F.concat_ws("\u001f", *(F.coalesce(c.cast("string"), F.lit("\u0000")) for c in cells)), 256).alias(f"_{n}") for n, cells in identities.items()))
+    part = lambda n, i: F.sum(F.conv(F.substring(f"_{n}", 15 * i + 1, 15), 16, 10).cast("decimal(38,0)")).cast("string")
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"), *(F.sha2(F.concat_ws(":", *(part(n, i) for i in range(4))), 256).alias(n) for n in identities))

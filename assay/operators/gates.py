@@ -194,3 +194,11 @@ def completion(df: DataFrame, keys: list[str], done: Column, failed: Column) ->
     """COMPLETE where all rows are done, FAILED where any failed, else OPEN, with the counts of both."""
     each = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), count_true(done).alias("n_done"), count_true(failed).alias("n_failed"))
     return each.withColumn("status", F.when(F.col("n_failed") > 0, "FAILED").when(F.col("n_done") == F.col("n"), "COMPLETE").otherwise("OPEN"))
+
+
+def count_gate(df: DataFrame, keys: list[str], declared: dict[str, Column], counted: dict[str, Column]) -> DataFrame:
+    """READY where every count of a row is the declared one, else BLOCKED with those that are not, as
+    name=counted/declared in order; an unknown count is not the declared one."""
+    cells = [F.when(~F.coalesce(counted[n] == declared[n], F.lit(False)), F.concat(F.lit(f"{n}="), F.coalesce(counted[n].cast("string"), F.lit("unknown")), F.lit("/"), F.coalesce(declared[n].cast("string"), F.lit("unknown")))) for n in declared]
+    wrong = F.filter(F.array(*cells), lambda x: x.isNotNull())
+    return df.select(*keys, F.when(F.size(wrong) == 0, "READY").otherwise("BLOCKED").alias("status"), wrong.alias("differing"))

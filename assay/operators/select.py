@@ -128,3 +128,10 @@ def ordered_unique(df: DataFrame, id_: str) -> DataFrame:
     n = F.count(F.lit(1)).over(Window.partitionBy(id_))
     checked = F.when(n > 1, F.raise_error(F.concat(F.lit("repeated key: "), F.col(id_).cast("string")))).otherwise(F.col(id_))
     return df.withColumn(id_, checked.cast(df.schema[id_].dataType)).orderBy(id_)
+
+
+def with_reasons(df: DataFrame, reasons: dict[str, Column]) -> DataFrame:
+    """Add rejection_reasons, the names of the conditions that hold, in order (an unknown one holds), and
+    eligible: none does."""
+    found = F.filter(F.array(*(F.when(F.coalesce(c, F.lit(True)), F.lit(n)) for n, c in reasons.items())), lambda x: x.isNotNull())
+    return df.withColumn("rejection_reasons", found).withColumn("eligible", F.size("rejection_reasons") == 0)

@@ -7,7 +7,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import claims, compare, gates, records, summarize
+from ..functions.hashing import group_digests
+from ..operators import claims, compare, gates, quotas, records, select, summarize, zipped
 from ..sources import pack
 from ..sources.shared import shared_dir
 from .catalogue import _systems, _SYSTEMS_SQL, _t, query
@@ -193,3 +194,65 @@ def supported_comparisons(spark, sf_dir):
     relation = F.element_at(F.array(*map(F.lit, ("HIGHER", "LOWER", "BEST", "WORST", "TIE", "OTHER"))), (k % 6 + 1).cast("int"))
     values = F.array(F.floor(F.col("c_acctbal") / 500).cast("long"), F.col("c_nationkey").cast("long"), (k % 7).cast("long"))
     return _t(spark, sf_dir, "customer").select("c_custkey", relation.alias("relation"), claims.comparison_supported(relation, values).alias("supported"))
+
+
+@query(
+    "WITH c AS (SELECT l_suppkey, l_linenumber, count(*) AS n, sum(l_quantity)::BIGINT AS quantity, count(*) FILTER (l_returnflag = 'A')::DOUBLE / count(*) AS returned FROM lineitem GROUP BY ALL), "
+    "r AS (SELECT *, list_filter([CASE WHEN n < 5 THEN 'FEW_ROWS' END, CASE WHEN returned > 0.4 THEN 'MANY_RETURNS' END, CASE WHEN quantity < 100 THEN 'LOW_QUANTITY' END], lambda x: x IS NOT NULL) AS bad FROM c) SELECT l_suppkey, l_linenumber, n, quantity, round(returned, 9) AS returned, array_to_string(bad, ',') AS rejection_reasons, len(bad) = 0 AS eligible FROM r"
+)
+def checkpoint_scores(spark, sf_dir):
+    """Candidates with their score rows and why some can't be chosen."""
+    c = _t(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_linenumber").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").cast("long").alias("quantity"), (F.count_if(F.col("l_returnflag") == "A") / F.count(F.lit(1))).alias("returned"))
+    rows = select.with_reasons(c, {"FEW_ROWS": F.col("n") < 5, "MANY_RETURNS": F.col("returned") > 0.4, "LOW_QUANTITY": F.col("quantity") < 100})
+    return rows.withColumns({"rejection_reasons": F.array_join("rejection_reasons", ","), "returned": F.round("returned", 9)})
+
+
+@query(
+    "$scored, o AS (SELECT count(*) AS rows FROM orders), m AS (SELECT system_id, count(*) AS n, count(*) FILTER (status = 'COMPLETED') AS done, count(*) FILTER (semantic_decision = 1) AS semantic FROM s GROUP BY ALL), "
+    "r AS (SELECT system_id, list_filter([CASE WHEN n <> rows THEN 'rows=' || n || '/' || rows END, CASE WHEN done <> rows THEN 'completed=' || done || '/' || rows END, CASE WHEN semantic <> done THEN 'semantic=' || semantic || '/' || done END], lambda x: x IS NOT NULL) AS bad FROM m, o) "
+    "SELECT system_id, CASE WHEN len(bad) = 0 THEN 'READY' ELSE 'BLOCKED' END AS status, array_to_string(bad, ',') AS differing FROM r"
+)
+def count_gate(spark, sf_dir):
+    """Each system's counts held against the number of orders."""
+    orders = _t(spark, sf_dir, "orders").agg(F.count(F.lit(1)).alias("orders"))
+    m = scored(spark, sf_dir).groupBy("system_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") == "COMPLETED").alias("done"), F.count_if(F.col("semantic_decision") == 1).alias("right")).join(F.broadcast(orders), F.lit(True))  # one row
+    found = gates.count_gate(m, ["system_id"], {"rows": F.col("orders"), "completed": F.col("orders"), "semantic": F.col("done")}, {"rows": F.col("n"), "completed": F.col("done"), "semantic": F.col("right")})
+    return found.withColumn("differing", F.array_join("differing", ","))
+
+
+_SUM4 = lambda h: " || ':' || ".join(f"CAST(sum(CAST(('0x' || substr({h}, {15 * i + 1}, 15)) AS BIGINT)) AS VARCHAR)" for i in range(4))
+
+
+@query(
+    "WITH r AS (SELECT o_orderstatus, sha256(CAST(o_orderkey AS VARCHAR)) AS a, sha256(o_custkey || chr(31) || o_orderpriority) AS b, sha256(coalesce(CASE WHEN o_orderkey % 5 <> 0 THEN o_orderpriority END, chr(0))) AS c FROM orders) "
+    f"SELECT o_orderstatus, count(*) AS n_rows, sha256({_SUM4('a')}) AS ids, sha256({_SUM4('b')}) AS contents, sha256({_SUM4('c')}) AS labels FROM r GROUP BY ALL"
+)
+def group_identities(spark, sf_dir):
+    """Counts and identity digests of each group's ids, contents and labels, nulls among them."""
+    k = F.col("o_orderkey")
+    return group_digests(_t(spark, sf_dir, "orders"), ["o_orderstatus"], {"ids": [k], "contents": [F.col("o_custkey"), F.col("o_orderpriority")], "labels": [F.when(k % 5 != 0, F.col("o_orderpriority"))]})
+
+
+@query(
+    "WITH a AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS i, doc_id, n_chars AS t FROM documents), b AS (SELECT i, doc_id, t + CASE WHEN doc_id % 97 = 5 THEN 3 ELSE 0 END AS t FROM a), z AS (SELECT a.i, a.t = b.t AS same, abs(a.t - b.t)::DOUBLE AS d FROM a JOIN b USING (i)) "
+    "SELECT count(*) AS n_left, count(*) AS n_right, NULL::BIGINT AS first_divergence, true AS ordered, bool_and(same) AS exact, bool_and(same) AS tokens_within, max(d) AS tokens_max_delta FROM z"
+)
+def sequence_report(spark, sf_dir):
+    """Two frozen orders of records held together place by place: order, totals, the greatest difference."""
+    own = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("step"), F.col("n_chars").cast("long").alias("tokens"))
+    other = own.withColumn("tokens", F.col("tokens") + F.when(F.col("step") % 97 == 5, 3).otherwise(0))
+    rows = zipped.trajectory(zipped.positional(own, other, ["step"], ["step"], ["step", "tokens"]), ["step"], {"tokens": (0.0, 0.0)})
+    return zipped.trajectory_summary(rows, ["tokens"])
+
+
+@query(
+    "$scored, e AS (SELECT record_id, bool_or(system_id = 'anchored' AND semantic_decision = 1) AS a, bool_or(system_id = 'direct' AND semantic_decision = 1) AS d, bool_or(system_id = 'untouched' AND semantic_decision = 1) AS u FROM s GROUP BY ALL), "
+    "c(slot) AS (VALUES ('all right'), ('only direct'), ('impossible')), f AS (SELECT slot, arg_min(record_id, sha256('case:' || slot || ':' || record_id)) AS record_id FROM c JOIN e ON CASE slot WHEN 'all right' THEN a AND d AND u WHEN 'only direct' THEN NOT a AND d AND NOT u ELSE false END GROUP BY ALL), g AS (SELECT c.slot, f.record_id FROM c LEFT JOIN f USING (slot)) "
+    "SELECT g.slot, g.record_id, system_id, classification, semantic_decision, primary_failure FROM g LEFT JOIN s ON g.record_id = s.record_id"
+)
+def case_details(spark, sf_dir):
+    """What every system did on the representative case of each slot; a slot without a case is a row."""
+    rows = scored(spark, sf_dir).select("record_id", "system_id", "semantic_decision", "classification", "primary_failure")
+    slots = [quotas.CaseSlot("all right", ("anchored", "direct", "untouched")), quotas.CaseSlot("only direct", ("direct",), ("anchored", "untouched")), quotas.CaseSlot("impossible", ("direct",), ("direct",))]
+    cases = quotas.representative_cases(rows, "record_id", "system_id", F.col("semantic_decision") == 1, ["anchored", "direct", "untouched"], slots, "case").drop("n_fitting")
+    return cases.join(rows, "record_id", "left").select("slot", "record_id", "system_id", "classification", "semantic_decision", "primary_failure")

@@ -289,3 +289,29 @@ def iso_records(spark, sf_dir):
     """Rows as canonical JSON with their times as ISO text."""
     rows = _t(spark, sf_dir, "events").select("event_id", F.struct(iso_text(F.col("ts").cast("timestamp")).alias("at"), F.col("user_id").alias("user")).alias("r"))
     return rows.select("event_id", F.to_json("r").alias("json"))
+
+
+_POOL = (
+    "h AS (SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL), q AS (SELECT lang, source, CAST(n // 8 % 5 AS INT) AS quota FROM h), "
+    "s AS (SELECT lang, source, lang || chr(31) || source || chr(31) || lpad(CAST(k AS VARCHAR), 10, '0') AS slot FROM (SELECT *, unnest(range(quota)) AS k FROM q)), "
+    "a AS (SELECT slot, t.attempt, ['k' || substr(sha256(slot || ':' || t.attempt), 1, 2)] AS keys FROM s, (SELECT unnest(range(3)) AS attempt) t), x AS (SELECT DISTINCT 'k' || substr(sha256('x' || n_nationkey), 1, 2) AS key FROM nation)"
+)
+
+
+@query(
+    f"WITH RECURSIVE {_POOL}, o AS (SELECT slot, row_number() OVER (ORDER BY slot) AS i FROM s), b AS (SELECT i, slot, attempt, keys FROM a JOIN o USING (slot)), "
+    "r(i, held, slot, attempt) AS (SELECT 0::BIGINT, (SELECT list(key) FROM x), NULL::VARCHAR, NULL::BIGINT UNION ALL "
+    "SELECT b.i, CASE WHEN min(CASE WHEN NOT list_has_any(b.keys, r.held) THEN b.attempt END) IS NULL THEN any_value(r.held) ELSE list_concat(any_value(r.held), arg_min(b.keys, b.attempt) FILTER (NOT list_has_any(b.keys, r.held))) END, any_value(b.slot), min(CASE WHEN NOT list_has_any(b.keys, r.held) THEN b.attempt END) FROM r JOIN b ON b.i = r.i + 1 GROUP BY b.i), "
+    "f AS (SELECT lang, source, count(*) AS n FROM r JOIN s USING (slot) WHERE i > 0 AND attempt IS NULL GROUP BY ALL) "
+    "SELECT t.finding, lang || '|' || source AS detail, n FROM f, (VALUES ('QUOTA_NOT_MET'), ('ATTEMPTS_EXHAUSTED')) t(finding)"
+)
+def pool_audits(spark, sf_dir):
+    """Slots of each stratum's quota filled with retries, and the findings that would bar the pool."""
+    counts = _t(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
+    quota = counts.select("lang", "source", F.expr("cast(n div 8 % 5 as int)").alias("quota"))
+    slots = matching.quota_slots(quota, ["lang", "source"], "quota", ["lang", "source"])
+    attempts = slots.select("slot", F.explode(F.array(*(F.lit(i) for i in range(3)))).alias("attempt"))
+    key = lambda text: F.concat(F.lit("k"), F.substring(F.sha2(text, 256), 1, 2))
+    attempts = attempts.withColumn("keys", F.array(key(F.concat_ws(":", "slot", F.col("attempt").cast("string")))))
+    taken = _t(spark, sf_dir, "nation").select(key(F.concat(F.lit("x"), F.col("n_nationkey").cast("string"))).alias("key"))
+    return matching.audits(matching.first_free(attempts, taken).join(slots, "slot"), quota, ["lang", "source"], "quota", taken)

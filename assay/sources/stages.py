@@ -42,6 +42,15 @@ def commit(tables: dict[str, DataFrame], root: str, bundle: str) -> str:
     return target
 
 
+def commit_audited(tables: dict[str, DataFrame], audits: dict[str, DataFrame], root: str, bundle: str) -> str:
+    """`commit`, if every audit is empty; else ValueError with the audits' names and their first findings, and
+    nothing is written."""
+    found = {name: [tuple(r) for r in df.limit(5).collect()] for name, df in audits.items()}
+    if bad := {name: rows for name, rows in found.items() if rows}:
+        raise ValueError(f"audits with findings: {bad}")
+    return commit(tables, root, bundle)
+
+
 def append_stage(spark: SparkSession, path: str, run_id: str, stage: str, status: str, payload: str) -> str:
     """Append one row whose hash covers its parent's; returns the hash. A run's rows have a folder each,
     named by their sequence: of two writers of one sequence the second fails."""

@@ -142,3 +142,21 @@ def test_collisions_by_hashed_keys(spark):
     want = {(c, i, "passage", sha(ten)) for c, i in (("a", "1"), ("b", "7"), ("a", "4"))} | {(c, i, "signature", sha("short text")) for c, i in (("a", "3"), ("b", "10"))}
     want |= {(c, i, k, sha("")) for c, i in (("a", "2"), ("b", "9")) for k in ("content", "signature")}
     assert got == want
+
+
+def test_counts_reasons_and_group_digests(spark):
+    """Unknown counts and conditions, rows in another order, nulls, repeats, empty tables."""
+    from assay.functions.hashing import group_digests
+    from assay.operators import select
+
+    m = spark.createDataFrame([("a", 3, 3), ("b", 2, 3), ("c", None, 3)], "s string, n long, want long")
+    got = {r["s"]: (r["status"], r["differing"]) for r in gates.count_gate(m, ["s"], {"rows": F.col("want")}, {"rows": F.col("n")}).collect()}
+    assert got == {"a": ("READY", []), "b": ("BLOCKED", ["rows=2/3"]), "c": ("BLOCKED", ["rows=unknown/3"])}
+    rows = select.with_reasons(m, {"FEW": F.col("n") < 3, "MANY": F.col("want") > 9}).collect()
+    assert {r["s"]: (r["rejection_reasons"], r["eligible"]) for r in rows} == {"a": ([], True), "b": (["FEW"], False), "c": (["FEW"], False)}
+    data = [("x", 1, "p"), ("x", 2, None), ("x", 2, None), (None, 3, "q")]
+    of = lambda d: {r["g"]: tuple(r)[1:] for r in group_digests(spark.createDataFrame(d, "g string, i long, t string"), ["g"], {"ids": [F.col("i")], "all": [F.col("i"), F.col("t")]}).collect()}
+    assert of(data) == of(data[::-1]) and of(data)["x"][0] == 3
+    other = of([("x", 1, None), ("x", 2, "p"), ("x", 2, None), (None, 3, "q")])
+    assert other["x"][1] == of(data)["x"][1] and other["x"][2] != of(data)["x"][2] and other[None] == of(data)[None]
+    assert of([]) == {}

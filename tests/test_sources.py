@@ -64,3 +64,11 @@ def test_commits_never_replace(spark, tmp_path):
     finally:
         stages.exists = real
     assert spark.read.parquet(f"{path}/a").count() == 3
+
+
+def test_audited_commits(spark, tmp_path):
+    root, df = f"file://{tmp_path}", spark.range(2)
+    with pytest.raises(ValueError, match="leaks"):
+        stages.commit_audited({"a": df}, {"counts": df.limit(0), "leaks": df}, root, "pool")
+    assert not (tmp_path / "pool").exists()
+    assert spark.read.parquet(f"{stages.commit_audited({'a': df}, {'counts': df.limit(0)}, root, 'pool')}/a").count() == 2
