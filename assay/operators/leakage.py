@@ -113,6 +113,18 @@ def leakage_audit(candidates: DataFrame, excluded: DataFrame) -> DataFrame:
     return inside.join(known, ["key_class", "key"], "left").groupBy("key_class").agg(F.count_if(F.coalesce("_x", F.lit(False))).alias("n_excluded"), F.count_if(F.col("_n") > 1).alias("n_repeated"), F.count(F.lit(1)).alias("n_keys"))
 
 
+def audit_findings(audit: DataFrame, coverage: DataFrame, keys: list[str], minimums: dict[str, int]) -> DataFrame:
+    """finding, detail, n: what bars a surface. `audit`: rows of `leakage_audit`; a class with excluded keys is a
+    COLLISION, one with repeated keys a REPETITION. `coverage`: a row for each of `keys` with counts; a
+    count under its minimum, or unknown, is BOUNDARY_BELOW_MINIMUM. Without a row nothing bars it.
+    """
+    cell = lambda finding, detail, n: F.struct(F.lit(finding).alias("finding"), detail.alias("detail"), n.cast("bigint").alias("n"))
+    collided = audit.select(F.inline(F.array(cell("COLLISION", F.col("key_class"), F.col("n_excluded")), cell("REPETITION", F.col("key_class"), F.col("n_repeated"))))).where("n > 0")
+    name = lambda c: F.concat_ws("|", *(F.coalesce(F.col(k).cast("string"), F.lit("null")) for k in keys), F.lit(c))
+    low = [F.when(F.coalesce(F.col(c) < m, F.lit(True)), cell("BOUNDARY_BELOW_MINIMUM", name(c), F.coalesce(c, F.lit(0)))) for c, m in minimums.items()]
+    return collided.unionByName(coverage.select(F.inline(F.filter(F.array(*low), lambda x: x.isNotNull()))))
+
+
 def duplicates(df: DataFrame, keys: list[str], id_: str) -> DataFrame:
     """Groups of more than one row: their size and least id."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(id_).alias("least_id")).where("n > 1")

@@ -69,9 +69,24 @@ def attempts(df: DataFrame, attempt: str, reason: str, first: str, second: str)
     return counted.join(F.broadcast(totals), F.lit(True)).select("reason", "n_first", "n_second", F.try_divide("n_first", "_a").alias("share_first"), F.try_divide("n_second", "_b").alias("share_second"))  # one row
 
 
-def dataset_audit(df: DataFrame, identities: dict[str, Column]) -> DataFrame:
-    """One row: rows, and for each identity how many rows are beyond its distinct values (0: unique)."""
-    return df.agg(F.count(F.lit(1)).alias("n_rows"), *((F.count(F.lit(1)) - F.count_distinct(c)).alias(f"repeated_{k}") for k, c in identities.items()))
+def dataset_audit(df: DataFrame, identities: dict[str, Column], violations: dict[str, Column] = {}) -> DataFrame:  # noqa: B006
+    """One row: rows, for each identity how many rows are beyond its distinct values (0: unique), and for
+    each violation how many rows have it; an unknown one is none."""
+    counted = [count_true(c).alias(k) for k, c in violations.items()]
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), *((F.count(F.lit(1)) - F.count_distinct(c)).alias(f"repeated_{k}") for k, c in identities.items()), *counted)
+
+
+def contract_differences(stored: Column, given: Column, fields: list[str]) -> Column:
+    """The fields, in order, in which a stored struct is not what a policy gives again; nulls are equal, and a
+    struct that is null differs in every field unless both are."""
+    cells = [F.when(~stored[f].eqNullSafe(given[f]) | (stored.isNull() != given.isNull()), F.lit(f)) for f in fields]
+    return F.filter(F.array(*cells), lambda x: x.isNotNull())
+
+
+def policy_replay(df: DataFrame, keys: list[str], stored: Column, given: Column, fields: list[str]) -> DataFrame:
+    """keys and differing (array) of the rows whose stored contract the policy does not give again. A row
+    is judged by itself: repeated rows are repeated findings, and an empty table has none."""
+    return df.select(*keys, contract_differences(stored, given, fields).alias("differing")).where(F.size("differing") > 0)
 
 
 def group_totals(df: DataFrame, keys: list[str], weight: str, constant: int) -> DataFrame:

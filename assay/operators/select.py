@@ -135,3 +135,11 @@ def with_reasons(df: DataFrame, reasons: dict[str, Column]) -> DataFrame:
     eligible: none does."""
     found = F.filter(F.array(*(F.when(F.coalesce(c, F.lit(True)), F.lit(n)) for n, c in reasons.items())), lambda x: x.isNotNull())
     return df.withColumn("rejection_reasons", found).withColumn("eligible", F.size("rejection_reasons") == 0)
+
+
+def exactly(df: DataFrame, condition: Column, n: int, what: str) -> DataFrame:
+    """The rows that a condition holds for, which must be `n`: ValueError otherwise. At most n + 1 are counted."""
+    found = df.where(F.coalesce(condition, F.lit(False)))
+    if (counted := found.limit(n + 1).count()) != n:
+        raise ValueError(f"{what}: {'more' if counted > n else 'fewer'} than {n} rows")
+    return found

@@ -3,7 +3,7 @@
 import pytest
 
 from assay.operators import schedule
-from assay.plans import bundles, leftovers, runs  # noqa: F401
+from assay.plans import audits, bundles, leftovers, runs  # noqa: F401
 from assay.plans.catalogue import ORACLE_SQL, QUERIES
 
 from .oracle import connect, difference
