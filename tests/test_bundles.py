@@ -144,6 +144,28 @@ def test_collisions_by_hashed_keys(spark):
     assert got == want
 
 
+def test_passage_collisions(spark):
+    """Nulls, short texts, repeated rows, one id with two texts, passages that repeat: against every passage held together."""
+    rng = __import__("random").Random(5)
+    text = lambda n: " ".join(f"w{rng.randrange(3 if n % 2 else 400)}" for _ in range(n))
+    pool = [text(n) for n in (0, 3, 9, 10, 11, 25, 60, 61, 300, 1500)]
+    rows = [(c, i, t) for i, t in enumerate(pool) for c in "abc" if rng.random() < 0.8] + [("a", 3, None), ("b", 7, pool[6] + " " + pool[6].upper()), ("b", 7, pool[9]), ("c", 7, pool[8]), ("c", 7, pool[8])]
+    rows += [(c, 50 + k, " ".join(pool[9].split()[k * 90 : k * 90 + 40] + text(31).split())) for k in range(8) for c in "bc"]
+    words = F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda w: w != "")
+    has = {}
+    for c, i, t in rows:
+        w = (t or "").lower().split()
+        for k in range(len(w) - 9):
+            has.setdefault(hashlib.sha256(" ".join(w[k : k + 10]).encode()).hexdigest(), set()).add((c, str(i)))
+    want = []
+    for key, records in has.items():
+        own = min(records)[0]
+        want += [(key, own, max(i for c, i in records if c == own), c, i) for c, i in records if c != own]
+    got = leakage.passage_collisions(spark.createDataFrame(rows, "corpus string, record_id long, text string"), words, 10)
+    assert sorted(map(tuple, got.collect())) == sorted(want) and want
+    assert leakage.passage_collisions(spark.createDataFrame(rows, "corpus string, record_id long, text string").limit(0), words, 10).collect() == []
+
+
 def test_counts_reasons_and_group_digests(spark):
     """Unknown counts and conditions, rows in another order, nulls, repeats, empty tables."""
     from assay.functions.hashing import group_digests
