@@ -11,8 +11,10 @@ MODES = ("exact", "list", "set", "numeric")
 
 
 def equal(a: Column, b: Column) -> Column:
-    """Typed equality of two values; two missing ones are equal, and true is not 1."""
-    return F.to_json(a).eqNullSafe(F.to_json(b)) & kind(a).eqNullSafe(kind(b))
+    """Typed equality of two values; two missing ones are equal, and true is not 1. Equal texts are of
+    one kind but for numbers, where 1.0 is written 1."""
+    text = F.to_json(a)
+    return text.eqNullSafe(F.to_json(b)) & (~F.coalesce(text.rlike("^[-0-9]"), F.lit(False)) | kind(a).eqNullSafe(kind(b)))
 
 
 def items(v: Column) -> Column:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .jsontext import kind
+from .jsontext import kind, listed
 
 # Fixed values of the contract.
 DECISIONS = ["execute", "request_approval", "ask_clarification", "refuse", "no_action"]
@@ -28,37 +28,33 @@ def opened(v: Column) -> Column:
     return F.try_variant_get(v, "$", "map<string,variant>")
 
 
-def _plain(v: Column) -> Column:
-    """A scalar as text: what a string says, other values in canonical JSON, nothing for null."""
-    text = F.to_json(v)
-    said = F.when(text.contains("\\"), F.get_json_object(F.concat(F.lit('{"v":'), text, F.lit("}")), "$.v")).otherwise(F.substring(text, F.lit(2), F.length(text) - 2))
-    return F.when(text.startswith('"'), said).when(text != "null", text)
-
-
-def typed(members: Column) -> dict[str, Column]:
-    """An object's fields as plain columns, from its members: each value as text (approval_required
-    as boolean), its kind, and of the arguments canonical values and kinds by key. The object is
-    opened once; all that follows works on these."""
-    member = lambda n: F.element_at(members, F.lit(n))
-    arguments = opened(member("arguments"))
-    return {
-        "keys": F.map_keys(members),
-        **{n: F.when(kind(member(n)) == "boolean", F.to_json(member(n)) == "true") if n == "approval_required" else _plain(member(n)) for n in FIELDS if n != "arguments"},
-        **{f"{n}_kind": kind(member(n)) for n in FIELDS},
-        "arguments": F.transform_values(arguments, lambda _, x: F.to_json(x)),
-        "argument_kinds": F.transform_values(arguments, lambda _, x: kind(x)),
-    }
+def typed(df: DataFrame, value: str, prefix: str) -> DataFrame:
+    """Add an object's fields (`value`: VARIANT, null if there is none) as plain columns: its keys; each
+    field's kind and its value as text (approval_required as boolean; other values than strings in
+    canonical JSON, nothing for null); of the arguments canonical values by key. The object is
+    opened once; all that follows works on these. `{prefix}_open` is the arguments' own values.
+    """
+    df = df.withColumn("_members", opened(F.col(value)))
+    member = lambda n: F.element_at("_members", F.lit(n))
+    at = lambda n: F.col(f"{prefix}_{n}_kind")
+    df = df.withColumns({f"{prefix}_keys": F.map_keys("_members"), f"{prefix}_open": opened(member("arguments")), **{f"{prefix}_{n}_kind": kind(member(n)) for n in FIELDS if n != "arguments"}})
+    plain = lambda n: F.when(at(n) == "string", F.try_variant_get(member(n), "$", "string")).when(at(n) != "null", F.to_json(member(n)))
+    df = df.withColumns({
+        f"{prefix}_arguments_kind": F.when(F.col(f"{prefix}_open").isNotNull(), "object").otherwise(kind(member("arguments"))),
+        **{f"{prefix}_{n}": F.when(at(n) == "boolean", F.try_variant_get(member(n), "$", "boolean")) if n == "approval_required" else plain(n) for n in FIELDS if n != "arguments"},
+    }).drop("_members")
+    return df.withColumn(f"{prefix}_arguments", F.transform_values(f"{prefix}_open", lambda _, x: F.to_json(x)))
 
 
 def _yes(c: Column) -> Column:
     return F.coalesce(c, F.lit(False))
 
 
-def arguments_valid(tool: Column, values: Column, kinds: Column) -> Column:
-    """Whether a tool's arguments (maps of canonical JSON values and of kinds) are exactly its own,
+def arguments_valid(tool: Column, values: Column, members: Column) -> Column:
+    """Whether a tool's arguments (maps of canonical JSON values and of VARIANTs) are exactly its own,
     of the right types and values."""
-    text = lambda name: (F.element_at(kinds, F.lit(name)) == "string") & (F.element_at(values, F.lit(name)) != '""')
-    whole = lambda name: F.when(F.element_at(kinds, F.lit(name)) == "integer", F.element_at(values, F.lit(name)).cast("bigint"))
+    text = lambda name: F.element_at(values, F.lit(name)).startswith('"') & (F.element_at(values, F.lit(name)) != '""')
+    whole = lambda name: F.when(kind(F.element_at(members, F.lit(name))) == "integer", F.element_at(values, F.lit(name)).cast("bigint"))
     one = lambda name, *allowed: F.element_at(values, F.lit(name)).isin(*(f'"{x}"' for x in allowed))
     tests = {
         "refund_payment": text("payment_id") & (whole("amount_minor") >= 0) & one("currency", "USD"),
@@ -67,7 +63,7 @@ def arguments_valid(tool: Column, values: Column, kinds: Column) -> Column:
         "pause_subscription": text("subscription_id") & whole("pause_days").isin(30, 60, 90),
         "offer_retention": text("subscription_id") & one("offer_code", "SAVE10_3MO"),
     }
-    own = F.array_sort(F.map_keys(values))
+    own = F.sort_array(F.map_keys(values))
     fits = lambda t: _yes((own == F.lit(sorted(ARGUMENTS[t]))) & tests[t])
     return reduce(lambda c, t: c.when(tool == t, fits(t)), TOOLS, F.when(tool.isNull(), F.lit(True))).otherwise(F.lit(False))
 
@@ -78,9 +74,10 @@ def errors(c: dict[str, Column]) -> Column:
 
     Shape errors come alone: fields are compared with each other only where each is well formed.
     """
-    bad = lambda test, code: F.when(test, F.lit(code))
+    bad = lambda test, code: (code, test)
     there = lambda n: c[f"{n}_kind"].isNotNull()
-    scalar = ~F.exists(F.map_values(c["argument_kinds"]), lambda k: k.isin("object", "array"))
+    values = F.concat(F.lit("\n"), F.array_join(F.map_values(c["arguments"]), "\n"))  # no JSON text holds a line's end
+    scalar = ~(values.contains("\n{") | values.contains("\n["))
     shape = [
         *(bad(~there(n), "MISSING_REQUIRED_KEY") for n in FIELDS),
         bad(there("decision") & ~_yes((c["decision_kind"] == "string") & c["decision"].isin(DECISIONS)), "UNSUPPORTED_DECISION"),
@@ -95,11 +92,11 @@ def errors(c: dict[str, Column]) -> Column:
         F.when(d == "execute", t.isNotNull() & ~flag).when(d == "request_approval", t.isNotNull() & flag)
         .otherwise(t.isNull() & ~flag & (F.size(c["arguments"]) == 0))
     )
-    whole = fits & arguments_valid(t, c["arguments"], c["argument_kinds"]) & (c["policy_code"] != "") & (c["reason_code"] != "")
-    found = F.filter(F.array(*shape), lambda x: x.isNotNull())
+    whole = fits & arguments_valid(t, c["arguments"], c["open"]) & (c["policy_code"] != "") & (c["reason_code"] != "")
+    found = listed(shape)
     return F.when(F.size(found) > 0, found).when(_yes(whole), F.array().cast("array<string>")).otherwise(F.array(F.lit("CROSS_FIELD_VIOLATION")))
 
 
 def pairs(arguments: Column) -> Column:
-    """Arguments (a map of canonical JSON values) as a set of key=value texts."""
-    return F.transform(F.map_entries(arguments), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    """Arguments (a map of canonical JSON values) as a set of keys with values."""
+    return F.map_entries(arguments)

@@ -10,21 +10,27 @@ CONTRACT_FENCE = r"(?s)\A```(?:json)?[ \t]*\r?\n(.*)\r?\n```\z"
 GENERIC_FENCE = r"(?si)\A\s*```(?:json)?[ \t]*\r?\n(.*?)\r?\n?```\s*\z"
 
 
+#: Unicode's white space.
+_SPACES = "".join(map(chr, [*range(0x9, 0xE), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def strip(c: Column) -> Column:
     """Without white space at both ends, Unicode's included."""
-    return F.regexp_replace(c, r"(?U)\A\s+|\s+\z", "")
+    return F.btrim(c, F.lit(_SPACES))
 
 
 def strict_value(c: Column) -> Column:
     """The one JSON value that the whole text is, as VARIANT; null if it is anything else.
 
     Readers ignore what follows a first value, so the text must also parse as the only element of
-    a list and as the only field of an object. Repeated keys and NaN are refused.
+    a list and, if it could close that list itself, as the only field of an object. Repeated keys
+    and NaN are refused.
     """
     listed = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]")))
     wrapped = F.try_parse_json(F.concat(F.lit('{"v":'), c, F.lit("}")))
-    alone = F.try_variant_get(listed, "$[1]", "variant").isNull() & F.try_variant_get(listed, "$[0]", "variant").isNotNull() & F.try_variant_get(wrapped, "$.v", "variant").isNotNull()
-    return F.when(alone & (F.trim(c) != ""), F.try_variant_get(listed, "$[0]", "variant"))
+    first = F.try_variant_get(listed, "$[0]", "variant")
+    whole = ~c.contains("]") | F.try_variant_get(wrapped, "$.v", "variant").isNotNull()
+    return F.when(first.isNotNull() & F.try_variant_get(listed, "$[1]", "variant").isNull() & (F.trim(c) != "") & whole, first)
 
 
 #: What VARIANT calls its types, without their parts, and what JSON calls them; all others are numbers.
@@ -38,6 +44,12 @@ def kind(v: Column) -> Column:
     return F.coalesce(known, F.when(v.isNotNull(), "number"))
 
 
+def listed(tests: list[tuple[str, Column]]) -> Column:
+    """The names, in order, whose tests hold; names have no commas."""
+    names = F.concat_ws(",", *(F.when(test, F.lit(name)) for name, test in tests))
+    return F.when(names == "", F.array().cast("array<string>")).otherwise(F.split(names, ","))
+
+
 def is_object(v: Column) -> Column:
     return F.coalesce(kind(v) == "object", F.lit(False))
 

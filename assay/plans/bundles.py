@@ -124,7 +124,7 @@ _WIDE = ["argument_f1", "semantic_decision", "strict_contract"]
 @query("$scored SELECT system_id, " + ", ".join(f"round(avg(CAST({m} AS DOUBLE)), 6) AS {m}" for m in _WIDE) + ", NULL::DOUBLE AS unknown_metric FROM s GROUP BY ALL")
 def comparison_rows(spark, sf_dir):
     """A wide row for each system from its long metrics; a metric it lacks is null."""
-    long = summarize.metric_means(scored(spark, sf_dir), ["system_id"])
+    long = summarize.metric_means(scored(spark, sf_dir, columns=["system_id", *_WIDE]), ["system_id"], _WIDE)
     rows = gates.wide_metrics(long, ["system_id"], "metric", "mean", [*_WIDE, "unknown_metric"])
     return rows.select("system_id", *(F.round(F.col(m).cast("double"), 6).alias(m) for m in [*_WIDE, "unknown_metric"]))
 
@@ -142,7 +142,7 @@ _GATE_SQL = ", ".join(f"CASE WHEN NOT coalesce({c.replace('adapted.', 'a.').repl
 )
 def source_gate(spark, sf_dir):
     """One system held against another by named criteria."""
-    m = scored(spark, sf_dir).groupBy("system_id").agg(F.count(F.lit(1)).alias("n"), F.avg("semantic_decision").alias("semantic"), F.avg("strict_contract").alias("strict"), F.avg("argument_f1").alias("f1"), F.count_if("false_action").alias("false_actions"))
+    m = scored(spark, sf_dir, columns=["system_id", "semantic_decision", "strict_contract", "argument_f1", "false_action"]).groupBy("system_id").agg(F.count(F.lit(1)).alias("n"), F.avg("semantic_decision").alias("semantic"), F.avg("strict_contract").alias("strict"), F.avg("argument_f1").alias("f1"), F.count_if("false_action").alias("false_actions"))
     row = gates.source_gate(m, "system_id", "untouched", "anchored", {n: F.expr(c) for n, c in _GATE.items()})
     return row.select("status", F.array_join("failed_checks", ",").alias("failed_checks"))
 
@@ -215,7 +215,7 @@ def checkpoint_scores(spark, sf_dir):
 def count_gate(spark, sf_dir):
     """Each system's counts held against the number of orders."""
     orders = _t(spark, sf_dir, "orders").agg(F.count(F.lit(1)).alias("orders"))
-    m = scored(spark, sf_dir).groupBy("system_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") == "COMPLETED").alias("done"), F.count_if(F.col("semantic_decision") == 1).alias("right")).join(F.broadcast(orders), F.lit(True))  # one row
+    m = scored(spark, sf_dir, columns=["system_id", "status", "semantic_decision"]).groupBy("system_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") == "COMPLETED").alias("done"), F.count_if(F.col("semantic_decision") == 1).alias("right")).join(F.broadcast(orders), F.lit(True))  # one row
     found = gates.count_gate(m, ["system_id"], {"rows": F.col("orders"), "completed": F.col("orders"), "semantic": F.col("done")}, {"rows": F.col("n"), "completed": F.col("done"), "semantic": F.col("right")})
     return found.withColumn("differing", F.array_join("differing", ","))
 
@@ -252,7 +252,7 @@ def sequence_report(spark, sf_dir):
 )
 def case_details(spark, sf_dir):
     """What every system did on the representative case of each slot; a slot without a case is a row."""
-    rows = scored(spark, sf_dir).select("record_id", "system_id", "semantic_decision", "classification", "primary_failure")
+    rows = scored(spark, sf_dir, columns=["record_id", "system_id", "semantic_decision", "classification", "primary_failure"]).select("record_id", "system_id", "semantic_decision", "classification", "primary_failure")
     slots = [quotas.CaseSlot("all right", ("anchored", "direct", "untouched")), quotas.CaseSlot("only direct", ("direct",), ("anchored", "untouched")), quotas.CaseSlot("impossible", ("direct",), ("direct",))]
     cases = quotas.representative_cases(rows, "record_id", "system_id", F.col("semantic_decision") == 1, ["anchored", "direct", "untouched"], slots, "case").drop("n_fitting")
     return cases.join(rows, "record_id", "left").select("slot", "record_id", "system_id", "classification", "semantic_decision", "primary_failure")

@@ -36,7 +36,7 @@ def residual_rows(spark, sf_dir):
 
 @query("$scored, r AS (SELECT * FROM s WHERE NOT coalesce(semantic_decision = 1 AND status = 'COMPLETED' AND len(codes) = 0, false)) SELECT system_id, profile, count(*) AS n FROM (SELECT system_id, unnest(list_distinct(tags)) AS profile FROM r) GROUP BY ALL")
 def residual_profiles(spark, sf_dir):
-    return residuals.profile_counts(residuals.imperfect(scored(spark, sf_dir)), ["system_id"], "tags")
+    return residuals.profile_counts(residuals.imperfect(scored(spark, sf_dir, columns=["system_id", "status", "semantic_decision", "findings", "tags"])), ["system_id"], "tags")
 
 
 @query(
@@ -47,7 +47,7 @@ def residual_profiles(spark, sf_dir):
 def replayed_summary(spark, sf_dir):
     """A stored summary, one surface of which was tampered with, against the one its rows give again."""
     summary = lambda df: df.groupBy("system_id", "surface").agg(F.count(F.lit(1)).alias("n"), F.sum("semantic_decision").alias("good"), F.count_if(F.col("status") == "COMPLETED").alias("done"))
-    rows = scored(spark, sf_dir)
+    rows = scored(spark, sf_dir, columns=["system_id", "surface", "status", "semantic_decision"])
     stored = save(summary(rows).withColumn("good", F.col("good") + (F.col("surface") == "adversarial").cast("int")), "stored-summary")
     return residuals.replayed(stored, summary(rows), ["system_id", "surface"], ["n", "good", "done"])
 
@@ -72,7 +72,7 @@ _REASON = "CASE WHEN status <> 'COMPLETED' THEN 'NOT_COMPLETED' WHEN classificat
     "SELECT reason, n_first, n_second, round(n_first / (SELECT sum(n_first) FROM c), 6)::DOUBLE AS share_first, round(n_second / (SELECT sum(n_second) FROM c), 6)::DOUBLE AS share_second FROM c"
 )
 def attempt_comparison(spark, sf_dir):
-    rows = residuals.attempts(scored(spark, sf_dir).withColumn("reason", F.expr(_REASON)), "system_id", "reason", "direct", "anchored")
+    rows = residuals.attempts(scored(spark, sf_dir, ["direct", "anchored"], columns=["system_id", "status", "classification", "semantic_decision"]).withColumn("reason", F.expr(_REASON)), "system_id", "reason", "direct", "anchored")
     return rows.withColumns({c: F.round(c, 6) for c in ("share_first", "share_second")})
 
 

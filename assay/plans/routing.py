@@ -8,6 +8,8 @@ texts; what is asked of the texts is then computed by each on its own.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,18 +86,24 @@ def spark_expression(e: str) -> str:
     return e.replace("//", "div").replace("floor(", "floor(")
 
 
-def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each order and system."""
+#: Those of the columns after the systems that are the same for all of them.
+SHARED = ("clean", "expected_json")
+
+
+def predictions(spark: SparkSession, sf_dir: str, once: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """One row for each order and system. `once` adds to the facts and the expected contract of an order
+    before it is dealt out to the systems."""
     orders, customer = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "customer"))
     df = orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice").join(customer.select("c_custkey", "c_acctbal"), F.col("o_custkey") == F.col("c_custkey"))
-    if df.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:  # few large files: what follows is many times the reading
-        df = df.repartition(spark.sparkContext.defaultParallelism)
+    df = df.repartition(4 * spark.sparkContext.defaultParallelism, "o_orderkey")  # files may have few row groups, and what follows is many times the reading
     for layer in BEFORE_SYSTEMS:
         df = df.selectExpr("*", *(f"{spark_expression(e)} AS {c}" for c, e in layer.items()))
+    shared = {c: e for layer in AFTER_SYSTEMS for c, e in layer.items() if c in SHARED}
+    df = once(df.selectExpr("*", *(f"{spark_expression(e)} AS {c}" for c, e in shared.items())))
     systems = F.explode(F.array(*(F.struct(F.lit(s).alias("s"), F.lit(k).alias("k")) for s, k in SYSTEMS)))
     df = df.withColumn("_s", systems).withColumns({"system_id": F.col("_s.s"), "offset_": F.col("_s.k")}).drop("_s")
     for layer in AFTER_SYSTEMS:
-        df = df.selectExpr("*", *(f"{spark_expression(e)} AS {c}" for c, e in layer.items()))
+        df = df.selectExpr("*", *(f"{spark_expression(e)} AS {c}" for c, e in layer.items() if c not in SHARED))
     return df.drop("clean", "kind", "offset_")
 
 

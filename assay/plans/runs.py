@@ -267,7 +267,7 @@ def cohort_counts(spark, sf_dir):
 )
 def system_profiles(spark, sf_dir):
     """Each system's figures on two surfaces side by side."""
-    m = scored(spark, sf_dir).groupBy("system_id", "surface").agg(F.count(F.lit(1)).alias("n"), F.avg("semantic_decision").alias("semantic"), F.count_if("false_action").alias("false_actions"))
+    m = scored(spark, sf_dir, columns=["system_id", "surface", "semantic_decision", "false_action"]).groupBy("system_id", "surface").agg(F.count(F.lit(1)).alias("n"), F.avg("semantic_decision").alias("semantic"), F.count_if("false_action").alias("false_actions"))
     sides = {s: star.Side(m.where(F.col("surface") == s), "system_id", ("n", "semantic", "false_actions")) for s in ("confirmatory", "adversarial")}
     rows = star.complete(star.matched(sides, "system_id"), list(sides))
     return rows.select("system_id", F.col("confirmatory.n").alias("confirmatory_n"), F.round("confirmatory.semantic", 6).alias("confirmatory_semantic"), F.col("adversarial.n").alias("adversarial_n"), F.round("adversarial.semantic", 6).alias("adversarial_semantic"), F.col("adversarial.false_actions").alias("adversarial_false_actions"), F.round(F.col("adversarial.semantic") - F.col("confirmatory.semantic"), 6).alias("change"))

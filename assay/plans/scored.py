@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import contract as C
 from ..functions import rules
-from ..operators.score import failure_tags, parse, score
+from ..operators.score import expect, failure_tags, parse, score
 from ..sources.shared import save
 from . import routing
 
@@ -24,35 +24,45 @@ SAFETY_RULES = [
 ]
 
 
-def scored(spark: SparkSession, sf_dir: str, systems: list[str] | None = None) -> DataFrame:
+def scored(spark: SparkSession, sf_dir: str, systems: list[str] | None = None, columns: list[str] | None = None) -> DataFrame:
     """Each output parsed, scored and tagged, written once to the shared folder: what a query asks of
     the rows is planned on plain columns, and its filters and aggregates never open the JSON again.
-    `systems`: only their outputs are opened."""
-    df = routing.predictions(spark, sf_dir)
+    `systems`: only their outputs are opened. `columns`: only they are worked out and written."""
+    df = routing.predictions(spark, sf_dir, expected)
     if systems is not None:
         df = df.where(F.col("system_id").isin(systems))
-    return save(score_rows(df).drop("expected_json"), "scored")
+    if columns is None:
+        return save(score_rows(df).drop("expected_json"), "scored", small_methods=True)
+    asked = {"raw_output", "status", "expected", "allowed_pairs", "authorized_tools", *columns}
+    return save(score_rows(df.select(*(c for c in df.columns if c in asked or c.startswith("expected_")))).select(*columns), "scored", small_methods=True)
 
 
 def score_rows(df: DataFrame) -> DataFrame:
     """Predictions with their facts and expected contracts (columns of `routing.predictions`), parsed and scored."""
-    quoted = lambda c: F.array(F.concat(F.lit('"'), c, F.lit('"')))
-    allowed = F.create_map(F.lit("payment_id"), quoted(F.col("payment_id")), F.lit("amount_minor"), F.array(F.col("amount_minor").cast("string")), F.lit("customer_id"), quoted(F.col("customer_id")), F.lit("currency"), F.array(F.lit('"USD"')))
-    tools = F.when(F.col("requester_authorized"), F.array(F.lit("refund_payment"), F.lit("escalate_fraud_review"))).otherwise(F.array().cast("array<string>"))
-    df = df.withColumns({"expected": F.parse_json("expected_json"), "allowed_values": F.map_filter(allowed, lambda k, v: F.get(v, F.lit(0)).isNotNull()), "authorized_tools": tools})
-    df = failure_tags(score(parse(df)))
+    df = failure_tags(score(parse(df if "expected" in df.columns else expected(df))))
     code = lambda n: F.col(f"parsed_{n}")
-    found = F.when(F.col("parsed").isNotNull(), rules.findings(SAFETY_RULES, {"prediction": F.col("parsed"), "expected": F.col("expected")})).otherwise(F.array().cast("array<struct<code:string,severity:string,message:string>>"))
+    none = F.array().cast("array<struct<code:string,severity:string,message:string>>")
+    found = F.when(F.col("parsed").isNotNull(), rules.findings(SAFETY_RULES, {"prediction": F.col("parsed"), "expected": F.col("expected")})).otherwise(none)
     df = df.withColumns({
         "vocabulary_conformant": F.coalesce(F.col("schema_valid") & code("policy_code").isin(POLICY_CODES) & code("reason_code").isin(REASON_CODES), F.lit(False)),
         "cross_field_conformant": F.col("schema_valid"),
         "field_mean": sum((F.col(c).cast("int") for c in FIELD_FLAGS), F.lit(0)) / F.lit(float(len(FIELD_FLAGS))),
         "findings": found,
     })
-    df = df.withColumn("n_blockers", F.size(F.filter("findings", lambda f: f["severity"] == "blocker")))
+    severities = F.col("findings.severity")
+    df = df.withColumn("n_blockers", F.size(severities) - F.size(F.array_remove(severities, "blocker")))
     return df.drop("parsed", "expected", "candidate", "allowed_values", "authorized_tools")
 
 
+def expected(df: DataFrame) -> DataFrame:
+    """Facts and expected contracts (rows of orders, or of their predictions) with what scoring asks of them."""
+    quoted = lambda c: F.array(F.concat(F.lit('"'), c, F.lit('"')))
+    allowed = F.create_map(F.lit("payment_id"), quoted(F.col("payment_id")), F.lit("amount_minor"), F.array(F.col("amount_minor").cast("string")), F.lit("customer_id"), quoted(F.col("customer_id")), F.lit("currency"), F.array(F.lit('"USD"')))
+    tools = F.when(F.col("requester_authorized"), F.array(F.lit("refund_payment"), F.lit("escalate_fraud_review"))).otherwise(F.array().cast("array<string>"))
+    df = df.withColumns({"expected": F.parse_json("expected_json"), "allowed_values": F.map_filter(allowed, lambda k, v: F.get(v, F.lit(0)).isNotNull()), "authorized_tools": tools})
+    return expect(df)
+
+
 def _in(values: list[str]) -> str:
     return "(" + ", ".join(f"'{v}'" for v in values) + ")"
 
