@@ -16,17 +16,22 @@ _SPACES = "".join(map(chr, [*range(0x9, 0xE), 0x20, 0x85, 0xA0, 0x1680, *range(0
 
 def strip(c: Column) -> Column:
     """Without white space at both ends, Unicode's included."""
-    return F.btrim(c, F.lit(_SPACES))
+    return F.when(c.startswith("{") & c.endswith("}"), c).otherwise(F.btrim(c, F.lit(_SPACES)))
 
 
-def strict_value(c: Column) -> Column:
+def as_list(c: Column) -> Column:
+    """A text as the elements of a list, VARIANT; null if it can't be. Nothing is parsed whose first character begins no JSON value."""
+    return F.when(c.rlike(r'\A[\s{\["\-0-9tfn]'), F.try_parse_json(F.concat(F.lit("["), c, F.lit("]"))))
+
+
+def strict_value(c: Column, elements: Column | None = None) -> Column:
     """The one JSON value that the whole text is, as VARIANT; null if it is anything else.
 
     Readers ignore what follows a first value, so the text must also parse as the only element of
     a list and, if it could close that list itself, as the only field of an object. Repeated keys
-    and NaN are refused.
+    and NaN are refused. `elements`: what `as_list` makes of the text, if it is at hand.
     """
-    listed = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]")))
+    listed = as_list(c) if elements is None else elements
     wrapped = F.try_parse_json(F.concat(F.lit('{"v":'), c, F.lit("}")))
     first = F.try_variant_get(listed, "$[0]", "variant")
     whole = ~c.contains("]") | F.try_variant_get(wrapped, "$.v", "variant").isNotNull()
@@ -44,10 +49,18 @@ def kind(v: Column) -> Column:
     return F.coalesce(known, F.when(v.isNotNull(), "number"))
 
 
+def names(tests: list[tuple[str, Column]]) -> Column:
+    """The names, in order and joined by commas, whose tests hold; names have no commas."""
+    return F.concat_ws(",", *(F.when(test, F.lit(name)) for name, test in tests))
+
+
+def split_names(text: Column) -> Column:
+    return F.array_remove(F.split(text, ","), "")
+
+
 def listed(tests: list[tuple[str, Column]]) -> Column:
-    """The names, in order, whose tests hold; names have no commas."""
-    names = F.concat_ws(",", *(F.when(test, F.lit(name)) for name, test in tests))
-    return F.when(names == "", F.array().cast("array<string>")).otherwise(F.split(names, ","))
+    """As `names`, as an array."""
+    return split_names(names(tests))
 
 
 def is_object(v: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import contract as C
 from ..functions import rules
+from ..functions.contract import pair
 from ..operators.score import expect, failure_tags, parse, score
 from ..sources.shared import save
 from . import routing
@@ -33,16 +34,20 @@ def scored(spark: SparkSession, sf_dir: str, systems: list[str] | None = None, c
         df = df.where(F.col("system_id").isin(systems))
     if columns is None:
         return save(score_rows(df).drop("expected_json"), "scored", small_methods=True)
-    asked = {"raw_output", "status", "expected", "allowed_pairs", "authorized_tools", *columns}
-    return save(score_rows(df.select(*(c for c in df.columns if c in asked or c.startswith("expected_")))).select(*columns), "scored", small_methods=True)
+    kept = [c for c in df.columns if c in {"raw_output", "status", "authorized_tools", "_wanted", *columns}]
+    return save(score_rows(df.select(*kept)).select(*columns), "scored", small_methods=True)
 
 
 def score_rows(df: DataFrame) -> DataFrame:
     """Predictions with their facts and expected contracts (columns of `routing.predictions`), parsed and scored."""
-    df = failure_tags(score(parse(df if "expected" in df.columns else expected(df))))
+    df = df if "_wanted" in df.columns else expected(df)
+    helpers = ["candidate", "_wanted", "authorized_tools"]
+    df = parse(df, apart=("_wanted", "authorized_tools")).select("*", "_wanted.*")
+    df = failure_tags(score(df))
     code = lambda n: F.col(f"parsed_{n}")
     none = F.array().cast("array<struct<code:string,severity:string,message:string>>")
-    found = F.when(F.col("parsed").isNotNull(), rules.findings(SAFETY_RULES, {"prediction": F.col("parsed"), "expected": F.col("expected")})).otherwise(none)
+    fields = {f"/{a}/{n}": (F.col(f"{b}_{n}_kind"), F.col(f"{b}_{n}")) for a, b in (("prediction", "parsed"), ("expected", "expected")) for n in ("decision", "tool", "policy_code", "reason_code")}
+    found = F.when(F.col("parsed_object"), rules.findings(SAFETY_RULES, {}, fields)).otherwise(none)
     df = df.withColumns({
         "vocabulary_conformant": F.coalesce(F.col("schema_valid") & code("policy_code").isin(POLICY_CODES) & code("reason_code").isin(REASON_CODES), F.lit(False)),
         "cross_field_conformant": F.col("schema_valid"),
@@ -51,16 +56,20 @@ def score_rows(df: DataFrame) -> DataFrame:
     })
     severities = F.col("findings.severity")
     df = df.withColumn("n_blockers", F.size(severities) - F.size(F.array_remove(severities, "blocker")))
-    return df.drop("parsed", "expected", "candidate", "allowed_values", "authorized_tools")
+    return df.drop(*helpers, *(c for c in df.columns if c.startswith("parsed_") or (c.startswith("expected_") and c != "expected_json")))
 
 
 def expected(df: DataFrame) -> DataFrame:
-    """Facts and expected contracts (rows of orders, or of their predictions) with what scoring asks of them."""
-    quoted = lambda c: F.array(F.concat(F.lit('"'), c, F.lit('"')))
-    allowed = F.create_map(F.lit("payment_id"), quoted(F.col("payment_id")), F.lit("amount_minor"), F.array(F.col("amount_minor").cast("string")), F.lit("customer_id"), quoted(F.col("customer_id")), F.lit("currency"), F.array(F.lit('"USD"')))
+    """Facts and expected contracts (rows of orders, or of their predictions) with what scoring asks of
+    them: `_wanted`, and the authorized tools."""
+    quoted = lambda c: F.concat(F.lit('"'), F.col(c), F.lit('"'))
+    allowed = {"payment_id": quoted("payment_id"), "amount_minor": F.col("amount_minor").cast("string"), "customer_id": quoted("customer_id"), "currency": F.lit('"USD"')}
+    pairs = F.array_except(F.array(*(pair(F.lit(n), v) for n, v in allowed.items())), F.array(F.lit(None).cast("string")))
     tools = F.when(F.col("requester_authorized"), F.array(F.lit("refund_payment"), F.lit("escalate_fraud_review"))).otherwise(F.array().cast("array<string>"))
-    df = df.withColumns({"expected": F.parse_json("expected_json"), "allowed_values": F.map_filter(allowed, lambda k, v: F.get(v, F.lit(0)).isNotNull()), "authorized_tools": tools})
-    return expect(df)
+    given = df.columns
+    df = expect(df.withColumns({"expected": F.parse_json("expected_json"), "allowed_pairs": pairs, "authorized_tools": tools}), text="expected_json")
+    wanted = [c for c in df.columns if c not in given and c not in ("expected", "authorized_tools")]
+    return df.select(*given, "authorized_tools", F.struct(*wanted).alias("_wanted"))
 
 
 def _in(values: list[str]) -> str:
