@@ -33,11 +33,11 @@ def opened(v: Column) -> Column:
 #: A JSON object of exactly the contract's fields, well formed, in their order or sorted, with flat arguments of
 #: plain texts, whole numbers, booleans and nulls; one space may follow a comma or colon. What matches is JSON without
 #: escapes, and no key twice; an argument holds no quote, backslash, comma, colon or brace but its own quotes.
-_TEXT = r'[^"\\\x00-\x1F]{0,1000}'
-_WORD = r'"[\w.\- ]{0,1000}"'
+_TEXT = r'[^"\\\x00-\x1F]*'
+_WORD = r'"[\w.\- ]*"'
 _MEMBER = rf'(?<key>{_WORD})(?![^}}]*, ?\k<key>:): ?(?:{_WORD}|0|-?[1-9]\d{{0,17}}|true|false|null)(?:, ?(?=")|(?=\}}))'
 _PARTS = {
-    "decision": rf'"(?<d>{_TEXT})"', "tool": rf'(?<t>null|"{_TEXT}")', "arguments": rf"\{{(?<a>(?:{_MEMBER}){{0,16}})\}}", "approval_required": "(?<f>true|false)", "policy_code": rf'"(?<p>{_TEXT})"', "reason_code": rf'"(?<r>{_TEXT})"',
+    "decision": rf'"({_TEXT})"', "tool": rf'(null|"{_TEXT}")', "arguments": rf"\{{((?:{_MEMBER}){{0,16}})\}}", "approval_required": "(true|false)", "policy_code": rf'"({_TEXT})"', "reason_code": rf'"({_TEXT})"',
 }
 _PLACES = {n: i for i, n in enumerate(FIELDS)}
 
@@ -46,7 +46,9 @@ def plain_fields(text: Column, names: list[str] = FIELDS) -> Column:
     """The fields' texts, in the order of FIELDS, of a text that is such an object with its fields in the order
     of `names`; null if it is anything else, which `typed` opens by itself. No such text holds a line's end."""
     pattern = r"\A\{" + ", ?".join(f'"{n}": ?{_PARTS[n]}' for n in names) + r"\}\z"
-    return F.when(text.startswith(f'{{"{names[0]}"'), _parted(F.regexp_replace(text, pattern, "${d}\n${t}\n${a}\n${f}\n${p}\n${r}\n")))
+    group = {n: i + 1 + (i > names.index("arguments")) for i, n in enumerate(names)}  # one more inside the arguments
+    short = F.octet_length(text) < 10_000
+    return F.when(short & text.startswith(f'{{"{names[0]}"'), _parted(F.regexp_replace(text, pattern, "".join(f"${group[n]}\n" for n in FIELDS))))
 
 
 def _parted(text: Column) -> Column:
