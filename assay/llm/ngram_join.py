@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import TEXTS, give_back, n_partitions, release, save, table
+from .common import TEXTS, few, give_back, n_partitions, release, save, table
 from .components import components
 from .hashing import mix, word_hashes
 
@@ -53,6 +53,8 @@ LEAF = 256
 #: Leaves of a tree and size that are paired with others in one task, about, and pairs that go to a
 #: Python worker together: a pair of leaves is about 140 KB.
 SIDE, PAIRS = 16, 64
+#: Rows that a task goes through, about: of sets or pairs with their points, and of names alone.
+POINTED, NAMED = 10_000, 100_000
 #: Documents whose ids are broadcast to fetch their texts: 8 MB. For more, Spark shuffles.
 BROADCAST_IDS = 500_000
 
@@ -224,17 +226,20 @@ def _may_be_similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             yield batch.select(["a", "b", "n", "m"]).filter(pa.array(ok))
 
 
-def _near(pairs: DataFrame, points: DataFrame) -> DataFrame:
-    """Of pairs (a, b) of set names those that may be similar by size and points: a, b, n, m."""
+def _near(pairs: DataFrame, points: DataFrame, rows: int) -> DataFrame:
+    """Of pairs (a, b) of set names, about `rows`, those that may be similar by size and points: a, b, n, m."""
     points = points.select("set_id", "n", "point")
     joined = pairs.join(points.toDF("a", "n", "p"), "a").join(points.toDF("b", "m", "q"), "b")
-    return joined.where(_enough(F.least("n", "m"), F.col("n"), F.col("m"))).select("a", "b", "n", "m", "p", "q").mapInArrow(_may_be_similar, "a long, b long, n long, m long")
+    joined = joined.where(_enough(F.least("n", "m"), F.col("n"), F.col("m"))).select("a", "b", "n", "m", "p", "q")
+    return few(joined, rows, POINTED).mapInArrow(_may_be_similar, "a long, b long, n long, m long")
 
 
 def _verified(docs: DataFrame, names: DataFrame, near: DataFrame) -> DataFrame:
     """Of pairs those with a similarity of 0.8 or more, by all their tokens: a, b."""
-    wanted = near.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
-    ids = save(names.join(wanted, "set_id", "left_semi").groupBy("set_id").agg(F.min("doc_id").alias("_id")).select("_id").distinct(), "ids")
+    rows = near.count()
+    wanted = few(near.select(F.explode(F.array("a", "b")).alias("set_id")).distinct(), 2 * rows, NAMED)
+    least = few(names.join(wanted, "set_id", "left_semi").groupBy("set_id").agg(F.min("doc_id").alias("_id")), 2 * rows, NAMED)
+    ids = save(few(least.select("_id").distinct(), 2 * rows, NAMED), "ids")
     chosen = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,7 +254,7 @@ def _verified(docs: DataFrame, names: DataFrame, near: DataFrame) -> DataFrame:
     grams = save(found.join(wanted, "set_id", "left_semi"), "grams", batch=TEXTS)
     size = lambda c: F.size(c).cast("long")
     linked = near.join(grams.toDF("a", "_g"), "a").join(grams.toDF("b", "_h"), "b").where(_enough(size(F.array_intersect("_g", "_h")), size("_g"), size("_h")))
-    links = save(linked.select("a", "b").distinct(), "links")
+    links = save(few(linked.select("a", "b").distinct(), rows, NAMED), "links")
     release(ids, grams)
     return links
 
@@ -322,7 +327,7 @@ def _open_trees(postings: DataFrame, parts: DataFrame) -> DataFrame:
     """Trees whose sets are not all in one component: token, set_id, component, _k (sets of the tree)."""
     held = save(postings.join(parts.withColumnRenamed("node", "set_id"), "set_id", "left").select("token", "set_id", F.coalesce("component", "set_id").alias("component")), "trees")
     several = held.groupBy("token").agg(F.min("component").alias("_a"), F.max("component").alias("_b"), F.count(F.lit(1)).alias("_k")).where("_a <> _b")
-    trees = save(held.join(several.select("token", "_k"), "token"), "open-trees")
+    trees = save(few(held.join(several.select("token", "_k"), "token"), held.count(), NAMED), "open-trees")
     release(held)
     return trees
 
@@ -336,20 +341,23 @@ def _across(trees: DataFrame, points: DataFrame, every: bool) -> DataFrame:
     """
     of_set = trees.select("set_id", "component").distinct()
     sets = F.collect_list(F.struct("set_id", "component", "n", "point"))
-    placed = save(points.join(of_set, "set_id").select("set_id", "component", "n", "point", "sums"), "placed")
+    rows = points.count()
+    placed = save(few(points.join(of_set, "set_id").select("set_id", "component", "n", "point", "sums"), rows, POINTED), "placed")
     one_leaf = trees.where(F.col("_k") <= LEAF).groupBy("token").agg(F.array_sort(F.collect_list("set_id")).alias("members")).select("members").distinct()
     one_leaf = one_leaf.select(F.xxhash64("members", F.size("members")).alias("tree"), F.explode("members").alias("set_id"))
     small = one_leaf.join(placed, "set_id").groupBy("tree").agg(sets.alias("sets")).select("sets", F.lit(None).cast("array<struct<set_id:bigint,component:bigint,n:bigint,point:binary>>").alias("others"))
     kind = "a long, b long, part long, other long, bound double"
-    pairs, large, leaves = small.mapInArrow(_searched(every), kind), trees.where(F.col("_k") > LEAF), []
+    # A join that is dealt anew for a skewed tree has far more tasks than the search is worth.
+    spread = lambda pairs: pairs.coalesce(max(n_partitions(pairs.sparkSession), 4 * pairs.sparkSession.sparkContext.defaultParallelism))
+    pairs, large, leaves = spread(small).mapInArrow(_searched(every), kind), trees.where(F.col("_k") > LEAF), []
     if not large.isEmpty():
-        leaves = [_leaves(large.select("token", "set_id").join(placed, "set_id"), sets)]
-        pairs = pairs.unionByName(_leaf_pairs(leaves[0]).mapInArrow(_searched(every), kind))
+        leaves = [_leaves(few(large.select("token", "set_id").join(placed, "set_id"), large.count(), POINTED), sets)]
+        pairs = pairs.unionByName(spread(_leaf_pairs(leaves[0])).mapInArrow(_searched(every), kind))
     found = save(pairs, "found", batch=PAIRS)
-    rows = found
+    best = found
     if not every:
-        rows = found.groupBy(F.greatest("part", "other").alias("part")).agg(F.max_by(F.struct("a", "b"), F.struct("bound", "a", "b")).alias("_p")).select("_p.a", "_p.b")
-    near = save(rows.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-links")
+        best = found.groupBy(F.greatest("part", "other").alias("part")).agg(F.max_by(F.struct("a", "b"), F.struct("bound", "a", "b")).alias("_p")).select("_p.a", "_p.b")
+    near = save(few(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), found.count(), NAMED), "near-links")
     release(placed, found, *leaves)
     return near
 
@@ -379,7 +387,7 @@ def _leaves(held: DataFrame, sets: Column) -> DataFrame:
 def _leaf_pairs(leaves: DataFrame) -> DataFrame:
     """Pairs of leaves of one tree whose sizes and components allow a pair: sets, others (null: itself).
     Leaves of a large tree are dealt into shares of SIDE, each of which meets all others."""
-    shares = save(leaves.groupBy("token", "band").agg(F.ceil(F.count(F.lit(1)) / SIDE).cast("int").alias("_shares")), "shares")
+    shares = save(few(leaves.groupBy("token", "band").agg(F.ceil(F.count(F.lit(1)) / SIDE).cast("int").alias("_shares")), leaves.count(), NAMED), "shares")
     mine = leaves.join(shares, ["token", "band"]).withColumn("_share", F.pmod(F.xxhash64("leaf"), F.col("_shares")).cast("int"))
     others = leaves.select(F.col("token").alias("_token"), F.col("band").alias("_band"), F.col("leaf").alias("_leaf"), F.col("sets").alias("others"), F.col("low").alias("_low"), F.col("high").alias("_high"), F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("_meets"))
     others = others.join(shares.toDF("_token", "_meets", "_of"), ["_token", "_meets"]).withColumn("_to", F.explode(F.sequence(F.lit(0), F.col("_of") - 1)))
@@ -408,12 +416,13 @@ def link_classes(docs: DataFrame) -> DataFrame:
     names = named.where(F.col("part").isNull()).select("doc_id", "set_id", "n_shingles")
     buckets = max(n_partitions(spark), int(loads.sum()) // 5 // BUCKET)
     met = save(_prefix_rows(docs, loads, buckets).groupBy("bucket").applyInArrow(_meetings, "token long, leader long, member long"), "meetings", batch=TEXTS)
-    postings = save(met.select("token", F.explode(F.array("leader", "member")).alias("set_id")).distinct(), "postings")
+    postings = save(few(met.select("token", F.explode(F.array("leader", "member")).alias("set_id")).distinct(), 2 * met.count(), NAMED), "postings")
     points = named.where(F.col("set_id").isNotNull()).groupBy("set_id").agg(F.first("n_shingles").alias("n"), F.first("point").alias("point"), F.first("sums").alias("sums"))
-    points = save(points.join(postings.select("set_id").distinct(), "set_id", "left_semi"), "points")
+    rows = names.count()
+    points = save(few(points.join(postings.select("set_id").distinct(), "set_id", "left_semi"), rows, POINTED), "points")
     # Of a set's leaders first the one it shares most trees with; the others count if components differ.
     star = met.groupBy("leader", "member").agg(F.count(F.lit(1)).alias("k")).groupBy("member").agg(F.max_by("leader", F.struct("k", "leader")).alias("a")).select("a", F.col("member").alias("b"))
-    near = save(_near(star, points), "near-stars")
+    near = save(_near(star, points, rows), "near-stars")
     release(met)
     links = _verified(docs, names, near)
     parts = components(links)
@@ -427,8 +436,8 @@ def link_classes(docs: DataFrame) -> DataFrame:
             if every:
                 break
             continue
-        links, before = links.unionByName(more), trees
-        parts = components(links)
+        before = trees
+        parts = components(parts.toDF("a", "b").unionByName(more))
         if not every:
             trees = _open_trees(trees.select("token", "set_id"), parts)
             release(before)

@@ -3,6 +3,7 @@
 import random
 import re
 
+from assay.llm import components as stars
 from assay.llm import ngram_join
 from assay.llm.ngram_join import link_classes, op2_ngram_jaccard_join
 
@@ -96,3 +97,22 @@ def test_null_and_repeated_ids(spark):
     df = spark.createDataFrame([(*r, "clash", 1) for r in rows], "doc_id long, text string, set_id string, n_shingles int")
     assert got(link_classes(df)) == brute(rows)
     assert link_classes(df.limit(0)).collect() == []
+
+
+def test_components_of_stars_take_one_round_and_few_tasks(spark, monkeypatch):
+    saved = []
+    monkeypatch.setattr(stars, "save", lambda df, name, f=stars.save: saved.append(f(df, name)) or saved[-1])
+    settings = {"spark.sql.shuffle.partitions": "150", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {key: spark.conf.get(key) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        found = stars.components(spark.createDataFrame([(i, i % 3) for i in range(3, 400)], "a long, b long"))
+        assert sorted(map(tuple, found.collect())) == [(i, i % 3) for i in range(400)]
+        assert len(saved) == 1
+        assert len(saved[0].inputFiles()) <= 2 * spark.sparkContext.defaultParallelism
+        chain = stars.components(spark.createDataFrame([(i + 1, i) for i in range(60)] + [(7, 7), (90, 91)], "a long, b long"))
+        assert sorted(map(tuple, chain.collect())) == [*((i, 0) for i in range(61)), (90, 90), (91, 90)]
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
