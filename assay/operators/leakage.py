@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
 from functools import reduce
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
-from ..sources.shared import release, save
+from . import passages
 
 
 def long_keys(df: DataFrame, corpus: str, id_: str, classes: dict[str, Column]) -> DataFrame:
@@ -99,117 +95,19 @@ def collisions(keys: DataFrame, on: tuple[str, ...] = ("key_class", "key"), carr
     return later.join(owner, list(on))
 
 
-#: Texts that go to a Python worker together, and the parts in which hashes of passages are held together.
-_TEXTS, _PARTS = 500, 4
-
-
-def _windows(values: np.ndarray, n: int, factor: int) -> np.ndarray:
-    """64-bit hashes of `n` neighbouring values, from every place; the last n - 1 are filled up."""
-    out, size = np.zeros(len(values), np.uint64), max(len(values) - n + 1, 0)
-    for k in range(n):
-        out[:size] = out[:size] * np.uint64(factor) + values[k : k + size]
-    for shift, factor in ((33, 0xFF51AFD7ED558CCD), (29, 0xC4CEB9FE1A85EC53)):
-        out = (out ^ (out >> np.uint64(shift))) * np.uint64(factor)
-    return out ^ (out >> np.uint64(32))
-
-
-def _places(batch: pa.RecordBatch, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The word hashes of a batch of texts in one row, each one's text and place there, and whether a passage begins."""
-    words = batch.column("_words")
-    sizes = np.diff(words.offsets.to_numpy())
-    text = np.repeat(np.arange(len(sizes)), sizes)
-    place = np.arange(len(text)) - (np.cumsum(sizes) - sizes)[text]
-    return words.flatten().to_numpy().view(np.uint64), text, place, place + n <= sizes[text]
-
-
-def _anchors(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """The least hash of a few words inside of each passage, once for neighbours that have the same."""
-    part = max(1, n // 2 - 1)
-    for batch in batches:
-        values, text, place, begins = _places(batch, n)
-        parts = _windows(values, part, 0x9E3779B97F4A7C15)
-        least = parts.copy()
-        for k in range(1, n - part + 1):
-            least[: len(least) - k] = np.minimum(least[: len(least) - k], parts[k:])
-        at = np.flatnonzero(begins)
-        new = np.ones(len(at), bool)
-        new[1:] = (text[at[1:]] != text[at[:-1]]) | (least[at[1:]] != least[at[:-1]])
-        start = np.flatnonzero(new)
-        of, first = pa.array(text[at[start]]), at[start]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("corpus").take(of), batch.column("record_id").take(of), pa.array(least[first].view(np.int64)), pa.array(place[first].astype(np.int32)), pa.array(np.diff(np.append(start, len(at))).astype(np.int32))],
-            names=["corpus", "record_id", "anchor", "start", "length"],
-        )
-
-
-def _passages(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """Hashes of the passages in given stretches (start, length) of each text."""
-    for batch in batches:
-        values, text, place, begins = _places(batch, n)
-        spans = batch.column("_spans")
-        counts, span = np.diff(spans.offsets.to_numpy()), spans.flatten()
-        start, length = span.field("start").to_numpy(), span.field("length").to_numpy()
-        sizes = np.bincount(text, minlength=len(counts))
-        of = np.repeat(np.arange(len(counts)), counts)
-        begin, end = (np.cumsum(sizes) - sizes)[of], np.cumsum(sizes)[of]
-        inside = np.zeros(len(values) + 1, np.int64)
-        np.add.at(inside, np.minimum(begin + start, end), 1)
-        np.add.at(inside, np.minimum(begin + start + length, end), -1)
-        at = np.flatnonzero(begins & (np.cumsum(inside)[:-1] > 0))
-        of = pa.array(text[at])
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("corpus").take(of), batch.column("record_id").take(of), batch.column("_tag").take(of), pa.array(place[at].astype(np.int32)), pa.array(_windows(values, n, 0x9E3779B97F4A7C15)[at].view(np.int64)), pa.array((_windows(values, n, 0xD6E8FEB86659FD93)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32))],
-            names=["corpus", "record_id", "_tag", "_i", "_h", "_g"],
-        )
-
-
-def _digests(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    """The SHA-256 of each passage that was hit, once for each record."""
-    names = ["key", "owner_corpus", "owner_id", "corpus", "record_id"]
-    for batch in batches:
-        for corpus, record, texts, hits in zip(*(batch.column(c) for c in ("corpus", "record_id", "_texts", "_hits"))):
-            words, found = {t["_tag"]: t["_words"].split(" ") for t in texts.as_py()}, {}
-            tags, places, owners, ids = (hits.values.field(c).to_pylist() for c in ("_tag", "_i", "owner_corpus", "owner_id"))
-            for tag, i, owner, id_ in zip(tags, places, owners, ids):
-                found[hashlib.sha256(" ".join(words[tag][i : i + n]).encode()).hexdigest()] = (owner, id_)
-            rows = [(k, *v) for k, v in found.items()]
-            columns = [pa.array(c, pa.string()) for c in zip(*rows)] + [pa.array([x.as_py()] * len(rows), pa.string()) for x in (corpus, record)]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-
 def passage_collisions(texts: DataFrame, words: Column, passage: int) -> DataFrame:
     """`collisions` of all passages of so many words (without spaces) of `texts` (corpus, record_id, text):
-    key (SHA-256), owner_corpus, owner_id, corpus, record_id.
+    key (SHA-256), owner_corpus, owner_id, corpus, record_id."""
+    return passages.collisions(passages.packed(texts, passage, words), passage)
 
-    Equal passages have the same anchor, the least hash of the few-word windows inside, which
-    neighbours mostly share. So anchors are held together first, and hashes are made only of
-    passages whose anchor several corpora have: those in parts, 96 bits each, so two different
-    ones of n are the same with a chance of about n * n / 2^97. A digest is put together last,
-    from the text, and is not shuffled. A text's tag tells apart texts under one id.
-    """
-    rows = texts.where("text is not null").select("corpus", F.col("record_id").cast("string").alias("record_id"), "text")
-    hashes = F.transform(words, lambda w: F.xxhash64(w)).alias("_words")
-    runs = save(rows.select("corpus", "record_id", hashes).mapInArrow(lambda b: _anchors(b, passage), "corpus string, record_id string, anchor long, start int, length int"), "anchors", batch=_TEXTS)
-    several = save(runs.groupBy("anchor").agg(F.min("corpus").alias("_a"), F.max("corpus").alias("_b")).where("_a <> _b").select("anchor"), "shared-anchors")
-    spans = save(runs.join(several, "anchor", "left_semi").groupBy("corpus", "record_id").agg(F.collect_list(F.struct("start", "length")).alias("_spans")), "spans")
-    release(runs, several)
-    tag = F.hash("text").alias("_tag")
-    read = rows.join(spans, ["corpus", "record_id"]).select("corpus", "record_id", tag, hashes, "_spans")
-    keys = save(read.mapInArrow(lambda b: _passages(b, passage), "corpus string, record_id string, _tag int, _i int, _h long, _g int"), "passages", batch=_TEXTS)
-    release(spans)
-    part = F.pmod("_h", F.lit(_PARTS))
-    hits = [save(collisions(keys.where(part == k), ("_h", "_g"), ("_tag", "_i")).select("corpus", "record_id", "_tag", "_i", "owner_corpus", "owner_id"), "hits") for k in range(_PARTS)]
-    release(keys)
-    by_record = union(hits).groupBy("corpus", "record_id").agg(F.collect_list(F.struct("_tag", "_i", "owner_corpus", "owner_id")).alias("_hits"))
-    whole = rows.select("corpus", "record_id", F.struct(tag, F.array_join(words, " ").alias("_words")).alias("_t")).groupBy("corpus", "record_id").agg(F.collect_set("_t").alias("_texts"))
-    found = whole.join(by_record, ["corpus", "record_id"]).select("corpus", "record_id", "_texts", "_hits")
-    return found.mapInArrow(lambda b: _digests(b, passage), "key string, owner_corpus string, owner_id string, corpus string, record_id string")
-
-
-def whole_keys(texts: DataFrame, words: Column) -> DataFrame:
-    """corpus, record_id, key_class, key (SHA-256) of `texts` as they are (content) and of their words alone (signature)."""
-    named = F.array(F.struct(F.lit("content").alias("key_class"), F.sha2("text", 256).alias("key")), F.struct(F.lit("signature").alias("key_class"), F.sha2(F.array_join(words, " "), 256).alias("key")))
-    return texts.where("text is not null").select("corpus", F.col("record_id").cast("string").alias("record_id"), F.inline(named))
+
+def text_collisions(texts: DataFrame, passage: int) -> DataFrame:
+    """`collisions` of `texts` (corpus, record_id, text) as they are (content), of their words alone (signature) and of
+    all passages of so many words (passage); words are those of a-z and 0-9 of the lower-case text."""
+    packs, columns = passages.packed(texts, passage), ["key_class", "key", "owner_corpus", "owner_id", "corpus", "record_id"]
+    named = F.array(*(F.struct(F.lit(c).alias("key_class"), F.lower(F.hex(c)).alias("key")) for c in ("content", "signature")))
+    whole = collisions(packs.select("corpus", F.inline("whole")).select("corpus", "record_id", F.inline(named)))
+    return whole.select(*columns).unionByName(passages.collisions(packs, passage).withColumn("key_class", F.lit("passage")).select(*columns))
 
 
 def collision_counts(keys: DataFrame) -> DataFrame:

@@ -421,10 +421,7 @@ def _corpus_keys(spark, sf_dir):
 
 @query(f"WITH {_KEYS}, o AS (SELECT key_class, key, min(corpus) AS owner_corpus FROM k GROUP BY ALL HAVING min(corpus) <> max(corpus)), w AS (SELECT key_class, key, owner_corpus, max(record_id) AS owner_id FROM o JOIN k USING (key_class, key) WHERE corpus = owner_corpus GROUP BY ALL) SELECT key_class, key, owner_corpus, owner_id, corpus, record_id FROM w JOIN k USING (key_class, key) WHERE corpus <> owner_corpus")
 def corpus_collisions(spark, sf_dir):
-    texts, columns = _corpora(spark, sf_dir), ["key_class", "key", "owner_corpus", "owner_id", "corpus", "record_id"]
-    whole = leakage.collisions(save(leakage.whole_keys(texts, _words()), "whole-keys"))
-    passages = leakage.passage_collisions(texts, _words(), _PASSAGE).withColumn("key_class", F.lit("passage"))
-    return whole.select(*columns).unionByName(passages.select(*columns))
+    return leakage.text_collisions(_corpora(spark, sf_dir), _PASSAGE)
 
 
 @query(f"WITH {_KEYS}, d AS (SELECT DISTINCT key_class, key, corpus FROM k) SELECT a.key_class, a.corpus AS left_corpus, b.corpus AS right_corpus, count(*) AS n_keys FROM d a JOIN d b ON a.key_class = b.key_class AND a.key = b.key AND a.corpus < b.corpus GROUP BY ALL")

@@ -17,6 +17,9 @@ _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Spark's own bound of generated methods, in bytes of code. Beyond 8,000 the JVM never compiles a method, but runs it step by step.
 _METHOD = {"spark.sql.codegen.hugeMethodLimit": "8000"}
 
+#: Parquet's own settings: bytes of a row group, and the rows after which it looks whether a page is full.
+_WIDE = {"parquet.block.size": str(16 << 20), "parquet.page.size.row.check.min": "1"}
+
 
 @contextmanager
 def _set(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
@@ -48,15 +51,16 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def save(df: DataFrame, name: str, compression: str = "snappy", batch: int | None = None, small_methods: bool = False) -> DataFrame:
+def save(df: DataFrame, name: str, compression: str = "snappy", batch: int | None = None, small_methods: bool = False, wide: bool = False) -> DataFrame:
     """Write `df` as Parquet under the shared folder and read it back: lineage ends here, and a
     lost executor costs no recomputation of what came before. Shuffle files go with the write.
     `batch`: rows that its Python steps get together, where rows are wide. `small_methods`: steps of
-    very many expressions are generated singly, in methods that the JVM compiles."""
+    very many expressions are generated singly, in methods that the JVM compiles. `wide`: rows of
+    megabytes, of which few are held before they are written and few read together."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/assay-{uuid.uuid4().hex}/{name}"
     with _set(spark, {_CLEANUP: "true"} | ({_BATCH: str(batch)} if batch else {}) | (_METHOD if small_methods else {})):
-        df.write.option("compression", compression).parquet(path)
+        df.write.options(compression=compression, **(_WIDE if wide else {})).parquet(path)
     saved = spark.read.schema(df.schema).parquet(path)
     saved.shared_path = path
     return saved
