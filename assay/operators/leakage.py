@@ -101,13 +101,24 @@ def passage_collisions(texts: DataFrame, words: Column, passage: int) -> DataFra
     return passages.collisions(passages.packed(texts, passage, words), passage)
 
 
+def whole_keys(packs: DataFrame) -> DataFrame:
+    """corpus, record_id, key_class, key (SHA-256) of packed texts as they are (content) and of their words alone (signature)."""
+    named = F.array(*(F.struct(F.lit(c).alias("key_class"), F.lower(F.hex(c)).alias("key")) for c in ("content", "signature")))
+    return packs.select("corpus", F.inline("whole")).select("corpus", "record_id", F.inline(named))
+
+
 def text_collisions(texts: DataFrame, passage: int) -> DataFrame:
     """`collisions` of `texts` (corpus, record_id, text) as they are (content), of their words alone (signature) and of
     all passages of so many words (passage); words are those of a-z and 0-9 of the lower-case text."""
     packs, columns = passages.packed(texts, passage), ["key_class", "key", "owner_corpus", "owner_id", "corpus", "record_id"]
-    named = F.array(*(F.struct(F.lit(c).alias("key_class"), F.lower(F.hex(c)).alias("key")) for c in ("content", "signature")))
-    whole = collisions(packs.select("corpus", F.inline("whole")).select("corpus", "record_id", F.inline(named)))
-    return whole.select(*columns).unionByName(passages.collisions(packs, passage).withColumn("key_class", F.lit("passage")).select(*columns))
+    of_passages = passages.collisions(packs, passage).withColumn("key_class", F.lit("passage"))
+    return collisions(whole_keys(packs)).select(*columns).unionByName(of_passages.select(*columns))
+
+
+def text_collision_counts(texts: DataFrame, passage: int) -> DataFrame:
+    """`collision_counts` of the keys of `text_collisions`."""
+    packs = passages.packed(texts, passage)
+    return collision_counts(whole_keys(packs)).unionByName(passages.shared_counts(packs, passage).withColumn("key_class", F.lit("passage")))
 
 
 def collision_counts(keys: DataFrame) -> DataFrame:

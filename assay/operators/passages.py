@@ -7,7 +7,8 @@ many words, a batch's hashes are worked out at once, and what goes to one bucket
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import release, save
+from ..sources.shared import save
 
 #: Bytes of words that a batch has (one record's texts stay together), bytes of words for each bucket of hashes, buckets
 #: at least, rounds in which hashes are held together, texts and batches or blobs that go to a Python worker together.
@@ -26,7 +27,6 @@ _LONG, _LOWER = 64, np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _MARKS = bytes(c if chr(c) in "abcdefghijklmnopqrstuvwxyz0123456789" else 32 for c in range(256))
 #: What ends a text in a batch; no byte of UTF-8.
 _END = b"\xff"
-_KEYS = {"batch": "long", "corpus": "string", "cells": "binary"}
 
 
 def _plain(text: bytes, marked: bool) -> bytes:
@@ -158,15 +158,15 @@ def _dealt(rows: Iterator[pa.RecordBatch], n: int, buckets: int, turn: int) -> I
             h, g, bucket, at, of = h[kept], g[kept], bucket[kept], at[kept], of[kept]
             first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))[: len(bucket)]
             cells = [h[i:j].tobytes() + g[i:j].tobytes() + _planes(at[i:j]) + _planes(of[i:j]) for i, j in zip(first, np.append(first[1:], len(bucket)))]
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[first].astype(np.int32)), pa.array([batch.as_py()] * len(first), pa.int64()), pa.array([corpus.as_py()] * len(first), pa.string()), pa.array(cells, pa.binary())], names=["bucket", *_KEYS])
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[first].astype(np.int32)), pa.array([batch.as_py()] * len(first), pa.int64()), pa.array([corpus.as_py()] * len(first), pa.string()), pa.array(cells, pa.binary())], names=["bucket", "batch", "corpus", "cells"])
 
 
-def _runs(h: np.ndarray, g: np.ndarray, *then: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """An order in which equal keys are neighbours, in order of `then` first and of places last; and where each key begins."""
-    order = np.argsort(h, kind="stable") if not then else np.lexsort((*then[::-1], h))
+def _runs(h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which equal keys are neighbours, and where each key begins there."""
+    order = np.argsort(h, kind="stable")
     same = h[order[1:]] == h[order[:-1]]
     if (same & (g[order[1:]] != g[order[:-1]])).any():
-        order = np.lexsort((*then[::-1], g, h))
+        order = np.lexsort((g, h))
         same = (h[order[1:]] == h[order[:-1]]) & (g[order[1:]] == g[order[:-1]])
     return order, np.flatnonzero(np.append(True, ~same))[: len(order)]
 
@@ -178,15 +178,20 @@ def _ranked(corpora: pa.ChunkedArray) -> tuple[list[str], np.ndarray]:
     return names, np.array([places[c] for c in corpora.to_pylist()], np.int64)
 
 
-def _owned(rows: pa.Table) -> pa.Table:
-    """Of one bucket's passages those that several corpora have: for each batch of later corpora the words at which
-    they begin, and the number of the owner, which is the last record of the first corpus."""
-    cells = rows.column("cells").to_pylist()
+def _joined(rows: pa.Table) -> tuple[list[bytes], np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """One bucket's blobs and their sizes, the corpora, each hash's corpus, an order in which equal keys are
+    neighbours, and where each key begins there."""
+    cells, (names, corpus) = rows.column("cells").to_pylist(), _ranked(rows.column("corpus"))
     sizes = np.array([len(c) // 18 for c in cells], np.int64)
     h = np.concatenate([np.frombuffer(c, "<u8", k) for c, k in zip(cells, sizes)])
     g = np.concatenate([np.frombuffer(c, "<u2", k, 8 * k) for c, k in zip(cells, sizes)])
-    corpus = np.repeat(_ranked(rows.column("corpus"))[1], sizes)
-    order, first = _runs(h, g)
+    return cells, sizes, names, np.repeat(corpus, sizes), *_runs(h, g)
+
+
+def _owned(rows: pa.Table) -> pa.Table:
+    """Of one bucket's passages those that several corpora have: for each batch of later corpora the words at which
+    they begin, and the number of the owner, which is the last record of the first corpus."""
+    cells, sizes, _, corpus, order, first = _joined(rows)
     own = np.minimum.reduceat(corpus[order], first)
     several = own != np.maximum.reduceat(corpus[order], first)
     counts = np.diff(np.append(first, len(order)))
@@ -207,6 +212,19 @@ def _owned(rows: pa.Table) -> pa.Table:
     return pa.table({"batch": batch[some], "pos": pa.ListArray.from_arrays(offsets, pa.array(pos)), "owner": pa.ListArray.from_arrays(offsets, pa.array(owner))})
 
 
+def _pairs(rows: pa.Table) -> pa.Table:
+    """For each two corpora the keys of one bucket that both have."""
+    _, _, names, corpus, order, first = _joined(rows)
+    key = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
+    both = np.unique(key * len(names) + corpus[order])
+    key, corpus, n = both // len(names), both % len(names), np.zeros((len(names), len(names)), np.int64)
+    for step in range(1, len(names)):
+        same = np.flatnonzero(key[step:] == key[:-step])
+        np.add.at(n, (corpus[same], corpus[same + step]), 1)
+    left, right = np.nonzero(n)
+    return pa.table({"left_corpus": pa.array([names[i] for i in left], pa.string()), "right_corpus": pa.array([names[i] for i in right], pa.string()), "n_keys": n[left, right]})
+
+
 def _digests(rows: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     """The SHA-256 of each passage that was hit, from the words."""
     names = ["key", "owner_corpus", "owner_id", "corpus", "record_id"]
@@ -223,9 +241,8 @@ def _digests(rows: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), owners.values.field("_corpus").take(of), owners.values.field("_id").take(of), pa.array([corpus.as_py()], pa.string()).take(pa.array(np.zeros(len(pos), np.int32))), ids.values.take(mine)], names=names)
 
 
-def collisions(packs: DataFrame, n: int) -> DataFrame:
-    """Of packed texts, the passages of `n` words that several corpora have: key (SHA-256), owner_corpus, owner_id, corpus,
-    record_id, once for each record of a later corpus.
+def _held(packs: DataFrame, n: int, found: Callable[[pa.Table], pa.Table], kind: str) -> DataFrame:
+    """What `found` makes of each bucket of hashes of all passages of `n` words.
 
     Hashes of 80 bits, and those of the bucket's number, are held together in buckets, half of them
     at a time, which bounds disk: the words are hashed again each time, which is cheap. Two different
@@ -233,14 +250,22 @@ def collisions(packs: DataFrame, n: int) -> DataFrame:
     records that share a passage; buckets are as many as the words ask for.
     """
     buckets = _buckets(packs.agg(F.sum("size")).first()[0])
-    dealt = lambda turn: packs.select("batch", "corpus", "record", "words").mapInArrow(lambda b: _dealt(b, n, buckets, turn), "bucket int, " + ", ".join(f"{k} {v}" for k, v in _KEYS.items()))
-    hits = [save(dealt(turn).groupBy("bucket").applyInArrow(_owned, "batch long, pos array<int>, owner array<long>"), "hits", batch=_ROWS) for turn in range(_ROUNDS)]
-    found = hits[0]
-    for more in hits[1:]:
-        found = found.unionByName(more)
+    dealt = lambda turn: packs.select("batch", "corpus", "record", "words").mapInArrow(lambda b: _dealt(b, n, buckets, turn), "bucket int, batch long, corpus string, cells binary")
+    rounds = [save(dealt(turn).groupBy("bucket").applyInArrow(found, kind), "found", batch=_ROWS) for turn in range(_ROUNDS)]
+    return reduce(DataFrame.unionByName, rounds)
+
+
+def collisions(packs: DataFrame, n: int) -> DataFrame:
+    """Of packed texts, the passages of `n` words that several corpora have: key (SHA-256), owner_corpus, owner_id, corpus,
+    record_id, once for each record of a later corpus."""
+    found = _held(packs, n, _owned, "batch long, pos array<int>, owner array<long>")
     numbers = packs.select(F.col("batch").alias("_b"), F.col("corpus").alias("_corpus"), F.posexplode("ids").alias("_i", "_id")).select((F.col("_b") + F.col("_i")).alias("_no"), "_corpus", "_id")
     owners = found.select("batch", F.explode(F.array_distinct("owner")).alias("_no")).distinct().join(numbers, "_no").groupBy("batch").agg(F.collect_list(F.struct("_no", "_corpus", "_id")).alias("_owners"))
-    of_batch = save(found.groupBy("batch").agg(F.collect_list(F.struct("pos", "owner")).alias("_hits")).join(owners, "batch"), "owned", wide=True)
-    release(*hits)
+    of_batch = found.groupBy("batch").agg(F.collect_list(F.struct("pos", "owner")).alias("_hits")).join(owners, "batch")
     read = packs.select("batch", "corpus", "ids", "record", "words").join(of_batch, "batch")
     return read.mapInArrow(lambda b: _digests(b, n), "key string, owner_corpus string, owner_id string, corpus string, record_id string")
+
+
+def shared_counts(packs: DataFrame, n: int) -> DataFrame:
+    """For each pair of corpora: left_corpus, right_corpus, n_keys, the distinct passages of `n` words that both have."""
+    return _held(packs, n, _pairs, "left_corpus string, right_corpus string, n_keys long").groupBy("left_corpus", "right_corpus").agg(F.sum("n_keys").alias("n_keys"))

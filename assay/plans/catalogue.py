@@ -426,7 +426,7 @@ def corpus_collisions(spark, sf_dir):
 
 @query(f"WITH {_KEYS}, d AS (SELECT DISTINCT key_class, key, corpus FROM k) SELECT a.key_class, a.corpus AS left_corpus, b.corpus AS right_corpus, count(*) AS n_keys FROM d a JOIN d b ON a.key_class = b.key_class AND a.key = b.key AND a.corpus < b.corpus GROUP BY ALL")
 def collision_counts(spark, sf_dir):
-    return leakage.collision_counts(_corpus_keys(spark, sf_dir))
+    return leakage.text_collision_counts(_corpora(spark, sf_dir), _PASSAGE)
 
 
 @query(f"WITH {_KEYS}, c AS (SELECT key_class, key, count(*) AS n FROM k WHERE corpus = 'documents' GROUP BY ALL), x AS (SELECT DISTINCT key_class, key FROM k WHERE corpus <> 'documents') SELECT key_class, count(*) FILTER (x.key IS NOT NULL) AS n_excluded, count(*) FILTER (n > 1) AS n_repeated, count(*) AS n_keys FROM c LEFT JOIN x USING (key_class, key) GROUP BY ALL")

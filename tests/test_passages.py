@@ -34,6 +34,37 @@ def test_owners_of_one_bucket():
     assert found.to_pylist() == [{"batch": 100, "pos": [3], "owner": [20]}, {"batch": 200, "pos": [1, 2, 3], "owner": [100, 20, 11]}]
 
 
+def test_counts_of_one_bucket():
+    """Keys count once for a pair of corpora, however many records of them have it."""
+    cells = lambda h, g: np.array(h, np.uint64).tobytes() + np.array(g, np.uint16).tobytes() + bytes(8 * len(h))
+    rows = [("c", cells([5, 6, 7], [0, 0, 0])), ("a", cells([5, 5, 6, 9], [0, 1, 0, 0])), ("a", cells([5, 9], [0, 0])), ("b", cells([5, 6], [1, 0])), ("c", cells([5, 9], [2, 0]))]
+    found = passages._pairs(pa.table({"corpus": [r[0] for r in rows], "cells": pa.array([r[1] for r in rows], pa.binary())}))
+    assert [tuple(r.values()) for r in found.to_pylist()] == [("a", "b", 2), ("a", "c", 3), ("b", "c", 1)]
+
+
+def test_collision_counts_of_texts(spark):
+    """Nulls, empty texts, texts equal but for marks, passages that repeat in a text, records without an id."""
+    ten = [" ".join(f"{c}{i}" for i in range(10)) for c in "pqr"]
+    rows = [("a", 1, f"{ten[0]} {ten[1]}"), ("b", 1, f"X {ten[1].upper()}! {ten[1]}"), ("b", None, ten[0]), ("c", 3, ten[1].replace(" ", ", ")), ("c", 4, ten[2]), ("d", 1, "Short, text"), ("a", 2, "short text"), ("a", 2, "short text"), ("d", 2, ""), ("b", 9, ""), ("c", 9, None)]
+    rows += [("d", None, ten[2]), ("d", None, ten[2])]
+    has = {}
+    for c, _, t in rows:
+        if t is not None:
+            w = "".join(x if x.isalnum() else " " for x in t.lower()).split()
+            for key in [("content", t), ("signature", " ".join(w))] + [("passage", " ".join(w[k : k + 10])) for k in range(len(w) - 9)]:
+                has.setdefault(key, set()).add(c)
+    want = {}
+    for (kind, _), corpora in has.items():
+        for a in corpora:
+            for b in corpora:
+                if a < b:
+                    want[kind, a, b] = want.get((kind, a, b), 0) + 1
+    texts = spark.createDataFrame(rows, "corpus string, record_id long, text string")
+    found = lambda t: {(r["key_class"], r["left_corpus"], r["right_corpus"]): r["n_keys"] for r in leakage.text_collision_counts(t, 10).collect()}
+    assert found(texts) == want and len(want) >= 6
+    assert found(texts.limit(0)) == {}
+
+
 def test_passages_of_many_batches(spark):
     """Texts of several batches, records with several texts and without an id: against every passage held together."""
     rng = random.Random(11)
