@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import save
+from ..sources.shared import release, save
 
 #: Bytes of words that a batch has (one record's texts stay together), bytes of words for each bucket of hashes, buckets
 #: at least, rounds in which hashes are held together, texts and batches or blobs that go to a Python worker together.
@@ -229,9 +229,9 @@ def _digests(rows: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]
     """The SHA-256 of each passage that was hit, from the words."""
     names = ["key", "owner_corpus", "owner_id", "corpus", "record_id"]
     for some in rows:
-        for corpus, ids, record, words, hits, owners in zip(*(some.column(c) for c in ("corpus", "ids", "record", "words", "_hits", "_owners"))):
+        for corpus, ids, record, words, pos, owner, owners in zip(*(some.column(c) for c in ("corpus", "ids", "record", "words", "pos", "owner", "_owners"))):
             _, starts, ends, text, _ = _cuts(words.as_buffer(), n)
-            pos, owner = (hits.values.field(c).flatten().to_numpy() for c in ("pos", "owner"))
+            pos, owner = pos.values.to_numpy(), owner.values.to_numpy()
             view, sha = memoryview(words.as_buffer()), hashlib.sha256
             keys = [sha(view[i:j]).hexdigest() for i, j in zip(starts[pos].tolist(), ends[pos + n - 1].tolist())]
             numbers = owners.values.field("_no").to_numpy()
@@ -241,8 +241,8 @@ def _digests(rows: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), owners.values.field("_corpus").take(of), owners.values.field("_id").take(of), pa.array([corpus.as_py()], pa.string()).take(pa.array(np.zeros(len(pos), np.int32))), ids.values.take(mine)], names=names)
 
 
-def _held(packs: DataFrame, n: int, found: Callable[[pa.Table], pa.Table], kind: str) -> DataFrame:
-    """What `found` makes of each bucket of hashes of all passages of `n` words.
+def _held(packs: DataFrame, n: int, found: Callable[[pa.Table], pa.Table], kind: str) -> list[DataFrame]:
+    """Saved tables of what `found` makes of each bucket of hashes of all passages of `n` words.
 
     Hashes of 80 bits, and those of the bucket's number, are held together in buckets, half of them
     at a time, which bounds disk: the words are hashed again each time, which is cheap. Two different
@@ -251,21 +251,23 @@ def _held(packs: DataFrame, n: int, found: Callable[[pa.Table], pa.Table], kind:
     """
     buckets = _buckets(packs.agg(F.sum("size")).first()[0])
     dealt = lambda turn: packs.select("batch", "corpus", "record", "words").mapInArrow(lambda b: _dealt(b, n, buckets, turn), "bucket int, batch long, corpus string, cells binary")
-    rounds = [save(dealt(turn).groupBy("bucket").applyInArrow(found, kind), "found", batch=_ROWS) for turn in range(_ROUNDS)]
-    return reduce(DataFrame.unionByName, rounds)
+    return [save(dealt(turn).groupBy("bucket").applyInArrow(found, kind), "found", batch=_ROWS) for turn in range(_ROUNDS)]
 
 
 def collisions(packs: DataFrame, n: int) -> DataFrame:
     """Of packed texts, the passages of `n` words that several corpora have: key (SHA-256), owner_corpus, owner_id, corpus,
     record_id, once for each record of a later corpus."""
     found = _held(packs, n, _owned, "batch long, pos array<int>, owner array<long>")
+    of_batch = reduce(DataFrame.unionByName, found).groupBy("batch").agg(F.collect_list(F.struct("pos", "owner")).alias("_hits"))
+    hits = save(of_batch.select("batch", F.flatten("_hits.pos").alias("pos"), F.flatten("_hits.owner").alias("owner")), "hits", wide=True)
+    release(*found)
     numbers = packs.select(F.col("batch").alias("_b"), F.col("corpus").alias("_corpus"), F.posexplode("ids").alias("_i", "_id")).select((F.col("_b") + F.col("_i")).alias("_no"), "_corpus", "_id")
-    owners = found.select("batch", F.explode(F.array_distinct("owner")).alias("_no")).distinct().join(numbers, "_no").groupBy("batch").agg(F.collect_list(F.struct("_no", "_corpus", "_id")).alias("_owners"))
-    of_batch = found.groupBy("batch").agg(F.collect_list(F.struct("pos", "owner")).alias("_hits")).join(owners, "batch")
-    read = packs.select("batch", "corpus", "ids", "record", "words").join(of_batch, "batch")
+    owners = hits.select("batch", F.explode(F.array_distinct("owner")).alias("_no")).join(numbers, "_no").groupBy("batch").agg(F.collect_list(F.struct("_no", "_corpus", "_id")).alias("_owners"))
+    read = packs.select("batch", "corpus", "ids", "record", "words").join(hits, "batch").join(owners, "batch")
     return read.mapInArrow(lambda b: _digests(b, n), "key string, owner_corpus string, owner_id string, corpus string, record_id string")
 
 
 def shared_counts(packs: DataFrame, n: int) -> DataFrame:
     """For each pair of corpora: left_corpus, right_corpus, n_keys, the distinct passages of `n` words that both have."""
-    return _held(packs, n, _pairs, "left_corpus string, right_corpus string, n_keys long").groupBy("left_corpus", "right_corpus").agg(F.sum("n_keys").alias("n_keys"))
+    found = _held(packs, n, _pairs, "left_corpus string, right_corpus string, n_keys long")
+    return reduce(DataFrame.unionByName, found).groupBy("left_corpus", "right_corpus").agg(F.sum("n_keys").alias("n_keys"))
