@@ -225,6 +225,24 @@ def _pairs(rows: pa.Table) -> pa.Table:
     return pa.table({"left_corpus": pa.array([names[i] for i in left], pa.string()), "right_corpus": pa.array([names[i] for i in right], pa.string()), "n_keys": n[left, right]})
 
 
+def _audited(rows: pa.Table, corpus: str) -> pa.Table:
+    """Of one bucket's keys that a corpus has: those others have too, those several of its records have, and all."""
+    _, _, names, of, order, first = _joined(rows)
+    mine = np.add.reduceat((np.array(names) == corpus)[of[order]].astype(np.int64), first)
+    every = np.diff(np.append(first, len(order)))
+    return pa.table({"n_excluded": [int(((mine > 0) & (every > mine)).sum())], "n_repeated": [int((mine > 1).sum())], "n_keys": [int((mine > 0).sum())]})
+
+
+def _excluded(rows: pa.Table, corpus: str) -> pa.Table:
+    """The numbers of a corpus's records that have a key of one bucket which others have too."""
+    cells, sizes, names, of, order, first = _joined(rows)
+    mine, every = (np.array(names) == corpus)[of], np.diff(np.append(first, len(order)))
+    own = np.add.reduceat(mine[order].astype(np.int64), first)
+    hit = order[np.repeat((own > 0) & (every > own), every)]
+    number = np.concatenate([b + _risen(c, k, 14 * k) for b, c, k in zip(rows.column("batch").to_numpy(), cells, sizes)]).astype(np.int64)
+    return pa.table({"_no": np.unique(number[hit[mine[hit]]])})
+
+
 def _digests(rows: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     """The SHA-256 of each passage that was hit, from the words."""
     names = ["key", "owner_corpus", "owner_id", "corpus", "record_id"]
@@ -254,6 +272,11 @@ def _held(packs: DataFrame, n: int, found: Callable[[pa.Table], pa.Table], kind:
     return [save(dealt(turn).groupBy("bucket").applyInArrow(found, kind), "found", batch=_ROWS) for turn in range(_ROUNDS)]
 
 
+def _numbers(packs: DataFrame) -> DataFrame:
+    """_no, _corpus, _id: the records of packed texts by number."""
+    return packs.select(F.col("batch").alias("_b"), F.col("corpus").alias("_corpus"), F.posexplode("ids").alias("_i", "_id")).select((F.col("_b") + F.col("_i")).alias("_no"), "_corpus", "_id")
+
+
 def collisions(packs: DataFrame, n: int) -> DataFrame:
     """Of packed texts, the passages of `n` words that several corpora have: key (SHA-256), owner_corpus, owner_id, corpus,
     record_id, once for each record of a later corpus."""
@@ -261,8 +284,7 @@ def collisions(packs: DataFrame, n: int) -> DataFrame:
     of_batch = reduce(DataFrame.unionByName, found).groupBy("batch").agg(F.collect_list(F.struct("pos", "owner")).alias("_hits"))
     hits = save(of_batch.select("batch", F.flatten("_hits.pos").alias("pos"), F.flatten("_hits.owner").alias("owner")), "hits", wide=True)
     release(*found)
-    numbers = packs.select(F.col("batch").alias("_b"), F.col("corpus").alias("_corpus"), F.posexplode("ids").alias("_i", "_id")).select((F.col("_b") + F.col("_i")).alias("_no"), "_corpus", "_id")
-    owners = hits.select("batch", F.explode(F.array_distinct("owner")).alias("_no")).join(numbers, "_no").groupBy("batch").agg(F.collect_list(F.struct("_no", "_corpus", "_id")).alias("_owners"))
+    owners = hits.select("batch", F.explode(F.array_distinct("owner")).alias("_no")).join(_numbers(packs), "_no").groupBy("batch").agg(F.collect_list(F.struct("_no", "_corpus", "_id")).alias("_owners"))
     read = packs.select("batch", "corpus", "ids", "record", "words").join(hits, "batch").join(owners, "batch")
     return read.mapInArrow(lambda b: _digests(b, n), "key string, owner_corpus string, owner_id string, corpus string, record_id string")
 
@@ -271,3 +293,16 @@ def shared_counts(packs: DataFrame, n: int) -> DataFrame:
     """For each pair of corpora: left_corpus, right_corpus, n_keys, the distinct passages of `n` words that both have."""
     found = _held(packs, n, _pairs, "left_corpus string, right_corpus string, n_keys long")
     return reduce(DataFrame.unionByName, found).groupBy("left_corpus", "right_corpus").agg(F.sum("n_keys").alias("n_keys"))
+
+
+def audit(packs: DataFrame, n: int, corpus: str) -> DataFrame:
+    """n_excluded, n_repeated, n_keys: of the distinct passages of a corpus those that others have too, those that several
+    of its records have, and all; no row where it has none."""
+    found = _held(packs, n, lambda rows: _audited(rows, corpus), "n_excluded long, n_repeated long, n_keys long")
+    return reduce(DataFrame.unionByName, found).agg(*(F.sum(c).alias(c) for c in ("n_excluded", "n_repeated", "n_keys"))).where("n_keys > 0")
+
+
+def excluded(packs: DataFrame, n: int, corpus: str) -> DataFrame:
+    """record_id of a corpus's records with a passage that other corpora have too."""
+    found = reduce(DataFrame.unionByName, _held(packs, n, lambda rows: _excluded(rows, corpus), "_no long"))
+    return found.distinct().join(_numbers(packs), "_no").select(F.col("_id").alias("record_id"))

@@ -13,7 +13,6 @@ from ..functions.jsontext import canonical_text
 from ..functions.schema import valid
 from ..operators import claims, compare, distribution, gates, leakage, schedule, select, summarize
 from ..operators.score import METRICS
-from ..sources.shared import save
 from .scored import DUCKDB, FIELD_FLAGS, SAFETY_FLAGS, scored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -414,11 +413,6 @@ def _corpora(spark, sf_dir):
     return leakage.union([_t(spark, sf_dir, t).select(F.lit(c).alias("corpus"), i.cast("string").alias("record_id"), F.col(x).cast("string").alias("text")) for c, (t, i, x) in corpora.items()])
 
 
-def _corpus_keys(spark, sf_dir):
-    """The hashed keys of four corpora, written once."""
-    return save(leakage.hashed_keys(_corpora(spark, sf_dir), _words(), _PASSAGE), "keys")
-
-
 @query(f"WITH {_KEYS}, o AS (SELECT key_class, key, min(corpus) AS owner_corpus FROM k GROUP BY ALL HAVING min(corpus) <> max(corpus)), w AS (SELECT key_class, key, owner_corpus, max(record_id) AS owner_id FROM o JOIN k USING (key_class, key) WHERE corpus = owner_corpus GROUP BY ALL) SELECT key_class, key, owner_corpus, owner_id, corpus, record_id FROM w JOIN k USING (key_class, key) WHERE corpus <> owner_corpus")
 def corpus_collisions(spark, sf_dir):
     return leakage.text_collisions(_corpora(spark, sf_dir), _PASSAGE)
@@ -431,14 +425,12 @@ def collision_counts(spark, sf_dir):
 
 @query(f"WITH {_KEYS}, c AS (SELECT key_class, key, count(*) AS n FROM k WHERE corpus = 'documents' GROUP BY ALL), x AS (SELECT DISTINCT key_class, key FROM k WHERE corpus <> 'documents') SELECT key_class, count(*) FILTER (x.key IS NOT NULL) AS n_excluded, count(*) FILTER (n > 1) AS n_repeated, count(*) AS n_keys FROM c LEFT JOIN x USING (key_class, key) GROUP BY ALL")
 def leakage_audit(spark, sf_dir):
-    keys = _corpus_keys(spark, sf_dir)
-    return leakage.leakage_audit(keys.where("corpus = 'documents'"), keys.where("corpus <> 'documents'"))
+    return leakage.text_leakage_audit(_corpora(spark, sf_dir), "documents", _PASSAGE)
 
 
 @query(f"WITH {_KEYS} SELECT doc_id FROM documents WHERE CAST(doc_id AS VARCHAR) NOT IN (SELECT a.record_id FROM k a WHERE corpus = 'documents' AND EXISTS (SELECT 1 FROM k b WHERE b.corpus <> 'documents' AND a.key_class = b.key_class AND a.key = b.key))")
 def without_collisions(spark, sf_dir):
-    keys = _corpus_keys(spark, sf_dir)
-    return leakage.without_collisions(_t(spark, sf_dir, "documents").select("doc_id"), "doc_id", keys.where("corpus = 'documents'"), keys.where("corpus <> 'documents'"))
+    return leakage.without_text_collisions(_t(spark, sf_dir, "documents").select("doc_id"), "doc_id", _corpora(spark, sf_dir), "documents", _PASSAGE)
 
 
 @query("SELECT sha256(text) AS digest, count(*) AS n, min(doc_id) AS least_id FROM documents GROUP BY ALL HAVING count(*) > 1")

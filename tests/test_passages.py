@@ -65,6 +65,18 @@ def test_collision_counts_of_texts(spark):
     assert found(texts.limit(0)) == {}
 
 
+def test_audit_and_candidates_of_texts(spark):
+    """Rows that share an id count once for a passage; others' keys exclude a record, its own repeats don't."""
+    ten = [" ".join(f"{c}{i}" for i in range(10)) for c in "pqrs"]
+    rows = [("d", 1, ten[0]), ("d", 1, ten[0]), ("d", 2, f"{ten[1]}"), ("d", 3, f"y {ten[1]}"), ("d", 4, f"z, {ten[2]}"), ("a", 1, f"other {ten[2]}"), ("d", 5, "few words"), ("e", 9, "FEW words"), ("d", 6, ""), ("d", None, ten[3])]
+    texts = spark.createDataFrame(rows, "corpus string, record_id long, text string")
+    audit = {r["key_class"]: (r["n_excluded"], r["n_repeated"], r["n_keys"]) for r in leakage.text_leakage_audit(texts, "d", 10).collect()}
+    assert audit == {"content": (0, 1, 7), "signature": (1, 1, 7), "passage": (1, 1, 6)}
+    kept = leakage.without_text_collisions(texts.where("corpus = 'd'").select("record_id").distinct(), "record_id", texts, "d", 10)
+    assert {r[0] for r in kept.collect()} == {1, 2, 3, 6, None}
+    assert leakage.text_leakage_audit(texts.where("corpus <> 'd'"), "d", 10).collect() == []
+
+
 def test_passages_of_many_batches(spark):
     """Texts of several batches, records with several texts and without an id: against every passage held together."""
     rng = random.Random(11)
